@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, secret_scan
+from . import language_id, packing, quality_rules, secret_scan
 
-_MODULES = (packing, secret_scan, quality_rules)
+_MODULES = (packing, secret_scan, language_id, quality_rules)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in getattr(m, "SQL", {}).items()}
