@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +81,63 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         raise RuntimeError(f"no convergence after {max_rounds} rounds")
     low = labels.groupBy("at").agg(F.min("id").alias("component"))
     return labels.join(low, "at").select("id", "component")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: shuffle files of finished steps go once their plans are gone."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+# Vectorised hashing of bytes, for use inside tasks.
+
+_TABLE = np.random.default_rng(20240101).integers(0, 2**63, 256, dtype=np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit values (a bijection)."""
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), n, 1 << 64))
+
+
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit rolling hash of every ``width`` bytes of data, by doubling."""
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    block, size = _TABLE[data], 1
+    done, have, left = None, 0, width
+    while left:
+        if left & 1:
+            if done is None:
+                done = block
+            else:
+                n = min(len(done), len(block) - have)
+                done = done[:n] * _power(size) + block[have : have + n]
+            have += size
+        left >>= 1
+        if left:
+            block = block[:-size] * _power(size) + block[size:]
+            size *= 2
+    return done[: len(data) - width + 1]
+
+
+def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an Arrow binary column (null counts as empty), without copying."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column, b"").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, quality_rules, secret_scan, vector_search, warc
+from . import language_id, packing, quality_rules, secret_scan, substring_dedup, vector_search, warc
 
-_MODULES = (packing, secret_scan, language_id, warc, quality_rules, vector_search)
+_MODULES = (packing, secret_scan, language_id, warc, quality_rules, substring_dedup, vector_search)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in getattr(m, "SQL", {}).items()}
