@@ -1,15 +1,66 @@
-"""From raw documents to packed training sequences: five stages, each one of the corpus operators."""
+"""From raw documents to packed training sequences: five stages, each one of the corpus operators.
+
+Every stage reads what its predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfare.llm import language_id, near_dedup, packing, secret_scan, substring_dedup
+from wayfare.llm.common import cut
+
+#: A document goes if it has no letters at all or if even the best language is this unlikely.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a recognisable language."""
+    model = language_id.train(docs)
+    told = language_id.classify(docs, model, keep=tuple(docs.columns), pred="_lang", score="_score")
+    return told.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs, width=5, percent=80)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out every byte run of 100 or more that also stands earlier in the corpus."""
+    return _measured(substring_dedup.remove_repeats(docs))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets; every document stays."""
+    return _measured(secret_scan.redact(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their place in a sequence."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", remove_repeats),
+    ("secret_scan", mask_secrets),
+    ("best_fit_packing", pack),
+]
 
-STAGES = []
+#: Tokens, trained weights and hashes are not for SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
