@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import recovery_queries, trip_queries
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+_MODULES = (recovery_queries, trip_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery_queries.recover_linear_by_gap(spark, sf_dir)

@@ -1 +1 @@
-
+"""Ready-made plans over the driver's tables, and their SQL."""
