@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import angle_diff_deg, bearing_deg, haversine_m
+from ..sources.work import settled
 from . import routing, sequence as seq, spatial
 
 KEY = ("traj_id", "start_idx")
@@ -145,7 +146,7 @@ def recover_map(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: MapOpt
     end = lambda i, n: near.select("traj_id", F.col("idx").alias(f"{n}_idx"), F.col("node_id").alias(f"n{i}"), F.col("snap_m").alias(f"snap{i}"))
     g = g.join(end(0, "start"), ["traj_id", "start_idx"], "left").join(end(1, "end"), ["traj_id", "end_idx"], "left")
     r = routing.routes(g.where("n0 is not null and n1 is not null").select(F.col("n0").alias("u"), F.col("n1").alias("v")), edges, nodes, 0.0, 0.0, 55.0, o.max_settled)
-    g = _gates(g.join(r.select(F.col("u").alias("n0"), F.col("v").alias("n1"), "dist_m", "path"), ["n0", "n1"], "left"), o)
+    g = settled(_gates(g.join(r.select(F.col("u").alias("n0"), F.col("v").alias("n1"), "dist_m", "path"), ["n0", "n1"], "left"), o), "gaps")
     ok = g.where("reason is null")
     got = seq.resample(_vertices(ok, nodes, ("lon0", "lat0"), ("lon1", "lat1")), _share(points, ok), KEY)
     b = base.select("traj_id", "idx", F.col("lon").alias("_bx"), F.col("lat").alias("_by"))
@@ -189,22 +190,24 @@ def match(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOptions =
     """(chosen candidate per anchor, routes, trajectories that failed). A trajectory needs two anchors and a candidate for
     each. Routes are found once per distinct node pair."""
     a = seq.anchor_headings(points).withColumn("o", (F.row_number().over(seq.in_order()) - 1).cast("int"))
-    c = spatial.candidates(a.select("traj_id", "idx", "o", "lon", "lat", "heading"), nodes, o.radius, o.k, o.sigma, o.heading_weight, o.fallback)
+    a = settled(a, "anchors")
+    c = settled(spatial.candidates(a.select("traj_id", "idx", "o", "lon", "lat", "heading"), nodes, o.radius, o.k, o.sigma, o.heading_weight, o.fallback), "candidates")
     per = a.groupBy("traj_id").agg(F.count("*").alias("n")).join(c.groupBy("traj_id").agg(F.count_distinct("idx").alias("m")), "traj_id", "left")
     good = per.where("n >= 2 and m = n").select("traj_id")
     failed = per.where("n >= 2 and (m is null or m < n)").select("traj_id", "n")
     c = c.join(a.select("traj_id", "idx", "o", "ts", F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat")), ["traj_id", "idx"]).join(good, "traj_id", "left_semi")
+    c = settled(c, "matched")
     prev = c.select("traj_id", (F.col("o") + 1).alias("o"), F.col("rank").alias("p"), F.col("node_id").alias("u"), F.col("node_lon").alias("p_lon"), F.col("node_lat").alias("p_lat"), F.col("a_lon").alias("lon0"), F.col("a_lat").alias("lat0"), F.col("ts").alias("ts0"))
     pairs = c.select("traj_id", "o", "rank", "emit", F.col("node_id").alias("v"), F.col("node_lon").alias("c_lon"), F.col("node_lat").alias("c_lat"), F.col("a_lon").alias("lon1"), F.col("a_lat").alias("lat1"), F.col("ts").alias("ts1")).join(prev, ["traj_id", "o"])
     r = routing.routes(pairs.select("u", "v"), edges, nodes, o.class_weight, o.turn_penalty_m, o.turn_threshold_deg, o.max_settled)
-    t = pairs.join(r.select("u", "v", "dist_m"), ["u", "v"], "left")
+    t = settled(pairs.join(r.select("u", "v", "dist_m"), ["u", "v"], "left"), "transitions")
     t = t.withColumn("straight", haversine_m("lon0", "lat0", "lon1", "lat1")).withColumn("dt", F.greatest(F.lit(1), F.col("ts1") - F.col("ts0")).cast("double"))
     row = t.groupBy("traj_id", "o", "rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", transition_cost(o).alias("c")))), lambda x: x["c"]).alias("t"))
     trans = row.groupBy("traj_id", "o").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("trans"))
     emits = c.groupBy("traj_id", "o").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "emit"))), lambda x: x["emit"]).alias("emit"))
     best = viterbi(emits.join(trans, ["traj_id", "o"], "left"))
     way = best.select("traj_id", F.posexplode("states").alias("o", "rank"))
-    chosen = c.join(way, ["traj_id", "o", "rank"]).select("traj_id", "idx", "node_id", "node_lon", "node_lat", "snap_m")
+    chosen = settled(c.join(way, ["traj_id", "o", "rank"]).select("traj_id", "idx", "node_id", "node_lon", "node_lat", "snap_m"), "chosen")
     return chosen, r, failed
 
 
@@ -263,15 +266,17 @@ def recover_hmm(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOpt
     ref = F.greatest(F.col("straight") / F.col("dt"), F.lit(0.1))
     g = g.withColumn("speed_dev", F.abs(F.col("speed") - ref) / F.greatest(ref, F.lit(0.5)))
     g = fusion(g.withColumn("raw_conf", confidence((F.col("snap0") + F.col("snap1")) / 2, F.col("detour"), F.col("speed_dev"), o)), o)
+    g = settled(g, "gaps")
     ok = g.where("reason is null")
     vertices = _vertices(ok, nodes, ("slon0", "slat0"), ("slon1", "slat1"))
     if o.sharp_turn_deg >= 0:
         ok = _sharp_turns(points, ok, vertices, o)
-    got = seq.resample(vertices, _share(points, ok), KEY, o.slow_turn_deg if o.speed_aware else None, o.least_speed_factor)
+    got = seq.resample(settled(vertices, "vertices"), _share(points, ok), KEY, o.slow_turn_deg if o.speed_aware else None, o.least_speed_factor)
     f = got.withColumnRenamed("k", "idx").join(ok.select(*KEY, "missing_count", "alpha", "conf", "speed_dev", "snap_radius"), list(KEY))
     f = spatial.snap(f, nodes, ("snap_radius", o.snap_radius))
     b = base.select("traj_id", "idx", F.col("lon").alias("_bx"), F.col("lat").alias("_by"))
     f = f.join(b, ["traj_id", "idx"]).withColumn("lon", F.col("alpha") * F.col("lon") + (1 - F.col("alpha")) * F.col("_bx")).withColumn("lat", F.col("alpha") * F.col("lat") + (1 - F.col("alpha")) * F.col("_by")).drop("_bx", "_by")
+    f = settled(f, "filled")
     if o.smooth_below >= 0 and o.smooth_radius > 0:
         s = seq.smooth_gaussian(f, o.smooth_radius, o.smooth_sigma, KEY).select(*KEY, "idx", F.col("lon").alias("_sx"), F.col("lat").alias("_sy"))
         f = _toward(f, s, (F.col("conf") < o.smooth_below) & (F.col("missing_count") >= 3), o.smooth_strength)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, angle_diff_deg
+from ..sources.work import settled
 
 BROADCAST_EDGES = 2_000_000
 ROUTE = "u long, v long, dist_m double, cost double, path array<long>"
@@ -89,7 +90,7 @@ class _Graph:
 def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, most: int | None = 7000, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """u, v, dist_m (true length of the preferred route), cost, path for each distinct pair that has a route.
 
-    most gives up after so many settled states; None searches on. The relaxation for large graphs has no such end."""
+    The result is a written table, as recoveries read it more than once. most gives up after so many settled states; None searches on. The relaxation for large graphs has no such end."""
     want = pairs.select("u", "v").distinct()
     n = edges.count()
     if n > broadcast_edges:
@@ -108,7 +109,9 @@ def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: f
                     rows.append((u, v, *got))
             yield pd.DataFrame(rows, columns=["u", "v", "dist_m", "cost", "path"])
 
-    return want.mapInPandas(run, ROUTE)
+    # a search costs far more than its row: fixed partitions, which adaptive execution leaves apart
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return settled(want.repartition(parts, "u", "v").mapInPandas(run, ROUTE), "routes")
 
 
 def relax(want: DataFrame, edges: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, rounds: int = 10_000) -> DataFrame:

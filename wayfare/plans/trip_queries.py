@@ -10,6 +10,7 @@ from ..functions import buckets
 from ..functions.geo import haversine_m
 from ..operators import features, metrics, recovery, routing, sequence as seq, travel_time
 from ..sources import schemas
+from ..sources.work import settled
 from . import fixtures as fx
 from .fixtures import r6, sql_angle, sql_bearing, sql_hav, sql_r6
 from .recovery_queries import _ladder
@@ -136,37 +137,43 @@ def fit_boosted(spark, sf_dir):
     return travel_time.predict_ensemble(m, f.where("traj_id % 5 = 0"), 0.5).select("traj_id", F.col("travel_time").alias("y_true"), "base1", "base2", "resid", "y_pred")
 
 
+def _graph(spark):
+    """Nodes and edges as tables, as a loaded map would be."""
+    n, e, _ = fx.lattice(spark)
+    return settled(n, "nodes"), settled(e, "edges")
+
+
 def route_cost(spark, sf_dir):
     """Least-cost lengths from one node to all others of the lattice, without turn cost."""
-    n, e, _ = fx.lattice(spark)
+    n, e = _graph(spark)
     pairs = n.where("node_id % 97 = 5").select(F.lit(45).cast("long").alias("u"), F.col("node_id").alias("v"))
     return routing.routes(pairs, e, n, 1.0, 0.0, 55.0, None).select("u", "v", *r6("cost"))
 
 
 def route_turns(spark, sf_dir):
     """Routes with turn cost."""
-    n, e, _ = fx.lattice(spark)
+    n, e = _graph(spark)
     pairs = n.where("node_id % 97 = 5").select(F.lit(45).cast("long").alias("u"), F.col("node_id").alias("v"))
     return routing.routes(pairs, e, n).select("u", "v", *r6("cost", "dist_m"), F.size("path").alias("hops"))
 
 
 def recover_map(spark, sf_dir):
-    n, e, _ = fx.lattice(spark)
-    p, _ = recovery.recover_map(fx.masked(fx.truth(spark, sf_dir)), n, e)
+    n, e = _graph(spark)
+    p, _ = recovery.recover_map(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, recovery.MapOptions(match_radius=400.0, max_snap=400.0, max_detour=6.0, min_speed=0.0))
     return p.select("traj_id", "idx", *r6("lon", "lat"))
 
 
 def recover_hmm(spark, sf_dir):
-    n, e, _ = fx.lattice(spark)
-    o = recovery.HmmOptions(radius=300.0, fallback=500.0, max_snap=500.0, max_detour=6.0)
-    p, _ = recovery.recover_hmm(fx.masked(fx.truth(spark, sf_dir)), n, e, o)
+    n, e = _graph(spark)
+    o = recovery.HmmOptions(radius=300.0, fallback=500.0, max_snap=500.0, max_detour=6.0, min_speed=0.0)
+    p, _ = recovery.recover_hmm(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, o)
     return p.select("traj_id", "idx", *r6("lon", "lat"))
 
 
 def recover_hmm_outcomes(spark, sf_dir):
-    n, e, _ = fx.lattice(spark)
-    o = recovery.HmmOptions(radius=300.0, fallback=500.0, max_snap=500.0, max_detour=6.0)
-    return recovery.counters(recovery.recover_hmm(fx.masked(fx.truth(spark, sf_dir)), n, e, o)[1])
+    n, e = _graph(spark)
+    o = recovery.HmmOptions(radius=300.0, fallback=500.0, max_snap=500.0, max_detour=6.0, min_speed=0.0)
+    return recovery.counters(recovery.recover_hmm(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, o)[1])
 
 
 def fusion_alpha(spark, sf_dir):
