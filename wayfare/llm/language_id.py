@@ -121,11 +121,12 @@ def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, classes weighted evenly; accelerated full gradient."""
+    """Linear SVM with squared hinge loss, classes weighted evenly; accelerated full gradient. Rows with y = 0
+    take no part (so no copy of x is made per pair)."""
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     pw, pb = w.copy(), b
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    rate = 1 / (1 / c + 2 * float((share * ((x * x).sum(1) + 1)).sum()))
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), np.where(y < 0, 0.5 / max((y < 0).sum(), 1), 0)).astype(np.float32)
+    rate = 1 / (1 / c + 2 * float((share * (np.einsum("ij,ij->i", x, x) + 1)).sum()))
     for k in range(steps):
         m = k / (k + 3)
         vw, vb = w + m * (w - pw), b + m * (b - pb)
@@ -137,23 +138,25 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200) -> tup
 
 
 def fit(texts: list[str], langs: list[str]) -> dict:
-    """The model: families, and per pair a column of weights and a bias."""
+    """The model: families, and per pair a column of weights and a bias. One feature matrix, changed in place."""
     labels = sorted(set(langs))
     family = {x: _FAMILY.get(x, x) for x in labels}
     groups = {f: [x for x in labels if family[x] == f] for f in sorted(set(family.values()))}
     if len(labels) < 2:
         return {"groups": groups, "pairs": [], "w": np.zeros((1 << BITS, 0), np.float32), "b": np.zeros(0)}
-    x = np.stack([features(t) for t in texts])
+    x = np.empty((len(texts), 1 << BITS), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = features(t)
     mean = x.mean(axis=0)
-    scale = 1 / (x.std(axis=0) + 1e-4)
-    x = (x - mean) * scale / np.sqrt(x.shape[1]) * 8
+    x -= mean
+    scale = (8 / np.sqrt(x.shape[1])) / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4)
+    x *= scale
     lang, fam = np.array(langs), np.array([family[v] for v in langs])
     pairs, ws, bs = [], [], []
     for level, of, names in [("", fam, list(groups)), *((f, lang, g) for f, g in groups.items())]:
         for p, q in combinations(names, 2):
-            rows = (of == p) | (of == q)
-            w, b = _svm(x[rows], np.where(of[rows] == p, 1.0, -1.0).astype(np.float32))
-            w = w * scale / np.sqrt(x.shape[1]) * 8
+            w, b = _svm(x, np.where(of == p, 1.0, np.where(of == q, -1.0, 0.0)).astype(np.float32))
+            w = w * scale
             pairs.append((level, p, q))
             ws.append(w)
             bs.append(b - float(w @ mean))
@@ -214,9 +217,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     draw = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(span)) < share[F.col(lang_col)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(batches))
-        d = d[d["text"].map(has_letter)].sort_values(["lang", "text"])
-        yield pd.DataFrame({"model": [pickle.dumps(fit(d["text"].tolist(), d["lang"].tolist()))]})
+        rows = sorted((v, t) for b in batches for v, t in zip(b["lang"], b["text"]) if has_letter(t))
+        yield pd.DataFrame({"model": [pickle.dumps(fit([t for _, t in rows], [v for v, _ in rows]))]})
 
     one = draw.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).repartition(1).mapInPandas(run, "model binary")
     found = one.collect()  # one row of bounded size

@@ -145,17 +145,19 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        gap = F.substr(F.col(text_col), (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int"))
+        gap = F.substr(F.col("t"), (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int"))
         word = F.when(s["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE_SECRET]"))
         longer = F.struct(s["stop"].alias("pos"), F.concat(a["out"], gap, word).alias("out"))
         inside = F.struct(F.greatest(a["pos"], s["stop"]).alias("pos"), a["out"].alias("out"))
         return F.when(s["start"] >= a["pos"], longer).otherwise(inside)
 
-    masked = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substr(F.col(text_col), (a["pos"] + 1).cast("int"))))
-    some = docs.where(hit)
-    on = some[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(some[text_col]) == found["_h"])
-    joined = some.join(found, on, "left").withColumn(text_col, F.when(F.col("spans").isNotNull(), masked).otherwise(F.col(text_col)))
-    return docs.where(~hit).unionByName(joined.select(*docs.columns))
+    masked = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substr(F.col("t"), (a["pos"] + 1).cast("int"))))
+    # the input's columns travel in one struct, so none of their names can clash
+    some = docs.where(hit).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
+    joined = some.join(found, F.col("key").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_h")), "left")
+    text = F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("t"))
+    back = joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return docs.where(~hit).unionByName(back)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
