@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix, release, rolling, shuffle_parts, table, texts_of
+from .common import Scratch, cut, mix, release, rolling, shuffle_parts, table, texts_of
 
 LENGTH, TRIGGER = 100, 32
 _SPAN = LENGTH - TRIGGER + 1
@@ -201,29 +201,32 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, h, places: per document the runs of windows that also start earlier in the corpus."""
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
+    parts, scratch = shuffle_parts(spark), Scratch(spark)
     keyed = _keyed(docs, id_col, text_col)
-    again = cut(keyed.select("b").mapInArrow(_triggers, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "triggers")
+    again = scratch.cut(keyed.select("b").mapInArrow(_triggers, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "triggers")
     parse = keyed.mapInArrow(_phrases, "a long, f long, id long, place long")
-    found = cut(parse.join(again, "a"), "phrases")
+    found = scratch.cut(parse.join(again, "a"), "phrases")
     release(spark)
-    book = cut(found.groupBy("a", "f").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")), "dictionary")
+    book = scratch.cut(found.groupBy("a", "f").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")), "dictionary")
     copies = found.join(book.where("n > 1").select("a", "f", "first"), ["a", "f"]).where("struct(id, place) > first").select("id", "place")
-    per = cut(book.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "ambiguous")
+    per = scratch.cut(book.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "ambiguous")
     total = per.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     heavy = (F.col("m") > max(1000, 2 * total // parts)).alias("heavy")
     open_ = book.join(per.select("a", heavy), "a").select(F.col("first.id").alias("id"), F.col("first.place").alias("place"), "a", "heavy")
     by_doc = open_.groupBy("id", F.shiftright("place", 7).bitwiseAND(0xFFFF).cast("int").alias("h")).agg(F.collect_list(F.struct("a", "place", "heavy")).alias("todo"))
     full = keyed.where(F.length("b") >= LENGTH).join(by_doc, ["id", "h"])
-    suffixes = cut(full.select("id", "h", "b", "todo").mapInArrow(_suffixes, "a long, id long, place long, bytes binary, w long"), "suffixes")
+    suffixes = scratch.cut(full.select("id", "h", "b", "todo").mapInArrow(_suffixes, "a long, id long, place long, bytes binary, w long"), "suffixes")
     release(spark)
     light = suffixes.where("w is null").select("a", "id", "place", "bytes").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_settle, "id long, place long")
     hot = suffixes.where("w is not null").select("a", "w", "id", "place")
-    lead = cut(hot.groupBy("a", "w").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "heavy")
+    lead = scratch.cut(hot.groupBy("a", "w").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "heavy")
     late = hot.join(lead, ["a", "w"]).where("struct(id, place) > first").select("id", "place")
     gone = copies.unionByName(light).unionByName(late)
     h = F.shiftright("place", 7).bitwiseAND(0xFFFF).cast("int").alias("h")
-    return cut(gone.groupBy("id", h).agg(F.collect_set("place").alias("places")), "repeats")
+    out = cut(gone.groupBy("id", h).agg(F.collect_set("place").alias("places")), "repeats")
+    del again, parse, found, book, copies, per, open_, by_doc, full, suffixes, light, hot, lead, late, gone
+    scratch.clear()
+    return out
 
 
 def removed_runs(places: list[int] | np.ndarray | None) -> np.ndarray:
