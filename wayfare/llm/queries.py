@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, packing, quality_rules, secret_scan, substring_dedup, vector_search, warc
+from . import language_id, near_dedup, packing, pieces, quality_rules, secret_scan, substring_dedup, vector_search, warc
 
-_MODULES = (packing, secret_scan, near_dedup, language_id, warc, quality_rules, substring_dedup, vector_search)
+_MODULES = (packing, secret_scan, near_dedup, language_id, pieces, warc, quality_rules, substring_dedup, vector_search)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in getattr(m, "SQL", {}).items()}
