@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Bytes of distinct words that are indexed together.
-GROUP = 1 << 19
+GROUP = 1 << 17
 #: Words and pairs that a worker remembers; forgetting them costs time only.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 _WORD = re.compile(r" *[^ ]+| +")
 _vocabularies: dict[str, Vocabulary] = {}
@@ -112,12 +112,11 @@ class Vocabulary:
 
     def _valid(self, keys: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(keys, return_inverse=True)
-        known, out = self.pairs, []
-        for k in distinct.tolist():
-            v = known.get(k)
-            if v is None:
-                v = known[k] = self.stays(k)
-            out.append(v)
+        keys = distinct.tolist()
+        out = list(map(self.pairs.get, keys))
+        if None in out:
+            self.pairs.update((k, self.stays(k)) for k, v in zip(keys, out) if v is None)
+            out = list(map(self.pairs.get, keys))
         return np.array(out, bool)[back]
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +197,7 @@ class Vocabulary:
     def learn(self, words: set[str]) -> None:
         """Encode words and remember them."""
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.words = {w: self.words[w] for w in words & self.words.keys()}  # the common ones stay
         if len(self.pairs) > 2 * REMEMBERED:
             self.pairs.clear()
         group: list[str] = []
@@ -289,13 +288,12 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of ids, their crc, byte pieces, and the hash of the text that decoding gives back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs, keep=("doc_id", "text"))
-    back = decode(coded, keep=("doc_id", "text", "ids", "ids_crc32", "n_bytes"))
-    same = F.col("decoded") == F.coalesce(F.replace("text", F.lit("▁"), F.lit(" ")), F.lit(""))
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "n_bytes",
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same.alias("round_trip"),
-    )
+    plain = F.coalesce(F.replace("text", F.lit("▁"), F.lit(" ")), F.lit(""))
+    docs = docs.withColumn("want", F.sha2(plain.cast("binary"), 256))
+    coded = encode(docs, keep=("doc_id", "want")).withColumn("n_ids", F.size("ids").cast("long"))
+    back = decode(coded, keep=("doc_id", "n_ids", "ids_crc32", "n_bytes", "want"))
+    back = back.withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256))
+    return back.select("doc_id", "n_ids", "ids_crc32", "n_bytes", "decoded_sha256", (F.col("decoded_sha256") == F.col("want")).alias("round_trip"))
 
 
 QUERIES = {"op5_sentencepiece": op5_sentencepiece}
