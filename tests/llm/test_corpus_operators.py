@@ -149,6 +149,20 @@ def test_substring_dedup_heavy_trigger_and_slices(spark, monkeypatch):
     assert whole[2].sum() == cut[2].sum() == len(data) - 99
 
 
+def test_substring_dedup_many_texts_under_one_id(spark):
+    rng = np.random.default_rng(11)
+    passages = [prose(rng, 30) for _ in range(40)]
+    rows = [(None if k % 4 else 7, f"{k} " + " ".join([prose(rng, int(rng.integers(5, 60))), passages[k % 40], prose(rng, 25, 20)])) for k in range(3000)]
+    rows += [rows[5], rows[5], rows[8], (3, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = [((-1 if r.doc_id is None else r.doc_id, r.h), r.text) for r in docs.withColumn("h", F.xxhash64("text")).collect()]
+    want = brute_repeats(keyed)
+    got = sorted((-1 if r[0] is None else r[0], *tuple(r)[1:]) for r in substring_dedup.dedup_digest(docs).collect())
+    assert got == sorted((i[0], *want[i]) for i, _ in keyed)
+    kept = sorted(hashlib.sha256(r.text.encode()).hexdigest() for r in substring_dedup.remove_repeats(docs).collect())
+    assert kept == sorted(want[i][3] for i, _ in keyed)
+
+
 def test_remove_repeats_keeps_rows_and_columns(spark, texts):
     docs = documents(spark, [*texts, "é" * 99 + "ü" + "é" * 120])
     got = substring_dedup.remove_repeats(docs.withColumn("h", F.lit("kept")))

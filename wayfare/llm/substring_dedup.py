@@ -16,8 +16,9 @@ dictionary's suffixes settles everything: the parse is never needed to break a t
 
 Defined results: null text is empty; texts under LENGTH bytes stay whole; repeated rows (same id and
 text) do not count as earlier than one another and get the same result; rows that share an id but not
-the text are ordered by a hash of the text; a null id counts as the smallest; extra columns are kept by
-remove_repeats and not read otherwise. Cuts of ``remove_repeats`` drop characters of which any byte goes.
+the text are told apart and ordered by a 64-bit hash of the text; a null id counts as the smallest;
+extra columns are kept by remove_repeats and not read otherwise. Cuts of ``remove_repeats`` drop
+characters of which any byte goes.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ LENGTH, TRIGGER = 100, 32
 _SPAN = LENGTH - TRIGGER + 1
 #: Bytes hashed at a time; longer texts are cut into slices that overlap by LENGTH - 1.
 SLICE = 1 << 21
-#: Windows in one row at most. place = start << 23 | text hash << 7 | windows.
+#: Windows in one row at most. place = start << 7 | windows.
 _MOST = 127
 
 _NO_ID = -(1 << 63)
@@ -98,9 +99,9 @@ def _parse(data: np.ndarray, offsets: np.ndarray, with_content: bool) -> Iterato
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, 16 bits of the text's hash, the text's bytes."""
+    """id, the text's 64-bit hash (the two name a row), the text's bytes."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(t).bitwiseAND(0xFFFF).cast("int").alias("h"), t.cast("binary").alias("b"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(t).alias("h"), t.cast("binary").alias("b"))
 
 
 def _triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,51 +112,52 @@ def _triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, h = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+        ids, h = b.column(0).to_numpy(), b.column(1).to_numpy()
         for row, start, n, low, content in _parse(*texts_of(b.column(2)), True):
-            place = start.astype(np.int64) << 23 | h[row] << 7 | n
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[row]), pa.array(place)], ["a", "f", "id", "place"])
+            place = start.astype(np.int64) << 7 | n
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[row]), pa.array(h[row]), pa.array(place)], ["a", "f", "id", "h", "place"])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts with their ambiguous phrases: the phrase's bytes, or for heavy triggers every suffix's hash."""
-    names = ["a", "id", "place", "bytes", "w"]
+    names = ["a", "id", "h", "place", "bytes", "w"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
     for b in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for i, text, todo in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+        rows: list[list] = [[] for _ in names]
+        for i, h, text, todo in zip(*(b.column(c).to_pylist() for c in range(4))):
             for p in todo:
-                start, n = p["place"] >> 23, p["place"] & 127
+                start, n = p["place"] >> 7, p["place"] & 127
                 part = text[start : start + n + LENGTH - 1]
                 if p["heavy"]:
                     w = mix(rolling(np.frombuffer(part, np.uint8), LENGTH)).view(np.int64)
                     for k in range(n):
-                        for col, x in zip(rows, (p["a"], i, (start + k) << 23 | (p["place"] & 0x7FFF80) | 1, None, int(w[k]))):
+                        for col, x in zip(rows, (p["a"], i, h, (start + k) << 7 | 1, None, int(w[k]))):
                             col.append(x)
                 else:
-                    for col, x in zip(rows, (p["a"], i, p["place"], part, None)):
+                    for col, x in zip(rows, (p["a"], i, h, p["place"], part, None)):
                         col.append(x)
             if len(rows[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.int64())], names)
-                rows = [[], [], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names)
+                rows = [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names)
 
 
-def _later_suffixes(a: np.ndarray, ids: np.ndarray, place: np.ndarray, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Order the suffixes of a set of phrases; id and place of every one that equals an earlier one."""
+def _later_suffixes(a: np.ndarray, ids: np.ndarray, h: np.ndarray, place: np.ndarray, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order the suffixes of a set of phrases; id, text hash and start of every one that equals an earlier one."""
     data, offsets = texts_of(parts)
     n = place & 127
     who = np.repeat(np.arange(len(n)), n)
     k = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
     w = rolling(data[offsets[0] : offsets[-1]], LENGTH)[(offsets[:-1] - offsets[0])[who] + k]
-    at = ((place[who] >> 23) + k) << 23 | (place[who] & 0x7FFF80) | 1
-    order = np.lexsort((at, ids[who], w, a[who]))
-    w, t, i, at = w[order], a[who][order], ids[who][order], at[order]
+    at = (place[who] >> 7) + k
+    order = np.lexsort((at, h[who], ids[who], w, a[who]))
+    w, t, i, h, at = w[order], a[who][order], ids[who][order], h[who][order], at[order]
     same = (w[1:] == w[:-1]) & (t[1:] == t[:-1])
     # the first of equal suffixes leads its run; a repeat of the same place is not later than itself
     run = np.concatenate([[0], np.cumsum(~same)])
     lead = np.concatenate([[0], np.flatnonzero(~same) + 1])[run]
-    later = (i != i[lead]) | (at != at[lead])
-    return i[later], at[later]
+    later = (i != i[lead]) | (h != h[lead]) | (at != at[lead])
+    return i[later], h[later], at[later]
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +167,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         part = t.column("bytes").chunk(0) if t.num_rows else pa.array([], pa.binary())
-        i, at = _later_suffixes(t.column("a").to_numpy(), t.column("id").to_numpy(), t.column("place").to_numpy(), part)
-        order = np.lexsort((at, i))
-        i, at = i[order], at[order]
+        i, h, start = _later_suffixes(*(t.column(c).to_numpy() for c in ("a", "id", "h", "place")), part)
+        order = np.lexsort((start, h, i))
+        i, h, start = i[order], h[order], start[order]
         # neighbouring windows become one run
-        start, h = at >> 23, at >> 7 & 0xFFFF
         fresh = np.ones(len(i), bool)
         fresh[1:] = (i[1:] != i[:-1]) | (h[1:] != h[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(fresh)
@@ -178,8 +179,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who = np.repeat(first, pieces)
         off = (np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * _MOST
         n = np.minimum(np.repeat(size, pieces) - off, _MOST)
-        place = (start[who] + off) << 23 | h[who] << 7 | n
-        return pa.RecordBatch.from_arrays([pa.array(i[who]), pa.array(place)], ["id", "place"])
+        place = (start[who] + off) << 7 | n
+        return pa.RecordBatch.from_arrays([pa.array(i[who]), pa.array(h[who]), pa.array(place)], ["id", "h", "place"])
 
     rows = 0
     for b in batches:
@@ -204,26 +205,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts, scratch = shuffle_parts(spark), Scratch(spark)
     keyed = _keyed(docs, id_col, text_col)
     again = scratch.cut(keyed.select("b").mapInArrow(_triggers, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "triggers")
-    parse = keyed.mapInArrow(_phrases, "a long, f long, id long, place long")
+    parse = keyed.mapInArrow(_phrases, "a long, f long, id long, h long, place long")
     found = scratch.cut(parse.join(again, "a"), "phrases")
     release(spark)
-    book = scratch.cut(found.groupBy("a", "f").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")), "dictionary")
-    copies = found.join(book.where("n > 1").select("a", "f", "first"), ["a", "f"]).where("struct(id, place) > first").select("id", "place")
+    book = scratch.cut(found.groupBy("a", "f").agg(F.min(F.struct("id", "h", "place")).alias("first"), F.count("*").alias("n")), "dictionary")
+    copies = found.join(book.where("n > 1").select("a", "f", "first"), ["a", "f"]).where("struct(id, h, place) > first").select("id", "h", "place")
     per = scratch.cut(book.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "ambiguous")
     total = per.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     heavy = (F.col("m") > max(1000, 2 * total // parts)).alias("heavy")
-    open_ = book.join(per.select("a", heavy), "a").select(F.col("first.id").alias("id"), F.col("first.place").alias("place"), "a", "heavy")
-    by_doc = open_.groupBy("id", F.shiftright("place", 7).bitwiseAND(0xFFFF).cast("int").alias("h")).agg(F.collect_list(F.struct("a", "place", "heavy")).alias("todo"))
+    open_ = book.join(per.select("a", heavy), "a").select("first.id", "first.h", "first.place", "a", "heavy")
+    by_doc = open_.groupBy("id", "h").agg(F.collect_list(F.struct("a", "place", "heavy")).alias("todo"))
     full = keyed.where(F.length("b") >= LENGTH).join(by_doc, ["id", "h"])
-    suffixes = scratch.cut(full.select("id", "h", "b", "todo").mapInArrow(_suffixes, "a long, id long, place long, bytes binary, w long"), "suffixes")
+    suffixes = scratch.cut(full.select("id", "h", "b", "todo").mapInArrow(_suffixes, "a long, id long, h long, place long, bytes binary, w long"), "suffixes")
     release(spark)
-    light = suffixes.where("w is null").select("a", "id", "place", "bytes").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_settle, "id long, place long")
-    hot = suffixes.where("w is not null").select("a", "w", "id", "place")
-    lead = scratch.cut(hot.groupBy("a", "w").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "heavy")
-    late = hot.join(lead, ["a", "w"]).where("struct(id, place) > first").select("id", "place")
+    light = suffixes.where("w is null").select("a", "id", "h", "place", "bytes").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_settle, "id long, h long, place long")
+    hot = suffixes.where("w is not null").select("a", "w", "id", "h", "place")
+    lead = scratch.cut(hot.groupBy("a", "w").agg(F.min(F.struct("id", "h", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "heavy")
+    late = hot.join(lead, ["a", "w"]).where("struct(id, h, place) > first").select("id", "h", "place")
     gone = copies.unionByName(light).unionByName(late)
-    h = F.shiftright("place", 7).bitwiseAND(0xFFFF).cast("int").alias("h")
-    out = cut(gone.groupBy("id", h).agg(F.collect_set("place").alias("places")), "repeats")
+    out = cut(gone.groupBy("id", "h").agg(F.collect_set("place").alias("places")), "repeats")
     del again, parse, found, book, copies, per, open_, by_doc, full, suffixes, light, hot, lead, late, gone
     scratch.clear()
     return out
@@ -234,7 +234,7 @@ def removed_runs(places: list[int] | np.ndarray | None) -> np.ndarray:
     if places is None or len(places) == 0:
         return np.zeros((0, 2), np.int64)
     p = np.asarray(places, np.int64)
-    a, b = p >> 23, (p >> 23) + (p & 127) + LENGTH - 1
+    a, b = p >> 7, (p >> 7) + (p & 127) + LENGTH - 1
     order = np.argsort(a, kind="stable")
     a, b = a[order], np.maximum.accumulate(b[order])
     fresh = np.concatenate([[True], a[1:] > b[:-1]])
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeats(docs, id_col, text_col)
     t = F.coalesce(F.col(text_col), F.lit(""))
     names = docs.columns
-    d = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(t).bitwiseAND(0xFFFF).cast("int").alias("h"))
+    d = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(t).alias("h"))
     at = f"_{names.index(text_col)}"
 
     @F.pandas_udf("string")
