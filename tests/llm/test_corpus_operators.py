@@ -83,6 +83,28 @@ def test_near_dedup_equals_brute_force(spark, texts, width, percent):
     assert sorted(map(tuple, got)) == brute_groups([(r.doc_id, r.text) for r in docs.collect()], width, percent)
 
 
+def test_near_dedup_long_words_and_full_tiles(monkeypatch):
+    monkeypatch.setattr(near_dedup, "SLICE", 16)
+    blob = b"x" * 50
+    sets = dict(near_dedup.shingle_sets(near_dedup.pa.array([blob, b"one two", blob, b"three four", b"a b " + blob, b"c"]), 3))
+    assert np.array_equal(sets[0], sets[2]) and len(sets) == 6 and len(sets[4]) == 1
+    for n in (8192, 8193, 16385):
+        same = np.arange(n, dtype=np.uint64)
+        assert near_dedup.linked([same] * 4, 100).all()
+
+
+def test_near_dedup_bands_follow_percent(spark):
+    assert [near_dedup.band_width(p) for p in (80, 85)] == [5, 6]
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(60):
+        w = [f"v{k}x{j}" for j in range(90)]
+        texts.append(" ".join(w))
+        texts.append(" ".join(w[: int(rng.integers(45, 60))]))
+    got = near_dedup.groups(documents(spark, texts), width=3, percent=50).select("id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_groups(list(enumerate(texts)), 3, 50)
+
+
 def test_near_dedup_of_one_large_group(spark):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]

@@ -12,8 +12,9 @@ the hash evaluations fill a signature; bands of the signature bring likely pairs
    forest of the true links, at most one row per class. No pair that shares a bucket goes unchecked.
 5. connected components of the true links.
 
-With PERMUTATIONS 80 (160 values) in bands of 6, a pair at similarity 0.85 misses all 26 bands with
-probability 5e-6, at 0.9 with 2e-9.
+Bands are as wide as the least similarity allows (``band_width``): a pair at that similarity misses all of
+them with probability MISS at most. PERMUTATIONS 80 give 160 values; at 0.85 bands of 6 miss with 5e-6,
+at 0.8 bands of 5 with 3e-6.
 
 Defined results: a document without words has an empty set and is linked with nothing; fewer words than a
 shingle make one shingle; repeated rows belong to one class; null ids belong to classes but name a group
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import _TABLE, components, cut, mix, release, table, texts_of
 
 PERMUTATIONS, BAND, BLOCK = 80, 6, 128
+#: Greatest probability that a pair at the least similarity shares no band.
+MISS = 1e-5
 #: Bytes hashed at a time; a longer text is cut at a blank.
 SLICE = 1 << 21
 
@@ -53,7 +56,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[int, i
             if b - a > SLICE:
                 step = a + SLICE
                 while step < b:  # the next blank
-                    blank = np.flatnonzero(_BLANK[data[step : step + 65536]])
+                    blank = np.flatnonzero(_BLANK[data[step : min(step + 65536, b)]])
                     if len(blank):
                         end = step + int(blank[0])
                         break
@@ -132,6 +135,14 @@ def min_max(values: np.ndarray, start: np.ndarray, permutations: int = PERMUTATI
     return out
 
 
+def band_width(percent: int, permutations: int = PERMUTATIONS) -> int:
+    """The widest band, BAND at most, that misses a pair at ``percent`` with probability MISS at most."""
+    for band in range(BAND, 0, -1):
+        if (1 - (percent / 100) ** band) ** (2 * permutations // band) <= MISS:
+            return band
+    raise ValueError(f"{permutations} permutations are too few for {percent} per cent")
+
+
 def band_keys(signature: np.ndarray, band: int = BAND) -> np.ndarray:
     n = signature.shape[1] // band
     cut_ = mix(signature[:, : n * band]).reshape(-1, n, band)
@@ -141,7 +152,7 @@ def band_keys(signature: np.ndarray, band: int = BAND) -> np.ndarray:
     return key
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, band: int = BAND) -> DataFrame:
     """id, th (hash of the text), n, cid and fp (the set's fingerprint), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +165,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             def sign() -> None:
                 sets = [s for _, s in held]
                 start = np.cumsum([0] + [len(s) for s in sets[:-1]])
-                k = band_keys(min_max(np.concatenate(sets), start)).view(np.int64)
+                k = band_keys(min_max(np.concatenate(sets), start), band).view(np.int64)
                 size = np.array([len(s) for s in sets])
                 rows_ = [i for i, _ in held]
                 n[rows_] = size
@@ -200,7 +211,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         inter = np.zeros((m, m), np.float64)
         if len(col):
             _, col = np.unique(col, return_inverse=True)
-            edges = np.searchsorted(col, np.arange(0, col[-1] + 8192, 8192))
+            edges = np.searchsorted(col, np.arange(0, col[-1] + 8193, 8192))
             for a, b in zip(edges[:-1], edges[1:]):
                 part = np.zeros((m, 8192), np.float32)
                 part[who[a:b], col[a:b] % 8192] = 1
@@ -226,7 +237,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """id, th, n_shingles, component_id per row of docs. Links: shingles of ``width`` words, at least
     ``percent`` per cent of the union shared."""
     spark = docs.sparkSession
-    sig = cut(signatures(docs, id_col, text_col, width), "signatures")
+    sig = cut(signatures(docs, id_col, text_col, width, band_width(percent)), "signatures")
     classes = cut(sig.where("n > 0").groupBy("cid", "fp", "n").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("id").alias("low"), F.first("bands").alias("bands")), "classes")
     members = classes.select("cid", F.explode("bands").alias("key"))
     hubs = cut(members.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("far")).where("hub < far").select("key", "hub"), "hubs")
