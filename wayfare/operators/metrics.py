@@ -1,4 +1,5 @@
-"""Errors, bucket summaries, coverage, study metrics. Percentiles are exact and linearly interpolated."""
+"""Errors, bucket summaries, coverage, study metrics. Percentiles are exact and linearly interpolated; those of large
+groups are read from rows sorted over all tasks (``quantiles``), so no task has to hold a group's values."""
 
 from __future__ import annotations
 
@@ -7,8 +8,47 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets
 from ..functions.geo import haversine_m
+from ..sources.work import settled
 from . import sequence as seq
 
+TAILS = {"p75": 0.75, "p95": 0.95}
+
+
+def quantiles(df: DataFrame, value: str, qs: dict[str, float], *by: str) -> DataFrame:
+    """by, and for each name in qs that quantile of value in the group; nulls do not count.
+
+    Rows are dealt by range and ranked within their range; counts per range and group, one small table, give the
+    rest of the rank. Only the two neighbours of each quantile go on."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").repartitionByRange(parts, *by, "_v").withColumn("_p", F.spark_partition_id())
+    rows = settled(rows, "ranges")  # ranges are drawn from a sample, so they are fixed before they are counted
+    group = [F.col(c) for c in by] or [F.lit(0)]
+    count = rows.groupBy("_p", *by).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    count = count.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], before.alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("_all"))
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    inner = F.row_number().over(Window.partitionBy("_p", *by).orderBy("_v")) - 1
+    r = rows.withColumn("_r", inner).join(F.broadcast(count), same).withColumn("_k", F.col("_r") + F.col("_before"))  # one row per range and group
+    weights = {}
+    for name, q in qs.items():
+        at = q * (F.col("_all") - 1)
+        low = F.floor(at)
+        weights[name] = F.when(F.col("_k") == low, 1 - (at - low)).when(F.col("_k") == low + 1, at - low).otherwise(0.0)
+    some = r.select(*by, "_v", *[w.alias(n) for n, w in weights.items()]).where(F.greatest(*qs, F.lit(0.0)) > 0)
+    return some.groupBy(*by).agg(*[F.sum(F.when(F.col(n) > 0, F.col("_v") * F.col(n))).alias(n) for n in qs])
+
+
+def _with_tails(df: DataFrame, aggs: list[Column], value: str, qs: dict[str, float], *by: str) -> DataFrame:
+    """Aggregates and quantiles per group. df is read twice, so it should be a written table."""
+    q = quantiles(df, value, qs, *by).select(*[F.col(c).alias(f"_{c}") for c in by], *qs)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.groupBy(*by).agg(*aggs).join(F.broadcast(q) if not by else q, same, "left").drop(*[f"_{c}" for c in by])
+
 
 def recovery_errors(inputs: DataFrame, predicted: DataFrame, truth: DataFrame, strict: bool = True) -> DataFrame:
     """error_m of every unknown point: inputs ⋈ predicted ⋈ truth on (traj_id, idx).
@@ -42,26 +82,27 @@ def trajectory_mae(inputs: DataFrame, facts: DataFrame) -> DataFrame:
     return ids.join(facts.groupBy("traj_id").agg(F.avg("error_m").alias("mae")), "traj_id", "left").select("traj_id", F.coalesce("mae", F.lit(0.0)).alias("mae"))
 
 
-def error_aggs(e: str = "error_m", tails: tuple[tuple[str, float], ...] = (("p75", 0.75), ("p95", 0.95))) -> list[Column]:
-    return [F.count(e).alias("count"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(F.col(e) * F.col(e))).alias("rmse"), *[F.percentile(e, F.lit(q)).alias(n) for n, q in tails]]
+def error_aggs(e: str = "error_m") -> list[Column]:
+    return [F.count(e).alias("count"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(F.col(e) * F.col(e))).alias("rmse")]
 
 
-def summary(facts: DataFrame, *by: Column | str) -> DataFrame:
-    return (facts.groupBy(*by) if by else facts).agg(*error_aggs())
+def summary(facts: DataFrame, *by: str) -> DataFrame:
+    """count, mae, rmse, p75, p95 of error_m per group."""
+    return _with_tails(settled(facts.select(*by, "error_m"), "errors"), error_aggs(), "error_m", TAILS, *by)
 
 
 def speed_edges(facts: DataFrame, value: str = "speed_var") -> DataFrame:
     """One row (low, high): quantiles 0.33 and 0.66 of the whole set; 1 and 3 if there are fewer than 100
     values; the extremes if the quantiles coincide, and 1 and 3 again if those do."""
-    v = facts.where(F.col(value).isNotNull()).agg(
-        F.count("*").alias("n"), *[F.percentile(value, F.lit(q)).alias(f"q{i}") for i, q in enumerate(buckets.SPEED_QUANTILES)], F.min(value).alias("lo"), F.max(value).alias("hi"))
+    v = _with_tails(facts, [F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")], value, {f"q{i}": q for i, q in enumerate(buckets.SPEED_QUANTILES)})
     few, flat, same = F.col("n") < 100, F.col("q1") - F.col("q0") < 1e-9, F.col("hi") - F.col("lo") < 1e-9
     pick = lambda fixed, ends, q: F.when(few | (flat & same), F.lit(fixed)).when(flat, F.col(ends)).otherwise(F.col(q))
     return v.select(pick(1.0, "lo", "q0").alias("low"), pick(3.0, "hi", "q1").alias("high"))
 
 
 def bucket_report(facts: DataFrame, ratio: int, dataset: str | None = None) -> DataFrame:
-    """dataset, dimension, bucket, count, mae, rmse, p75, p95 over five dimensions, in one pass over the facts."""
+    """dataset, dimension, bucket, count, mae, rmse, p75, p95 over five dimensions; the facts are computed once."""
+    facts = settled(facts.select("error_m", "gap_size", "turn_angle", "position_ratio", "traj_length", "speed_var"), "facts")
     edges = F.broadcast(speed_edges(facts))  # one row
     f = facts.join(edges, F.lit(True))
     dims = {
@@ -69,7 +110,7 @@ def bucket_report(facts: DataFrame, ratio: int, dataset: str | None = None) -> D
         "traj_length": buckets.length_bucket("traj_length"), "speed_var": buckets.speed_bucket("speed_var", "low", "high"),
     }
     rows = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), b.alias("bucket")) for d, b in dims.items()])).alias("x")
-    return f.select("error_m", rows).groupBy(F.lit(dataset or f"1/{ratio}").alias("dataset"), "x.dimension", "x.bucket").agg(*error_aggs())
+    return summary(f.select("error_m", rows).select("error_m", "x.dimension", "x.bucket"), "dimension", "bucket").select(F.lit(dataset or f"1/{ratio}").alias("dataset"), "*")
 
 
 def triggers(report: DataFrame, ratio: int) -> DataFrame:
@@ -84,26 +125,32 @@ def triggers(report: DataFrame, ratio: int) -> DataFrame:
 # Regression: y_true and y_pred in seconds.
 
 
-def regression_aggs(y: str = "y_true", p: str = "y_pred", tails: bool = True) -> list[Column]:
+def regression_aggs(y: str = "y_true", p: str = "y_pred") -> list[Column]:
     e = F.col(p) - F.col(y)
-    out = [
+    return [
         F.count(e).alias("count"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (100 * F.avg(F.abs(e) / F.greatest(F.abs(F.col(y)), F.lit(1e-6)))).alias("mape"), F.avg(e).alias("bias"),
     ]
-    return out + [F.percentile(F.abs(e), F.lit(q)).alias(n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))] if tails else out
+
+
+def regression_summary(pairs: DataFrame, *by: str) -> DataFrame:
+    """The metrics and the percentiles of the absolute error per group."""
+    p = settled(pairs.select(*by, "y_true", "y_pred", F.abs(F.col("y_pred") - F.col("y_true")).alias("_e")), "pairs")
+    return _with_tails(p, regression_aggs(), "_e", {"p50": 0.5, "p90": 0.9, "p95": 0.95}, *by)
 
 
 def duration_report(pairs: DataFrame) -> DataFrame:
     """Count, MAE, RMSE, MAPE per duration class; empty classes appear with count 0."""
     labels = [*[x for _, x in buckets.DURATIONS[0]], buckets.DURATIONS[1]]
     every = pairs.sparkSession.createDataFrame([(x,) for x in labels], "bucket string")
-    got = pairs.where("y_pred is not null").groupBy(buckets.duration_bucket("y_true").alias("bucket")).agg(*regression_aggs(tails=False))
+    got = pairs.where("y_pred is not null").groupBy(buckets.duration_bucket("y_true").alias("bucket")).agg(*regression_aggs())
     return every.join(got, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count"), "mae", "rmse", "mape")
 
 
-def regression_report(pairs: DataFrame, group: str, label: Column) -> DataFrame:
-    """Per bucket: count, share of all rows, and the metrics."""
-    r = pairs.groupBy(F.lit(group).alias("group"), label.alias("bucket")).agg(*regression_aggs())
+def regression_report(pairs: DataFrame, labels: dict[str, Column]) -> DataFrame:
+    """Per group (a name in labels) and bucket: count, share of the group's rows, and the metrics; one pass over pairs."""
+    x = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), b.alias("bucket")) for g, b in labels.items()])).alias("x")
+    r = regression_summary(pairs.select("y_true", "y_pred", x).select("y_true", "y_pred", "x.group", "x.bucket"), "group", "bucket")
     return r.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("group")))
 
 
@@ -154,7 +201,8 @@ def histogram(values: DataFrame, column: str, width: float, cut_at: float | None
     """Counts per bin of a width; values above the quantile cut_at are left out."""
     v = values.where(F.col(column).isNotNull())
     if cut_at is not None:
-        top = v.agg(F.percentile(column, F.lit(cut_at)).alias("_top"))  # one row
+        v = settled(v.select(column), "values")
+        top = quantiles(v, column, {"_top": cut_at})  # one row
         v = v.join(F.broadcast(top), F.col(column) <= F.col("_top"))
     return v.groupBy((F.floor(F.col(column) / width) * width).alias("bin")).agg(F.count("*").alias("count"))
 

@@ -2,7 +2,9 @@
 
 The state of a search is (node, node before it), so turn costs are exact. Distinct pairs are routed once and joined
 back by the caller. A road graph of up to BROADCAST_EDGES edges is sent to the tasks, which search with a heap; a larger
-one is never sent anywhere: routes are then relaxed by joins, one edge per round.
+one is never sent anywhere: routes are then relaxed by joins, one edge per round. Both ways give the same routes, also
+where ``most`` ends a search: a pair has no route if at least that many states have a lower bound (cost so far and
+straight line to the target) below the cost of its cheapest route.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M, angle_diff_deg
-from ..sources.work import settled
+from ..functions.geo import EARTH_M, angle_diff_deg, haversine_m
+from ..sources.work import settled, shared_folder
 
 BROADCAST_EDGES = 2_000_000
+#: Costs in metres that differ by less count as equal where states are counted.
+SAME_COST = 1e-6
 ROUTE = "u long, v long, dist_m double, cost double, path array<long>"
 
 
@@ -59,11 +63,16 @@ class _Graph:
         came: dict[tuple[int, int], tuple[int, int]] = {}
         heap = [(self.straight(u, v), 0.0, 0.0, u, -1, None)]
         done: set[tuple[int, int]] = set()
+        below, level = 0, 0.0  # states whose bound lies below the present one; bounds never fall
         while heap:
-            _, cost, metres, node, before, bearing = heapq.heappop(heap)
+            bound, cost, metres, node, before, bearing = heapq.heappop(heap)
             state = (node, before)
             if state in done:
                 continue
+            if bound > level + SAME_COST:
+                below, level = len(done), bound
+                if most is not None and below >= most:
+                    return None
             done.add(state)
             if node == v:
                 path = [node]
@@ -71,8 +80,6 @@ class _Graph:
                     state = came[state]
                     path.append(state[0])
                 return metres, cost, path[::-1]
-            if most is not None and len(done) >= most:
-                return None
             for nxt, m, b, c in self.out.get(node, ()):
                 step = m * (1.0 + max(class_weight, 0.0) * (max(c, 1.0) - 1.0))
                 if penalty_m > 0 and bearing is not None and b is not None:
@@ -90,13 +97,17 @@ class _Graph:
 def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, most: int | None = 7000, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """u, v, dist_m (true length of the preferred route), cost, path for each distinct pair that has a route.
 
-    The result is a written table, as recoveries read it more than once. most gives up after so many settled states; None searches on. The relaxation for large graphs has no such end."""
+    The result is a written table, as recoveries read it more than once. most leaves out pairs whose search is larger (see
+    above); None searches on."""
     want = pairs.select("u", "v").distinct()
+    same = want.where("u = v").join(nodes.select(F.col("node_id").alias("u")), "u", "left_semi").select("u", "v", F.lit(0.0).alias("dist_m"), F.lit(0.0).alias("cost"), F.array("u").alias("path"))
+    want = want.where("u <> v")
     n = edges.count()
     if n > broadcast_edges:
-        return relax(want, edges, class_weight, turn_penalty_m, turn_threshold_deg)
+        return settled(relax(want, edges, nodes, class_weight, turn_penalty_m, turn_threshold_deg, most).unionByName(same), "routes")
     spark = pairs.sparkSession
-    held = spark.sparkContext.broadcast((edges.select("src", "dst", "dist_m", "bearing", "class_penalty").toPandas(), nodes.select("node_id", "lon", "lat").toPandas()))  # bounded above
+    used = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    held = spark.sparkContext.broadcast((edges.select("src", "dst", "dist_m", "bearing", "class_penalty").toPandas(), nodes.select("node_id", "lon", "lat").join(used, "node_id", "left_semi").toPandas()))  # bounded above
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = None
@@ -111,29 +122,40 @@ def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: f
 
     # a search costs far more than its row: fixed partitions, which adaptive execution leaves apart
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return settled(want.repartition(parts, "u", "v").mapInPandas(run, ROUTE), "routes")
+    return settled(want.repartition(parts, "u", "v").mapInPandas(run, ROUTE).unionByName(same), "routes")
 
 
-def relax(want: DataFrame, edges: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, rounds: int = 10_000) -> DataFrame:
-    """Routes by rounds of joins: the frontier of all pairs grows by one edge, states that cost more than the best known
-    one, or than a route already found, are dropped, until no frontier is left. Checkpointed every round."""
+def relax(want: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, most: int | None = None, rounds: int = 10_000) -> DataFrame:
+    """Routes between different nodes by rounds of joins: the frontier of all pairs grows by one edge; states that cost more than the best known
+    one, or whose lower bound exceeds a route already found, are dropped, until no frontier is left. Checkpointed every
+    round. Raises if the rounds run out first."""
     spark = want.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints/wayfare"))
-    e = edges.select("src", "dst", "dist_m", F.col("bearing").alias("b2"), edge_cost(F.col("dist_m"), F.col("class_penalty"), class_weight).alias("c2"))
-    state = want.select("u", "v", F.col("u").alias("node"), F.lit(-1).cast("long").alias("before"), F.lit(None).cast("double").alias("bearing"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("dist_m"), F.array("u").alias("path")).checkpoint()
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    place = lambda c: nodes.select(F.col("node_id").alias(c), F.col("lon").alias(f"_x_{c}"), F.col("lat").alias(f"_y_{c}"))
+    e = edges.select("src", "dst", F.col("dist_m").alias("d2"), F.col("bearing").alias("b2"), edge_cost(F.col("dist_m"), F.col("class_penalty"), class_weight).alias("c2")).join(place("dst"), "dst").join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi").checkpoint()
+    state = want.join(place("u"), "u").join(place("v"), "v").select(
+        "u", "v", "_x_v", "_y_v", F.col("u").alias("node"), F.lit(-1).cast("long").alias("before"), F.lit(None).cast("double").alias("bearing"), F.lit(0.0).alias("cost"),
+        haversine_m("_x_u", "_y_u", "_x_v", "_y_v").alias("bound"), F.lit(0.0).alias("dist_m"), F.array("u").alias("path")).checkpoint()
+    key = ["u", "v", "node", "before"]
     best, front = state, state
     for _ in range(rounds):
-        grown = front.where("node <> v").join(e.withColumnRenamed("dist_m", "d2"), front["node"] == e["src"]).select(
-            "u", "v", F.col("dst").alias("node"), F.col("node").alias("before"), F.col("b2").alias("bearing"),
-            (F.col("cost") + F.col("c2") + turn_cost(F.col("bearing"), F.col("b2"), turn_penalty_m, turn_threshold_deg)).alias("cost"),
-            (F.col("dist_m") + F.col("d2")).alias("dist_m"), F.concat("path", F.array("dst")).alias("path"))
-        cols = [c for c in grown.columns if c not in ("u", "v", "node", "before")]
-        grown = grown.groupBy("u", "v", "node", "before").agg(F.min_by(F.struct(*cols), "cost").alias("s")).select("u", "v", "node", "before", *[F.col(f"s.{c}").alias(c) for c in cols])
-        old = best.select("u", "v", "node", "before", F.col("cost").alias("_old"))
+        cost = F.col("cost") + F.col("c2") + turn_cost(F.col("bearing"), F.col("b2"), turn_penalty_m, turn_threshold_deg)
+        grown = front.where("node <> v").join(e, front["node"] == e["src"]).select(
+            "u", "v", "_x_v", "_y_v", F.col("dst").alias("node"), F.col("node").alias("before"), F.col("b2").alias("bearing"), cost.alias("cost"),
+            (cost + haversine_m("_x_dst", "_y_dst", "_x_v", "_y_v")).alias("bound"), (F.col("dist_m") + F.col("d2")).alias("dist_m"), F.concat("path", F.array("dst")).alias("path"))
+        cols = [c for c in grown.columns if c not in key]
+        grown = grown.groupBy(*key).agg(F.min_by(F.struct(*cols), "cost").alias("s")).select(*key, *[F.col(f"s.{c}").alias(c) for c in cols])
+        old = best.select(*key, F.col("cost").alias("_old"))
         found = best.where("node = v").groupBy("u", "v").agg(F.min("cost").alias("_goal"))
-        front = grown.join(old, ["u", "v", "node", "before"], "left").join(found, ["u", "v"], "left").where("(_old is null or cost < _old) and (_goal is null or cost < _goal)").drop("_old", "_goal").checkpoint()
+        front = grown.join(old, key, "left").join(found, ["u", "v"], "left").where(f"(_old is null or cost < _old) and (_goal is null or bound < _goal + {SAME_COST})").drop("_old", "_goal").select(*state.columns).checkpoint()
         if front.isEmpty():
             break
-        best = best.join(front.select("u", "v", "node", "before"), ["u", "v", "node", "before"], "left_anti").unionByName(front).checkpoint()
-    return best.where("node = v").groupBy("u", "v").agg(F.min_by(F.struct("dist_m", "cost", "path"), F.struct("cost", "dist_m")).alias("s")).select("u", "v", "s.dist_m", "s.cost", "s.path")
+        best = best.join(front.select(*key), key, "left_anti").unionByName(front).checkpoint()
+    else:
+        raise RuntimeError(f"routes are not settled after {rounds} rounds")
+    out = best.where("node = v").groupBy("u", "v").agg(F.min_by(F.struct("dist_m", "cost", "path"), F.struct("cost", "dist_m")).alias("s")).select("u", "v", "s.dist_m", "s.cost", "s.path")
+    if most is None:
+        return out
+    size = best.join(out.select("u", "v", F.col("cost").alias("_goal")), ["u", "v"]).where(f"bound < _goal - {SAME_COST}").groupBy("u", "v").agg(F.count("*").alias("_n")).where(F.col("_n") >= most)
+    return out.join(size.select("u", "v"), ["u", "v"], "left_anti")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, point_segment_m
-from . import sequence as seq
+from ..functions.geo import DEGREE_M, haversine_m
+from ..sources.osm import with_bbox
+from ..sources.work import settled
+from . import sequence as seq, spatial
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.98)
 
@@ -105,14 +107,28 @@ def study_summary(cases: DataFrame, method: str, against: list[str]) -> DataFram
     return cases.agg(*out)
 
 
-def polyline_errors(truth_missing: DataFrame, line: DataFrame) -> DataFrame:
-    """Order-free error: distance of each missing true point to the nearest leg of its trajectory's predicted line.
-    A trajectory is the unit of work, so points meet legs only inside it."""
-    legs = line.withColumn("lon2", F.lead("lon").over(seq.in_order())).withColumn("lat2", F.lead("lat").over(seq.in_order())).where("lon2 is not null")
-    per = legs.groupBy("traj_id").agg(F.collect_list(F.struct("lon", "lat", "lon2", "lat2")).alias("legs"))
-    j = truth_missing.join(per, "traj_id", "left")
-    near = F.array_min(F.transform("legs", lambda s: point_segment_m(F.col("lon"), F.col("lat"), s["lon"], s["lat"], s["lon2"], s["lat2"])))
-    return j.select("traj_id", "idx", near.alias("error_m"))
+def polyline_errors(truth_missing: DataFrame, line: DataFrame, radius: float = 250.0) -> DataFrame:
+    """Order-free error: distance of each missing true point to the nearest leg of its trajectory's predicted line;
+    null if the trajectory has no leg or the point no place.
+
+    Points meet legs in cells of the map, so a long trajectory is spread over tasks. The radius grows by four until
+    each point has found a leg inside it, which then is the nearest one."""
+    legs = line.withColumn("lon2", F.lead("lon").over(seq.in_order())).withColumn("lat2", F.lead("lat").over(seq.in_order())).where("lon is not null and lat is not null and lon2 is not null and lat2 is not null")
+    legs = settled(with_bbox(legs.select("traj_id", F.lit("").alias("seg_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2")), "legs")
+    key = ["traj_id", "idx"]
+    points = settled(truth_missing.select(*key, "lon", "lat").join(legs.groupBy("traj_id").agg(F.lit(True).alias("_has")), "traj_id", "left"), "points")
+    can = F.col("_has").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    out = points.where(~can).select(*key, F.lit(None).cast("double").alias("error_m"))
+    todo = points.where(can).drop("_has")
+    while not todo.isEmpty():
+        near = spatial.near_segments(todo, legs, radius, cell=radius / DEGREE_M, by=("traj_id",)).groupBy(*key).agg(F.min("dist_m").alias("error_m"))
+        got = settled(todo.join(near, key, "left"), "nearest")
+        out = out.unionByName(got.where(F.col("error_m") <= radius).select(*key, "error_m"))
+        todo = got.where(F.col("error_m").isNull() | (F.col("error_m") > radius)).drop("error_m")
+        radius *= 4
+        if radius > 1e12:
+            raise ValueError("coordinates are not finite")
+    return out
 
 
 def resampled_errors(inputs: DataFrame, predicted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def blend_search(pairs: DataFrame, steps: int = 81) -> DataFrame:
     read once and contributes to all weights."""
     w = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: i / (steps - 1))).alias("w")
     p = pairs.select("y_true", "resid", "base2", w).withColumn("y_pred", F.col("w") * F.col("resid") + (1 - F.col("w")) * F.col("base2"))
-    return p.groupBy("w").agg(*metrics.regression_aggs(tails=False)).select("w", "mae", "rmse", "mape")
+    return p.groupBy("w").agg(*metrics.regression_aggs()).select("w", "mae", "rmse", "mape")
 
 
 def best_blend(found: DataFrame, reference: DataFrame | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def sweep(cases: dict[str, DataFrame], control: str) -> DataFrame:
     """cases: name -> pairs(y_true, y_pred). Metrics per case, deltas against the control, best first by (mape, mae, rmse)."""
     rows = None
     for name, pairs in cases.items():
-        r = pairs.agg(*metrics.regression_aggs(tails=False)).select(F.lit(name).alias("case"), "count", "mae", "rmse", "mape")
+        r = pairs.agg(*metrics.regression_aggs()).select(F.lit(name).alias("case"), "count", "mae", "rmse", "mape")
         rows = r if rows is None else rows.unionByName(r)
     c = rows.where(F.col("case") == control).select(*[F.col(m).alias(f"_{m}") for m in ("mae", "rmse", "mape")])
     j = rows.join(F.broadcast(c), F.lit(True))

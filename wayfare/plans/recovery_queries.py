@@ -19,7 +19,7 @@ def _facts(spark: SparkSession, sf_dir: str, keep: int = 8) -> DataFrame:
 
 
 def recover_linear_by_gap(spark, sf_dir):
-    f = _facts(spark, sf_dir).groupBy(buckets.gap_bucket("gap_size", 8).alias("bucket")).agg(*metrics.error_aggs())
+    f = metrics.summary(_facts(spark, sf_dir).select("error_m", buckets.gap_bucket("gap_size", 8).alias("bucket")), "bucket")
     return f.select("bucket", "count", *r6("mae", "rmse", "p75", "p95"))
 
 
@@ -328,7 +328,7 @@ r as (select traj_id, mae, row_number() over (order by mae, traj_id) - 1 as rank
 SQL = {
     "recover_linear_by_gap": f"with {_facts_sql()} select {_ladder('gap_size', *buckets.GAPS_8)} as bucket, {_AGG} from facts group by 1",
     "haversine_steps": f"with {fx.sql_points()}, {_steps_sql()} select traj_id, idx, {sql_r6(sql_hav('plon', 'plat', 'lon', 'lat'), 'step_m')} from st",
-    "bearings": f"with {fx.sql_points()}, {_steps_sql()} select traj_id, idx, case when plon is not null then round({sql_bearing('plon', 'plat', 'lon', 'lat')}, 6) + 0e0 end as bearing, case when plon is not null and nlon is not null then round({sql_angle(sql_bearing('lon', 'lat', 'nlon', 'nlat'), sql_bearing('plon', 'plat', 'lon', 'lat'))}, 6) + 0e0 end as turn_deg from st",
+    "bearings": f"with {fx.sql_points()}, {_steps_sql()} select traj_id, idx, case when plon is not null then b end as bearing, case when plon is not null and nlon is not null then t end as turn_deg from (select *, {sql_r6(sql_bearing('plon', 'plat', 'lon', 'lat'), 'b')}, {sql_r6(sql_angle(sql_bearing('lon', 'lat', 'nlon', 'nlat'), sql_bearing('plon', 'plat', 'lon', 'lat')), 't')} from st)",
     "turn_planar": f"with {_facts_sql().replace('where not l.known)', ')')} select traj_id, idx, round(turn_angle, 4) + 0e0 as turn_angle from facts",
     "speed_change": f"with {_facts_sql().replace('where not l.known)', ')')} select traj_id, idx, {sql_r6('speed_var', 'speed_var')} from facts",
     "gap_runs": f"with {_facts_sql()} select traj_id, idx, gap_size from gr",

@@ -39,11 +39,11 @@ def trip_context(spark, sf_dir):
 
 
 def reg_metrics(spark, sf_dir):
-    return fx.pairs(spark, sf_dir).agg(*metrics.regression_aggs()).select("count", *r6("mae", "rmse", "mape", "bias", "p50", "p90", "p95"))
+    return metrics.regression_summary(fx.pairs(spark, sf_dir)).select("count", *r6("mae", "rmse", "mape", "bias", "p50", "p90", "p95"))
 
 
 def reg_grade(spark, sf_dir):
-    r = fx.pairs(spark, sf_dir).agg(*metrics.regression_aggs(tails=False))
+    r = fx.pairs(spark, sf_dir).agg(*metrics.regression_aggs())
     return r.select(buckets.grade("mae", "rmse", "mape").alias("grade"), "count")
 
 
@@ -55,11 +55,7 @@ def _report(spark, sf_dir):
     p, t = fx.trips(spark, sf_dir)
     j = fx.pairs(spark, sf_dir).where("y_pred is not null").join(features.trip_context(p, t), "traj_id", "left")
     dims = {"travel_time": buckets.travel_time_bucket("y_true"), "hour": buckets.hour_bucket("hour"), "path_km": buckets.path_bucket("path_km"), "points": buckets.points_bucket("n_points"), "detour": buckets.detour_bucket(F.round("detour_ratio", 6))}
-    out = None
-    for name, label in dims.items():
-        r = metrics.regression_report(j, name, label)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return metrics.regression_report(j, dims)
 
 
 def trip_bucket_report(spark, sf_dir):
@@ -146,14 +142,14 @@ def _graph(spark):
 def route_cost(spark, sf_dir):
     """Least-cost lengths from one node to all others of the lattice, without turn cost."""
     n, e = _graph(spark)
-    pairs = n.where("node_id % 97 = 5").select(F.lit(45).cast("long").alias("u"), F.col("node_id").alias("v"))
+    pairs = n.select(F.lit(45).cast("long").alias("u"), F.col("node_id").alias("v"))
     return routing.routes(pairs, e, n, 1.0, 0.0, 55.0, None).select("u", "v", *r6("cost"))
 
 
 def route_turns(spark, sf_dir):
     """Routes with turn cost."""
     n, e = _graph(spark)
-    pairs = n.where("node_id % 97 = 5").select(F.lit(45).cast("long").alias("u"), F.col("node_id").alias("v"))
+    pairs = n.select(F.lit(45).cast("long").alias("u"), F.col("node_id").alias("v"))
     return routing.routes(pairs, e, n).select("u", "v", *r6("cost", "dist_m"), F.size("path").alias("hops"))
 
 
@@ -186,7 +182,7 @@ def fusion_alpha(spark, sf_dir):
 
 def viterbi_path(spark, sf_dir):
     """Cheapest states of made-up candidate sequences, three candidates per step."""
-    li = fx.table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").groupBy(F.col("l_orderkey").alias("traj_id"), (F.col("l_linenumber") - 1).alias("o0")).agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("b"))
+    li = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("traj_id"), (F.col("l_linenumber") - 1).alias("o0")).agg(F.min("l_partkey").alias("a"), F.min("l_suppkey").alias("b"))
     from pyspark.sql import Window
 
     s = li.withColumn("o", (F.row_number().over(Window.partitionBy("traj_id").orderBy("o0")) - 1).cast("int"))
@@ -265,15 +261,15 @@ SQL = {
         case when missing_count >= 12 then 0.7e0 else 0.45e0 end as lo, case when missing_count <= 4 then 0.65e0 else 0.9e0 end as hi,
         case when missing_count <= 4 then 1.1e0 when missing_count >= 12 then 0.75e0 else 0.85e0 end as pure from c),
       a as (select *, case when conf >= pure then 1e0 else greatest(lo, least(hi, lo + (hi - lo) * pow(conf, 1.5))) end as a0 from k)
-      select missing_count, s, d, round(conf, 6) + 0e0 as conf, round(case when conf < 0.2 then least(a0, 0.5e0) else a0 end, 6) + 0e0 as alpha, round(45e0 * greatest(0, least(1, (0.7e0 - conf) / 0.7e0)), 6) + 0e0 as snap_radius from a""",
-    "viterbi_path": """with recursive s as (select traj_id, a, b, row_number() over (partition by traj_id order by o) - 1 as o from (select l_orderkey as traj_id, l_linenumber as o, min(l_partkey) as a, min(l_suppkey) as b from lineitem where l_linenumber <= 5 group by 1, 2)),
+      select missing_count, s, d, """ + ", ".join((sql_r6("conf", "conf"), sql_r6("case when conf < 0.2 then least(a0, 0.5e0) else a0 end", "alpha"), sql_r6("45e0 * greatest(0, least(1, (0.7e0 - conf) / 0.7e0))", "snap_radius"))) + " from a",
+    "viterbi_path": """with recursive s as (select traj_id, a, b, row_number() over (partition by traj_id order by o) - 1 as o from (select l_orderkey as traj_id, l_linenumber as o, min(l_partkey) as a, min(l_suppkey) as b from lineitem group by 1, 2)),
       r as (select traj_id, 0 as o, j, ((a * (j + 3)) % 101 + j / 7e0) as cost, [j]::bigint[] as way from s, (select range as j from range(3)) where o = 0
         union all select s.traj_id, r.o + 1, t.j, r.cost + ((s.a * (t.j + 3)) % 101 + t.j / 7e0) + ((s.b * (3 * t.j + r.j + 1)) % 89 + (3 * t.j + r.j) / 11e0), list_append(r.way, t.j) from r join s on s.traj_id = r.traj_id and s.o = r.o + 1, (select range as j from range(3)) t),
       l as (select traj_id, max(o) as o from s group by 1)
-      select r.traj_id, round(min(cost), 6) + 0e0 as cost, array_to_string(arg_min(way, cost), ',') as states from r join l on r.traj_id = l.traj_id and r.o = l.o group by 1""",
+      select r.traj_id, """ + sql_r6("min(cost)", "cost") + """, array_to_string(arg_min(way, row(cost, list_reverse(way))), ',') as states from r join l on r.traj_id = l.traj_id and r.o = l.o group by 1""",
     "route_cost": f"""with recursive {fx.sql_lattice()},
       c as (select src, dst, dist_m * pen as w from edges),
       walk as (select 45::bigint as node, 0e0 as cost, 0 as hops
         union all select node, min(cost), hops from (select c.dst as node, walk.cost + c.w as cost, walk.hops + 1 as hops from walk join c on c.src = walk.node where walk.hops < 95) group by node, hops)
-      select 45::bigint as u, node as v, round(min(cost), 6) + 0e0 as cost from walk where node % 97 = 5 group by node""",
+      select 45::bigint as u, node as v, {sql_r6('min(cost)', 'cost')} from walk group by node""",
 }

@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Only a session that runs on this machine alone may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file:///tmp/checkpoints/wayfare"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the folder named in spark.checkpoint.dir and read it back.
+    """Write df as Parquet below the shared folder and read it back.
 
     Long jobs use it where several later steps read a result: the plan starts anew there, nothing is computed
-    twice, and a lost executor costs no more than the step at hand. Without the setting (tests) a local folder
-    serves."""
+    twice, and a lost executor costs no more than the step at hand."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/wayfare"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
