@@ -32,9 +32,11 @@ from pyspark.sql import types as T
 from .common import table
 
 #: Bytes of distinct words that are indexed together.
-GROUP = 1 << 17
-#: Words and pairs that a worker remembers; forgetting them costs time only.
+GROUP = 1 << 18
+#: Words that a worker remembers; forgetting them costs time only.
 REMEMBERED = 300_000
+#: Bits of the number of slots for tested pairs.
+TESTED = 20
 
 _WORD = re.compile(r" *[^ ]+| +")
 _vocabularies: dict[str, Vocabulary] = {}
@@ -84,40 +86,75 @@ class Vocabulary:
         raw = np.frombuffer(b"".join(x.ljust(size, b"\0") for x, _ in order), f"S{size}")
         top = np.frombuffer(b"".join(x.ljust(size, b"\xff") for x, _ in order), f"S{size}")
         self.low, self.high = raw, top
-        self.first = np.array([x[0] for x, _ in order])
-        self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-
-    def merged(self, parts: list[str]) -> list[str]:
-        """Merge neighbours by rank, best first and leftmost among equals, until nothing merges."""
-        parts = list(parts)
-        while len(parts) > 1:
-            best, at = -np.inf, -1
-            for k in range(len(parts) - 1):
-                s = self.rank.get(parts[k] + parts[k + 1])
-                if s is not None and s > best:
-                    best, at = s, k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stays(self, key: int) -> bool:
-        """Whether two pieces, as (left * (n + 2) + right), stay apart and whole when their text is merged."""
-        a, b = divmod(key, self.n + 2)
-        if a >= self.n and b >= self.n:
-            return True
-        pair = [self.name[x] for x in (a, b) if x < self.n]
-        return self.merged(list("".join(pair))) == pair
-
-    def _valid(self, keys: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(keys, return_inverse=True)
-        keys = distinct.tolist()
-        out = list(map(self.pairs.get, keys))
-        if None in out:
-            self.pairs.update((k, self.stays(k)) for k, v in zip(keys, out) if v is None)
-            out = list(map(self.pairs.get, keys))
-        return np.array(out, bool)[back]
+        first8 = lambda fill: np.frombuffer(b"".join(x[:8].ljust(8, fill) for x, _ in order), ">u8").astype(np.uint64)
+        self.low8, self.high8 = first8(b"\0"), first8(b"\xff")
+        # pairs tested last, each in its slot: the pair's number and, in the lowest bit, whether it stays apart
+        self.tested = np.full(1 << TESTED, -2)
+        # ids of words with one blank before them (by what follows it), and of all others
+        self.spaced: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self._learn_merges()
+
+    def _learn_merges(self) -> None:
+        """For every piece the time of its merge (its rank; 0 for a character) and the two parts merged last."""
+        lens = np.array([len(self.name.get(i, "")) for i in range(self.n)])
+        scores = [-self.rank[self.name[i]] if lens[i] > 1 else -np.inf for i in range(self.n)]
+        self.time = np.unique(scores, return_inverse=True)[1].astype(np.int64)
+        self.left, self.right = np.full(self.n, -1), np.full(self.n, -1)
+        splits = [(i, self.id[x[:k]], self.id[x[k:]]) for x, i in self.id.items() for k in range(1, len(x)) if x[:k] in self.id and x[k:] in self.id]
+        whole, a, b = np.array(splits or np.zeros((0, 3)), np.int64).T
+        order = np.argsort(a * self.n + b)
+        self.pair_key, self.pair_time = (a * self.n + b)[order], self.time[whole[order]]
+        size = lens[whole]
+        reached = lens == 1
+        for n in np.unique(size):  # parts are shorter, so they are known by then
+            k = np.flatnonzero(size == n)
+            k = k[reached[a[k]] & reached[b[k]]]
+            k = k[self.apart(a[k], b[k], 2 * self.time[whole[k]])]
+            if (np.maximum(self.time[a[k]], self.time[b[k]]) > self.time[whole[k]]).any():
+                raise ValueError("a piece must not be merged from one of worse rank")
+            self.left[whole[k]], self.right[whole[k]] = a[k], b[k]
+            reached[whole[k]] = True
+        self.reached = np.append(reached, [True, True])
+
+    def apart(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether neighbours a and b stay apart when the text of both is merged by rank.
+
+        Their merges are taken back one by one, the latest first (of equal ranks the right one). Between two of
+        them one pair stands at the border; it would merge if its rank were better than that of the merge
+        that comes next, which is ``limit``: 2 rank on the left, where it would come first among equals, 2 rank + 1
+        on the right."""
+        out = np.ones(len(a), bool)
+        if not len(self.pair_key):
+            return out
+        who, x, y = np.arange(len(a)), a, b
+        limit = np.full(len(a), np.iinfo(np.int64).max) if limit is None else limit
+        while len(who):
+            key = x * self.n + y
+            k = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+            merges = (self.pair_key[k] == key) & (2 * self.pair_time[k] < limit)
+            out[who[merges]] = False
+            tx, ty = self.time[x], self.time[y]
+            on = np.flatnonzero(~merges & ((tx > 0) | (ty > 0)))
+            who, x, y, tx, ty = who[on], x[on], y[on], tx[on], ty[on]
+            back = tx > ty
+            limit = np.where(back, 2 * tx, 2 * ty + 1)
+            x, y = np.where(back, self.right[x], x), np.where(back, y, self.left[y])
+        return out
+
+    def _valid(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether each piece is whole when merged by itself and stays apart from the one before it."""
+        out = self.reached[piece]
+        both = np.flatnonzero(out & (before < self.n) & (piece < self.n))
+        key = before[both] * self.n + piece[both]
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TESTED)).astype(np.int64)
+        held = self.tested[slot]
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            held[new] = key[new] << 1 | self.apart(before[both[new]], piece[both[new]])
+            self.tested[slot[new]] = held[new]
+        out[both] = held & 1 == 1
+        return out
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every occurrence of every piece in text (bytes, no piece holds a zero byte): position, id, length."""
@@ -126,23 +163,36 @@ class Vocabulary:
         windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
         at = np.flatnonzero((text != 0) & ((text & 0xC0) != 0x80))  # characters start here
         words = [np.ascontiguousarray(windows[at + 8 * k]).view(">u8").ravel().astype(np.uint64) for k in range(self.width)]
-        order = np.lexsort(words[::-1])
+        order = np.argsort(words[0])
+        for k in range(1, self.width):  # ties of the first 8 k bytes are sorted by the next 8
+            tied = np.zeros(len(at) + 1, bool)
+            tied[1:-1] = words[0][order[1:]] == words[0][order[:-1]]
+            for w in words[1:k]:
+                tied[1:-1] &= w[order[1:]] == w[order[:-1]]
+            some = np.flatnonzero(tied[1:] | tied[:-1])
+            if len(some):
+                run = np.cumsum(~tied[some])
+                order[some] = order[some][np.lexsort((words[k][order[some]], run))]
         suffixes = at[order]
         keys = np.empty((len(at), self.width), ">u8")
         for k, w in enumerate(words):
             keys[:, k] = w[order]
         keys = keys.view(f"S{size}").ravel()
-        seen = np.zeros(256, bool)
-        seen[text] = True
-        some = np.flatnonzero(seen[self.first])
-        lo = np.searchsorted(keys, self.low[some], "left")
-        hi = np.searchsorted(keys, self.high[some], "right")
+        head = words[0][order]
+        lo, hi = np.searchsorted(head, self.low8, "left"), np.searchsorted(head, self.high8, "right")
+        some = np.flatnonzero(hi > lo)
+        lo, hi = lo[some], hi[some]
+        long = np.flatnonzero(self.piece_len[some] > 8)  # eight bytes bound the range of these, the rest narrows it
+        lo[long] = np.searchsorted(keys, self.low[some[long]], "left")
+        hi[long] = np.searchsorted(keys, self.high[some[long]], "right")
         count = hi - lo
         where = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         return suffixes[where], np.repeat(self.piece_id[some], count), np.repeat(self.piece_len[some], count)
 
     def lattice(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word."""
+        if not words:
+            return []
         raws = [w.encode() for w in words]
         text = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
         lens = np.array([len(r) for r in raws])
@@ -167,7 +217,7 @@ class Vocabulary:
         for a, b in zip(cuts[:-1], cuts[1:]):
             p, t = pos[a:b], ids[a:b]
             ok = last[p] >= 0
-            ok[ok] = self._valid(last[p[ok]] * (self.n + 2) + t[ok])
+            ok[ok] = self._valid(last[p[ok]], t[ok])
             p, t, end = p[ok], t[ok], (pos[a:b] + size[a:b])[ok]
             last[end], came[end] = t, p
         # back from the ends, all words in step
@@ -190,40 +240,40 @@ class Vocabulary:
             src = np.repeat(came[ends] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             got = np.where(np.repeat(odd, n), self.byte_id[text[np.minimum(src, len(text) - 1)]], np.repeat(got, n))
             ends = np.repeat(ends, n)
-        flat = got.astype("<u4")
-        bound = np.searchsorted(ends, np.concatenate([starts, [len(text)]]), "right")
-        return [flat[a:b].tobytes() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
-
-    def learn(self, words: set[str]) -> None:
-        """Encode words and remember them."""
-        if len(self.words) > REMEMBERED:
-            self.words = {w: self.words[w] for w in words & self.words.keys()}  # the common ones stay
-        if len(self.pairs) > 2 * REMEMBERED:
-            self.pairs.clear()
-        group: list[str] = []
-        total = 0
-        for w in sorted(words - self.words.keys(), key=len):
-            if group and total + len(w) > GROUP:
-                self.words.update(zip(group, self.lattice(group)))
-                group, total = [], 0
-            group.append(w)
-            total += len(w) + 1
-        if group:
-            self.words.update(zip(group, self.lattice(group)))
+        flat = got.astype("<u4").tobytes()
+        bound = (4 * np.searchsorted(ends, np.concatenate([starts, [len(text)]]), "right")).tolist()
+        return [flat[a:b] for a, b in zip(bound, bound[1:])]
+
+    def learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
+        """Encode the words that are not known yet, each with ``before`` ahead of it, and add them."""
+        if len(known) > REMEMBERED:  # the common ones stay
+            kept = {w: known[w] for w in words & known.keys()}
+            known.clear()
+            known.update(kept)
+        new = sorted(words - known.keys(), key=len)
+        group = np.cumsum([len(w) + 2 for w in new]) // GROUP
+        for part in np.split(np.arange(len(new)), np.flatnonzero(np.diff(group)) + 1):
+            some = [new[k] for k in part]
+            known.update(zip(some, self.lattice([before + w for w in some])))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit values."""
         at = 0
         while at < len(texts):
-            parts, total = [], 0
-            while at < len(texts) and total < 4 * GROUP:
+            parts: list[tuple[dict[str, bytes], list[str]]] = []
+            total = 0
+            while at < len(texts) and total < 2 * GROUP:
                 plain = self.library.normalize(texts[at]).replace("▁", " ") if texts[at] else ""
-                parts.append(_WORD.findall(plain))
+                if plain.startswith(" ") and "  " not in plain:
+                    parts.append((self.spaced, plain[1:].split(" ")))
+                else:
+                    parts.append((self.others, _WORD.findall(plain)))
                 total += len(plain)
                 at += 1
-            self.learn({w for p in parts for w in p})
-            for p in parts:
-                yield b"".join(map(self.words.__getitem__, p))
+            self.learn(set().union(*(p for d, p in parts if d is self.spaced)), self.spaced, " ")
+            self.learn(set().union(*(p for d, p in parts if d is self.others)), self.others, "")
+            for known, p in parts:
+                yield b"".join(map(known.__getitem__, p))
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.out[i] for i in ids]).decode("utf-8", "each_byte")
