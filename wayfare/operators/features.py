@@ -110,3 +110,8 @@ def trip_context(points: DataFrame, trips: DataFrame) -> DataFrame:
     a = a.withColumn("direct_km", haversine_m(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")) / 1000).drop("a", "b")
     a = a.withColumn("detour_ratio", F.col("path_km") / F.greatest(F.col("direct_km"), F.lit(1e-6)))
     return trips.select("traj_id", clock(F.col("departure_ts"))["hour"].alias("hour")).join(a, "traj_id", "left")
+
+
+def first_rows(df: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first rows in the given order, which should be a total one; all of them if most is not positive."""
+    return df.orderBy(*order).limit(most) if most > 0 else df

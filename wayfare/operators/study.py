@@ -60,7 +60,7 @@ def stratified_pool(cases: DataFrame, target: int, seed: int = 0) -> DataFrame:
     quota = [target // 3 + (i < target % 3) for i in range(3)]
     bins = F.when(F.col("rank0") < i1, 0).when(F.col("rank0") < i2, 1).otherwise(2)
     left = target - sum(min(q, s) for q, s in zip(quota, sizes))
-    drawn = r.withColumn("bin", bins).withColumn("h", F.xxhash64("traj_id", F.lit(seed)))
+    drawn = r.withColumn("bin", bins).withColumn("h", F.md5(F.concat_ws(":", F.col("traj_id").cast("string"), F.lit(str(seed)))))
     drawn = drawn.withColumn("o", F.row_number().over(Window.partitionBy("bin").orderBy("h", "traj_id")))
     quotas = F.create_map(*[F.lit(x) for i, q in enumerate(quota) for x in (i, q)])
     inside = F.col("o") <= quotas[F.col("bin")]

@@ -353,6 +353,22 @@ SQL = {
     "error_histogram": f"with {_facts_sql()}, t as (select quantile_cont(error_m, 0.99) as top from facts) select floor(error_m / 2e0) * 2e0 as bin, count(*) as count from facts, t where error_m <= top group by 1",
     "trajectory_bounds": f"with {fx.sql_points()} select traj_id, " + ", ".join(sql_r6(f"{f}({c}) {s} 0.08e0 * greatest(max({c}) - min({c}), 1e-9)", f"{f}_{c}") for c in ("lon", "lat") for f, s in (("min", "-"), ("max", "+"))) + " from pts group by 1",
     "representative_pick": f"{_RANKED}, q as (select *, row_number() over () - 1 as k from (select unnest([0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0, 0.98e0]) as q)) select traj_id, mae, k::bigint as pick from r join q on rank0 = round_even(q * (n - 1), 0)",
+    "stratified_pool": f"""{_RANKED}, b as (select *, case when rank0 < n // 3 then 0 when rank0 < 2 * n // 3 then 1 else 2 end as bin, md5(traj_id || ':7') as h from r),
+      o as (select *, row_number() over (partition by bin order by h, traj_id) as o, count(*) over (partition by bin) as size from b), q as (select *, 20 // 3 + (bin < 20 % 3)::int as quota from o),
+      f as (select * from q where o <= quota), g as (select * from q where o > quota order by h, traj_id limit (select 20 - count(*) from f))
+      select traj_id, mae as score, rank0 from (select * from f union all select * from g)""",
+    "resampled_errors": f"""with {fx.sql_points()}, {fx.sql_linear()}, {_GAPS}, a as (select g.traj_id, gap_id, missing_count, start_idx, l.idx, l.lon, l.lat, lead(l.lon) over w as lon2, lead(l.lat) over w as lat2 from gt g join lin l on l.traj_id = g.traj_id and l.idx between start_idx and end_idx window w as (partition by g.traj_id, gap_id order by l.idx)),
+      b as (select *, {sql_hav('lon', 'lat', 'lon2', 'lat2')} as d from a), f as (select *, coalesce(sum(d) over (partition by traj_id, gap_id order by idx rows between unbounded preceding and 1 preceding), 0) as s from b),
+      q as (select traj_id, gap_id, start_idx, r.range as k, total * r.range / (missing_count + 1)::double as s from (select traj_id, gap_id, missing_count, start_idx, max(s) as total from f group by all), range(1, 17) r where r.range <= missing_count),
+      m as (select q.traj_id, q.gap_id, q.start_idx, k, q.s, max(f.idx) as idx from q join f on f.traj_id = q.traj_id and f.gap_id = q.gap_id and f.s <= q.s and f.lon2 is not null group by all),
+      x as (select m.traj_id, m.start_idx + k as idx, lon + (lon2 - lon) * coalesce(least(1e0, (m.s - f.s) / nullif(d, 0)), 0) as x, lat + (lat2 - lat) * coalesce(least(1e0, (m.s - f.s) / nullif(d, 0)), 0) as y from m join f on f.traj_id = m.traj_id and f.gap_id = m.gap_id and f.idx = m.idx)
+      select x.traj_id, x.idx, {sql_r6(sql_hav('x.x', 'x.y', 'l.tlon', 'l.tlat'), 'error_m')} from x join lin l on l.traj_id = x.traj_id and l.idx = x.idx""",
+    "map_features": f"""with {fx.sql_points()}, {_steps_sql()}, {fx.sql_lattice()}, p as (select distinct t.*, {sql_bearing('plon', 'plat', 'nlon', 'nlat')} as travel from st t left join range(14) r on t.idx = floor(r.range * (n - 1) / 13) where n <= 14 or r.range is not null),
+      j as (select p.traj_id, p.idx, p.travel, s.seg_id, {_point_segment('p.lon', 'p.lat')} as dist, {sql_bearing('s.lon1', 's.lat1', 's.lon2', 's.lat2')} as b from p left join segs s on {_touch(300.0)}),
+      k as (select traj_id, idx, any_value(travel) as travel, min(dist) as d0, count(*) filter (dist <= 300) as den, arg_min(b, row(dist, seg_id)) as b from j group by 1, 2),
+      m as (select traj_id, coalesce(d0, 600) as d, d0 is null as none, den::double as den, {sql_angle('travel', 'b')} as gap from k)
+      select traj_id, {sql_r6('avg(d)', 'road_mean')}, {sql_r6('quantile_cont(d, 0.9)', 'road_p90')}, {sql_r6('max(d)', 'road_max')}, {sql_r6('avg((d <= 20)::int)', 'near_1')}, {sql_r6('avg((d <= 50)::int)', 'near_2')}, {sql_r6('avg(den)', 'density_mean')}, {sql_r6('quantile_cont(den, 0.9)', 'density_p90')},
+        {sql_r6('coalesce(avg(gap), 90)', 'heading_mean')}, {sql_r6('coalesce(quantile_cont(gap, 0.9), 90)', 'heading_p90')}, {sql_r6('avg(none::int)', 'no_road')} from m group by 1""",
     "gap_metrics": f"with {fx.sql_points()}, {fx.sql_linear()}, {_GAPS}, {_METHODS} select g.traj_id, gap_id, missing_count, {_CASE_SQL} from gt g join mt on mt.traj_id = g.traj_id and mt.idx > start_idx and mt.idx < end_idx group by 1, 2, 3",
     "case_metrics": f"with {fx.sql_points()}, {fx.sql_linear()}, {_METHODS} select traj_id, count(*) as missing_count, {_CASE_SQL} from mt group by 1",
     "study_summary": f"with {fx.sql_points()}, {fx.sql_linear()}, {_METHODS}, c as (select traj_id, count(*) as w, " + ", ".join(f"avg(e_{m}) as mae_{m}, sqrt(avg(e_{m} * e_{m})) as rmse_{m}" for m in ("shift", "linear")) + " from mt group by 1) select count(*) as cases, sum(w)::bigint as missing, " + ", ".join(f"{sql_r6(f'avg(mae_{m})', f'mean_mae_{m}')}, {sql_r6(f'sum(w * mae_{m}) / sum(w) filter (mae_{m} is not null)', f'weighted_mae_{m}')}, {sql_r6(f'sqrt(sum(w * rmse_{m} * rmse_{m}) / sum(w) filter (rmse_{m} is not null))', f'weighted_rmse_{m}')}" for m in ("shift", "linear")) + f", {sql_r6('avg(case when mae_shift is not null and mae_linear is not null then (mae_shift < mae_linear)::int end)', 'win_rate_linear')} from c",

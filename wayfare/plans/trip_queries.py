@@ -153,6 +153,11 @@ def route_turns(spark, sf_dir):
     return routing.routes(pairs, e, n).select("u", "v", *r6("cost", "dist_m"), F.size("path").alias("hops"))
 
 
+def route_turn_costs(spark, sf_dir):
+    """Least costs with turn cost; ties between routes do not show in them."""
+    return route_turns(spark, sf_dir).select("u", "v", "cost")
+
+
 def recover_map(spark, sf_dir):
     n, e = _graph(spark)
     p, _ = recovery.recover_map(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, recovery.MapOptions(match_radius=400.0, max_snap=400.0, max_detour=6.0, min_speed=0.0))
@@ -194,7 +199,7 @@ def viterbi_path(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     trip_features, clean_reasons, sample_weights, trip_context, reg_metrics, reg_grade, duration_buckets, trip_bucket_report, worst_and_best, coverage, id_differences, top_errors, positional_check,
-    last_record_wins, milestone_trend, blend_search, count_control, parameter_sweep, fit_linear, fit_boosted, route_cost, route_turns, recover_map, recover_hmm, recover_hmm_outcomes, fusion_alpha, viterbi_path)}
+    last_record_wins, milestone_trend, blend_search, count_control, parameter_sweep, fit_linear, fit_boosted, route_cost, route_turns, route_turn_costs, recover_map, recover_hmm, recover_hmm_outcomes, fusion_alpha, viterbi_path)}
 
 # SQL
 
@@ -267,6 +272,11 @@ SQL = {
         union all select s.traj_id, r.o + 1, t.j, r.cost + ((s.a * (t.j + 3)) % 101 + t.j / 7e0) + ((s.b * (3 * t.j + r.j + 1)) % 89 + (3 * t.j + r.j) / 11e0), list_append(r.way, t.j) from r join s on s.traj_id = r.traj_id and s.o = r.o + 1, (select range as j from range(3)) t),
       l as (select traj_id, max(o) as o from s group by 1)
       select r.traj_id, """ + sql_r6("min(cost)", "cost") + """, array_to_string(arg_min(way, row(cost, list_reverse(way))), ',') as states from r join l on r.traj_id = l.traj_id and r.o = l.o group by 1""",
+    "route_turn_costs": f"""with recursive {fx.sql_lattice()},
+      walk as (select 45::bigint as node, -1::bigint as before, null::double as b, 0e0 as cost, 0 as hops
+        union all select node, before, min(b), min(cost), hops from (select e.dst as node, e.src as before, e.bearing as b, walk.hops + 1 as hops,
+          walk.cost + e.dist_m * pen + coalesce(greatest(0, {sql_angle('e.bearing', 'walk.b')} - 55) / 125 * 55, 0) as cost from walk join edges e on e.src = walk.node where walk.hops < 95) group by node, before, hops)
+      select 45::bigint as u, node as v, {sql_r6('min(cost)', 'cost')} from walk group by node""",
     "route_cost": f"""with recursive {fx.sql_lattice()},
       c as (select src, dst, dist_m * pen as w from edges),
       walk as (select 45::bigint as node, 0e0 as cost, 0 as hops

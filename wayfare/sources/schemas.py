@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,17 +66,29 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*clean).write.json(path)
 
 
+def dataset_name(name: str) -> str:
+    """8 or 16 from the names that a masking ratio goes by."""
+    short = name.strip().removeprefix("1/")
+    if short not in ("8", "16"):
+        raise ValueError(f"unknown dataset {name!r}")
+    return short
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
 def append_log(spark: SparkSession, path: str, row: DataFrame, stamp: str) -> DataFrame:
-    """Append one run's metrics to a Parquet log and return the log with ``run_order``. Names may repeat."""
-    row.withColumn("stamp", F.lit(stamp)).write.mode("append").parquet(path)
-    from pyspark.sql import Window
-
-    log = spark.read.parquet(path)
-    return log.withColumn("run_order", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("stamp", "milestone")))
+    """Append one run's metrics to a Parquet log and return the log. ``run_order`` is one more than the log's largest,
+    so runs stay in the order of appending; names and stamps may repeat. One writer at a time."""
+    try:
+        last = spark.read.parquet(path).agg(F.max("run_order")).first()[0]  # one row
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        last = None
+    row.withColumn("stamp", F.lit(stamp)).withColumn("run_order", F.lit((last or 0) + 1)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def reference_metrics(df: DataFrame) -> DataFrame:
