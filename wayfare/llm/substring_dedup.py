@@ -2,17 +2,23 @@
 
 Triggers are places whose rolling hash is the least among its neighbours: every run of LENGTH bytes
 holds at least one trigger, chosen by the run's own bytes. Windows of LENGTH bytes that share their
-trigger form a phrase; phrases overlap by LENGTH - 1 bytes, so each window is a suffix start of exactly
-one phrase, equal windows lie at the same place of phrases with equal triggers, and the order of the
-dictionary's suffixes settles everything: the parse is never needed to break a tie.
+trigger form a phrase; phrases overlap by LENGTH - 1 bytes, so no phrase suffix of LENGTH bytes or more is a
+prefix of another place's without being equal to it there: each window is the start of exactly one dictionary
+suffix, and equal windows start suffixes of phrases with equal triggers.
 
 1. parse: per phrase its trigger hash, its content hash, document and place. Triggers seen once are dropped.
-2. dictionary: each distinct phrase with its first place. Every later place is a copy, removed whole.
-3. dictionary suffixes of the phrases whose trigger has several phrases are brought together per trigger
-   and equal ones sorted by corpus order; all but the first are removed. Suffixes are compared by 64-bit
-   hash beside the 64-bit trigger. A trigger that has more than twice a fair share of the phrases is not
-   brought to one task: its suffixes are aggregated by hash over all tasks.
-4. the removed runs meet their texts, document by document.
+2. dictionary: each distinct phrase with its first place in the parse. Every later place is a copy, removed whole.
+3. suffix array of the dictionary, over the phrases whose trigger has several phrases: their suffixes are sorted by
+   their bytes, as far as LENGTH bytes, in groups of whole triggers of bounded size (suffixes that are equal this far
+   have equal triggers, so groups never need one another). Suffixes that stand alone drop out of the sorting as soon
+   as they do.
+4. both are combined into corpus order: in each run of equal suffixes the parse gives every phrase's first place; the
+   run's earliest place stays, all others are removed. What follows a phrase in the parse orders suffixes only beyond
+   LENGTH bytes, which decides nothing here, so the parse is sorted by place and not by its own suffixes.
+5. the removed runs meet their texts, document by document.
+
+A trigger with more than HEAVY phrases is not brought to one task: its suffixes are aggregated by hash (64 bits
+beside the trigger's 64) over all tasks. Joins on phrases are salted by how often the trigger occurs.
 
 Defined results: null text is empty; texts under LENGTH bytes stay whole; repeated rows (same id and
 text) do not count as earlier than one another and get the same result; rows that share an id but not
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut, mix, release, rolling, shuffle_parts, table, texts_of
@@ -37,6 +43,8 @@ LENGTH, TRIGGER = 100, 32
 _SPAN = LENGTH - TRIGGER + 1
 #: Bytes hashed at a time; longer texts are cut into slices that overlap by LENGTH - 1.
 SLICE = 1 << 21
+#: Phrases of one trigger that one task sorts at most.
+HEAVY = 1000
 #: Windows in one row at most. place = start << 7 | windows.
 _MOST = 127
 
@@ -120,8 +128,8 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From texts with their ambiguous phrases: the phrase's bytes, or for heavy triggers every suffix's hash."""
-    names = ["a", "id", "h", "place", "bytes", "w"]
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+    names = ["a", "id", "h", "place", "bytes", "w", "salts"]
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int32()]
     for b in batches:
         rows: list[list] = [[] for _ in names]
         for i, h, text, todo in zip(*(b.column(c).to_pylist() for c in range(4))):
@@ -131,10 +139,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if p["heavy"]:
                     w = mix(rolling(np.frombuffer(part, np.uint8), LENGTH)).view(np.int64)
                     for k in range(n):
-                        for col, x in zip(rows, (p["a"], i, h, (start + k) << 7 | 1, None, int(w[k]))):
+                        for col, x in zip(rows, (p["a"], i, h, (start + k) << 7 | 1, None, int(w[k]), p["salts"])):
                             col.append(x)
                 else:
-                    for col, x in zip(rows, (p["a"], i, h, p["place"], part, None)):
+                    for col, x in zip(rows, (p["a"], i, h, p["place"], part, None, p["salts"])):
                         col.append(x)
             if len(rows[0]) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names)
@@ -142,20 +150,44 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names)
 
 
-def _later_suffixes(a: np.ndarray, ids: np.ndarray, h: np.ndarray, place: np.ndarray, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order the suffixes of a set of phrases; id, text hash and start of every one that equals an earlier one."""
+def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number that sorts like them."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)[at]).view(">u8").ravel().astype(np.uint64)
+
+
+def equal_suffixes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of the suffix array of data over the places ``at`` where LENGTH bytes or more are shared: indices into
+    ``at`` in the suffixes' order, and the number of the run of equal ones that each belongs to.
+
+    Sorting goes on eight bytes at a time, within runs that are equal so far; suffixes alone in their run drop out."""
+    live, run = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for off in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        if not len(live):
+            break
+        w = _word(data, at[live] + off)
+        order = np.lexsort((w, run)) if off else np.argsort(w, kind="stable")
+        live, run, w = live[order], run[order], w[order]
+        same = np.zeros(len(live) + 1, bool)
+        same[1:-1] = (run[1:] == run[:-1]) & (w[1:] == w[:-1])
+        tied = same[1:] | same[:-1]
+        live, run = live[tied], np.cumsum(~same[:-1])[tied]
+    return live, run
+
+
+def _later_suffixes(ids: np.ndarray, h: np.ndarray, place: np.ndarray, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a set of phrases with their first places: id, text hash and start of every suffix that equals an earlier one."""
     data, offsets = texts_of(parts)
     n = place & 127
     who = np.repeat(np.arange(len(n)), n)
     k = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-    w = rolling(data[offsets[0] : offsets[-1]], LENGTH)[(offsets[:-1] - offsets[0])[who] + k]
-    at = (place[who] >> 7) + k
-    order = np.lexsort((at, h[who], ids[who], w, a[who]))
-    w, t, i, h, at = w[order], a[who][order], ids[who][order], h[who][order], at[order]
-    same = (w[1:] == w[:-1]) & (t[1:] == t[:-1])
-    # the first of equal suffixes leads its run; a repeat of the same place is not later than itself
-    run = np.concatenate([[0], np.cumsum(~same)])
-    lead = np.concatenate([[0], np.flatnonzero(~same) + 1])[run]
+    live, run = equal_suffixes(data, offsets[:-1][who] + k)
+    who, at = who[live], (place[who[live]] >> 7) + k[live]
+    i, h = ids[who], h[who]
+    order = np.lexsort((at, h, i, run))  # corpus order within a run
+    i, h, at, run = i[order], h[order], at[order], run[order]
+    first = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+    # a repeat of the same place is not later than itself
     later = (i != i[lead]) | (h != h[lead]) | (at != at[lead])
     return i[later], h[later], at[later]
 
@@ -167,7 +199,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
         part = t.column("bytes").chunk(0) if t.num_rows else pa.array([], pa.binary())
-        i, h, start = _later_suffixes(*(t.column(c).to_numpy() for c in ("a", "id", "h", "place")), part)
+        i, h, start = _later_suffixes(*(t.column(c).to_numpy() for c in ("id", "h", "place")), part)
         order = np.lexsort((start, h, i))
         i, h, start = i[order], h[order], start[order]
         # neighbouring windows become one run
@@ -204,24 +236,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     parts, scratch = shuffle_parts(spark), Scratch(spark)
     keyed = _keyed(docs, id_col, text_col)
-    again = scratch.cut(keyed.select("b").mapInArrow(_triggers, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "triggers")
+    again = scratch.cut(keyed.select("b").mapInArrow(_triggers, "a long").groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a", _salts("n")), "triggers")
     parse = keyed.mapInArrow(_phrases, "a long, f long, id long, h long, place long")
     found = scratch.cut(parse.join(again, "a"), "phrases")
     release(spark)
-    book = scratch.cut(found.groupBy("a", "f").agg(F.min(F.struct("id", "h", "place")).alias("first"), F.count("*").alias("n")), "dictionary")
-    copies = found.join(book.where("n > 1").select("a", "f", "first"), ["a", "f"]).where("struct(id, h, place) > first").select("id", "h", "place")
+    book = scratch.cut(found.groupBy("a", "f", "salts").agg(F.min(F.struct("id", "h", "place")).alias("first"), F.count("*").alias("n")), "dictionary")
+    copies = _but_first(found, book.where("n > 1").select("a", "f", "salts", "first"), "f")
     per = scratch.cut(book.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "ambiguous")
-    total = per.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    heavy = (F.col("m") > max(1000, 2 * total // parts)).alias("heavy")
-    open_ = book.join(per.select("a", heavy), "a").select("first.id", "first.h", "first.place", "a", "heavy")
-    by_doc = open_.groupBy("id", "h").agg(F.collect_list(F.struct("a", "place", "heavy")).alias("todo"))
+    open_ = book.select("a", "first").join(per.select("a", (F.col("m") > HEAVY).alias("heavy"), _salts("m")), "a").select("first.id", "first.h", F.struct("a", "first.place", "heavy", "salts").alias("phrase"))
+    by_doc = open_.groupBy("id", "h").agg(F.collect_list("phrase").alias("todo"))
     full = keyed.where(F.length("b") >= LENGTH).join(by_doc, ["id", "h"])
-    suffixes = scratch.cut(full.select("id", "h", "b", "todo").mapInArrow(_suffixes, "a long, id long, h long, place long, bytes binary, w long"), "suffixes")
+    suffixes = scratch.cut(full.select("id", "h", "b", "todo").mapInArrow(_suffixes, "a long, id long, h long, place long, bytes binary, w long, salts int"), "suffixes")
     release(spark)
     light = suffixes.where("w is null").select("a", "id", "h", "place", "bytes").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_settle, "id long, h long, place long")
-    hot = suffixes.where("w is not null").select("a", "w", "id", "h", "place")
-    lead = scratch.cut(hot.groupBy("a", "w").agg(F.min(F.struct("id", "h", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "heavy")
-    late = hot.join(lead, ["a", "w"]).where("struct(id, h, place) > first").select("id", "h", "place")
+    hot = suffixes.where("w is not null").select("a", "w", "salts", "id", "h", "place")
+    lead = scratch.cut(hot.groupBy("a", "w", "salts").agg(F.min(F.struct("id", "h", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "heavy")
+    late = _but_first(hot, lead, "w")
     gone = copies.unionByName(light).unionByName(late)
     out = cut(gone.groupBy("id", "h").agg(F.collect_set("place").alias("places")), "repeats")
     del again, parse, found, book, copies, per, open_, by_doc, full, suffixes, light, hot, lead, late, gone
@@ -229,6 +259,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out
 
 
+def _salts(count: str) -> Column:
+    """Parts that the rows of a trigger with so many occurrences are split into when they are joined."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(count) / 16)).cast("int").alias("salts")
+
+
+def _but_first(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+    """Places of rows that are not the first of their (a, key). A hot key's rows are dealt over its salts."""
+    r = rows.select("a", key, F.pmod(F.xxhash64("id", "h", "place"), F.col("salts")).cast("int").alias("salt"), "id", "h", "place")
+    f = firsts.select("a", key, "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return r.join(f, ["a", key, "salt"]).where("struct(id, h, place) > first").select("id", "h", "place")
+
+
 def removed_runs(places: list[int] | np.ndarray | None) -> np.ndarray:
     """Maximal removed byte runs [from, to) of one text, sorted."""
     if places is None or len(places) == 0:
