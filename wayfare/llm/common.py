@@ -9,19 +9,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.work import shared_folder
+
 #: Word separators of every contract here: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a laptop) a local folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints/wayfare"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the one that the cluster names in spark.checkpoint.dir."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -71,13 +67,14 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
 
     Random-order contraction: each round every node is folded into the neighbour that comes first in
     a hash order drawn anew, so edges shrink by a constant factor whatever the graph's shape (a sorted
-    chain included). All state is in tables; every round ends in a written table, so a lost executor
-    costs one round. Nodes without edges do not appear. Self loops yield their own component.
+    chain included). Every round ends in written tables, so a lost executor costs one round; labels are followed
+    through the rounds' tables, and written every fourth round. Nodes without edges do not appear. Self loops yield their
+    own component.
     """
     spark = edges.sparkSession
     e = cut(edges.select("u", "v").where("u is not null and v is not null").distinct(), f"{name}-e")
     nodes = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
-    labels = cut(nodes.select("id", F.col("id").alias("at")), f"{name}-l")
+    labels = nodes.select("id", F.col("id").alias("at"))
     live = e.where("u <> v")
     for k in range(max_rounds):
         if live.isEmpty():
@@ -96,9 +93,11 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
             f"{name}-e{k}",
         )
         labels = labels.join(to.select(F.col("u").alias("at"), "m"), "at", "left").select("id", F.coalesce("m", "at").alias("at"))
-        labels = cut(labels, f"{name}-l{k}")
+        if k % 4 == 3:
+            labels = cut(labels, f"{name}-l{k}")
     else:
         raise RuntimeError(f"no convergence after {max_rounds} rounds")
+    labels = cut(labels, f"{name}-l")
     low = labels.groupBy("at").agg(F.min("id").alias("component"))
     return labels.join(low, "at").select("id", "component")
 

@@ -7,11 +7,17 @@ the hash evaluations fill a signature; bands of the signature bring likely pairs
 2. documents with equal sets form one class; only classes go on.
 3. classes in a bucket are tied to the bucket's least member (never to each other), which gives candidate
    clusters; a cluster holds every pair that shares a bucket.
-4. clusters are verified on full sets in tiles: a cluster is dealt to blocks of about BLOCK classes, and
-   every two blocks meet in one bounded task, which counts exact intersections and returns a spanning
-   forest of the true links, at most one row per class. No pair that shares a bucket goes unchecked.
+4. clusters are verified on full sets. In one of more than BLOCK classes each class first meets the busiest hub that
+   it is tied to; true links found so are contracted, and only classes of buckets that still hold several groups
+   stay open. Open clusters, and small ones, are verified in tiles: classes are dealt to blocks of about BLOCK, a large
+   group to blocks of its own, and every two blocks, but those of one group, meet in one bounded task, which counts
+   exact intersections and returns a spanning forest of the true links, at most one row per class. Every pair that
+   shares a bucket is compared, or known to be in one group already.
 5. connected components of the true links.
 
+A cluster of m classes that are near copies of each other costs about m comparisons; one of m classes of which few are
+linked costs m * m / 2, in tiles.
+
 Bands are as wide as the least similarity allows (``band_width``): a pair at that similarity misses all of
 them with probability MISS at most. PERMUTATIONS 80 give 160 values; at 0.85 bands of 6 miss with 5e-6,
 at 0.8 bands of 5 with 3e-6.
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _TABLE, components, cut, mix, release, table, texts_of
@@ -233,6 +239,68 @@ def _forest(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
+def _in_tiles(tiles: DataFrame, percent: int) -> DataFrame:
+    """cid, cluster, s, tile -> a spanning forest (u, v) of the true links between classes of one tile and cluster."""
+
+    def verify(d: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        for _, c in d.groupby("cluster", sort=False):
+            if len(c) > 1:
+                cid = c["cid"].to_numpy()
+                root = _forest(linked([np.frombuffer(x, np.uint64) for x in c["s"]], percent))
+                tied = np.flatnonzero(root != np.arange(len(cid)))
+                u.append(cid[root[tied]])
+                v.append(cid[tied])
+        return pd.DataFrame({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
+
+    return tiles.groupBy("tile").applyInPandas(verify, "u long, v long")
+
+
+def _large(sets: DataFrame, near: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """True links (u, v) among the classes of large clusters: sets(cid, s), near(u hub, v), members(cid, key)."""
+    near = near.join(classes.select(F.col("cid").alias("v")), "v", "left_semi")
+    busy = cut(near.groupBy("u").agg(F.count("*").alias("n")), "busy")
+    own = cut(near.join(busy, "u").groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")), "own")
+    # a hub's followers come in parts, each with a copy of the hub's set
+    parts = cut(own.groupBy("u").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts")), "parts")
+    follow = own.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.col("v").alias("cid"))
+    lead = parts.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("u").alias("cid"))
+
+    def star(d: pd.DataFrame) -> pd.DataFrame:
+        hub = int(d["u"].iloc[0])
+        cid, s = d["cid"].to_numpy(), [np.frombuffer(x, np.uint64) for x in d["s"]]
+        k = int(np.flatnonzero(cid == hub)[0])
+        same = np.array([len(np.intersect1d(x, s[k], assume_unique=True)) for x in s])
+        either = np.array([len(x) for x in s]) + len(s[k]) - same
+        return pd.DataFrame({"u": hub, "v": cid[(100 * same >= percent * either) & (cid != hub)]})
+
+    first = cut(follow.unionByName(lead).join(sets, "cid").groupBy("u", "part").applyInPandas(star, "u long, v long"), "stars")
+    tied = components(first, "stars").select(F.col("id").alias("cid"), F.col("component").alias("grp"))
+    group = cut(classes.join(tied, "cid", "left").select("cid", F.coalesce("grp", "cid").alias("grp")), "groups")
+    keyed = cut(members.join(group, "cid").select("key", "cid", "grp"), "keyed")
+    open_keys = cut(keyed.groupBy("key").agg(F.min("grp").alias("a"), F.max("grp").alias("b"), F.min("cid").alias("u")).where("a < b").select("key", "u"), "open")
+    if open_keys.isEmpty():
+        return first
+    still = keyed.join(open_keys, "key").select("u", F.col("cid").alias("v"))
+    cluster = components(still, "open").select(F.col("id").alias("cid"), F.col("component").alias("cluster"))
+    rows = cut(cluster.join(group, "cid"), "open-rows")
+    # blocks: a group of at least BLOCK has its own, [at, at + n); all smaller groups of a cluster share some
+    size = rows.groupBy("cluster", "grp").agg(F.count("*").alias("n"))
+    own_blocks = F.when(F.col("n") >= BLOCK, F.col("grp")).alias("grp")
+    size = size.groupBy("cluster", own_blocks).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("n"))
+    w = Window.partitionBy("cluster")
+    size = cut(size.select("cluster", F.col("grp").alias("pure"), "n", F.coalesce(F.sum("n").over(w.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("at"), F.sum("n").over(w).cast("int").alias("all")), "blocks")
+    c, z = rows.alias("c"), size.alias("z")
+    large = c.join(z, (F.col("c.cluster") == F.col("z.cluster")) & (F.col("c.grp") == F.col("z.pure"))).select("c.cid", "c.cluster", "pure", "n", "at", "all")
+    rest = rows.join(large.select("cid"), "cid", "left_anti").alias("c").join(size.where("pure is null").alias("z"), "cluster").select("cid", "cluster", "pure", "n", "at", "all")
+    mine = (F.col("at") + F.pmod(F.xxhash64("cid"), F.col("n"))).cast("int")
+    placed = large.unionByName(rest).withColumn("mine", mine)
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: F.col("pure").isNull() | (x < F.col("at")) | (x >= F.col("at") + F.col("n")))
+    met = placed.select("cid", "cluster", "mine", F.explode(others).alias("other"))
+    tile = F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile")
+    return first.unionByName(_in_tiles(met.select("cid", "cluster", tile).join(sets, "cid"), percent))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """id, th, n_shingles, component_id per row of docs. Links: shingles of ``width`` words, at least
     ``percent`` per cent of the union shared."""
@@ -241,14 +309,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     classes = cut(sig.where("n > 0").groupBy("cid", "fp", "n").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("id").alias("low"), F.first("bands").alias("bands")), "classes")
     members = classes.select("cid", F.explode("bands").alias("key"))
     hubs = cut(members.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("far")).where("hub < far").select("key", "hub"), "hubs")
-    near = members.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct()
+    near = cut(members.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct(), "near")
     clusters = cut(components(near, "clusters").withColumnRenamed("id", "cid").withColumnRenamed("component", "cluster"), "clusters")
     release(spark)
-    sizes = cut(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    todo = clusters.join(sizes, "cluster").join(classes.select("cid", "rep"), "cid").select("cid", "cluster", "blocks", "rep.id", "rep.th")
+    sizes = cut(clusters.groupBy("cluster").agg((F.count("*") > BLOCK).alias("large")), "sizes")
+    todo = cut(clusters.join(sizes, "cluster").join(classes.select("cid", "rep"), "cid").select("cid", "cluster", "large", "rep.id", "rep.th"), "todo")
     t = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id0"), F.xxhash64(t).alias("th0"), t.cast("binary").alias("b"))
-    with_text = texts.join(todo, texts["id0"].eqNullSafe(todo["id"]) & (texts["th0"] == todo["th"])).select("cid", "cluster", "blocks", "b")
+    # the texts always meet by a sorted merge: the other side grows with the input, so it is never broadcast
+    with_text = texts.join(todo.hint("merge"), texts["id0"].eqNullSafe(todo["id"]) & (texts["th0"] == todo["th"])).select("cid", "cluster", "large", "b")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,34 +325,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 s = pa.array([found[i].tobytes() if i in found else b"" for i in range(at, at + part.num_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], s], ["cid", "cluster", "blocks", "s"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], s], ["cid", "cluster", "large", "s"])
 
-    full = cut(with_text.mapInArrow(sets, "cid long, cluster long, blocks int, s binary"), "sets")
+    full = cut(with_text.mapInArrow(sets, "cid long, cluster long, large boolean, s binary"), "sets")
+    if full.count() > todo.count():  # repeated rows: one set of each class
+        full = cut(full.dropDuplicates(["cid"]), "sets")
     release(spark)
-    n_small = full.where("blocks = 1").count()
-    small = F.pmod(F.xxhash64("cluster"), F.lit(max(1, n_small // 256)))
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    tiles = full.select(
-        "cid", "cluster", "s", block.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks"
-    ).select(
-        "cid", "cluster", "s",
-        F.when(F.col("blocks") == 1, small).otherwise(F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other"))).alias("tile"),
-        (F.col("blocks") == 1).alias("is_small"),
-    )
-
-    def verify(d: pd.DataFrame) -> pd.DataFrame:
-        u, v = [], []
-        for _, c in d.groupby("cluster", sort=False):
-            c = c.drop_duplicates("cid")
-            if len(c) > 1:
-                cid = c["cid"].to_numpy()
-                root = _forest(linked([np.frombuffer(x, np.uint64) for x in c["s"]], percent))
-                tied = np.flatnonzero(root != np.arange(len(cid)))
-                u.append(cid[root[tied]])
-                v.append(cid[tied])
-        return pd.DataFrame({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
-
-    links = tiles.groupBy("tile", "is_small").applyInPandas(verify, "u long, v long")
+    small = full.where("not large")
+    n_small = small.count()
+    links = _in_tiles(small.select("cid", "cluster", "s", F.pmod(F.xxhash64("cluster"), F.lit(max(1, n_small // 256))).alias("tile")), percent)
+    if not sizes.where("large").isEmpty():
+        links = links.unionByName(_large(full.where("large").select("cid", "s"), near, todo.where("large").select("cid"), members, percent))
     label = components(links, "links").withColumnRenamed("id", "cid")
     tied = classes.select("cid", "low").join(label, "cid")
     tied = cut(tied, "tied")
