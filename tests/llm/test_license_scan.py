@@ -1,6 +1,7 @@
 """Licence scan: planted notices are found where they stand, general talk and prose are left alone."""
 
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,21 @@ def test_notice_anywhere_in_long_texts_has_its_span(model):
         assert [x[:3] for x in L.scan_text(text, model)] == [(at, at + len(notice), "apache")]
 
 
+@pytest.mark.parametrize("mark", ["", "// ", "# ", " * "])
+def test_wrapped_notices_are_found_whole(model, mark):
+    for family, notices in L.TEXTS.items():
+        for t in (x for x in notices if len(x.split()) > 4):
+            text = "/*\n" + "\n".join(mark + x for x in textwrap.wrap(t, 60)) + "\n*/\n\n" + PROSE[0]
+            a, b = text.index(t[:12]), text.index("\n*/")
+            assert [x[:3] for x in L.scan_text(text, model)] == [(a, b, family)], (family, t)
+
+
+def test_two_families_in_one_paragraph(model):
+    text = "This is licensed under the MIT license or the Apache License,\nVersion 2.0, at your option."
+    assert [(text[a:b], f) for a, b, f, _ in L.scan_text(text, model)] == [("licensed under the MIT license", "mit"), ("the Apache License,\nVersion 2.0", "apache")]
+    assert [x[2] for x in L.scan_text("MIT License\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software", model)] == ["mit", "mit"]
+
+
 def test_repeated_and_mixed_notices(model):
     lines = ["Released under the MIT License.", "plain", "Licensed under CC BY-NC 4.0."] * 50
     got = L.scan_text("\n".join(lines), model)
@@ -54,7 +70,7 @@ def test_scan_defined_results(spark):
     assert L.scan(none, L.train(none)).count() == 0
 
 
-def test_query_equals_brute_force_over_lines(spark, tmp_path):
+def test_query_finds_planted_notices_and_nothing_else(spark, tmp_path):
     rows = [(k, "\n".join([PROSE[k], *(["This work is licensed under the GNU General Public License, version 3."] if k % 3 == 0 else [])])) for k in range(30)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in L.op6_license_scan(spark, f"file://{tmp_path}").collect()}
