@@ -119,6 +119,23 @@ def test_near_dedup_of_one_large_group(spark):
     assert sorted(map(tuple, got)) == brute_groups(list(enumerate(texts)), 3, 85)
 
 
+def test_near_dedup_of_large_open_clusters(spark):
+    """Half-similar texts share buckets without being linked; two large groups and a few pairs stand among them."""
+    rng = np.random.default_rng(6)
+    common = [f"c{k}" for k in range(70)]
+    texts = [" ".join(common + [f"x{i}y{k}" for k in range(50)]) for i in range(150)]
+    for g in range(2):
+        base = common + [f"g{g}y{k}" for k in range(50)]
+        for i in range(180):
+            w = list(base)
+            w[int(rng.integers(0, 120))] = f"e{g}i{i}"
+            texts.append(" ".join(w))
+    texts += [t + " tail" for t in texts[:5]]
+    docs = documents(spark, [texts[k] for k in rng.permutation(len(texts))])
+    got = near_dedup.groups(docs, width=3, percent=85).select("id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_groups([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
+
+
 def test_near_dedup_repeated_rows_and_empty(spark):
     d = documents(spark, ["one two three four five six", "other words here"])
     twice = d.union(d)
@@ -196,6 +213,19 @@ def test_remove_repeats_keeps_rows_and_columns(spark, texts):
     assert substring_dedup.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_equal_suffixes_are_the_shared_part_of_the_suffix_array():
+    rng = np.random.default_rng(2)
+    block = rng.integers(97, 100, 400, dtype=np.uint8)
+    data = np.concatenate([block[:260], rng.integers(97, 100, 150, dtype=np.uint8), block[40:], block[:130], np.zeros(100, np.uint8)])
+    at = np.arange(len(data) - 100)
+    live, run = substring_dedup.equal_suffixes(data, at)
+    strings = {p: data[p : p + 100].tobytes() for p in at}
+    want = sorted(p for p in at if sum(x == strings[p] for x in strings.values()) > 1)
+    assert sorted(live.tolist()) == want and len(want) > 200
+    assert [strings[p] for p in live] == sorted(strings[p] for p in want)
+    assert all((strings[a] == strings[b]) == (x == y) for a, b, x, y in zip(live, live[1:], run, run[1:]))
+
+
 # packing
 
 
@@ -241,6 +271,28 @@ def test_sum_of_squares_is_near_the_bound():
         assert len(fill) <= 1.03 * x.sum() / 2048 + 1
 
 
+def test_sum_of_squares_follows_its_rule():
+    """A plain version: of the open bins that fit, the one whose choice makes the sum of squares least; else a new bin."""
+    rng = np.random.default_rng(7)
+    for top, cap in ((90, 100), (40, 100), (100, 100)):
+        x = rng.integers(1, top + 1, 400)
+        gaps, bins = [], {}
+        for i in np.argsort(-x, kind="stable"):
+            def squares(b):
+                g = [v - int(x[i]) if k == b else v for k, v in enumerate(gaps)]
+                return sum(c * c for v, c in zip(*np.unique(g, return_counts=True)) if v > 0)
+
+            fits = {v: k for k, v in reversed(list(enumerate(gaps))) if v >= x[i]}
+            if fits:
+                v = min(fits, key=lambda v: (squares(fits[v]), v))
+                gaps[fits[v]] -= int(x[i])
+            else:
+                gaps.append(cap - int(x[i]))
+            bins[i] = sorted(gaps)
+        fill = packing.sum_of_squares(x, cap)[2]
+        assert sorted(cap - fill) == sorted(gaps)
+
+
 # secrets
 
 
@@ -279,6 +331,27 @@ def test_secret_scan(spark):
     assert secret_scan.redact(docs.union(docs)).count() == 2 * len(texts)
 
 
+def test_secrets_of_repositories_and_owners_and_one_value_in_every_row(spark):
+    shared, mine = "Zx9aB3dE5gH7jK9mN1pQ3sT5v", "Qw3eR5tY7uI9oP1aS3dF5gH7j"
+    rows = [(k, f"copy {shared} here {mine if k % 4 == 0 else ''}", "en", f"acme/r{k % 8}" if k % 4 == 0 else f"own{k % 5}/r", 1) for k in range(4000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    values = {(r.n_repos, r.n_owners, r.live) for r in secret_scan.ownership(secret_scan.clear_spans(secret_scan.candidates(docs))).collect()}
+    assert values == {(7, 6, False), (2, 1, True)}
+    got = secret_scan.digest(secret_scan.scan(docs)).groupBy("spans", "n_live").count().collect()
+    assert {(r.n_live, r["count"]) for r in got} == {(0, 3000), (1, 1000)}
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    one = 'token = "abcdef1234" '
+    docs = documents(spark, [one * 200_000, "x" * 70_000 + " password=abcdefg " + "y" * 65_530 + " secret:abcdefgh"])
+    rows = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
+    joined = ",".join(f"assign:{21 * k}:{21 * k + 19}" for k in range(200_000))
+    assert rows[0].n_assign == 200_000 and rows[0].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert masked[0] == '[SECRET]" ' * 200_000
+    assert masked[1] == "x" * 70_000 + " [SECRET] " + "y" * 65_530 + " [SECRET]"
+
+
 # quality rules
 
 
@@ -318,7 +391,7 @@ def test_language_id(spark):
     rows += [(n, None, "en", "s", 0), (n + 1, "123 -- ?", "de", "s", 0), (n + 2, "the and " * 400_000, None, "s", 0), (n + 3, "the of and", "en", "s", 0)]
     docs = with_clashes(spark.createDataFrame(rows, SCHEMA))
     model = language_id.train(docs)
-    assert {p[0] for p in model["pairs"]} == {"", "germanic", "romance"} and model["groups"]["xx"] == ["xx"]
+    assert {p[0] for p in model["pairs"]} == {"", "?", "germanic", "romance"} and model["groups"]["xx"] == ["xx"]
     got = {r.doc_id: r for r in language_id.classify(docs, model).withColumn("held", language_id.held_out()).collect()}
     assert all(got[i].held == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
     assert np.mean([got[i].lang_pred == r[2] for i, r in enumerate(rows[:n]) if got[i].held]) > 0.97
@@ -334,6 +407,47 @@ def test_language_id_on_held_out_documents(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def plain_judge(text, model):
+    """One n-gram at a time."""
+    raw = b" " + b" ".join(re.sub(rb"[^A-Za-z\x80-\xff]", b" ", text.lower().encode()).split()) + b" "
+    total, sums = 0, np.zeros(len(model["b"]))
+    for n in (1, 2, 3, 4):
+        for p in range(len(raw) - n + 1):
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for c in raw[p : p + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+            sums += model["w"][(h * 0x85EBCA6B & 0xFFFFFFFF) >> 19]
+            total += 1
+    margin = dict(zip(model["pairs"], sums / max(total, 1) + model["b"]))
+    chance = {k: 1 / (1 + np.exp(-(a * margin[k] + b))) for k, (a, b) in zip(model["pairs"], model["links"])}
+
+    def duel(level, names):
+        votes = {x: [0, 1.0] for x in names}
+        for (lv, p, q), m in margin.items():
+            if lv == level:
+                c = chance[lv, p, q]
+                votes[p][0] += m >= 0
+                votes[q][0] += m < 0
+                votes[p][1], votes[q][1] = min(votes[p][1], c), min(votes[q][1], 1 - c)
+        return max(names, key=lambda x: votes[x][0]), votes
+
+    family, v = duel("", list(model["groups"]))
+    lang, w = duel(family, model["groups"][family])
+    real = chance["?", family, "?"]
+    return lang, v[family][1] * w[lang][1] * real, real
+
+
+def test_language_id_equals_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs)
+    rows = [r for r in docs.collect() if len(r.text or "") < 1500][:60]
+    got = {r.doc_id: r for r in language_id.classify(docs, model, known="known").collect()}
+    for r in rows:
+        lang, score, real = plain_judge(r.text, model)
+        assert got[r.doc_id].lang_pred == lang
+        assert abs(got[r.doc_id].score - score) < 1e-6 and abs(got[r.doc_id].known - real) < 1e-6
+
+
 # archives
 
 
@@ -362,6 +476,22 @@ def test_warc_rejects_cut_off_archives():
         list(warc._parse(iter([b"WARC/1.1", b"WARC-Type: response", b"Content-Length: 10", b"", b"abc"])))
 
 
+def test_warc_refuses_a_torn_plain_archive(spark, tmp_path):
+    page = spark.createDataFrame([(k, f"http://a/{k}", "x" * 5000) for k in range(40)], "page_id long, url string, html string")
+    warc.write(page, f"file://{tmp_path}/z")
+    lines = spark.read.option("lineSep", "\r\n").text(f"file://{tmp_path}/z")
+    lines.coalesce(1).write.option("lineSep", "\r\n").option("compression", "none").text(f"file://{tmp_path}/plain")
+    assert warc.read(spark, f"file://{tmp_path}/plain").count() == 120
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        with pytest.raises(Exception, match="file split"):
+            warc.read(spark, f"file://{tmp_path}/plain").count()
+        assert warc.read(spark, f"file://{tmp_path}/z").count() == 120
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 # vectors
 
 
@@ -390,6 +520,25 @@ def test_vector_search_recall_and_edge_cases(spark):
     assert vector_search.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_vector_search_ids_of_several_vectors_and_query_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((600, 8))
+    ids = [i % 500 for i in range(600)]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in zip(ids, v)] * 2, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector_search, "QUERY_ROWS", 2)
+    got = {}
+    for r in vector_search.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 500, 100):
+        d = {}
+        for i, r in zip(ids, v):
+            if i != q:
+                d[i] = min(d.get(i, np.inf), *(np.sqrt(((r - v[k]) ** 2).sum()) for k in range(600) if ids[k] == q))
+        want = sorted((s, i) for i, s in d.items())[:10]
+        mine = sorted(got[q])
+        assert [r for r, *_ in mine] == list(range(1, 11)) and np.allclose([s for *_, s in mine], [s for s, _ in want])
+
+
 def test_vector_search_recall_on_embeddings(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = e.select("vec_id", "embedding").collect()
