@@ -2,8 +2,10 @@
 of an archive by joining its records through their concurrent-to identifiers, one nested row per capture.
 
 Archives are written by Spark's own text writer with CRLF between records (so task commits, retries and
-any Hadoop store work as for every table) and gzip. They are read back as a stream of CRLF pieces, and
-records are cut by Content-Length alone, so a payload may hold anything, record headers included.
+any Hadoop store work as for every table) and gzip, one stream per file, not one member per record. They are read back
+as a stream of CRLF pieces, and records are cut by Content-Length alone, so a payload may hold anything, record
+headers included. An archive must reach one task whole: gzip ones always do; reading fails with a clear error if a
+plain one is larger than a file split.
 
 Payloads are text, stored as UTF-8; null counts as empty. Of records with equal payloads of at least
 ``least_revisit`` bytes the one with the largest id is the response, the others are revisits without
@@ -45,7 +47,8 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_c
     p = p.withColumn("digest", F.sha1(F.col("_body").cast("binary"))).withColumn("bytes", F.octet_length("_body").cast("long"))
     p = p.withColumn("rid", _uuid(F.lit("response"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.coalesce("_url", F.lit("null")), F.col("digest")))
     narrow = p.where(F.col("bytes") >= least_revisit).select("_id", "digest", "bytes", "rid")
-    winner = narrow.groupBy("digest", "bytes").agg(F.max(F.struct("_id", "rid")).alias("w"), F.min("_id").alias("low")).where("low < w._id")
+    # written, so that the join has two plain sides and a very common payload is split by adaptive skew handling
+    winner = cut(narrow.groupBy("digest", "bytes").agg(F.max(F.struct("_id", "rid")).alias("w"), F.min("_id").alias("low")).where("low < w._id"), "winners")
     revisit = narrow.join(winner, ["digest", "bytes"]).where("_id < w._id").select("rid", F.col("w.rid").alias("refers_id")).distinct()
     return p.join(revisit, "rid", "left")
 
@@ -134,6 +137,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield flush()
 
     text = spark.read.option("lineSep", "\r\n").text(path)
+    torn = "an archive without compression is larger than a file split; compress it or raise spark.sql.files.maxPartitionBytes"
+    text = text.where(F.assert_true(F.col("_metadata.file_block_length") == F.col("_metadata.file_size"), torn).isNull())
     return text.select(F.col("value").cast("binary")).mapInArrow(run, RECORD)
 
 
@@ -172,7 +177,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "op7_warc": """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d,
-             md5('response|' || coalesce(page_id::varchar, 'null') || '|' || coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'null') || '|' || sha1(coalesce(html, ''))) as h from pages),
+             md5('response|' || coalesce(page_id::varchar, 'null') || '|' || coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'null') || '|' || sha1(coalesce(html, ''))) as h from (select distinct page_id, url, html from pages)),
 w as (select d, max(page_id) as w from p where n >= 1000 group by d)
 select page_id, n::bigint as payload_bytes, d as payload_digest, case when page_id < w then 'revisit' else 'response' end as record_type,
        case when page_id < w then w end as refers_to,
