@@ -59,7 +59,7 @@ def test_search_and_relaxation_agree(spark, lattice):
     a = {(r.u, r.v): (round(r.cost, 6), round(r.dist_m, 6)) for r in routing.routes(pairs, inner, small, most=None).collect()}
     b = {(r.u, r.v): (round(r.cost, 6), round(r.dist_m, 6)) for r in routing.routes(pairs, inner, small, broadcast_edges=0).collect()}
     assert a == b and set(a) == {(0, 209), (5, 205), (82, 82)} and a[82, 82] == (0, 0)
-    for most in (1, 3, 20, 60):
+    for most in (3, 60):
         c, d = ({(r.u, r.v) for r in routing.routes(pairs, inner, small, most=most, broadcast_edges=k).collect()} for k in (10**6, 0))
         assert c == d and c < set(a)
 

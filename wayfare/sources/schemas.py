@@ -88,7 +88,7 @@ def append_log(spark: SparkSession, path: str, row: DataFrame, stamp: str) -> Da
             raise
         last = None
     row.withColumn("stamp", F.lit(stamp)).withColumn("run_order", F.lit((last or 0) + 1)).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).orderBy("run_order")
 
 
 def reference_metrics(df: DataFrame) -> DataFrame:
