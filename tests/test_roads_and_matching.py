@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.operators import recovery, routing, spatial
+from wayfare.operators import decode, recovery, routing, spatial
 from wayfare.plans import fixtures as fx
 from wayfare.sources import osm
 
@@ -81,6 +81,36 @@ def test_viterbi_equals_enumeration(spark):
     assert len(got) == 20
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 256])
+def test_viterbi_in_chunks(spark, chunk):
+    """Sequences of any length, with a changing number of states, cut in chunks: the plain decoder's states."""
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for t in range(9):
+        n = int(rng.integers(1, 50))
+        sizes = rng.integers(1, 5, n)
+        emit = [rng.random(k) for k in sizes]
+        trans = [None] + [rng.random((sizes[k], sizes[k - 1])) for k in range(1, n)]
+        rows += [(t, k, emit[k].tolist(), trans[k].tolist() if k else None) for k in range(n)]
+        cost, back = emit[0], []
+        for k in range(1, n):
+            each = cost[None, :] + emit[k][:, None] + trans[k]
+            back.append(each.argmin(1))
+            cost = each.min(1)
+        way = [int(cost.argmin())]
+        for b in reversed(back):
+            way.append(int(b[way[-1]]))
+        want[t] = (float(cost.min()), way[::-1])
+    df = spark.createDataFrame(rows, "traj_id long, o int, emit array<double>, trans array<array<double>>").repartition(3)
+    states, costs = decode.states(df, chunk=chunk)
+    got = {}
+    for r in states.collect():
+        got.setdefault(r.traj_id, {})[r.o] = r.state
+    assert {t: [x[k] for k in range(len(x))] for t, x in got.items()} == {t: w for t, (_, w) in want.items()}
+    assert {r.traj_id: r.cost for r in costs.collect()} == {t: pytest.approx(c) for t, (c, _) in want.items()}
+    assert decode.states(df.limit(0), chunk=chunk)[0].count() == 0
+
+
 def test_hmm_recovery_follows_the_road(spark, lattice):
     nodes, edges, _ = lattice
     # along a street, then around a corner, observed at every eighth point

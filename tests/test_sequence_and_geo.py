@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions import buckets, geo
-from wayfare.operators import features, metrics, sequence as seq, study
+from wayfare.operators import features, folds, metrics, sequence as seq, study
 from wayfare.sources import schemas
 
 P = "traj_id long, idx long, ts long, lon double, lat double, known boolean"
@@ -86,15 +86,60 @@ def test_turn_limiter_sees_earlier_moves(spark):
             if turn(want[i - 1], want[i], want[i + 1]) > 40:
                 want[i] = tuple((p + q) / 2 for p, q in zip(want[i - 1], want[i + 1]))
     p = points(spark, [(k, *x) for k, x in enumerate(line)], [(0, 1.0, 1.0), (1, 2.0, 2.0)])
-    got = seq.lines_of(p).select("traj_id", seq.limit_turn(F.col("line"), 40.0, 3).alias("l"), seq.max_turn(F.col("line")).alias("m")).orderBy("traj_id").collect()
-    assert np.allclose([tuple(x) for x in got[0].l], want) and len(got[1].l) == 2 and got[1].m == 0
-    assert got[0].m == pytest.approx(max(turn(*line[i : i + 3]) for i in range(7)))
+    got = folds.limit_turns(p, 40.0, 3).orderBy("traj_id", "idx").collect()
+    assert np.allclose([(r.lon, r.lat) for r in got[:9]], want) and [(r.lon, r.lat) for r in got[9:]] == [(1.0, 1.0), (2.0, 2.0)]
+    m = seq.lines_of(p).select("traj_id", seq.max_turn(F.col("line")).alias("m")).orderBy("traj_id").collect()
+    assert m[0].m == pytest.approx(max(turn(*line[i : i + 3]) for i in range(7))) and m[1].m == 0
+    assert folds.limit_turns(p, 179.0).exceptAll(p).isEmpty()  # such a cap moves nothing
+    straight = points(spark, [(k, float(k), 0.0) for k in range(5)])
+    assert folds.limit_turns(straight, -5.0).exceptAll(straight).isEmpty()  # a negative cap is zero
+
+
+def test_folds_across_batches(spark):
+    """Lines longer than a batch, several in one stream, nulls among them: as one plain walk over each line."""
+    rng = np.random.default_rng(4)
+    rows, want, kept = [], {}, {}
+    for t in range(7):
+        n = int(rng.integers(1, 60))
+        line = [(float(k) * 0.01 + rng.random() * 0.02, float(rng.random()) * 0.02) for k in range(n)]
+        for k in range(n):
+            if rng.random() < 0.3 and k and line[k - 1][0] is not None:
+                line[k] = (line[k - 1][0] + 3e-13 * float(rng.random() < 0.5), line[k - 1][1])
+            if rng.random() < 0.04:
+                line[k] = (None, None)
+        rows += [(t, k, *p) for k, p in enumerate(line)]
+        kept[t], last = [0], 0
+        for k in range(1, n):
+            near = None not in (*line[k], *line[last]) and math.hypot(line[k][0] - line[last][0], line[k][1] - line[last][1]) <= 1e-12
+            if not near:
+                kept[t].append(k)
+                last = k
+        out = list(line)
+        for _ in range(2):
+            for i in range(1, n - 1):
+                three = out[i - 1 : i + 2]
+                if not any(None in p for p in three) and turn(*three) > 30:
+                    out[i] = tuple((u + v) / 2 for u, v in zip(three[0], three[2]))
+        want[t] = out
+    df = spark.createDataFrame(rows, "traj_id long, idx long, lon double, lat double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r.traj_id, r.idx): (r.lon, r.lat) for r in folds.limit_turns(df, 30.0, 2).collect()}
+        left = {}
+        for r in folds.dedupe(df).collect():
+            left.setdefault(r.traj_id, []).append(r.idx)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {t: sorted(v) for t, v in left.items()} == kept
+    assert set(got) == {(t, k) for t, _, _, _ in [(r[0], 0, 0, 0) for r in rows] for k in range(len(want[t]))}
+    for (t, k), p in got.items():
+        assert p == (None, None) if None in want[t][k] else p == pytest.approx(want[t][k], abs=1e-12)
+    assert folds.limit_turns(df.limit(0), 30.0).count() == folds.dedupe(df.limit(0)).count() == 0
 
 
 def test_dedupe_compares_with_last_kept(spark):
     p = points(spark, [(0, 0.0, 0.0), (1, 6e-13, 0.0), (2, 1.2e-12, 0.0), (3, 1.2e-12, 0.0)])
-    got = seq.lines_of(p).select(seq.dedupe_line(F.col("line")).alias("l")).first().l
-    assert [x.lon for x in got] == [0.0, 1.2e-12]
+    assert [x.lon for x in folds.dedupe(p).orderBy("idx").collect()] == [0.0, 1.2e-12]
 
 
 def test_resample_degenerate_lines(spark):

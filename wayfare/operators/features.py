@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m
+from ..functions.geo import DEGREE_M, haversine_m
 from . import sequence as seq
 
 # The cleaning limits.
@@ -60,7 +60,8 @@ def trip_features(points: DataFrame, trips: DataFrame, tz_offset_s: int = 0, wee
     )
     mid = (F.col("_y0") + F.col("_y1")) / 2
     a = a.withColumn("direct_m", haversine_m("start_lon", "start_lat", "end_lon", "end_lat"))
-    a = a.withColumn("bbox_w", haversine_m(F.col("_x0"), mid, F.col("_x1"), mid)).withColumn("bbox_h", haversine_m("_x0", "_y0", "_x0", "_y1"))
+    wide = DEGREE_M * F.greatest(F.lit(0.2), F.cos(F.radians(mid)))
+    a = a.withColumn("bbox_w", (F.col("_x1") - F.col("_x0")) * wide).withColumn("bbox_h", (F.col("_y1") - F.col("_y0")) * DEGREE_M)
     a = a.withColumn("bbox_diag", F.hypot("bbox_w", "bbox_h")).withColumn("bbox_area", F.col("bbox_w") * F.col("bbox_h") / 1_000_000)
     p = F.coalesce("path_m", F.lit(0.0))
     a = a.withColumn("detour_ratio", p / F.greatest(F.col("direct_m"), F.lit(1e-6))).withColumn("log_path", F.log1p(p))

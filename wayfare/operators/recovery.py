@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import angle_diff_deg, bearing_deg, haversine_m
 from ..sources.work import settled
-from . import routing, sequence as seq, spatial
+from . import decode, folds, routing, sequence as seq, spatial
 
 KEY = ("traj_id", "start_idx")
 
@@ -166,24 +166,13 @@ def transition_cost(o: HmmOptions) -> Column:
 
 
 def viterbi(steps: DataFrame) -> DataFrame:
-    """traj_id, states: the cheapest sequence of candidates.
+    """traj_id, cost, states: the cheapest sequence of candidates in one array; ``decode.states`` has it as rows.
 
-    steps(traj_id, o, emit array, trans array of arrays [candidate][candidate before]); o = 0 has no trans. A fold
-    over the trajectory's steps that carries per candidate the least cost and the way to it; ties take the lowest
-    candidate."""
-    s = steps.groupBy("traj_id").agg(F.sort_array(F.collect_list(F.struct("o", "emit", "trans"))).alias("s"))
-    first = F.transform(F.get("s", F.lit(0))["emit"], lambda e, j: F.struct(e.alias("cost"), F.array(j).alias("way")))
-
-    def step(acc: Column, x: Column) -> Column:
-        def one(e: Column, j: Column) -> Column:
-            each = F.transform(acc, lambda a, k: F.struct((a["cost"] + e + F.get(F.get(x["trans"], j), k)).alias("cost"), k.alias("k")))
-            # one-element array: the least is found once
-            return F.transform(F.array(F.array_min(each)), lambda b: F.struct(b["cost"].alias("cost"), F.concat(F.get(acc, b["k"])["way"], F.array(j)).alias("way")))[0]
-
-        return F.transform(x["emit"], one)
-
-    done = F.aggregate(F.slice("s", 2, F.size("s")), first, step, lambda acc: F.array_min(F.transform(acc, lambda a, j: F.struct(a["cost"].alias("cost"), j.alias("j"), a["way"].alias("way")))))
-    return s.select("traj_id", done.alias("b")).select("traj_id", F.col("b.cost").alias("cost"), F.col("b.way").alias("states"))
+    steps(traj_id, o, emit array, trans array of arrays [candidate][candidate before]); o = 0 has no trans. Ties take the
+    lowest candidate."""
+    way, cost = decode.states(steps)
+    line = way.groupBy("traj_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "state"))), lambda x: x["state"]).alias("states"))
+    return cost.join(line, "traj_id")
 
 
 def match(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOptions = HmmOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -205,8 +194,8 @@ def match(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOptions =
     row = t.groupBy("traj_id", "o", "rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", transition_cost(o).alias("c")))), lambda x: x["c"]).alias("t"))
     trans = row.groupBy("traj_id", "o").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("trans"))
     emits = c.groupBy("traj_id", "o").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "emit"))), lambda x: x["emit"]).alias("emit"))
-    best = viterbi(emits.join(trans, ["traj_id", "o"], "left"))
-    way = best.select("traj_id", F.posexplode("states").alias("o", "rank"))
+    way, _ = decode.states(emits.join(trans, ["traj_id", "o"], "left"))
+    way = way.select("traj_id", F.col("o").cast("int").alias("o"), F.col("state").alias("rank"))
     chosen = settled(c.join(way, ["traj_id", "o", "rank"]).select("traj_id", "idx", "node_id", "node_lon", "node_lat", "snap_m"), "chosen")
     return chosen, r, failed
 
@@ -281,8 +270,7 @@ def recover_hmm(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOpt
         s = seq.smooth_gaussian(f, o.smooth_radius, o.smooth_sigma, KEY).select(*KEY, "idx", F.col("lon").alias("_sx"), F.col("lat").alias("_sy"))
         f = _toward(f, s, (F.col("conf") < o.smooth_below) & (F.col("missing_count") >= 3), o.smooth_strength)
     if o.limit_above_speed_dev >= 0 and o.limit_turn_deg >= 0:
-        lines = seq.lines_of(f, KEY).withColumn("line", seq.limit_turn(F.col("line"), o.limit_turn_deg, o.limit_sweeps))
-        s = seq.points_from_lines(lines, KEY).select(*KEY, (F.col("idx") + F.col("start_idx") + 1).alias("idx"), F.col("lon").alias("_sx"), F.col("lat").alias("_sy"))
+        s = folds.limit_turns(f.select(*KEY, "idx", "lon", "lat"), o.limit_turn_deg, o.limit_sweeps, KEY).select(*KEY, "idx", F.col("lon").alias("_sx"), F.col("lat").alias("_sy"))
         f = _toward(f, s, (F.col("speed_dev") >= o.limit_above_speed_dev) & (F.col("missing_count") >= 3), o.limit_strength)
     if o.bind != "off":
         allowed = {"all": F.lit(True), "high-conf": F.col("conf") >= o.bind_conf, "low-conf": F.col("conf") < o.bind_conf}[o.bind] & (F.col("missing_count") >= max(0, o.bind_min_gap))
@@ -304,9 +292,7 @@ def _toward(f: DataFrame, s: DataFrame, where: Column, strength: float) -> DataF
 def _sharp_turns(points: DataFrame, ok: DataFrame, vertices: DataFrame, o: HmmOptions) -> DataFrame:
     """Raise alpha where the route turns sharply and leaves and enters along the observed headings. The snapped end
     repeats the route's end node, so those legs have no bearing and agree with everything, unless drop_zero_legs."""
-    lines = seq.lines_of(vertices, KEY)
-    if o.drop_zero_legs:
-        lines = lines.withColumn("line", seq.dedupe_line(F.col("line")))
+    lines = seq.lines_of(folds.dedupe(vertices, KEY) if o.drop_zero_legs else vertices, KEY)
     bear = lambda a, b: bearing_deg(a["lon"], a["lat"], b["lon"], b["lat"])
     at = lambda i: F.try_element_at("line", F.lit(i))
     lines = lines.select(*KEY, seq.max_turn(F.col("line")).alias("_turn"), bear(at(1), at(2)).alias("_r0"), bear(at(-2), at(-1)).alias("_r1"))

@@ -1,7 +1,7 @@
 """Gaps, interpolation, smoothing and resampling of point sequences.
 
 Input is points(traj_id, idx, ts, lon, lat, known); lon and lat are null where a point is not known. Every
-window is partitioned by trajectory. Folds (steps that see earlier results) run on one trajectory's array.
+window is partitioned by trajectory. Steps that see earlier results are in ``folds``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_deg, haversine_m, planar_turn_deg
+from . import folds
+
 
 def in_order():
     """Per trajectory in order. (A function: windows need a live session.)"""
@@ -124,9 +126,6 @@ def smooth_gaussian(line: DataFrame, radius: int = 2, sigma: float = 1.0, by: tu
     return out.select(*[c for c in line.columns if c not in ("lon", "lat")], F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
 
 
-POINT = "array<struct<lon:double,lat:double>>"
-
-
 def _bear(a: Column, b: Column) -> Column:
     return bearing_deg(a["lon"], a["lat"], b["lon"], b["lat"])
 
@@ -142,34 +141,6 @@ def max_turn(line: Column) -> Column:
     return F.when(F.size(line) >= 3, F.array_max(inner)).otherwise(0.0)
 
 
-def limit_turn(line: Column, most_deg: float, sweeps: int = 1) -> Column:
-    """Curvature limiter on an array of points: a vertex that turns more than the cap becomes the midpoint of its
-    neighbours, left to right, later vertices seeing earlier moves. A fold: the left neighbour is the last one done."""
-    def sweep(here: Column) -> Column:
-        def step(done: Column, i: Column) -> Column:
-            a, b, c = F.element_at(done, -1), F.get(here, i), F.get(here, i + 1)
-            mid = F.struct(((a["lon"] + c["lon"]) / 2).alias("lon"), ((a["lat"] + c["lat"]) / 2).alias("lat"))
-            return F.concat(done, F.array(F.when(_turn(a, b, c) > most_deg, mid).otherwise(b)))
-
-        inner = F.aggregate(F.sequence(F.lit(1), F.size(here) - 2), F.slice(here, 1, 1).cast(POINT), step)
-        return F.when(F.size(here) >= 3, F.concat(inner, F.slice(here, -1, 1))).otherwise(here)
-
-    for _ in range(sweeps):  # a one-element array binds each sweep's result to a variable
-        line = F.transform(F.array(line), sweep)[0]
-    return line
-
-
-def dedupe_line(line: Column) -> Column:
-    """Drop a vertex within 1e-12 degrees of the last one kept."""
-
-    def step(done: Column, p: Column) -> Column:
-        q = F.element_at(done, -1)
-        far = F.hypot(p["lon"] - q["lon"], p["lat"] - q["lat"]) > 1e-12
-        return F.when(far, F.concat(done, F.array(p))).otherwise(done)
-
-    return F.when(F.size(line) > 1, F.aggregate(F.slice(line, 2, F.size(line)), F.slice(line, 1, 1).cast(POINT), step)).otherwise(line)
-
-
 def lines_of(points: DataFrame, by: tuple[str, ...] = ("traj_id",)) -> DataFrame:
     """One row per line: an array of its points in order."""
     return points.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("line"))
@@ -231,9 +202,9 @@ def fill_gaps_from_strokes(gaps: DataFrame, strokes: DataFrame) -> DataFrame:
     by = ("traj_id", "gap_id")
     ends = gaps.select(*by, F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("idx"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat")), F.struct(F.lit(1 << 40).cast("long").alias("idx"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat")))).alias("p")).select(*by, "p.*")
     drawn = strokes.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)").select(*by, F.col("idx").cast("long"), "lon", "lat")
-    lines = lines_of(ends.unionByName(drawn.join(gaps.select(*by), list(by), "left_semi")), by).withColumn("line", dedupe_line(F.col("line")))
+    lines = folds.dedupe(ends.unionByName(drawn.join(gaps.select(*by), list(by), "left_semi")), by)
     ratios = even_ratios(gaps, (F.col("missing_count") + 2).cast("int"), by)
-    got = resample(points_from_lines(lines, by), ratios, by)
+    got = resample(lines, ratios, by)
     return got.join(gaps.select(*by, "start_idx", "missing_count"), list(by)).where("k between 1 and missing_count").select(*by, (F.col("start_idx") + F.col("k")).alias("idx"), "lon", "lat")
 
 

@@ -1,67 +1,194 @@
-"""Travel-time regression with MLlib: fit, predict, ensemble, blend search, parameter sweep."""
+"""Travel-time regression: exact ridge and boosted trees, ensemble, blend search, parameter sweep, saved models."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import features, metrics
+from . import boosting, features, metrics
+from .boosting import Boosted, Target, Trees
 
-
-@dataclass(frozen=True)
-class Boosted:
-    """A gradient-boosted tree model; another algorithm than histogram boosting, so figures differ."""
-
-    rate: float = 0.05
-    depth: int = 8
-    rounds: int = 450
-    leaf: int = 40
+# The settings of the models.
+BASE, SECOND, RESIDUAL = Boosted(0.05, 8, 450, 40, 0.05), Boosted(0.035, 10, 620, 30, 0.02), Boosted(0.05, 6, 260, 55, 0.08)
+RIDGE = 3.0
 
 
-BASE, SECOND, RESIDUAL = Boosted(), Boosted(0.035, 10, 620, 30), Boosted(0.05, 6, 260, 55)
+@dataclass(frozen=True)
+class Ridge:
+    """intercept + sum of coefficient * (value - mean) / scale, columns bound by name."""
 
+    columns: tuple[str, ...]
+    mean: tuple[float, ...]
+    scale: tuple[float, ...]
+    coefficient: tuple[float, ...]
+    intercept: float
 
-def regressor(kind: str, spec: Boosted = BASE, label: str = "target", seed: int = 42):
-    """linear: standardised ridge (the penalty counts once for all rows, so it is not scaled by their number);
-    boosted: trees."""
-    if kind == "linear":
-        return LinearRegression(featuresCol="scaled", labelCol=label, weightCol="weight", predictionCol="z", regParam=3e-5, elasticNetParam=0.0)
-    return GBTRegressor(featuresCol="features", labelCol=label, weightCol="weight", predictionCol="z", stepSize=spec.rate, maxDepth=spec.depth, maxIter=spec.rounds, minInstancesPerNode=spec.leaf, seed=seed, maxBins=128)
+    def score(self) -> Column:
+        parts = [(F.col(c).cast("double") - m) / s * k for c, m, s, k in zip(self.columns, self.mean, self.scale, self.coefficient)]
+        return reduce(lambda a, b: a + b, parts, F.lit(self.intercept))
 
 
-def fit(train: DataFrame, columns: tuple[str, ...], kind: str = "linear", transform: str = "none", weights: str = "none", spec: Boosted = BASE, label: str = "travel_time", clip: bool = True) -> PipelineModel:
-    """train holds the feature columns by name and the label in seconds."""
-    y = F.col(label)
-    rows = train.withColumn("target", features.forward_target(y, transform) if clip else y).withColumn("weight", features.sample_weight(F.col("travel_time"), weights).cast("double"))
-    stages = [VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error")]
+@dataclass(frozen=True)
+class Fitted:
+    """A model with what is needed to use it: kind, transform of the target, and the columns it binds by name."""
+
+    kind: str
+    transform: str
+    model: Ridge | Trees
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return self.model.columns
+
+
+def gram(rows: DataFrame, columns: tuple[str, ...], label: str, weight: str, mean: list[float], scale: list[float]) -> DataFrame:
+    """(i, j, value): weighted sums of products of [1, standardised columns…, label], one table whatever the rows. Batches
+    are multiplied inside tasks, and only their products are shuffled."""
+    k = len(columns)
+    m, s = np.array(mean), np.array(scale)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 2, k + 2))
+        for b in batches:
+            a = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns])
+            z = np.column_stack([np.ones(len(a)), (a[:, :k] - m) / s, a[:, k]])
+            total += (z * a[:, k + 1 :]).T @ z
+        i, j = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int64()), pa.array(j.ravel(), pa.int64()), pa.array(total.ravel())], names=["i", "j", "value"])
+
+    x = rows.select(*[F.col(c).cast("double") for c in columns], F.col(label).cast("double"), F.col(weight).cast("double"))
+    return x.mapInArrow(run, "i long, j long, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+
+def fit_ridge(rows: DataFrame, columns: tuple[str, ...], label: str, weight: str, alpha: float = RIDGE) -> Ridge:
+    """Exact weighted ridge on columns standardised by their plain mean and deviation (constant ones stay at zero); the
+    intercept is not penalised. Two passes: moments, then the products of all columns; the small system is solved on the
+    driver. Null features are an error, as are no rows."""
+    moments = rows.agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"m{j}") for j, c in enumerate(columns)], *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{j}") for j, c in enumerate(columns)]).first()
+    if not moments["n"]:
+        raise ValueError("no rows to fit")
+    mean = [moments[f"m{j}"] for j in range(len(columns))]
+    if any(m is None or m != m for m in mean):
+        raise ValueError("a feature is null or not a number")
+    scale = [moments[f"s{j}"] if moments[f"s{j}"] > 1e-10 * max(1.0, abs(m)) else float("inf") for j, m in enumerate(mean)]
+    g = np.zeros((len(columns) + 2, len(columns) + 2))
+    for r in gram(rows, columns, label, weight, mean, scale).collect():  # a table of fixed size
+        g[r.i, r.j] = r.value
+    if np.isnan(g).any():
+        raise ValueError("a feature or label is null or not a number")
+    a, b = g[:-1, :-1].copy(), g[:-1, -1]
+    a[np.arange(1, len(a)), np.arange(1, len(a))] += alpha
+    solved = np.linalg.solve(a, b)
+    return Ridge(tuple(columns), tuple(mean), tuple(scale), tuple(float(x) for x in solved[1:]), float(solved[0]))
+
+
+def _prepared(train: DataFrame, columns: tuple[str, ...], transform: str, weights: str, label: str) -> DataFrame:
+    y = F.col(label).cast("double")
+    return train.where(F.col(label).isNotNull()).select("traj_id", *columns, features.forward_target(y, transform).alias("_y"), features.sample_weight(y, weights).cast("double").alias("_w"))
+
+
+def fit(train: DataFrame, columns: tuple[str, ...], kind: str = "linear", transform: str = "none", weights: str = "none", spec: Boosted = BASE, label: str = "travel_time") -> Fitted:
+    """train(traj_id, columns…, label in seconds). linear: exact ridge; boosted: histogram boosting."""
+    rows = _prepared(train, columns, transform, weights, label)
     if kind == "linear":
-        stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True))
-    return Pipeline(stages=[*stages, regressor(kind, spec)]).fit(rows)
-
-
-def predict(model: PipelineModel, rows: DataFrame, transform: str = "none", out: str = "y_pred") -> DataFrame:
-    return model.transform(rows).withColumn(out, features.inverse_target(F.col("z"), transform)).drop("features", "scaled", "z")
-
-
-def fit_ensemble(train: DataFrame, columns: tuple[str, ...], specs: tuple[Boosted, Boosted, Boosted] = (BASE, SECOND, RESIDUAL)) -> tuple[PipelineModel, PipelineModel, PipelineModel]:
-    """Two models of the travel time and one of the first model's error."""
-    first = fit(train, columns, "boosted", spec=specs[0])
-    second = fit(train, columns, "boosted", spec=specs[1])
-    rest = predict(first, train, out="p1").withColumn("residual", F.col("travel_time") - F.col("p1"))
-    return first, second, fit(rest, columns, "boosted", spec=specs[2], label="residual", clip=False)
-
-
-def predict_ensemble(models: tuple[PipelineModel, PipelineModel, PipelineModel], rows: DataFrame, w: float) -> DataFrame:
+        return Fitted(kind, transform, fit_ridge(rows, columns, "_y", "_w"))
+    return Fitted(kind, transform, boosting.boost(rows, [Target(columns, "_y", None if weights == "none" else "_w", spec)], "traj_id")[0])
+
+
+def predict(model: Fitted, rows: DataFrame, out: str = "y_pred") -> DataFrame:
+    """Seconds, one at least. Columns are bound by name; one that is missing is an error that names it."""
+    missing = [c for c in model.columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns missing: {', '.join(missing)}")
+    return rows.withColumn(out, features.inverse_target(model.model.score(), model.transform))
+
+
+def save(model: Fitted, spark: SparkSession, path: str) -> None:
+    """Write the model and its columns below path; an existing path is an error."""
+    about = {"kind": model.kind, "transform": model.transform, "columns": list(model.columns)}
+    if isinstance(model.model, Ridge):
+        about |= {"mean": model.model.mean, "scale": [s if s != float("inf") else None for s in model.model.scale], "coefficient": model.model.coefficient, "intercept": model.model.intercept}
+    else:
+        boosting.save(model.model, spark, f"{path}/trees")
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    if about["kind"] == "linear":
+        scale = tuple(float("inf") if s is None else s for s in about["scale"])
+        return Fitted("linear", about["transform"], Ridge(tuple(about["columns"]), tuple(about["mean"]), scale, tuple(about["coefficient"]), about["intercept"]))
+    return Fitted(about["kind"], about["transform"], boosting.load(spark, f"{path}/trees"))
+
+
+def train(trips: DataFrame, columns: tuple[str, ...], validation: DataFrame | None = None, **how) -> tuple[Fitted, DataFrame]:
+    """(model, report) from trips(traj_id, n_points, path_m, travel_time, columns…): trips are cleaned first, and none left is an
+    error. report(split, bucket, count, mae, rmse, mape) has the used training trips and, if given, the validation trips
+    by travel-time bucket, bucket ``all`` for all of them."""
+    used = features.clean_trips(trips).where("drop_reason is null")
+    if used.isEmpty():
+        raise ValueError("no training trip is left after cleaning")
+    model = fit(used, columns, **how)
+    report = None
+    for split, rows in (("train", used), ("validation", validation)):
+        if rows is not None:
+            r = report_by_duration(predict(model, rows).select(F.col("travel_time").alias("y_true"), "y_pred")).select(F.lit(split).alias("split"), "*")
+            report = r if report is None else report.unionByName(r)
+    return model, report
+
+
+def report_by_duration(pairs: DataFrame) -> DataFrame:
+    """(bucket, count, mae, rmse, mape) of pairs(y_true, y_pred): all, then the duration buckets."""
+    whole = pairs.where("y_true is not null and y_pred is not null").agg(*metrics.regression_aggs()).select(F.lit("all").alias("bucket"), "count", "mae", "rmse", "mape")
+    return whole.unionByName(metrics.duration_report(pairs).select("bucket", "count", "mae", "rmse", "mape"))
+
+
+def evaluate(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Report of predicted(traj_id, travel_time) against truth(traj_id, travel_time): true trips without a prediction are left
+    out, and of repeated predictions the last record counts if there is a column ``ord``, else any one."""
+    if "ord" in predicted.columns:
+        p = predicted.groupBy("traj_id").agg(F.max_by("travel_time", "ord").alias("y_pred"))
+    else:
+        p = predicted.groupBy("traj_id").agg(F.max("travel_time").alias("y_pred"))
+    return report_by_duration(truth.select("traj_id", F.col("travel_time").alias("y_true")).join(p, "traj_id"))
+
+
+def check_align(inputs: DataFrame, others: DataFrame) -> DataFrame:
+    """One row: how many positions of two trip tables were compared and in how many they differ by departure, number of
+    points, first and last point. Both: (ord, departure_ts, n_points, first, last), points as struct(lon, lat), paired
+    by position; ends are compared where the numbers of points agree and are not zero."""
+    a, b = inputs.alias("a"), others.alias("b")
+    j = a.join(b, F.col("a.ord") == F.col("b.ord"))
+    same_n = F.col("a.n_points") == F.col("b.n_points")
+    off = lambda c: same_n & (F.col("a.n_points") > 0) & (F.greatest(F.abs(F.col(f"a.{c}.lon") - F.col(f"b.{c}.lon")), F.abs(F.col(f"a.{c}.lat") - F.col(f"b.{c}.lat"))) > 1e-9)
+    return j.agg(
+        F.count("*").alias("checked"), F.count_if(~F.col("a.departure_ts").eqNullSafe(F.col("b.departure_ts"))).alias("mismatch_departure"), F.count_if(~same_n).alias("mismatch_length"),
+        F.count_if(off("first")).alias("mismatch_first_point"), F.count_if(off("last")).alias("mismatch_last_point"),
+    )
+
+
+def fit_ensemble(train: DataFrame, columns: tuple[str, ...], specs: tuple[Boosted, Boosted, Boosted] = (BASE, SECOND, RESIDUAL), label: str = "travel_time") -> tuple[Fitted, Fitted, Fitted]:
+    """Two models of the logarithm, grown side by side, the first with more weight on short trips, and one of the first
+    model's error in seconds."""
+    y = F.col(label).cast("double")
+    rows = train.where(F.col(label).isNotNull()).select("traj_id", *columns, y.alias("_t"), features.forward_target(y, "log1p").alias("_y"), features.sample_weight(y, "short-boost").cast("double").alias("_w"))
+    first, second = (Fitted("boosted", "log1p", m) for m in boosting.boost(rows, [Target(columns, "_y", "_w", specs[0]), Target(columns, "_y", None, specs[1])], "traj_id"))
+    rest = predict(first, rows, "_p").withColumn("_r", F.col("_t") - F.col("_p"))
+    return first, second, Fitted("boosted", "none", boosting.boost(rest, [Target(columns, "_r", None, specs[2])], "traj_id")[0])
+
+
+def predict_ensemble(models: tuple[Fitted, Fitted, Fitted], rows: DataFrame, w: float) -> DataFrame:
     """base1, base2, resid (base1 plus the predicted error), and y_pred = w * resid + (1 - w) * base2."""
-    p = predict(models[0], rows, out="base1")
-    p = predict(models[1], p, out="base2")
-    r = models[2].transform(p).withColumn("resid", F.greatest(F.lit(1.0), F.col("base1") + F.col("z"))).drop("features", "z")
-    return r.withColumn("y_pred", w * F.col("resid") + (1 - w) * F.col("base2"))
+    p = predict(models[1], predict(models[0], rows, "base1"), "base2")
+    p = p.withColumn("resid", F.greatest(F.lit(1.0), F.col("base1") + models[2].model.score()))
+    return p.withColumn("y_pred", w * F.col("resid") + (1 - w) * F.col("base2"))
 
 
 def blend_search(pairs: DataFrame, steps: int = 81) -> DataFrame:
@@ -73,12 +200,14 @@ def blend_search(pairs: DataFrame, steps: int = 81) -> DataFrame:
 
 
 def best_blend(found: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """The weight with the least (mape, mae, rmse), and whether it is no worse than the reference in all three."""
+    """The weight with the least (mape, mae, rmse), and whether it is accepted: no worse than the reference in all three and
+    better in one."""
     b = found.agg(F.min(F.struct("mape", "mae", "rmse", "w")).alias("b")).select("b.w", "b.mape", "b.mae", "b.rmse")
     if reference is None:
         return b.withColumn("accepted", F.lit(True))
-    r = reference.select(*[F.coalesce(F.col(c), F.lit(float("inf"))).alias(f"_{c}") for c in ("mape", "mae", "rmse")])
-    ok = (F.col("mape") <= F.col("_mape")) & (F.col("mae") <= F.col("_mae")) & (F.col("rmse") <= F.col("_rmse"))
+    names = ("mape", "mae", "rmse")
+    r = reference.select(*[F.coalesce(F.col(c), F.lit(float("inf"))).alias(f"_{c}") for c in names])
+    ok = reduce(lambda x, y: x & y, [F.col(c) <= F.col(f"_{c}") for c in names]) & reduce(lambda x, y: x | y, [F.col(c) < F.col(f"_{c}") for c in names])
     return b.join(r, F.lit(True)).withColumn("accepted", ok).drop("_mape", "_mae", "_rmse")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets
 from ..functions.geo import bearing_deg, haversine_m
-from ..operators import metrics, sequence as seq, spatial, study
+from ..operators import folds, metrics, sequence as seq, spatial, study
 from . import fixtures as fx
 from .fixtures import r6, sql_angle, sql_bearing, sql_hav, sql_r6
 
@@ -78,8 +78,7 @@ def even_sample(spark, sf_dir):
 
 
 def limit_turns(spark, sf_dir):
-    lines = seq.lines_of(fx.truth(spark, sf_dir)).withColumn("line", seq.limit_turn(F.col("line"), 45.0, 2))
-    return seq.points_from_lines(lines).select("traj_id", "idx", *r6("lon", "lat"))
+    return folds.limit_turns(fx.truth(spark, sf_dir).select("traj_id", "idx", "lon", "lat"), 45.0, 2).select("traj_id", "idx", *r6("lon", "lat"))
 
 
 def max_turns(spark, sf_dir):
@@ -325,6 +324,17 @@ _AH = f"ah as (select traj_id, idx, lon, lat, {sql_bearing('x0', 'y0', 'x1', 'y1
 _RANKED = f"""with {_facts_sql()}, m as (select traj_id, coalesce(mae, 0) as mae from (select traj_id, round(avg(error_m), 6) as mae from facts group by 1) right join (select distinct traj_id from pts) using (traj_id)),
 r as (select traj_id, mae, row_number() over (order by mae, traj_id) - 1 as rank0, count(*) over () as n from m)"""
 
+def _limit_turns_sql(cap: float = 45.0) -> str:
+    """Two sweeps, each a recursion over idx that carries the last finished point."""
+    def sweep(name: str, src: str) -> str:
+        turn = f"coalesce({sql_angle(sql_bearing('b.lon', 'b.lat', 'b.nlon', 'b.nlat'), sql_bearing('a.lon', 'a.lat', 'b.lon', 'b.lat'))}, 0)"
+        move = lambda c: f"case when b.n{c} is not null and {turn} > {cap} then (a.{c} + b.n{c}) / 2 else b.{c} end"
+        return f"""{name}p as materialized (select traj_id, idx, lon, lat, lead(lon) over w as nlon, lead(lat) over w as nlat from {src} window w as (partition by traj_id order by idx)),
+{name} as (select traj_id, idx, lon, lat from {name}p where idx = 0 union all select b.traj_id, b.idx, {move('lon')}, {move('lat')} from {name} a join {name}p b on b.traj_id = a.traj_id and b.idx = a.idx + 1)"""
+
+    return f"with recursive {fx.sql_points()}, {sweep('s1', 'pts')}, {sweep('s2', 's1')} select traj_id, idx, {sql_r6('lon', 'lon')}, {sql_r6('lat', 'lat')} from s2"
+
+
 SQL = {
     "recover_linear_by_gap": f"with {_facts_sql()} select {_ladder('gap_size', *buckets.GAPS_8)} as bucket, {_AGG} from facts group by 1",
     "haversine_steps": f"with {fx.sql_points()}, {_steps_sql()} select traj_id, idx, {sql_r6(sql_hav('plon', 'plat', 'lon', 'lat'), 'step_m')} from st",
@@ -340,6 +350,7 @@ SQL = {
     "resample_uniform": _resample_sql(False),
     "resample_speed_aware": _resample_sql(True),
     "even_sample": f"with {fx.sql_points()} select distinct p.traj_id, p.idx from pts p left join range(14) r on p.idx = floor(r.range * (n - 1) / 13) where n <= 14 or r.range is not null",
+    "limit_turns": _limit_turns_sql(),
     "max_turns": f"with {fx.sql_points()}, {_steps_sql()} select traj_id, round(coalesce(max({sql_angle(sql_bearing('lon', 'lat', 'nlon', 'nlat'), sql_bearing('plon', 'plat', 'lon', 'lat'))}), 0), 5) as max_turn from st where plon is not null and nlon is not null group by 1",
     "point_errors": f"with {_facts_sql()} select traj_id, idx, {sql_r6('error_m', 'error_m')} from facts",
     "point_facts": f"with {_facts_sql()} select traj_id, idx, gap_size, traj_length, {', '.join(sql_r6(c, c) for c in ('error_m', 'position_ratio', 'speed_var'))}, round(turn_angle, 4) as turn_angle from facts",

@@ -116,20 +116,23 @@ def parameter_sweep(spark, sf_dir):
     return travel_time.sweep(cases, "scale_0").select("case", "count", *r6("mae", "rmse", "mape", "d_mae", "d_rmse", "d_mape"))
 
 
+def _labelled(spark, sf_dir):
+    """Trip features with the travel time, written once."""
+    p, t = fx.trips(spark, sf_dir)
+    return settled(features.trip_features(p, t).join(t.select("traj_id", "travel_time"), "traj_id"), "labelled")
+
+
 def fit_linear(spark, sf_dir):
     """Linear model on trip features, scored on held-out trips."""
-    p, t = fx.trips(spark, sf_dir)
-    f = features.trip_features(p, t).join(t.select("traj_id", "travel_time"), "traj_id")
+    f = _labelled(spark, sf_dir)
     m = travel_time.fit(f.where("traj_id % 5 <> 0"), features.TRIP_FEATURES, "linear", weights="short-boost")
-    return travel_time.predict(m, f.where("traj_id % 5 = 0")).select("traj_id", F.col("travel_time").alias("y_true"), "y_pred")
+    return travel_time.predict(m, f.where("traj_id % 5 = 0")).select("traj_id", *r6("travel_time"), (F.round("y_pred", 3) + 0.0).alias("y_pred")).withColumnRenamed("travel_time", "y_true")
 
 
 def fit_boosted(spark, sf_dir):
-    """Boosted ensemble of three small models on trip features, scored on held-out trips."""
-    p, t = fx.trips(spark, sf_dir)
-    f = features.trip_features(p, t).join(t.select("traj_id", "travel_time"), "traj_id").cache()
-    small = travel_time.Boosted(0.1, 4, 8, 30), travel_time.Boosted(0.08, 5, 8, 30), travel_time.Boosted(0.1, 3, 5, 55)
-    m = travel_time.fit_ensemble(f.where("traj_id % 5 <> 0"), features.TRIP_FEATURES, small)
+    """Boosted ensemble of three models on trip features, scored on held-out trips."""
+    f = _labelled(spark, sf_dir)
+    m = travel_time.fit_ensemble(f.where("traj_id % 5 <> 0"), features.TRIP_FEATURES)
     return travel_time.predict_ensemble(m, f.where("traj_id % 5 = 0"), 0.5).select("traj_id", F.col("travel_time").alias("y_true"), "base1", "base2", "resid", "y_pred")
 
 
@@ -212,8 +215,12 @@ _REG = f"count({_E}) as count, {sql_r6(f'avg(abs({_E}))', 'mae')}, {sql_r6(f'sqr
 _TAILS = f", {sql_r6(f'avg({_E})', 'bias')}, " + ", ".join(sql_r6(f"quantile_cont(abs({_E}), {q})", n) for n, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95)))
 
 
-def _trip_features_sql() -> str:
-    r = lambda e, n, k=5: f"round(coalesce({e}, 0), {k}) + 0e0 as {n}"
+def _features_part(places: int | None = 5, last: bool = False) -> str:
+    """The steps of the features as parts of a with clause, or the select that comes last. places: digits that features are
+    rounded to; None leaves them as they are."""
+    def r(e: str, n: str, k: int = 5) -> str:
+        return f"coalesce({e}, 0)::double as {n}" if places is None else f"round(coalesce({e}, 0), {k}) + 0e0 as {n}"
+
     share = lambda d: f"count(*) filter (turn > {d}) / nullif(count(turn), 0)::double as s{d}"
     y = "sin(radians(x1 - x0)) * cos(radians(y1))"
     x = "(cos(radians(y0)) * sin(radians(y1)) - sin(radians(y0)) * cos(radians(y1)) * cos(radians(x1 - x0)))"
@@ -221,18 +228,34 @@ def _trip_features_sql() -> str:
     h = f"sqrt(pow({x}, 2) + pow({y}, 2))"
     day = "(departure_ts - 86400 * floor(departure_ts / 86400e0))"
     dow = "(cast(floor(departure_ts / 86400e0) as bigint) + 4) % 7"
-    wave = lambda f, e, n, k: f"round({f}(2 * {math.pi!r} * ({e}) / {n}), 5) + 0e0 as {k}"
-    return f"""with {_STEPS}, a as (select traj_id, count(*) as n, sum(step) as path, avg(step) as m, stddev_pop(step) as sd, quantile_cont(step, 0.5) as q5, quantile_cont(step, 0.9) as q9, max(step) as mx,
+    wave = lambda f, e, n, k: r(f"{f}(2 * {math.pi!r} * ({e}) / {n})", k)
+    if not last:
+        return f"""{_STEPS}, a as (select traj_id, count(*) as n, sum(step) as path, avg(step) as m, stddev_pop(step) as sd, quantile_cont(step, 0.5) as q5, quantile_cont(step, 0.9) as q9, max(step) as mx,
   avg(turn) as tm, quantile_cont(turn, 0.9) as t9, max(turn) as tx, {share(30)}, {share(60)}, {share(90)}, arg_min(lon, idx) as x0, arg_min(lat, idx) as y0, arg_max(lon, idx) as x1, arg_max(lat, idx) as y1,
   min(lon) as lx, max(lon) as hx, min(lat) as ly, max(lat) as hy from tt group by 1),
-b as (select *, {sql_hav('x0', 'y0', 'x1', 'y1')} as direct, {sql_hav('lx', '((ly + hy) / 2)', 'hx', '((ly + hy) / 2)')} as w, {sql_hav('lx', 'ly', 'lx', 'hy')} as h from a)
-select t.traj_id, round(coalesce(n, 0), 5)::double as n_points, {r('path', 'path_m')}, {r('direct', 'direct_m')}, {r('coalesce(path, 0) / greatest(direct, 1e-6)', 'detour_ratio', 3)}, {r('m', 'step_mean')}, {r('sd', 'step_std')}, {r('q5', 'step_p50')}, {r('q9', 'step_p90')}, {r('mx', 'step_max')},
+b as (select *, {sql_hav('x0', 'y0', 'x1', 'y1')} as direct, (hx - lx) * 111320e0 * greatest(0.2e0, cos(radians((ly + hy) / 2))) as w, (hy - ly) * 111320e0 as h from a)"""
+    return f"""select t.traj_id, round(coalesce(n, 0), 5)::double as n_points, {r('path', 'path_m')}, {r('direct', 'direct_m')}, {r('coalesce(path, 0) / greatest(direct, 1e-6)', 'detour_ratio', 3)}, {r('m', 'step_mean')}, {r('sd', 'step_std')}, {r('q5', 'step_p50')}, {r('q9', 'step_p90')}, {r('mx', 'step_max')},
   {r('tm', 'turn_mean')}, {r('t9', 'turn_p90')}, {r('tx', 'turn_max')}, {r('s30', 'turn_share_30')}, {r('s60', 'turn_share_60')}, {r('s90', 'turn_share_90')}, {r('w', 'bbox_w')}, {r('h', 'bbox_h')}, {r('sqrt(w * w + h * h)', 'bbox_diag')}, {r('w * h / 1000000', 'bbox_area')},
   {r(f'case when {moved} then {y} / {h} else 0 end', 'heading_sin')}, {r(f'case when {moved} then {x} / {h} else 1 end', 'heading_cos')}, {r('x0', 'start_lon')}, {r('y0', 'start_lat')}, {r('x1', 'end_lon')}, {r('y1', 'end_lat')},
-  {wave('sin', f'{day} / 3600e0', 24, 'hour_sin')}, {wave('cos', f'{day} / 3600e0', 24, 'hour_cos')}, {wave('sin', dow, '7e0', 'dow_sin')}, {wave('cos', dow, '7e0', 'dow_cos')}, ({dow} >= 5)::int::double as weekend, round({day} / 86400e0, 5) + 0e0 as minute_of_day, {r('ln(1 + coalesce(path, 0))', 'log_path')}
+  {wave('sin', f'{day} / 3600e0', 24, 'hour_sin')}, {wave('cos', f'{day} / 3600e0', 24, 'hour_cos')}, {wave('sin', dow, '7e0', 'dow_sin')}, {wave('cos', dow, '7e0', 'dow_cos')}, ({dow} >= 5)::int::double as weekend, {r(f'{day} / 86400e0', 'minute_of_day')}, {r('ln(1 + coalesce(path, 0))', 'log_path')}
 from tr t left join b using (traj_id)"""
 
 
+def _fit_linear_sql() -> str:
+    """Moments, products of all columns, Gauss-Jordan elimination on lists, prediction."""
+    cols, n = features.TRIP_FEATURES, len(features.TRIP_FEATURES)
+    return f"""with recursive {_features_part()}, f as materialized ({_features_part(None, True)}),
+v as materialized (select f.traj_id, travel_time as y, (case when travel_time <= 600 then 1.8e0 when travel_time <= 1800 then 1.2e0 else 1e0 end) as w, f.traj_id % 5 <> 0 as train, [{', '.join(cols)}]::double[] as x from f join tr using (traj_id)),
+mo as materialized (select j, avg(x[j]) as m, stddev_pop(x[j]) as s from v, (select unnest(range(1, {n + 1})) as j) where train group by j),
+ms as materialized (select list(m order by j) as m, list(case when s > 1e-10 * greatest(1, abs(m)) then s end order by j) as s from mo),
+z as materialized (select traj_id, y, w, train, list_concat([1e0], list_transform(x, lambda e, j: coalesce((e - ms.m[j]) / ms.s[j], 0e0)), [y]) as z from v, ms),
+gr as materialized (select i, j, sum(w * z[i] * z[j]) + (case when i = j and i > 1 then {travel_time.RIDGE!r} else 0 end) as g from z, (select unnest(range(1, {n + 2})) as i), (select unnest(range(1, {n + 3})) as j) where train group by i, j),
+ro as (select i, list(g order by j) as r from gr group by i),
+gj as (select 1 as k, list(r order by i) as a from ro union all select k + 1, list_transform(a, lambda r, i: case when i = k then list_transform(r, lambda e: e / a[k][k]) else list_transform(r, lambda e, j: e - r[k] / a[k][k] * a[k][j]) end) from gj where k <= {n + 1}),
+co as (select list_transform(a, lambda r: r[{n + 2}]) as c from gj where k = {n + 2})
+select traj_id, {sql_r6('y', 'y_true')}, round(greatest(1e0, list_dot_product(c, z[1:{n + 1}])), 3) + 0e0 as y_pred from z, co where not train"""
+
+
 _CTX = f"""{_STEPS}, cx as (select t.traj_id, cast(floor((departure_ts - 86400 * floor(departure_ts / 86400e0)) / 3600e0) as bigint) as hour, n_points, path_km, direct_km, path_km / greatest(direct_km, 1e-6) as detour from tr t left join
   (select traj_id, count(*) as n_points, coalesce(sum(step), 0) / 1000 as path_km, {sql_hav('arg_min(lon, idx)', 'arg_min(lat, idx)', 'arg_max(lon, idx)', 'arg_max(lat, idx)')} / 1000 as direct_km from tt group by 1) using (traj_id))"""
 _BUCKETED = f"""{_CTX}, {fx.sql_pairs()}, j as (select pr.*, hour, path_km, n_points, detour from pr left join cx using (traj_id) where y_pred is not null), d as (""" + " union all ".join(
@@ -241,7 +264,8 @@ _BUCKETED = f"""{_CTX}, {fx.sql_pairs()}, j as (select pr.*, hour, path_km, n_po
         ("points", _ladder("n_points", *buckets.POINTS)), ("detour", _ladder("round(detour, 6)", *buckets.DETOURS, op="<")))) + ")"
 
 SQL = {
-    "trip_features": _trip_features_sql(),
+    "trip_features": f"with {_features_part()} {_features_part(last=True)}",
+    "fit_linear": _fit_linear_sql(),
     "clean_reasons": f"""with {_STEPS}, a as (select traj_id, count(*) as n, coalesce(sum(step), 0) as path from tt group by 1), c as (select *, path / travel_time * 3.6 as kmh from tr join a using (traj_id))
       select case when n < 2 then 'too_short' when travel_time is null or travel_time <= 0 then 'invalid_label' when travel_time < 60 or travel_time > 7200 then 'time_range' when kmh < 3 or kmh > 120 then 'speed_range' else 'used' end as outcome, count(*) as count from c group by 1""",
     "sample_weights": f"with {fx.sql_trips()} select (case when travel_time <= 600 then 1.8 when travel_time <= 1800 then 1.2 else 1.0 end)::double as weight, count(*) as count from tr group by 1",
