@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_deg, haversine_m
-from ..sources.osm import class_penalty, with_bbox
+from ..sources.osm import class_penalty, graph_nodes, with_bbox
 
-SIDE, STEP, LON0, LAT0 = 41, 0.005, 108.8, 34.1
+SIDE, STEP, LON0, LAT0, ROADS_LAT0 = 41, 0.005, 108.8, 34.1, 34.195
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,41 @@ def masked(t: DataFrame) -> DataFrame:
     return t.withColumn("lon", F.when(F.col("known"), F.col("lon"))).withColumn("lat", F.when(F.col("known"), F.col("lat")))
 
 
+def _road_legs(nodes: DataFrame) -> DataFrame:
+    """Legs (highway, dir, a, b) between neighbours of nodes(node_id): along rows of SIDE nodes and across them."""
+    i, j = F.floor(F.col("node_id") / SIDE), F.col("node_id") % SIDE
+    highway = F.element_at(F.array(*map(F.lit, ("primary", "secondary", "residential"))), (i % 3 + 1).cast("int"))
+    leg = lambda d, step, way: F.struct(F.lit(d).alias("d"), (F.col("node_id") + step).alias("b"), way.cast("int").alias("dir"))
+    both = F.array(F.when(j < SIDE - 1, leg("h", 1, F.when(i % 5 == 0, 1).otherwise(0))), leg("v", SIDE, F.lit(0)))
+    legs = nodes.select(F.col("node_id").alias("a"), highway.alias("highway"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("e")).select("a", "highway", "e.*")
+    return legs.join(nodes.select(F.col("node_id").alias("b")), "b")
+
+
+def road_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One node per part: SIDE to a row, moved a little by the part's size and key, so that no two routes cost the same."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k.alias("node_id"), (F.lit(LON0) + F.lit(STEP) * (k % SIDE) + F.lit(0.00002) * F.col("p_size")).alias("lon"),
+        (F.lit(ROADS_LAT0) + F.lit(STEP) * F.floor(k / SIDE) + F.lit(0.00001) * (k * 7919 % 97)).alias("lat"))
+
+
+def roads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes (with the bearings that leave them), directed edges, undirected segments of a road map that grows with part."""
+    nodes = road_nodes(spark, sf_dir)
+    end = lambda c: nodes.select(F.col("node_id").alias(c), F.col("lon").alias(f"lon_{c}"), F.col("lat").alias(f"lat_{c}"))
+    legs = _road_legs(nodes).join(end("a"), "a").join(end("b"), "b")
+    segments = with_bbox(legs.select(F.concat("d", F.col("a").cast("string")).alias("seg_id"), F.col("lon_a").alias("lon1"), F.col("lat_a").alias("lat1"), F.col("lon_b").alias("lon2"), F.col("lat_b").alias("lat2")))
+    run = lambda a, b: legs.select(F.col(a).alias("src"), F.col(b).alias("dst"), haversine_m("lon_a", "lat_a", "lon_b", "lat_b").alias("dist_m"), bearing_deg(f"lon_{a}", f"lat_{a}", f"lon_{b}", f"lat_{b}").alias("bearing"), class_penalty("highway").alias("class_penalty"), "dir")
+    edges = run("a", "b").unionByName(run("b", "a").where("dir = 0")).drop("dir")
+    return graph_nodes(nodes, edges), edges, segments
+
+
+def route_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes wanted: from a node per nation to one per supplier, up to twenty rows and forty columns away."""
+    u, k = F.col("s_nationkey").cast("long") * 7, F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(u.alias("u"), (u + SIDE * (k * 13 % 20) + k * 7 % SIDE).alias("v"))
+
+
 def lattice(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, directed edges, undirected segments of a 41 x 41 lattice; its size is fixed."""
     i = spark.range(SIDE).select(F.col("id").alias("i"))
@@ -128,6 +163,17 @@ edges as (select a as src, b as dst, {sql_hav('lon1', 'lat1', 'lon2', 'lat2')} a
   union all select b, a, {sql_hav('lon1', 'lat1', 'lon2', 'lat2')}, {sql_bearing('lon2', 'lat2', 'lon1', 'lat1')}, pen from segs where dir = 0)"""
 
 
+def sql_roads() -> str:
+    """nodes, segs, edges of the map from part."""
+    hw = "case (a // 41) % 3 when 0 then 1.08e0 when 1 then 1.15e0 else 1.42e0 end"
+    return f"""nodes as materialized (select p_partkey as node_id, 108.8e0 + 0.005e0 * (p_partkey % 41) + 0.00002e0 * p_size as lon, {ROADS_LAT0!r}e0 + 0.005e0 * (p_partkey // 41) + 0.00001e0 * (p_partkey * 7919 % 97) as lat from part),
+legs as (select 'h' || node_id as seg_id, node_id as a, node_id + 1 as b, case when (node_id // 41) % 5 = 0 then 1 else 0 end as dir from nodes where node_id % 41 < 40 union all select 'v' || node_id, node_id, node_id + 41, 0 from nodes),
+segs as materialized (select seg_id, p.lon as lon1, p.lat as lat1, q.lon as lon2, q.lat as lat2, dir, {hw} as pen, a, b from legs join nodes p on a = p.node_id join nodes q on b = q.node_id),
+edges as materialized (select a as src, b as dst, {sql_hav('lon1', 'lat1', 'lon2', 'lat2')} as dist_m, {sql_bearing('lon1', 'lat1', 'lon2', 'lat2')} as bearing, pen from segs
+  union all select b, a, {sql_hav('lon1', 'lat1', 'lon2', 'lat2')}, {sql_bearing('lon2', 'lat2', 'lon1', 'lat1')}, pen from segs where dir = 0),
+wanted as materialized (select distinct u, u + 41 * (k * 13 % 20) + k * 7 % 41 as v from (select s_nationkey * 7 as u, s_suppkey as k from supplier))"""
+
+
 def sql_trips() -> str:
     return f"""tp as (select l_orderkey as traj_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as idx,
   108.8e0 + 0.0001e0 * (l_partkey % 2000) as lon, 34.1e0 + 0.001e0 * (l_suppkey % 300) as lat from lineitem),

@@ -19,46 +19,40 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _map_file(spark: SparkSession) -> str:
-    """The lattice as an OpenStreetMap file, with a footway, a way of one node and a reference that leads nowhere."""
-    nodes, _, _ = fx.lattice(spark)
+def _map_file(spark: SparkSession, sf_dir: str) -> str:
+    """The road map of part as OpenStreetMap elements, with a footway, a way of one node and a reference that leads nowhere.
+    The elements lie in any number of files, as the reader looks for elements and not for a whole document."""
+    nodes = fx.road_nodes(spark, sf_dir)
     node = nodes.select(F.format_string('<node id="%d" lat="%s" lon="%s"/>', "node_id", F.col("lat").cast("string"), F.col("lon").cast("string")).alias("value"))
-    i = spark.range(fx.SIDE).select(F.col("id").alias("i"))
-    g = i.select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fx.SIDE - 1).cast("long"))).alias("j"))
-    kind = F.element_at(F.array(*map(F.lit, ("primary", " Secondary ", "residential"))), (F.col("i") % 3 + 1).cast("int"))
     ref = lambda n: F.format_string('<nd ref="%d"/>', n)
     tag = lambda k, v: F.format_string('<tag k="%s" v="%s"/>', F.lit(k), v)
-    at = F.col("i") * fx.SIDE + F.col("j")
     way = lambda wid, refs, *tags: F.concat(F.format_string('<way id="%d">', wid), *refs, *tags, F.lit("</way>")).alias("value")
+    g = nodes.select("node_id", F.floor(F.col("node_id") / fx.SIDE).alias("i"))
+    kind = F.element_at(F.array(*map(F.lit, ("primary", " Secondary ", "residential"))), (F.col("i") % 3 + 1).cast("int"))
     one = F.when(F.col("i") % 5 == 0, "yes").otherwise("no")
-    # rows of the lattice lead from west to east in one way each; the last tag of a name counts
-    row = g.groupBy("i").agg(F.array_join(F.transform(F.sort_array(F.collect_list("j")), lambda j: ref(F.col("i") * fx.SIDE + j)), "").alias("refs"))
+    # a row leads from west to east in one way; the last tag of a name counts
+    row = g.groupBy("i").agg(F.array_join(F.transform(F.sort_array(F.collect_list("node_id")), ref), "").alias("refs"))
     rows = row.select(way(F.col("i"), [F.col("refs")], tag("highway", F.lit("footway")), tag("highway", kind), tag("oneway", one)))
-    columns = g.where(F.col("i") < fx.SIDE - 1).select(way(1000 + at, [ref(at), ref(at + fx.SIDE)], tag("highway", kind)))
-    odd = spark.createDataFrame([('<way id="9001"><nd ref="0"/><nd ref="1"/><tag k="highway" v="footway"/></way>',), ('<way id="9002"><nd ref="0"/><tag k="highway" v="primary"/></way>',), ('<way id="9003"><nd ref="5"/><nd ref="999999"/><tag k="highway" v="primary"/></way>',), ('<way id="9004"><nd ref="7"/><nd ref="7"/><tag k="highway" v="primary"/></way>',)], "value string")
+    columns = g.select(way(F.lit(1 << 40) + F.col("node_id"), [ref(F.col("node_id")), ref(F.col("node_id") + fx.SIDE)], tag("highway", kind)))
+    odd = spark.createDataFrame([('<way id="9001"><nd ref="0"/><nd ref="1"/><tag k="highway" v="footway"/></way>',), ('<way id="9002"><nd ref="0"/><tag k="highway" v="primary"/></way>',), ('<way id="9003"><nd ref="5"/><nd ref="99999999999"/><tag k="highway" v="primary"/></way>',), ('<way id="9004"><nd ref="7"/><nd ref="7"/><tag k="highway" v="primary"/></way>',)], "value string")
     path = _folder(spark, "map")
-    frame = lambda ord_, text: spark.createDataFrame([(ord_, text)], "ord int, value string")
-    parts = [t.select(F.lit(k).alias("ord"), "value") for k, t in ((1, node), (2, rows), (2, columns), (2, odd))]
-    whole = frame(0, "<osm>").unionByName(frame(3, "</osm>"))
-    for t in parts:
-        whole = whole.unionByName(t)
-    whole.repartition(1).sortWithinPartitions("ord").select("value").write.text(path)  # one document, of fixed size
+    node.unionByName(rows).unionByName(columns).unionByName(odd).write.text(path)
     return path
 
 
 def osm_edges(spark, sf_dir):
     """Directed edges of the drivable ways of a map file."""
-    return osm.road_edges(*osm.read_osm(spark, _map_file(spark))).select("src", "dst", *r6("dist_m", "bearing"), "class_penalty")
+    return osm.road_edges(*osm.read_osm(spark, _map_file(spark, sf_dir))).select("src", "dst", *r6("dist_m", "bearing"), "class_penalty")
 
 
 def osm_segments(spark, sf_dir):
     """Undirected segments; the one of zero length stays."""
-    return osm.road_segments(*osm.read_osm(spark, _map_file(spark))).select(*r6("lon1", "lat1", "lon2", "lat2", "min_lon", "max_lon", "min_lat", "max_lat"))
+    return osm.road_segments(*osm.read_osm(spark, _map_file(spark, sf_dir))).select(*r6("lon1", "lat1", "lon2", "lat2", "min_lon", "max_lon", "min_lat", "max_lat"))
 
 
 def graph_cache(spark, sf_dir):
     """Rows of the kept tables, built once, read from the cache, and built anew by force."""
-    path, cache = _map_file(spark), _folder(spark, "graph")
+    path, cache = _map_file(spark, sf_dir), _folder(spark, "graph")
     out = None
     for turn, force in enumerate((False, False, True)):
         for name, t in zip(("nodes", "edges", "segments"), osm.load_or_build(spark, path, cache, force)):
@@ -136,9 +130,9 @@ QUERIES = {f.__name__: f for f in (
 
 _BOX = ", ".join([*(sql_r6(c, c) for c in ("lon1", "lat1", "lon2", "lat2")), *(sql_r6(f"{f}({c}1, {c}2)", f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", "least"), ("max", "greatest")))])
 SQL = {
-    "osm_edges": f"with {fx.sql_lattice()} select src, dst, {sql_r6('dist_m', 'dist_m')}, {sql_r6('bearing', 'bearing')}, pen as class_penalty from edges",
-    "osm_segments": f"with {fx.sql_lattice()}, s as (select lon1, lat1, lon2, lat2 from segs union all select lon, lat, lon, lat from nodes where node_id = 7) select {_BOX} from s",
-    "graph_cache": f"with {fx.sql_lattice()}, t as (select range::int as turn from range(3)), c as (select 'nodes' as name, count(*) as count from nodes union all select 'edges', count(*) from edges union all select 'segments', count(*) + 1 from segs) select turn, name, count from t, c",
+    "osm_edges": f"with {fx.sql_roads()} select src, dst, {sql_r6('dist_m', 'dist_m')}, {sql_r6('bearing', 'bearing')}, pen as class_penalty from edges",
+    "osm_segments": f"with {fx.sql_roads()}, s as (select lon1, lat1, lon2, lat2 from segs union all select lon, lat, lon, lat from nodes where node_id = 7) select {_BOX} from s",
+    "graph_cache": f"with {fx.sql_roads()}, t as (select range::int as turn from range(3)), c as (select 'nodes' as name, count(*) as count from nodes union all select 'edges', count(*) from edges union all select 'segments', count(*) + 1 from segs) select turn, name, count from t, c",
     "record_round_trip": f"with {fx.sql_points()} select traj_id, idx, n, {sql_r6('lon', 'lon')}, {sql_r6('lat', 'lat')}, true as known from pts",
     "json_round_trip": f"with {fx.sql_pairs()} select traj_id, {sql_r6('y_true', 'y_true')}, {sql_r6('case when traj_id % 50 <> 0 then y_pred end', 'y_pred')} from pr",
     "csv_round_trip": f"with {fx.sql_trips()} select traj_id, departure_ts, case when travel_time <= 600 then 'short_le_10m' when travel_time <= 1800 then 'medium_10m_30m' else 'long_gt_30m' end as bucket from tr",

@@ -136,24 +136,22 @@ def fit_boosted(spark, sf_dir):
     return travel_time.predict_ensemble(m, f.where("traj_id % 5 = 0"), 0.5).select("traj_id", F.col("travel_time").alias("y_true"), "base1", "base2", "resid", "y_pred")
 
 
-def _graph(spark):
+def _graph(spark, sf_dir):
     """Nodes and edges as tables, as a loaded map would be."""
-    n, e, _ = fx.lattice(spark)
+    n, e, _ = fx.roads(spark, sf_dir)
     return settled(n, "nodes"), settled(e, "edges")
 
 
 def route_cost(spark, sf_dir):
-    """Least-cost lengths from one node to all others of the lattice, without turn cost."""
-    n, e = _graph(spark)
-    pairs = n.select(F.lit(45).cast("long").alias("u"), F.col("node_id").alias("v"))
-    return routing.routes(pairs, e, n, 1.0, 0.0, 55.0, None).select("u", "v", *r6("cost"))
+    """Least-cost lengths of the wanted pairs, without turn cost."""
+    n, e = _graph(spark, sf_dir)
+    return routing.routes(fx.route_pairs(spark, sf_dir), e, n, 1.0, 0.0, 55.0, None).select("u", "v", *r6("cost"))
 
 
 def route_turns(spark, sf_dir):
     """Routes with turn cost."""
-    n, e = _graph(spark)
-    pairs = n.select(F.lit(45).cast("long").alias("u"), F.col("node_id").alias("v"))
-    return routing.routes(pairs, e, n).select("u", "v", *r6("cost", "dist_m"), F.size("path").alias("hops"))
+    n, e = _graph(spark, sf_dir)
+    return routing.routes(fx.route_pairs(spark, sf_dir), e, n, most=None).select("u", "v", *r6("cost", "dist_m"), F.size("path").alias("hops"))
 
 
 def route_turn_costs(spark, sf_dir):
@@ -162,20 +160,20 @@ def route_turn_costs(spark, sf_dir):
 
 
 def recover_map(spark, sf_dir):
-    n, e = _graph(spark)
+    n, e = _graph(spark, sf_dir)
     p, _ = recovery.recover_map(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, recovery.MapOptions(match_radius=400.0, max_snap=400.0, max_detour=6.0, min_speed=0.0))
     return p.select("traj_id", "idx", *r6("lon", "lat"))
 
 
 def recover_hmm(spark, sf_dir):
-    n, e = _graph(spark)
+    n, e = _graph(spark, sf_dir)
     o = recovery.HmmOptions(radius=300.0, fallback=500.0, max_snap=500.0, max_detour=6.0, min_speed=0.0)
     p, _ = recovery.recover_hmm(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, o)
     return p.select("traj_id", "idx", *r6("lon", "lat"))
 
 
 def recover_hmm_outcomes(spark, sf_dir):
-    n, e = _graph(spark)
+    n, e = _graph(spark, sf_dir)
     o = recovery.HmmOptions(radius=300.0, fallback=500.0, max_snap=500.0, max_detour=6.0, min_speed=0.0)
     return recovery.counters(recovery.recover_hmm(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, o)[1])
 
@@ -263,6 +261,15 @@ _BUCKETED = f"""{_CTX}, {fx.sql_pairs()}, j as (select pr.*, hour, path_km, n_po
         ("travel_time", _ladder("y_true", *buckets.TRAVEL_TIMES, op="<")), ("hour", _ladder("hour", *buckets.HOURS, op="<")), ("path_km", _ladder("path_km", *buckets.PATHS, op="<")),
         ("points", _ladder("n_points", *buckets.POINTS)), ("detour", _ladder("round(detour, 6)", *buckets.DETOURS, op="<")))) + ")"
 
+def _route_sql(turns: bool, hops: int = 95) -> str:
+    """Least costs from all sources at once, one edge per round; with turns a state is a node and the one before it."""
+    turn = f"coalesce(greatest(0, {sql_angle('e.bearing', 'w.b')} - 55) / 125 * 55, 0)" if turns else "0"
+    before = "e.src" if turns else "-1::bigint"
+    return f"""with recursive {fx.sql_roads()}, walk as (select distinct u, u as node, -1::bigint as before, null::double as b, 0e0 as cost, 0e0 as dist, 0 as hops from wanted where u in (select node_id from nodes)
+  union all select u, node, before, min(b), min(cost), arg_min(dist, cost), hops from (select w.u, e.dst as node, {before} as before, e.bearing as b, w.cost + e.dist_m * e.pen + {turn} as cost, w.dist + e.dist_m as dist, w.hops + 1 as hops from walk w join edges e on e.src = w.node where w.hops < {hops}) group by u, node, before, hops),
+best as (select u, node as v, min(cost) as cost, arg_min(dist, cost) as dist, arg_min(hops, cost) as hops from walk where (u, node) in (select (u, v) from wanted) group by u, node)"""
+
+
 SQL = {
     "trip_features": f"with {_features_part()} {_features_part(last=True)}",
     "fit_linear": _fit_linear_sql(),
@@ -296,14 +303,7 @@ SQL = {
         union all select s.traj_id, r.o + 1, t.j, r.cost + ((s.a * (t.j + 3)) % 101 + t.j / 7e0) + ((s.b * (3 * t.j + r.j + 1)) % 89 + (3 * t.j + r.j) / 11e0), list_append(r.way, t.j) from r join s on s.traj_id = r.traj_id and s.o = r.o + 1, (select range as j from range(3)) t),
       l as (select traj_id, max(o) as o from s group by 1)
       select r.traj_id, """ + sql_r6("min(cost)", "cost") + """, array_to_string(arg_min(way, row(cost, list_reverse(way))), ',') as states from r join l on r.traj_id = l.traj_id and r.o = l.o group by 1""",
-    "route_turn_costs": f"""with recursive {fx.sql_lattice()},
-      walk as (select 45::bigint as node, -1::bigint as before, null::double as b, 0e0 as cost, 0 as hops
-        union all select node, before, min(b), min(cost), hops from (select e.dst as node, e.src as before, e.bearing as b, walk.hops + 1 as hops,
-          walk.cost + e.dist_m * pen + coalesce(greatest(0, {sql_angle('e.bearing', 'walk.b')} - 55) / 125 * 55, 0) as cost from walk join edges e on e.src = walk.node where walk.hops < 95) group by node, before, hops)
-      select 45::bigint as u, node as v, {sql_r6('min(cost)', 'cost')} from walk group by node""",
-    "route_cost": f"""with recursive {fx.sql_lattice()},
-      c as (select src, dst, dist_m * pen as w from edges),
-      walk as (select 45::bigint as node, 0e0 as cost, 0 as hops
-        union all select node, min(cost), hops from (select c.dst as node, walk.cost + c.w as cost, walk.hops + 1 as hops from walk join c on c.src = walk.node where walk.hops < 95) group by node, hops)
-      select 45::bigint as u, node as v, {sql_r6('min(cost)', 'cost')} from walk group by node""",
+    "route_turns": _route_sql(True) + f" select u, v, {sql_r6('cost', 'cost')}, {sql_r6('dist', 'dist_m')}, hops + 1 as hops from best",
+    "route_turn_costs": _route_sql(True) + f" select u, v, {sql_r6('cost', 'cost')} from best",
+    "route_cost": _route_sql(False) + f" select u, v, {sql_r6('cost', 'cost')} from best",
 }

@@ -35,8 +35,11 @@ def oneway(value) -> Column:
 
 
 def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes(node_id, lon, lat), ways(way_id, refs, highway, oneway)); of repeated tags the last counts."""
-    xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    """(nodes(node_id, lon, lat), ways(way_id, refs, highway, oneway)); of repeated tags the last counts.
+
+    The reader that looks for elements is used, not the one that walks a whole document: it splits a large file over
+    tasks, and elements may lie in several files."""
+    xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", True).schema(schema).load(path)
     nodes = xml("node", NODE).select(F.col("_id").alias("node_id"), F.col("_lon").alias("lon"), F.col("_lat").alias("lat"))
     ways = xml("way", WAY).select(
         F.col("_id").alias("way_id"), F.transform("nd", lambda n: n["_ref"]).alias("refs"),
