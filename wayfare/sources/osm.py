@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_deg, haversine_m
+from . import versions
 
 # Road classes that vehicles may use, and the cost factor of each.
 CLASS_PENALTY = {
@@ -90,19 +91,11 @@ def graph_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def load_or_build(spark: SparkSession, path: str, cache: str, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, segments), kept as Parquet beside a layout version; rebuilt if forced or outdated."""
-    version = "2"
-    names = ("nodes", "edges", "segments")
-    at = {n: f"{cache.rstrip('/')}/v{version}/{n}" for n in names}
-    if not force:
-        try:
-            return tuple(spark.read.parquet(at[n]) for n in names)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    raw, ways = read_osm(spark, path)
-    edges = road_edges(raw, ways)
-    for n, df in zip(names, (graph_nodes(raw, edges), edges, road_segments(raw, ways))):
-        df.write.mode("overwrite").parquet(at[n])
-    return tuple(spark.read.parquet(at[n]) for n in names)
-
+    """(nodes, edges, segments), kept in committed versions of a layout; a new version is built by force or for another layout."""
+    def build() -> dict[str, DataFrame]:
+        raw, ways = read_osm(spark, path)
+        edges = road_edges(raw, ways)
+        return {"nodes": graph_nodes(raw, edges), "edges": edges, "segments": road_segments(raw, ways)}
+
+    got = versions.kept(spark, cache, "3", build, force)
+    return got["nodes"], got["edges"], got["segments"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import finite
+from . import versions
 
 COORD = "struct<lon:double,lat:double>"
 MASKED = f"traj_id long, timestamps array<long>, coords array<{COORD}>, mask array<boolean>"
@@ -79,16 +79,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def append_log(spark: SparkSession, path: str, row: DataFrame, stamp: str) -> DataFrame:
-    """Append one run's metrics to a Parquet log and return the log. ``run_order`` is one more than the log's largest,
-    so runs stay in the order of appending; names and stamps may repeat. One writer at a time."""
-    try:
-        last = spark.read.parquet(path).agg(F.max("run_order")).first()[0]  # one row
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        last = None
-    row.withColumn("stamp", F.lit(stamp)).withColumn("run_order", F.lit((last or 0) + 1)).write.mode("append").parquet(path)
-    return spark.read.parquet(path).orderBy("run_order")
+    """Append one run's metrics to a log and return the log. ``run_order`` counts the commits, so runs stay in the order
+    of appending, whoever appends; names and stamps may repeat."""
+    versions.append(spark, path, row.withColumn("stamp", F.lit(stamp)))
+    return versions.appended(spark, path).orderBy("run_order")
 
 
 def reference_metrics(df: DataFrame) -> DataFrame:
