@@ -64,6 +64,30 @@ def test_search_and_relaxation_agree(spark, lattice):
         assert c == d and c < set(a)
 
 
+def test_relaxation_visits_little(spark, lattice):
+    """The same routes with and without landmarks; no state beyond a pair's cost and the window; landmarks visit less."""
+    nodes, edges, _ = lattice
+    small = nodes.where("node_id % 41 < 16 and node_id < 656").cache()
+    inner = edges.join(small.select(F.col("node_id").alias("src")), "src", "left_semi").join(small.select(F.col("node_id").alias("dst")), "dst", "left_semi").cache()
+    pairs = spark.createDataFrame([(0, 4), (126, 215), (300, 45)], "u long, v long")
+    want = {(r.u, r.v): r.cost for r in routing.routes(pairs, inner, small, most=None).collect()}
+    marks = routing.landmarks(inner, small, 4)
+    m = {r.node_id: r for r in marks.collect()}
+    assert len(m) == small.count() and all(len(r.away) == len(r.back) <= 4 for r in m.values())
+    visited = {}
+    for name, table in (("line", None), ("marks", marks)):
+        s = routing._search(pairs, inner, small, 1.0, 55.0, 55.0, None, table, 600.0, 500).cache()
+        got = {(r.u, r.v): r.c for r in s.where("node = v").groupBy("u", "v").agg(F.min("cost").alias("c")).collect()}
+        assert got == {k: pytest.approx(c) for k, c in want.items()}
+        closed = s.where("not open")
+        visited[name] = closed.count()
+        for r in closed.groupBy("u", "v").agg(F.max("bound").alias("b")).collect():
+            # a state is grown only within the window of the least open bound, which never passes the route's cost; its edge adds at most its own length
+            assert r.b <= want[r.u, r.v] + 600.0 + 1e-6
+    flood = small.count() * 3 * 3  # states of all pairs, about three ways into each node
+    assert visited["marks"] < visited["line"] < flood / 2
+
+
 def test_viterbi_equals_enumeration(spark):
     rng = np.random.default_rng(3)
     rows, want = [], {}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, angle_diff_deg, haversine_m
-from ..sources.work import settled, shared_folder
+from ..sources.work import Rounds, settled
 
 BROADCAST_EDGES = 2_000_000
 #: Costs in metres that differ by less count as equal where states are counted.
@@ -94,6 +95,17 @@ class _Graph:
         return None
 
 
+_KEPT: dict[str, _Graph] = {}
+
+
+def _kept_graph(token: str, held) -> _Graph:
+    """The graph of a job, built once per worker process, which keeps one."""
+    if token not in _KEPT:
+        _KEPT.clear()
+        _KEPT[token] = _Graph(*held.value)
+    return _KEPT[token]
+
+
 def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, most: int | None = 7000, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """u, v, dist_m (true length of the preferred route), cost, path for each distinct pair that has a route.
 
@@ -109,10 +121,11 @@ def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: f
     used = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
     held = spark.sparkContext.broadcast((edges.select("src", "dst", "dist_m", "bearing", "class_penalty").toPandas(), nodes.select("node_id", "lon", "lat").join(used, "node_id", "left_semi").toPandas()))  # bounded above
 
+    token = uuid.uuid4().hex
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = None
         for b in batches:
-            graph = graph or _Graph(*held.value)
+            graph = _kept_graph(token, held)
             rows = []
             for u, v in zip(b["u"].tolist(), b["v"].tolist()):
                 got = graph.route(u, v, class_weight, turn_penalty_m, turn_threshold_deg, most)
@@ -125,37 +138,109 @@ def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: f
     return settled(want.repartition(parts, "u", "v").mapInPandas(run, ROUTE).unionByName(same), "routes")
 
 
-def relax(want: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, most: int | None = None, rounds: int = 10_000) -> DataFrame:
-    """Routes between different nodes by rounds of joins: the frontier of all pairs grows by one edge; states that cost more than the best known
-    one, or whose lower bound exceeds a route already found, are dropped, until no frontier is left. Checkpointed every
-    round. Raises if the rounds run out first."""
+def landmarks(edges: DataFrame, nodes: DataFrame, count: int = 8, class_weight: float = 1.0, rounds: int = 10_000) -> DataFrame:
+    """(node_id, away array, back array): least costs, without turn cost, from each landmark to the node and from the node to
+    each landmark; infinite where there is no way. Landmarks are the outermost nodes of ``count`` directions.
+
+    Rounds of joins over (landmark, node); only nodes that got nearer go on. As many rounds as the longest cheapest route has
+    edges, so the table is made once per map and kept (``sources.versions``)."""
+    spark = edges.sparkSession
+    used = nodes.join(edges.select(F.col("src").alias("node_id")).union(edges.select(F.col("dst").alias("node_id"))).distinct(), "node_id", "left_semi")
+    turns = [2 * math.pi * k / count for k in range(count)]
+    far = used.agg(*[F.max_by("node_id", F.struct(F.col("lon") * math.cos(t) + F.col("lat") * math.sin(t), -F.col("node_id"))).alias(str(k)) for k, t in enumerate(turns)]).first()
+    chosen = list(dict.fromkeys(far[str(k)] for k in range(count) if far[str(k)] is not None))
+    if not chosen:
+        return nodes.limit(0).select("node_id", F.array().cast("array<double>").alias("away"), F.array().cast("array<double>").alias("back"))
+    step = settled(edges.select("src", "dst", edge_cost(F.col("dist_m"), F.col("class_penalty"), class_weight).alias("c")).groupBy("src", "dst").agg(F.min("c").alias("c")), "steps")
+    # both directions at once: ``out`` tells whether edges are walked forwards
+    both = step.select(F.lit(True).alias("out"), F.col("src").alias("at"), F.col("dst").alias("to"), "c").unionByName(step.select(F.lit(False).alias("out"), F.col("dst").alias("at"), F.col("src").alias("to"), "c"))
+    start = [(o, k, n, 0.0, True) for k, n in enumerate(chosen) for o in (True, False)]
+    kept = Rounds(spark, "landmarks")
+    best = kept.put(spark.createDataFrame(start, "out boolean, mark int, at long, cost double, open boolean"))
+    for _ in range(rounds):
+        grown = best.where("open").join(both, ["out", "at"]).select("out", "mark", F.col("to").alias("at"), (F.col("cost") + F.col("c")).alias("cost"), F.lit(True).alias("open"))
+        every = best.withColumn("open", F.lit(False)).unionByName(grown)
+        best = kept.put(every.groupBy("out", "mark", "at").agg(F.min(F.struct("cost", "open")).alias("s")).select("out", "mark", "at", "s.cost", "s.open"))
+        if best.where("open").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"landmarks are not settled after {rounds} rounds")
+    row = lambda out: F.transform(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda k: F.coalesce(F.element_at(F.map_from_entries(F.collect_list(F.when(F.col("out") == out, F.struct("mark", "cost")))), k), F.lit(float("inf"))))
+    return settled(best.groupBy(F.col("at").alias("node_id")).agg(row(True).alias("away"), row(False).alias("back")), "landmarks")
+
+
+def _lower(away, back, away_v, back_v):
+    """Lower bound from a node to the target by the triangle rule, over all landmarks: away(v) - away(n) and back(n) - back(v);
+    pairs of infinities say nothing."""
+    gap = lambda a, b: F.when((a < float("inf")) & (b < float("inf")), a - b).otherwise(0.0)
+    one = F.coalesce(F.array_max(F.zip_with(away_v, away, gap)), F.lit(0.0))
+    two = F.coalesce(F.array_max(F.zip_with(back, back_v, gap)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), one, two)
+
+
+def relax(want: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, most: int | None = None, marks: DataFrame | None = None, window_m: float = 2000.0, rounds: int = 10_000) -> DataFrame:
+    """Routes between different nodes by rounds of joins, for graphs that no task can hold.
+
+    All pairs advance together, each from its own cheapest states: a round grows the open states whose lower bound (cost so
+    far plus a bound of the rest) lies within ``window_m`` of the pair's least one. So a pair never visits a state whose
+    bound exceeds its route's cost by more than the window, from the first round on, and it ends as soon as no open
+    state can be cheaper. The rest is bounded by the straight line, or by ``marks`` (``landmarks`` of the same class weight) where
+    they say more. ``most`` ends a pair as soon as that many settled states lie below all open ones; it is defined by the straight line, so marks are
+    not used with it. Each round writes one table. Raises if the rounds run out first."""
+    states = _search(want, edges, nodes, class_weight, turn_penalty_m, turn_threshold_deg, most, marks, window_m, rounds)
+    out = states.where("node = v").groupBy("u", "v").agg(F.min_by(F.struct("dist_m", "cost", "path"), F.struct("cost", "dist_m")).alias("s")).select("u", "v", "s.dist_m", "s.cost", "s.path")
+    if most is None:
+        return out
+    size = states.join(out.select("u", "v", F.col("cost").alias("_goal")), ["u", "v"]).where(f"bound < _goal - {SAME_COST}").groupBy("u", "v").agg(F.count("*").alias("_n")).where(F.col("_n") >= most)
+    return out.join(size.select("u", "v"), ["u", "v"], "left_anti")
+
+
+def _search(want: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float, turn_penalty_m: float, turn_threshold_deg: float, most: int | None, marks: DataFrame | None, window_m: float, rounds: int) -> DataFrame:
+    """All states that the pairs visited, as a written table."""
     spark = want.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    place = lambda c: nodes.select(F.col("node_id").alias(c), F.col("lon").alias(f"_x_{c}"), F.col("lat").alias(f"_y_{c}"))
-    e = edges.select("src", "dst", F.col("dist_m").alias("d2"), F.col("bearing").alias("b2"), edge_cost(F.col("dist_m"), F.col("class_penalty"), class_weight).alias("c2")).join(place("dst"), "dst").join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi").checkpoint()
-    state = want.join(place("u"), "u").join(place("v"), "v").select(
-        "u", "v", "_x_v", "_y_v", F.col("u").alias("node"), F.lit(-1).cast("long").alias("before"), F.lit(None).cast("double").alias("bearing"), F.lit(0.0).alias("cost"),
-        haversine_m("_x_u", "_y_u", "_x_v", "_y_v").alias("bound"), F.lit(0.0).alias("dist_m"), F.array("u").alias("path")).checkpoint()
+    place = nodes.select("node_id", "lon", "lat")
+    if marks is not None and most is None:
+        place = place.join(marks, "node_id", "left")
+    else:
+        place = place.withColumns({c: F.lit(None).cast("array<double>") for c in ("away", "back")})
+    place = settled(place, "places")
+    at = lambda c: place.select(F.col("node_id").alias(c), *[F.col(x).alias(f"_{x}_{c}") for x in ("lon", "lat", "away", "back")])
+    e = edges.select("src", "dst", F.col("dist_m").alias("d2"), F.col("bearing").alias("b2"), edge_cost(F.col("dist_m"), F.col("class_penalty"), class_weight).alias("c2"))
+    e = settled(e.join(at("dst"), "dst").join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi"), "steps")
+
+    def rest(n: str):
+        straight = haversine_m(f"_lon_{n}", f"_lat_{n}", "_lon_v", "_lat_v")
+        by_marks = _lower(F.col(f"_away_{n}"), F.col(f"_back_{n}"), F.col("_away_v"), F.col("_back_v"))
+        return F.greatest(straight, by_marks)
+
+    kept = Rounds(spark, "states")
+    target = ["_lon_v", "_lat_v", "_away_v", "_back_v"]
+    goals = settled(want.join(at("v"), "v").select("u", "v", *target), "goals")
+    state = kept.put(goals.join(at("u"), "u").select(
+        "u", "v", F.col("u").alias("node"), F.lit(-1).cast("long").alias("before"), F.lit(None).cast("double").alias("bearing"), F.lit(0.0).alias("cost"),
+        rest("u").alias("bound"), F.lit(0.0).alias("dist_m"), F.array("u").alias("path"), F.lit(True).alias("open")))
     key = ["u", "v", "node", "before"]
-    best, front = state, state
+    inner = [c for c in state.columns if c not in key]
     for _ in range(rounds):
+        pair = state.groupBy("u", "v").agg(F.min(F.when(F.col("open"), F.col("bound"))).alias("_least"), F.min(F.when(F.col("node") == F.col("v"), F.col("cost"))).alias("_goal"))
+        if most is not None:
+            # with the straight line a state below all open ones is settled for good
+            done = state.where("not open").join(pair, ["u", "v"]).where(f"bound < _least - {SAME_COST}").groupBy("u", "v").agg(F.count("*").alias("_n"))
+            pair = pair.join(done, ["u", "v"], "left").where(F.coalesce(F.col("_n"), F.lit(0)) < most).drop("_n")
+        live = f"_least is not null and (_goal is null or bound < _goal + {SAME_COST}) and bound <= _least + {window_m}"
+        marked = state.join(pair, ["u", "v"], "left").withColumn("_grow", F.expr(f"open and node <> v and {live}")).drop("_least", "_goal")
         cost = F.col("cost") + F.col("c2") + turn_cost(F.col("bearing"), F.col("b2"), turn_penalty_m, turn_threshold_deg)
-        grown = front.where("node <> v").join(e, front["node"] == e["src"]).select(
-            "u", "v", "_x_v", "_y_v", F.col("dst").alias("node"), F.col("node").alias("before"), F.col("b2").alias("bearing"), cost.alias("cost"),
-            (cost + haversine_m("_x_dst", "_y_dst", "_x_v", "_y_v")).alias("bound"), (F.col("dist_m") + F.col("d2")).alias("dist_m"), F.concat("path", F.array("dst")).alias("path"))
-        cols = [c for c in grown.columns if c not in key]
-        grown = grown.groupBy(*key).agg(F.min_by(F.struct(*cols), "cost").alias("s")).select(*key, *[F.col(f"s.{c}").alias(c) for c in cols])
-        old = best.select(*key, F.col("cost").alias("_old"))
-        found = best.where("node = v").groupBy("u", "v").agg(F.min("cost").alias("_goal"))
-        front = grown.join(old, key, "left").join(found, ["u", "v"], "left").where(f"(_old is null or cost < _old) and (_goal is null or bound < _goal + {SAME_COST})").drop("_old", "_goal").select(*state.columns).checkpoint()
-        if front.isEmpty():
+        grown = marked.where("_grow").join(goals, ["u", "v"]).join(e, F.col("node") == F.col("src")).select(
+            "u", "v", F.col("dst").alias("node"), F.col("node").alias("before"), F.col("b2").alias("bearing"), cost.alias("cost"), (cost + rest("dst")).alias("bound"),
+            (F.col("dist_m") + F.col("d2")).alias("dist_m"), F.concat("path", F.array("dst")).alias("path"), (F.col("dst") != F.col("v")).alias("open"), F.lit(True).alias("_new"), F.lit(True).alias("_hit"))
+        old = marked.select(*state.columns, F.lit(False).alias("_new"), F.coalesce("_grow", F.lit(False)).alias("_hit")).withColumn("open", F.col("open") & ~F.col("_hit"))
+        every = old.unionByName(grown)
+        nxt = every.groupBy(*key).agg(F.min_by(F.struct(*inner, "_hit"), F.struct("cost", "_new")).alias("s")).select(*key, *[F.col(f"s.{c}").alias(c) for c in [*inner, "_hit"]])
+        state = kept.put(nxt)
+        ended = state.where("_hit").isEmpty()
+        state = state.drop("_hit")
+        if ended:
             break
-        best = best.join(front.select(*key), key, "left_anti").unionByName(front).checkpoint()
     else:
         raise RuntimeError(f"routes are not settled after {rounds} rounds")
-    out = best.where("node = v").groupBy("u", "v").agg(F.min_by(F.struct("dist_m", "cost", "path"), F.struct("cost", "dist_m")).alias("s")).select("u", "v", "s.dist_m", "s.cost", "s.path")
-    if most is None:
-        return out
-    size = best.join(out.select("u", "v", F.col("cost").alias("_goal")), ["u", "v"]).where(f"bound < _goal - {SAME_COST}").groupBy("u", "v").agg(F.count("*").alias("_n")).where(F.col("_n") >= most)
-    return out.join(size.select("u", "v"), ["u", "v"], "left_anti")
+    return state
