@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wayfare.functions.geo import metres_to_degrees
 from wayfare.operators import decode, recovery, routing, spatial
 from wayfare.plans import fixtures as fx
 from wayfare.sources import osm
@@ -51,6 +52,28 @@ def test_grid_joins_do_not_depend_on_the_cell(spark, lattice):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_long_segments_lie_in_few_cells(spark):
+    """Segments of any length take four cells at most, and joins find the same pairs as all pairs do."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        x, y, reach = 108 + rng.random(), 34 + rng.random(), 10.0 ** rng.uniform(-4, 0.5)
+        rows.append((str(k), float(x), float(y), float(x + reach * rng.normal()), float(y + reach * rng.normal())))
+    segs = osm.with_bbox(spark.createDataFrame(rows, "seg_id string, lon1 double, lat1 double, lon2 double, lat2 double"))
+    s, levels = spatial._levels(segs, 0.003)
+    size = 0.003 * F.pow(F.lit(2.0), F.col("_level"))
+    cells = (F.floor(F.col("max_lon") / size) - F.floor(F.col("min_lon") / size) + 1) * (F.floor(F.col("max_lat") / size) - F.floor(F.col("min_lat") / size) + 1)
+    assert s.agg(F.max(cells)).first()[0] <= 4 and len(levels) > 5
+    p = spark.createDataFrame([(0, k, float(108 + rng.random()), float(34 + rng.random())) for k in range(80)], "traj_id long, idx long, lon double, lat double")
+    got = {(r.idx, r.seg_id) for r in spatial.near_segments(p, segs, 900.0).collect()}
+    dx, dy = metres_to_degrees(900.0, F.col("lat")), metres_to_degrees(900.0)
+    want = p.crossJoin(segs).where((F.col("max_lon") >= F.col("lon") - dx) & (F.col("min_lon") <= F.col("lon") + dx) & (F.col("max_lat") >= F.col("lat") - dy) & (F.col("min_lat") <= F.col("lat") + dy))
+    assert got == {(r.idx, r.seg_id) for r in want.select("idx", "seg_id").collect()} and got
+    near = {r.idx: r.road_m for r in spatial.nearest_road(p, segs, 900.0).collect()}
+    once = {r.idx: r.m for r in spatial.near_segments(p, segs, 3600.0).groupBy("idx").agg(F.min("dist_m").alias("m")).collect()}
+    assert near == {k: once.get(k) for k in range(80)}
+
+
 def test_search_and_relaxation_agree(spark, lattice):
     nodes, edges, _ = lattice
     small = nodes.where("node_id % 41 < 6 and node_id < 246")

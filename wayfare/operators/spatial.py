@@ -70,26 +70,46 @@ def snap(points: DataFrame, nodes: DataFrame, radius, key: tuple[str, ...] = ("t
     return j.withColumn("lon", F.when(inside, F.col("node_lon")).otherwise(F.col("lon"))).withColumn("lat", F.when(inside, F.col("node_lat")).otherwise(F.col("lat"))).select(*points.columns)
 
 
-def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003, by: tuple[str, ...] = ()) -> DataFrame:
+def _levels(segments: DataFrame, cell: float) -> tuple[DataFrame, list[int]]:
+    """segments with _level, the first level of doubled cells as long as the segment's box, and the levels in use (a few)."""
+    long = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(long, F.lit(1e-12)) / cell))).cast("int")
+    s = segments.where(long.isNotNull()).withColumn("_level", level)
+    return s, sorted(r[0] for r in s.select("_level").distinct().collect())
+
+
+def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003, by: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
     """points ⋈ segments whose bounding box touches the point's box of the radius, with dist_m. ``by`` names columns of
-    the key that a segment must share.
+    the key that a segment must share; ``more`` names columns of the points to keep.
 
-    Both sides are spread over cells; a pair counts only in the lower left cell of its common area, so no distinct
-    is needed. A segment on the map spans few cells; long ones span more."""
+    The grid has levels of doubled cells. A segment lies on the level whose cells are as long as it is, so in four of them at
+    most, however long it is; a point probes the cells that its box touches on every level in use. A pair counts only
+    in the lower left cell of its common area, so no distinct is needed."""
+    s, levels = _levels(segments, cell)
     dx, dy = metres_to_degrees(radius, F.col("lat")), metres_to_degrees(radius)
-    q = points.where("lon is not null and lat is not null").select(*key, "lon", "lat", (F.col("lon") - dx).alias("_x0"), (F.col("lon") + dx).alias("_x1"), (F.col("lat") - dy).alias("_y0"), (F.col("lat") + dy).alias("_y1"))
-    q = q.withColumn("_gx", F.explode(F.sequence(_cell(F.col("_x0"), cell), _cell(F.col("_x1"), cell)))).withColumn("_gy", F.explode(F.sequence(_cell(F.col("_y0"), cell), _cell(F.col("_y1"), cell))))
-    s = segments.withColumn("_gx", F.explode(F.sequence(_cell(F.col("min_lon"), cell), _cell(F.col("max_lon"), cell)))).withColumn("_gy", F.explode(F.sequence(_cell(F.col("min_lat"), cell), _cell(F.col("max_lat"), cell))))
-    j = q.join(s, ["_gx", "_gy", *by])
-    first = (F.col("_gx") == F.greatest(_cell(F.col("_x0"), cell), _cell(F.col("min_lon"), cell))) & (F.col("_gy") == F.greatest(_cell(F.col("_y0"), cell), _cell(F.col("min_lat"), cell)))
+    q = points.where("lon is not null and lat is not null").select(*key, *more, "lon", "lat", (F.col("lon") - dx).alias("_x0"), (F.col("lon") + dx).alias("_x1"), (F.col("lat") - dy).alias("_y0"), (F.col("lat") + dy).alias("_y1"))
+    size = cell * F.pow(F.lit(2.0), F.col("_level"))
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
+    q = q.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("_gx", span("_x0", "_x1")).withColumn("_gy", span("_y0", "_y1"))
+    s = s.withColumn("_gx", span("min_lon", "max_lon")).withColumn("_gy", span("min_lat", "max_lat"))
+    j = q.join(s, ["_level", "_gx", "_gy", *by])
+    first = (F.col("_gx") == F.greatest(at("_x0"), at("min_lon"))) & (F.col("_gy") == F.greatest(at("_y0"), at("min_lat")))
     touch = (F.col("max_lon") >= F.col("_x0")) & (F.col("min_lon") <= F.col("_x1")) & (F.col("max_lat") >= F.col("_y0")) & (F.col("min_lat") <= F.col("_y1"))
-    return j.where(first & touch).select(*key, "seg_id", "lon1", "lat1", "lon2", "lat2", point_segment_m("lon", "lat", "lon1", "lat1", "lon2", "lat2").alias("dist_m"))
+    return j.where(first & touch).select(*key, *more, "seg_id", "lon1", "lat1", "lon2", "lat2", point_segment_m("lon", "lat", "lon1", "lat1", "lon2", "lat2").alias("dist_m"))
 
 
 def nearest_road(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003) -> DataFrame:
-    """key, road_m: distance to the nearest road. The search grows to twice and four times the radius while the best
-    found lies beyond it; one join at the largest radius gives the same. Null if nothing is that near."""
-    got = near_segments(points, segments, 4 * radius, key, cell).groupBy(*key).agg(F.min("dist_m").alias("road_m"))
+    """key, road_m: distance to the nearest road. Points whose nearest road within the radius is not found search on at
+    twice, then at four times the radius. Null if nothing is that near."""
+    got, rest = None, points.select(*key, "lon", "lat")
+    for times in (1, 2, 4):
+        reach = times * radius
+        found = settled(near_segments(rest, segments, reach, key, cell).groupBy(*key).agg(F.min("dist_m").alias("road_m")), "near")
+        if times < 4:
+            found = found.where(F.col("road_m") <= reach)
+            rest = rest.join(found.select(*key), list(key), "left_anti")
+        got = found if got is None else got.unionByName(found)
     return points.select(*key).join(got, list(key), "left")
 
 
