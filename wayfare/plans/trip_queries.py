@@ -11,9 +11,9 @@ from ..functions.geo import haversine_m
 from ..operators import features, metrics, recovery, routing, sequence as seq, travel_time
 from ..sources import schemas
 from ..sources.work import settled
-from . import fixtures as fx
+from . import fixtures as fx, recovery_sql
 from .fixtures import r6, sql_angle, sql_bearing, sql_hav, sql_r6
-from .recovery_queries import _ladder
+from .recovery_queries import _AH, _KNN, _ladder
 
 
 def trip_features(spark, sf_dir):
@@ -270,6 +270,9 @@ def _route_sql(turns: bool, hops: int = 95) -> str:
 best as (select u, node as v, min(cost) as cost, arg_min(dist, cost) as dist, arg_min(hops, cost) as hops from walk where (u, node) in (select (u, v) from wanted) group by u, node)"""
 
 
+#: SQL of the candidates within 300 m, of those within 500 m for points without any, and of the headings.
+_MATCH = (_KNN(300, "ah"), _KNN(500, "re"), _AH)
+
 SQL = {
     "trip_features": f"with {_features_part()} {_features_part(last=True)}",
     "fit_linear": _fit_linear_sql(),
@@ -303,6 +306,9 @@ SQL = {
         union all select s.traj_id, r.o + 1, t.j, r.cost + ((s.a * (t.j + 3)) % 101 + t.j / 7e0) + ((s.b * (3 * t.j + r.j + 1)) % 89 + (3 * t.j + r.j) / 11e0), list_append(r.way, t.j) from r join s on s.traj_id = r.traj_id and s.o = r.o + 1, (select range as j from range(3)) t),
       l as (select traj_id, max(o) as o from s group by 1)
       select r.traj_id, """ + sql_r6("min(cost)", "cost") + """, array_to_string(arg_min(way, row(cost, list_reverse(way))), ',') as states from r join l on r.traj_id = l.traj_id and r.o = l.o group by 1""",
+    "recover_map": recovery_sql.recover_map(),
+    "recover_hmm": recovery_sql.recover_hmm(*_MATCH),
+    "recover_hmm_outcomes": recovery_sql.outcomes(*_MATCH),
     "route_turns": _route_sql(True) + f" select u, v, {sql_r6('cost', 'cost')}, {sql_r6('dist', 'dist_m')}, hops + 1 as hops from best",
     "route_turn_costs": _route_sql(True) + f" select u, v, {sql_r6('cost', 'cost')} from best",
     "route_cost": _route_sql(False) + f" select u, v, {sql_r6('cost', 'cost')} from best",
