@@ -242,11 +242,28 @@ def fusion(g: DataFrame, o: HmmOptions) -> DataFrame:
     return g.withColumn("alpha", alpha).withColumn("snap_radius", radius.cast("double")).drop("_lo", "_hi", "_pure")
 
 
+@dataclass(frozen=True)
+class Recovered:
+    """points: filled; gaps: each with its reason, conf and alpha; failed(traj_id, n): trajectories of n anchors of which one has
+    no candidate."""
+
+    points: DataFrame
+    gaps: DataFrame
+    failed: DataFrame
+
+
 def recover_hmm(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOptions = HmmOptions()) -> tuple[DataFrame, DataFrame]:
-    """(points filled, gaps with their reason): map matching of the anchors, then per gap route, gates, sampling,
-    snapping, blend, and the optional smoothing, curvature limit and binding, in this order; known points stay."""
+    """(points filled, gaps with their reason) of run_hmm."""
+    r = run_hmm(points, nodes, edges, o)
+    return r.points, r.gaps
+
+
+def run_hmm(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOptions = HmmOptions()) -> Recovered:
+    """Map matching of the anchors, then per gap route, gates, sampling, snapping, blend, and the optional smoothing,
+    curvature limit and binding, in this order; known points stay."""
     base = seq.interpolate(points, o.interpolation)
     chosen, r, failed = match(points, nodes, edges, o)
+    failed = settled(failed, "failed")
     every = _anchor_gaps(points, 1)
     g = every.where(F.col("missing_count") >= o.min_gap)
     end = lambda i, n: chosen.select("traj_id", F.col("idx").alias(f"{n}_idx"), F.col("node_id").alias(f"n{i}"), F.col("node_lon").alias(f"slon{i}"), F.col("node_lat").alias(f"slat{i}"), F.col("snap_m").alias(f"snap{i}"))
@@ -279,7 +296,7 @@ def recover_hmm(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOpt
     reasons = every.select(*KEY, "end_idx", "missing_count").join(g.select(*KEY, F.lit(True).alias("tried"), "reason", "conf", "alpha"), list(KEY), "left")
     none = failed.select("traj_id", F.lit(True).alias("_f"))
     reasons = reasons.join(none, "traj_id", "left").withColumn("reason", F.when(F.col("_f"), "no_candidates").when(F.col("tried").isNull(), "short_gap").otherwise(F.col("reason"))).drop("_f", "tried")
-    return _merge(points, base, f), reasons
+    return Recovered(_merge(points, base, f), reasons, failed)
 
 
 def _toward(f: DataFrame, s: DataFrame, where: Column, strength: float) -> DataFrame:
@@ -310,4 +327,17 @@ def counters(reasons: DataFrame) -> DataFrame:
     return reasons.groupBy(F.coalesce("reason", F.lit("map")).alias("outcome")).agg(F.count("*").alias("count"))
 
 
-__all__ = ["HmmOptions", "MapOptions", "confidence", "counters", "fusion", "gap_position", "match", "recover_hmm", "recover_linear", "recover_map", "replace", "transition_cost", "viterbi"]
+def statistics(r: Recovered) -> DataFrame:
+    """One row of ten counters. A trajectory without candidates counts all its pairs of neighbouring anchors as
+    ``fallback_no_candidates`` and none of its gaps; ``fallback_low_confidence`` is the sum of the four gates."""
+    g = r.gaps.where("reason is null or reason <> 'no_candidates'")
+    is_ = lambda *names: F.count_if(F.coalesce(F.col("reason").isin(*names), F.lit(False)))
+    gates = ("snap_too_far", "detour_too_large", "speed_too_low", "speed_too_high")
+    one = g.agg(
+        F.count("*").alias("segments_total"), F.count_if(F.coalesce(F.col("reason") != "short_gap", F.lit(True))).alias("segments_try_map"), F.count_if(F.col("reason").isNull()).alias("segments_map_success"),
+        is_("no_path", "no_match").alias("fallback_no_path"), is_(*gates).alias("fallback_low_confidence"), *[is_(n).alias(f"fallback_{n}") for n in gates])
+    lost = r.failed.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("fallback_no_candidates"))
+    return one.join(lost, F.lit(True))  # one row each
+
+
+__all__ = ["HmmOptions", "MapOptions", "confidence", "counters", "fusion", "gap_position", "match", "recover_hmm", "recover_linear", "recover_map", "replace", "run_hmm", "statistics", "transition_cost", "viterbi"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from . import fixtures as fx
 from .fixtures import sql_angle, sql_bearing, sql_hav, sql_r6
 
@@ -80,11 +82,11 @@ ve as (select traj_id, max(o) as o from cd group by 1), vb as (select vi.traj_id
 chosen as materialized (select cd.traj_id, cd.idx, node_id, cd.lon as slon, cd.lat as slat, d as snap from cd join vb on vb.traj_id = cd.traj_id and way[cd.o + 1] = rank)"""
 
 
-def _hmm(knn: str, rest: str, headings: str) -> str:
+def _hmm(knn: str, rest: str, headings: str, max_snap: float = 500, max_detour: float = 6) -> str:
     end = lambda k, i: f"left join chosen {k} on {k}.traj_id = gap.traj_id and {k}.idx = {i}"
     return f"""with recursive {fx.sql_points()}, {fx.sql_linear()}, {fx.sql_roads()}, {_gaps(1)}, {_matched(knn, rest, headings)},
 gm as (select gap.*, a.node_id as n0, a.slon as slon0, a.slat as slat0, a.snap as snap0, b.node_id as n1, b.slon as slon1, b.slat as slat1, b.snap as snap1 from gap {end('a', 'start_idx')} {end('b', 'end_idx')} where missing >= 4),
-gr as (select gm.*, dist, path from gm left join ro on u = n0 and v = n1), {_gates('gr', 500, 6, 0, 48)}"""
+gr as (select gm.*, dist, path from gm left join ro on u = n0 and v = n1), {_gates('gr', max_snap, max_detour, 0, 48)}"""
 
 
 def recover_hmm(knn: str, rest: str, headings: str) -> str:
@@ -97,6 +99,46 @@ al as (select traj_id, start_idx, case when conf >= 0.85 then 1e0 else greatest(
 select l.traj_id, l.idx, {pick('lon', 1)}, {pick('lat', 2)} from lin l left join sampled s on s.traj_id = l.traj_id and s.idx = l.idx left join al on al.traj_id = s.traj_id and al.start_idx = s.start_idx left join sn on sn.traj_id = s.traj_id and sn.idx = s.idx"""
 
 
+def statistics(knn: str, rest: str, headings: str, max_snap: float, max_detour: float) -> str:
+    gates = ("snap_too_far", "detour_too_large", "speed_too_low", "speed_too_high")
+    each = ", ".join(f"count(*) filter (reason = '{g}') as fallback_{g}" for g in gates)
+    return f"""{_hmm(knn, rest, headings, max_snap, max_detour)}, w as (select g.traj_id is not null as tried, g.reason from gap left join gated g on g.traj_id = gap.traj_id and g.start_idx = gap.start_idx where gap.traj_id not in (select traj_id from failed))
+select count(*) as segments_total, count(*) filter (tried) as segments_try_map, count(*) filter (tried and reason is null) as segments_map_success, count(*) filter (reason in ('no_path', 'no_match')) as fallback_no_path,
+  count(*) filter (reason in {gates}) as fallback_low_confidence, {each}, (select coalesce(sum(n - 1), 0)::bigint from per where traj_id in (select traj_id from failed)) as fallback_no_candidates from w"""
+
+
+def recover_hmm_post(knn: str, rest: str, headings: str) -> str:
+    """With sharp turns, smoothing of gaps of confidence below 0.5, limited turns from a speed deviation of 0.1 on, and binding
+    of gaps of confidence below 0.6."""
+    ref = "greatest(straight / dt, 0.1e0)"
+    legs = "(partition by traj_id, start_idx order by i)"
+    part = "(partition by traj_id, start_idx order by idx)"
+    near = lambda src, name: f"""{name} as (select s.traj_id, s.idx, arg_min(row(n.lon, n.lat), row({sql_hav('s.lon', 's.lat', 'n.lon', 'n.lat')}, n.node_id)) as b from {src} s join nodes n on abs(n.lon - s.lon) < 0.002 and abs(n.lat - s.lat) < 0.002 where {sql_hav('s.lon', 's.lat', 'n.lon', 'n.lat')} <= 45 group by all)"""
+    agree = lambda h, r: f"coalesce({sql_angle(h, r)} <= 60, true)"
+    ws = {k: math.exp(-0.5 * k * k) for k in range(-2, 3)}
+    shift = lambda c, k: f"lag({c}, {k}) over {part}" if k > 0 else f"lead({c}, {-k}) over {part}" if k < 0 else c
+    gauss = lambda c: "(" + " + ".join(f"coalesce({shift(c, k)} * {w!r}, 0)" for k, w in ws.items()) + ") / (" + " + ".join(f"case when {shift(c, k)} is not null then {w!r} else 0 end" for k, w in ws.items()) + ")"
+    turn = f"coalesce({sql_angle(sql_bearing('b.lon', 'b.lat', 'b.nlon', 'b.nlat'), sql_bearing('a.lon', 'a.lat', 'b.lon', 'b.lat'))}, 0)"
+    move = lambda c: f"case when b.nlon is not null and {turn} > 20 then (a.{c} + b.n{c}) / 2 else b.{c} end"
+    return f"""{_hmm(knn, rest, headings)}, {_sampled(('slon0', 'slat0', 'slon1', 'slat1'))}, {near('sampled', 'sn')},
+cf as (select *, abs(speed - {ref}) / greatest({ref}, 0.5e0) as sdev from gated where reason is null),
+cg as (select *, greatest(0e0, least(1e0, exp(-((snap0 + snap1) / 2) / 55) * exp(-greatest(0, detour - 1) / 1.6e0) * exp(-sdev / 1.2e0))) as conf from cf),
+vu as (select traj_id, start_idx, i, case when d is not null then {sql_bearing('lon', 'lat', 'lon2', 'lat2')} end as br from vd), vw as (select *, lag(br) over {legs} as pbr from vu),
+tu as (select traj_id, start_idx, coalesce(max({sql_angle('br', 'pbr')}), 0) as sharp from vw group by all),
+en as (select traj_id, start_idx, arg_min(br, i) filter (i = 0) as r0, max(br) filter (i = last) as r1 from (select *, max(i) over (partition by traj_id, start_idx) - 1 as last from vu) group by all),
+al as materialized (select cg.traj_id, cg.start_idx, missing, conf, sdev, case when sharp >= 30 and conf >= 0.1 and {agree('h0.heading', 'r0')} and {agree('h1.heading', 'r1')} then greatest(0.9e0, alpha) else alpha end as alpha
+  from (select *, case when conf >= 0.85 then 1e0 else greatest(0.45e0, least(0.9e0, 0.45e0 + (0.9e0 - 0.45e0) * conf)) end as alpha from cg) cg left join tu using (traj_id, start_idx) left join en using (traj_id, start_idx)
+  left join ah h0 on h0.traj_id = cg.traj_id and h0.idx = cg.start_idx left join ah h1 on h1.traj_id = cg.traj_id and h1.idx = cg.end_idx),
+f0 as materialized (select s.traj_id, s.start_idx, s.idx, missing, conf, sdev, alpha * coalesce(b[1], s.lon) + (1 - alpha) * l.lon as lon, alpha * coalesce(b[2], s.lat) + (1 - alpha) * l.lat as lat
+  from sampled s join al on al.traj_id = s.traj_id and al.start_idx = s.start_idx join lin l on l.traj_id = s.traj_id and l.idx = s.idx left join sn on sn.traj_id = s.traj_id and sn.idx = s.idx),
+f1 as materialized (select * replace (case when conf < 0.5 and missing >= 3 then (1 - 0.75e0) * lon + 0.75e0 * glon else lon end as lon, case when conf < 0.5 and missing >= 3 then (1 - 0.75e0) * lat + 0.75e0 * glat else lat end as lat) from (select *, {gauss('lon')} as glon, {gauss('lat')} as glat from f0)),
+f1p as materialized (select traj_id, start_idx, idx, lon, lat, lead(lon) over {part} as nlon, lead(lat) over {part} as nlat from f1),
+lt as (select traj_id, start_idx, idx, lon, lat from f1p where idx = start_idx + 1 union all select b.traj_id, b.start_idx, b.idx, {move('lon')}, {move('lat')} from lt a join f1p b on b.traj_id = a.traj_id and b.start_idx = a.start_idx and b.idx = a.idx + 1),
+f2 as materialized (select f1.traj_id, f1.start_idx, f1.idx, conf, case when sdev >= 0.1 and missing >= 3 then (1 - 0.8e0) * f1.lon + 0.8e0 * lt.lon else f1.lon end as lon, case when sdev >= 0.1 and missing >= 3 then (1 - 0.8e0) * f1.lat + 0.8e0 * lt.lat else f1.lat end as lat from f1 join lt using (traj_id, start_idx, idx)),
+{near('f2', 'sb')}, f3 as (select f2.traj_id, f2.idx, case when conf < 0.6 then coalesce(b[1], lon) else lon end as lon, case when conf < 0.6 then coalesce(b[2], lat) else lat end as lat from f2 left join sb using (traj_id, idx))
+select l.traj_id, l.idx, {sql_r6('case when not l.known then coalesce(f3.lon, l.lon) else l.lon end', 'lon')}, {sql_r6('case when not l.known then coalesce(f3.lat, l.lat) else l.lat end', 'lat')} from lin l left join f3 on f3.traj_id = l.traj_id and f3.idx = l.idx"""
+
+
 def outcomes(knn: str, rest: str, headings: str) -> str:
     return f"""{_hmm(knn, rest, headings)}, w as (select case when gap.traj_id in (select traj_id from failed) then 'no_candidates' when g.traj_id is null then 'short_gap' else coalesce(g.reason, 'map') end as outcome
   from gap left join gated g on g.traj_id = gap.traj_id and g.start_idx = gap.start_idx) select outcome, count(*) as count from w group by 1"""

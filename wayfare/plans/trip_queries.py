@@ -178,6 +178,23 @@ def recover_hmm_outcomes(spark, sf_dir):
     return recovery.counters(recovery.recover_hmm(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, o)[1])
 
 
+def recover_hmm_statistics(spark, sf_dir):
+    """Ten counters of a recovery whose candidates lie so near that some trajectories have none."""
+    n, e = _graph(spark, sf_dir)
+    o = recovery.HmmOptions(radius=150.0, fallback=250.0, max_snap=220.0, max_detour=1.6, min_speed=0.0, max_speed=48.0)
+    return recovery.statistics(recovery.run_hmm(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, o))
+
+
+def recover_hmm_post(spark, sf_dir):
+    """With sharp turns, smoothing, limited turns and binding."""
+    n, e = _graph(spark, sf_dir)
+    o = recovery.HmmOptions(
+        radius=300.0, fallback=500.0, max_snap=500.0, max_detour=6.0, min_speed=0.0, sharp_turn_deg=30.0, sharp_conf=0.1, sharp_tolerance_deg=60.0, smooth_below=0.5, smooth_strength=0.75,
+        limit_above_speed_dev=0.1, limit_turn_deg=20.0, limit_strength=0.8, bind="low-conf", bind_conf=0.6)
+    p, _ = recovery.recover_hmm(settled(fx.masked(fx.truth(spark, sf_dir)), "points"), n, e, o)
+    return p.select("traj_id", "idx", *r6("lon", "lat"))
+
+
 def fusion_alpha(spark, sf_dir):
     """Confidence and blend share of made-up gaps on a grid of distances and gap lengths."""
     li = fx.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 17).alias("missing_count"), (F.col("l_partkey") % 140).alias("s"), (F.col("l_suppkey") % 50).alias("d")).distinct()
@@ -200,7 +217,7 @@ def viterbi_path(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     trip_features, clean_reasons, sample_weights, trip_context, reg_metrics, reg_grade, duration_buckets, trip_bucket_report, worst_and_best, coverage, id_differences, top_errors, positional_check,
-    last_record_wins, milestone_trend, blend_search, count_control, parameter_sweep, fit_linear, fit_boosted, route_cost, route_turns, route_turn_costs, recover_map, recover_hmm, recover_hmm_outcomes, fusion_alpha, viterbi_path)}
+    last_record_wins, milestone_trend, blend_search, count_control, parameter_sweep, fit_linear, fit_boosted, route_cost, route_turns, route_turn_costs, recover_map, recover_hmm, recover_hmm_outcomes, recover_hmm_statistics, recover_hmm_post, fusion_alpha, viterbi_path)}
 
 # SQL
 
@@ -309,6 +326,8 @@ SQL = {
     "recover_map": recovery_sql.recover_map(),
     "recover_hmm": recovery_sql.recover_hmm(*_MATCH),
     "recover_hmm_outcomes": recovery_sql.outcomes(*_MATCH),
+    "recover_hmm_statistics": recovery_sql.statistics(_KNN(150, "ah"), _KNN(250, "re"), _AH, 220, 1.6),
+    "recover_hmm_post": recovery_sql.recover_hmm_post(*_MATCH),
     "route_turns": _route_sql(True) + f" select u, v, {sql_r6('cost', 'cost')}, {sql_r6('dist', 'dist_m')}, hops + 1 as hops from best",
     "route_turn_costs": _route_sql(True) + f" select u, v, {sql_r6('cost', 'cost')} from best",
     "route_cost": _route_sql(False) + f" select u, v, {sql_r6('cost', 'cost')} from best",
