@@ -240,13 +240,17 @@ def position_ratio(points: DataFrame) -> DataFrame:
     return points.withColumn("position_ratio", F.col("idx") / F.greatest(F.lit(1), F.count("*").over(whole()) - 1))
 
 
-def even_sample(points: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` points per trajectory, evenly spaced by index and truncated; all if there are no more."""
-    n = F.count("*").over(whole())
+def in_even_sample(idx: Column, n: Column, most: int) -> Column:
+    """Whether a point is among at most ``most`` of n, evenly spaced by index and truncated; all are if there are no more."""
     if most == 1:
-        return points.where("idx = 0")
-    picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (most - 1)))
-    return points.withColumn("_n", n).where((F.col("_n") <= most) | F.array_contains(picked, F.col("idx"))).drop("_n")
+        return idx == 0
+    picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (n - 1) / (most - 1)))
+    return (n <= most) | F.array_contains(picked, idx)
+
+
+def even_sample(points: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` points per trajectory, evenly spaced."""
+    return points.withColumn("_n", F.count("*").over(whole())).where(in_even_sample(F.col("idx"), F.col("_n"), most)).drop("_n")
 
 
 def finite_runs(points: DataFrame, least: int = 2) -> DataFrame:

@@ -6,6 +6,8 @@ Dense cells are left to adaptive skew handling (both sides of the join are plain
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,27 +126,55 @@ def topology_violation(missing: DataFrame, segments: DataFrame, threshold: float
 MAP_FEATURES = ("road_mean", "road_p90", "road_max", "near_1", "near_2", "density_mean", "density_p90", "heading_mean", "heading_p90", "no_road")
 
 
+@dataclass(frozen=True)
+class MapCase:
+    """Parameters of the map features: query radius, points per trajectory, the two thresholds of nearness."""
+
+    radius: float = 120.0
+    points: int = 24
+    near: tuple[float, float] = (20.0, 50.0)
+
+
 def map_features(points: DataFrame, segments: DataFrame, radius: float = 120.0, most_points: int = 24, near: tuple[float, float] = (20.0, 50.0), cell: float = 0.003) -> DataFrame:
     """Ten features per trajectory from at most most_points evenly spaced points: distance to the nearest road
     (mean, 90th percentile, greatest, share within two thresholds), roads within the radius (mean, 90th percentile),
     gap between travel and road direction at inner points (mean, 90th percentile, 90 without any), share of points
     with no road near. A point without a road counts as twice the radius away and as density 0."""
-    p = points.withColumn("travel", bearing_deg(F.lag("lon").over(seq.in_order()), F.lag("lat").over(seq.in_order()), F.lead("lon").over(seq.in_order()), F.lead("lat").over(seq.in_order())))
-    s = seq.even_sample(p, most_points)
-    road = segments.withColumn("seg_bearing", bearing_deg("lon1", "lat1", "lon2", "lat2"))
-    pairs = near_segments(s, road, radius, cell=cell)
-    best = pairs.groupBy("traj_id", "idx").agg(F.min(F.struct("dist_m", "seg_id", bearing_deg("lon1", "lat1", "lon2", "lat2").alias("b"))).alias("m"), F.count_if(F.col("dist_m") <= radius).alias("density"))
-    j = s.select("traj_id", "idx", "travel").join(best, ["traj_id", "idx"], "left")
-    d = F.coalesce("m.dist_m", F.lit(2.0 * radius))
+    return map_feature_cases(points, segments, {"": MapCase(radius, most_points, near)}, cell).drop("case")
+
+
+def map_feature_cases(points: DataFrame, segments: DataFrame, cases: dict[str, MapCase], cell: float = 0.003) -> DataFrame:
+    """(case, traj_id, features…) of many cases from one join at the greatest radius: each pair of a point and a road counts in
+    the cases that sample the point and whose radius it lies in. Nearest roads are kept per radius, as cases share them."""
+    names, radii = list(cases), sorted({c.radius for c in cases.values()})
+    n = F.count("*").over(seq.whole())
+    p = points.withColumn("travel", bearing_deg(F.lag("lon").over(seq.in_order()), F.lag("lat").over(seq.in_order()), F.lead("lon").over(seq.in_order()), F.lead("lat").over(seq.in_order()))).withColumn("_n", n)
+    sampled = F.array(*[F.when(seq.in_even_sample(F.col("idx"), F.col("_n"), c.points), F.lit(k)) for k, c in enumerate(cases.values())])
+    s = settled(p.select("traj_id", "idx", "lon", "lat", "travel", F.filter(sampled, lambda x: x.isNotNull()).alias("_cases")).where(F.size("_cases") > 0), "sampled")
+    pairs = near_segments(s, segments, radii[-1], cell=cell, more=("lon", "lat"))
+
+    def touches(radius: float):
+        dx, dy = metres_to_degrees(radius, F.col("lat")), metres_to_degrees(radius)
+        lo, hi = lambda c: F.least(f"{c}1", f"{c}2"), lambda c: F.greatest(f"{c}1", f"{c}2")
+        return (hi("lon") >= F.col("lon") - dx) & (lo("lon") <= F.col("lon") + dx) & (hi("lat") >= F.col("lat") - dy) & (lo("lat") <= F.col("lat") + dy)
+
+    road = F.struct("dist_m", "seg_id", bearing_deg("lon1", "lat1", "lon2", "lat2").alias("b"))
+    aggs = [a for k, r in enumerate(radii) for a in (F.min(F.when(touches(r), road)).alias(f"_m{k}"), F.count_if(touches(r) & (F.col("dist_m") <= r)).alias(f"_d{k}"))]
+    j = s.select("traj_id", "idx", "travel", "_cases").join(pairs.groupBy("traj_id", "idx").agg(*aggs), ["traj_id", "idx"], "left")
+    at = {r: k for k, r in enumerate(radii)}
+    row = lambda c: F.struct(F.col(f"_m{at[c.radius]}").alias("m"), F.col(f"_d{at[c.radius]}").alias("density"), F.lit(float(c.radius)).alias("radius"), F.lit(float(min(c.near))).alias("a"), F.lit(float(max(c.near))).alias("b"))
+    every = F.array(*[row(c) for c in cases.values()])
+    j = j.select("traj_id", "idx", "travel", F.explode("_cases").alias("_case"), every.alias("_every")).select("traj_id", "idx", "travel", "_case", F.get("_every", F.col("_case")).alias("_e")).select("traj_id", "travel", "_case", "_e.*")
+    d = F.coalesce("m.dist_m", 2.0 * F.col("radius"))
     den = F.coalesce("density", F.lit(0)).cast("double")
     gap = angle_diff_deg(F.col("travel"), F.col("m.b"))
-    a, b = sorted(near)
     share = lambda c: F.avg(c.cast("double"))
-    return j.groupBy("traj_id").agg(
-        F.avg(d).alias("road_mean"), F.percentile(d, F.lit(0.9)).alias("road_p90"), F.max(d).alias("road_max"), share(d <= a).alias("near_1"), share(d <= b).alias("near_2"),
+    out = j.groupBy("_case", "traj_id").agg(
+        F.avg(d).alias("road_mean"), F.percentile(d, F.lit(0.9)).alias("road_p90"), F.max(d).alias("road_max"), share(d <= F.col("a")).alias("near_1"), share(d <= F.col("b")).alias("near_2"),
         F.avg(den).alias("density_mean"), F.percentile(den, F.lit(0.9)).alias("density_p90"),
         F.coalesce(F.avg(gap), F.lit(90.0)).alias("heading_mean"), F.coalesce(F.percentile(gap, F.lit(0.9)), F.lit(90.0)).alias("heading_p90"), share(F.col("m").isNull()).alias("no_road"),
     )
+    return out.select(F.get(F.array(*[F.lit(x) for x in names]), F.col("_case")).alias("case"), "traj_id", *MAP_FEATURES)
 
 
 def in_box(segments: DataFrame, box: tuple[float, float, float, float], most: int | None = None, seed: int = 0) -> DataFrame:
@@ -154,4 +184,4 @@ def in_box(segments: DataFrame, box: tuple[float, float, float, float], most: in
     return s if most is None else s.orderBy(F.xxhash64("seg_id", F.lit(seed)), "seg_id").limit(most)
 
 
-__all__ = ["CELL", "DEGREE_M", "MAP_FEATURES", "candidates", "in_box", "map_features", "near_nodes", "near_segments", "nearest_node", "nearest_road", "snap", "topology_violation"]
+__all__ = ["CELL", "DEGREE_M", "MAP_FEATURES", "MapCase", "candidates", "in_box", "map_feature_cases", "map_features", "near_nodes", "near_segments", "nearest_node", "nearest_road", "snap", "topology_violation"]

@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 
 from . import boosting, features, metrics
 from .boosting import Boosted, Target, Trees
+from .spatial import MAP_FEATURES, MapCase, map_feature_cases
 
 # The settings of the models.
 BASE, SECOND, RESIDUAL = Boosted(0.05, 8, 450, 40, 0.05), Boosted(0.035, 10, 620, 30, 0.02), Boosted(0.05, 6, 260, 55, 0.08)
 RIDGE = 3.0
+#: The cases of the map-feature sweep; None has no map features.
+CASES = {
+    "nomap_ref": None,
+    "map_r80_p10_t1535": MapCase(80.0, 10, (15.0, 35.0)), "map_r95_p12_t1540": MapCase(95.0, 12, (15.0, 40.0)), "map_r120_p14_t2050": MapCase(120.0, 14, (20.0, 50.0)),
+    "map_r90_p18_t1545": MapCase(90.0, 18, (15.0, 45.0)), "map_r140_p18_t2060": MapCase(140.0, 18, (20.0, 60.0)), "map_r160_p22_t2570": MapCase(160.0, 22, (25.0, 70.0)),
+    "map_r120_p14_t2050_c08": MapCase(120.0, 14, (20.0, 50.0)),
+}
+SWEEP = Boosted(0.05, 8, 260, 40, 0.05)
 
 
 @dataclass(frozen=True)
@@ -227,3 +236,49 @@ def sweep(cases: dict[str, DataFrame], control: str) -> DataFrame:
     c = rows.where(F.col("case") == control).select(*[F.col(m).alias(f"_{m}") for m in ("mae", "rmse", "mape")])
     j = rows.join(F.broadcast(c), F.lit(True))
     return j.select("case", "count", "mae", "rmse", "mape", *[(F.col(m) - F.col(f"_{m}")).alias(f"d_{m}") for m in ("mae", "rmse", "mape")]).orderBy("mape", "mae", "rmse")
+
+
+def case_table(trips: DataFrame, points: DataFrame, segments: DataFrame, cases: dict[str, MapCase | None] = CASES) -> tuple[DataFrame, dict[str, tuple[str, ...]]]:
+    """(trips with the map features of all cases side by side, the map columns of each case), from one join. A trip without points
+    has zeros."""
+    used = {k: c for k, c in cases.items() if c is not None}
+    columns = {name: tuple(f"case{k}_{f}" for f in MAP_FEATURES) for k, name in enumerate(used)}
+    if not used:
+        return trips, {name: () for name in cases}
+    long = map_feature_cases(points, segments, used)
+    aggs = [F.max(F.when(F.col("case") == name, F.col(f))).alias(c) for name, cs in columns.items() for f, c in zip(MAP_FEATURES, cs)]
+    wide = trips.join(long.groupBy("traj_id").agg(*aggs), "traj_id", "left").fillna(0.0, [c for cs in columns.values() for c in cs])
+    return wide, {name: columns.get(name, ()) for name in cases}
+
+
+def sweep_cases(train: DataFrame, validation: DataFrame, columns: tuple[str, ...], case_columns: dict[str, tuple[str, ...]], control: str = "nomap_ref", spec: Boosted = SWEEP) -> DataFrame:
+    """(case, status, count, mae, rmse, mape, d_mae, d_rmse, d_mape, error): one boosted model per case on the columns and the
+    case's own, all grown side by side, scored on the validation trips; best first, failed cases last. If the joint fit fails
+    the cases are fitted one by one, and those that fail stay as rows with their error."""
+    spark = train.sparkSession
+    rows = train.where("travel_time is not null").withColumn("_y", F.col("travel_time").cast("double"))
+    targets = {name: Target((*columns, *cs), "_y", None, spec) for name, cs in case_columns.items()}
+    fitted, failed = {}, {}
+    try:
+        fitted = dict(zip(targets, boosting.boost(rows, list(targets.values()), "traj_id")))
+    except Exception:
+        for name, t in targets.items():
+            try:
+                fitted[name] = boosting.boost(rows, [t], "traj_id")[0]
+            except Exception as e:
+                failed[name] = f"{type(e).__name__}: {e}".splitlines()[0]
+    scored = validation
+    for k, m in enumerate(fitted.values()):
+        scored = scored.withColumn(f"_p{k}", F.greatest(F.lit(1.0), m.score()))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("case"), F.col(f"_p{k}").alias("y_pred")) for k, name in enumerate(fitted)])).alias("e")
+    names = "case string, status string, error string"
+    out = spark.createDataFrame([(n, "failed", e) for n, e in failed.items()], names)
+    if fitted:
+        pairs = scored.where("travel_time is not null").select(F.col("travel_time").cast("double").alias("y_true"), each).select("y_true", "e.case", "e.y_pred")
+        done = pairs.groupBy("case").agg(*metrics.regression_aggs()).select("case", F.lit("ok").alias("status"), "count", "mae", "rmse", "mape")
+        ref = done.where(F.col("case") == control).select(*[F.col(m).alias(f"_{m}") for m in ("mae", "rmse", "mape")])
+        done = done.join(ref, F.lit(True), "left").select("case", "status", "count", "mae", "rmse", "mape", *[(F.col(m) - F.col(f"_{m}")).alias(f"d_{m}") for m in ("mae", "rmse", "mape")])  # one row per case
+        out = done.unionByName(out, allowMissingColumns=True)
+    else:
+        out = out.selectExpr("case", "status", *[f"cast(null as double) as {m}" for m in ("count", "mae", "rmse", "mape", "d_mae", "d_rmse", "d_mape")], "error")
+    return out.orderBy(F.col("mape").asc_nulls_last(), "mae", "rmse", "case")

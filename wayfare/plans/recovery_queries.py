@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets
 from ..functions.geo import bearing_deg, haversine_m
-from ..operators import folds, metrics, sequence as seq, spatial, study
+from ..operators import folds, metrics, sequence as seq, spatial, study, travel_time
 from . import fixtures as fx
 from .fixtures import r6, sql_angle, sql_bearing, sql_hav, sql_r6
 
@@ -197,6 +197,12 @@ def topology_rate(spark, sf_dir):
     return spatial.topology_violation(p, fx.lattice(spark)[2]).select("eval_points", "violations", *r6("violation_rate", "road_mean_m", "road_p95_m"))
 
 
+def map_case_features(spark, sf_dir):
+    """Map features of all cases of the sweep, from one join."""
+    used = {k: c for k, c in travel_time.CASES.items() if c is not None}
+    return spatial.map_feature_cases(fx.truth(spark, sf_dir), fx.roads(spark, sf_dir)[2], used).select("case", "traj_id", *r6(*spatial.MAP_FEATURES))
+
+
 def map_features(spark, sf_dir):
     return spatial.map_features(fx.truth(spark, sf_dir), fx.lattice(spark)[2], 300.0, 14, (50.0, 20.0)).select("traj_id", *r6(*spatial.MAP_FEATURES))
 
@@ -204,7 +210,7 @@ def map_features(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     recover_linear_by_gap, haversine_steps, bearings, turn_planar, speed_change, gap_runs, gap_table, recover_linear, recover_pchip, smooth_gauss, anchor_headings, resample_uniform,
     resample_speed_aware, even_sample, limit_turns, max_turns, point_errors, point_facts, global_metrics, trajectory_mae, bucket_report, bucket_report_16, decision_triggers, error_histogram,
-    trajectory_bounds, representative_pick, stratified_pool, gap_metrics, case_metrics, study_summary, completion, polyline_errors, resampled_errors, nearest_road, nearest_node, snap_points, knn_nodes,
+    trajectory_bounds, representative_pick, stratified_pool, gap_metrics, case_metrics, study_summary, completion, polyline_errors, resampled_errors, nearest_road, nearest_node, snap_points, knn_nodes, map_case_features,
     topology_rate, map_features)}
 
 # SQL
@@ -335,6 +341,23 @@ def _limit_turns_sql(cap: float = 45.0) -> str:
     return f"with recursive {fx.sql_points()}, {sweep('s1', 'pts')}, {sweep('s2', 's1')} select traj_id, idx, {sql_r6('lon', 'lon')}, {sql_r6('lat', 'lat')} from s2"
 
 
+def _map_features_sql(tag: str, radius: float, most: int, a: float, b: float) -> str:
+    """f{tag}(traj_id, features): as parts of a with clause that has st and segs."""
+    t = tag
+    return f"""p{t} as (select distinct t.*, {sql_bearing('plon', 'plat', 'nlon', 'nlat')} as travel from st t left join range({most}) r on t.idx = floor(r.range * (n - 1) / {most - 1}) where n <= {most} or r.range is not null),
+      j{t} as (select p.traj_id, p.idx, p.travel, s.seg_id, {_point_segment('p.lon', 'p.lat')} as dist, {sql_bearing('s.lon1', 's.lat1', 's.lon2', 's.lat2')} as b from p{t} p left join segs s on {_touch(float(radius))}),
+      k{t} as (select traj_id, idx, any_value(travel) as travel, min(dist) as d0, count(*) filter (dist <= {radius}) as den, arg_min(b, row(dist, seg_id)) as b from j{t} group by 1, 2),
+      m{t} as (select traj_id, coalesce(d0, {2 * radius}) as d, d0 is null as none, den::double as den, {sql_angle('travel', 'b')} as gap from k{t}),
+      f{t} as (select traj_id, {sql_r6('avg(d)', 'road_mean')}, {sql_r6('quantile_cont(d, 0.9)', 'road_p90')}, {sql_r6('max(d)', 'road_max')}, {sql_r6(f'avg((d <= {a})::int)', 'near_1')}, {sql_r6(f'avg((d <= {b})::int)', 'near_2')}, {sql_r6('avg(den)', 'density_mean')}, {sql_r6('quantile_cont(den, 0.9)', 'density_p90')},
+        {sql_r6('coalesce(avg(gap), 90)', 'heading_mean')}, {sql_r6('coalesce(quantile_cont(gap, 0.9), 90)', 'heading_p90')}, {sql_r6('avg(none::int)', 'no_road')} from m{t} group by 1)"""
+
+
+def _map_cases_sql() -> str:
+    used = {k: c for k, c in travel_time.CASES.items() if c is not None}
+    parts = ", ".join(_map_features_sql(f"_{i}", c.radius, c.points, *c.near) for i, c in enumerate(used.values()))
+    return f"with {fx.sql_points()}, {_steps_sql()}, {fx.sql_roads()}, {parts} " + " union all ".join(f"select '{name}' as \"case\", * from f_{i}" for i, name in enumerate(used))
+
+
 SQL = {
     "recover_linear_by_gap": f"with {_facts_sql()} select {_ladder('gap_size', *buckets.GAPS_8)} as bucket, {_AGG} from facts group by 1",
     "haversine_steps": f"with {fx.sql_points()}, {_steps_sql()} select traj_id, idx, {sql_r6(sql_hav('plon', 'plat', 'lon', 'lat'), 'step_m')} from st",
@@ -374,12 +397,8 @@ SQL = {
       m as (select q.traj_id, q.gap_id, q.start_idx, k, q.s, max(f.idx) as idx from q join f on f.traj_id = q.traj_id and f.gap_id = q.gap_id and f.s <= q.s and f.lon2 is not null group by all),
       x as (select m.traj_id, m.start_idx + k as idx, lon + (lon2 - lon) * coalesce(least(1e0, (m.s - f.s) / nullif(d, 0)), 0) as x, lat + (lat2 - lat) * coalesce(least(1e0, (m.s - f.s) / nullif(d, 0)), 0) as y from m join f on f.traj_id = m.traj_id and f.gap_id = m.gap_id and f.idx = m.idx)
       select x.traj_id, x.idx, {sql_r6(sql_hav('x.x', 'x.y', 'l.tlon', 'l.tlat'), 'error_m')} from x join lin l on l.traj_id = x.traj_id and l.idx = x.idx""",
-    "map_features": f"""with {fx.sql_points()}, {_steps_sql()}, {fx.sql_lattice()}, p as (select distinct t.*, {sql_bearing('plon', 'plat', 'nlon', 'nlat')} as travel from st t left join range(14) r on t.idx = floor(r.range * (n - 1) / 13) where n <= 14 or r.range is not null),
-      j as (select p.traj_id, p.idx, p.travel, s.seg_id, {_point_segment('p.lon', 'p.lat')} as dist, {sql_bearing('s.lon1', 's.lat1', 's.lon2', 's.lat2')} as b from p left join segs s on {_touch(300.0)}),
-      k as (select traj_id, idx, any_value(travel) as travel, min(dist) as d0, count(*) filter (dist <= 300) as den, arg_min(b, row(dist, seg_id)) as b from j group by 1, 2),
-      m as (select traj_id, coalesce(d0, 600) as d, d0 is null as none, den::double as den, {sql_angle('travel', 'b')} as gap from k)
-      select traj_id, {sql_r6('avg(d)', 'road_mean')}, {sql_r6('quantile_cont(d, 0.9)', 'road_p90')}, {sql_r6('max(d)', 'road_max')}, {sql_r6('avg((d <= 20)::int)', 'near_1')}, {sql_r6('avg((d <= 50)::int)', 'near_2')}, {sql_r6('avg(den)', 'density_mean')}, {sql_r6('quantile_cont(den, 0.9)', 'density_p90')},
-        {sql_r6('coalesce(avg(gap), 90)', 'heading_mean')}, {sql_r6('coalesce(quantile_cont(gap, 0.9), 90)', 'heading_p90')}, {sql_r6('avg(none::int)', 'no_road')} from m group by 1""",
+    "map_features": f"with {fx.sql_points()}, {_steps_sql()}, {fx.sql_lattice()}, {_map_features_sql('', 300, 14, 20, 50)} select * from f",
+    "map_case_features": _map_cases_sql(),
     "gap_metrics": f"with {fx.sql_points()}, {fx.sql_linear()}, {_GAPS}, {_METHODS} select g.traj_id, gap_id, missing_count, {_CASE_SQL} from gt g join mt on mt.traj_id = g.traj_id and mt.idx > start_idx and mt.idx < end_idx group by 1, 2, 3",
     "case_metrics": f"with {fx.sql_points()}, {fx.sql_linear()}, {_METHODS} select traj_id, count(*) as missing_count, {_CASE_SQL} from mt group by 1",
     "study_summary": f"with {fx.sql_points()}, {fx.sql_linear()}, {_METHODS}, c as (select traj_id, count(*) as w, " + ", ".join(f"avg(e_{m}) as mae_{m}, sqrt(avg(e_{m} * e_{m})) as rmse_{m}" for m in ("shift", "linear")) + " from mt group by 1) select count(*) as cases, sum(w)::bigint as missing, " + ", ".join(f"{sql_r6(f'avg(mae_{m})', f'mean_mae_{m}')}, {sql_r6(f'sum(w * mae_{m}) / sum(w) filter (mae_{m} is not null)', f'weighted_mae_{m}')}, {sql_r6(f'sqrt(sum(w * rmse_{m} * rmse_{m}) / sum(w) filter (rmse_{m} is not null))', f'weighted_rmse_{m}')}" for m in ("shift", "linear")) + f", {sql_r6('avg(case when mae_shift is not null and mae_linear is not null then (mae_shift < mae_linear)::int end)', 'win_rate_linear')} from c",

@@ -136,6 +136,14 @@ def fit_boosted(spark, sf_dir):
     return travel_time.predict_ensemble(m, f.where("traj_id % 5 = 0"), 0.5).select("traj_id", F.col("travel_time").alias("y_true"), "base1", "base2", "resid", "y_pred")
 
 
+def map_sweep(spark, sf_dir):
+    """The cases of the sweep on trip and map features, fitted side by side and scored on held-out trips."""
+    p, t = fx.trips(spark, sf_dir)
+    wide, columns = travel_time.case_table(_labelled(spark, sf_dir), p, fx.lattice(spark)[2])
+    wide = settled(wide, "cases")
+    return travel_time.sweep_cases(wide.where("traj_id % 5 <> 0"), wide.where("traj_id % 5 = 0"), features.TRIP_FEATURES, columns)
+
+
 def _graph(spark, sf_dir):
     """Nodes and edges as tables, as a loaded map would be."""
     n, e, _ = fx.roads(spark, sf_dir)
@@ -217,7 +225,7 @@ def viterbi_path(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     trip_features, clean_reasons, sample_weights, trip_context, reg_metrics, reg_grade, duration_buckets, trip_bucket_report, worst_and_best, coverage, id_differences, top_errors, positional_check,
-    last_record_wins, milestone_trend, blend_search, count_control, parameter_sweep, fit_linear, fit_boosted, route_cost, route_turns, route_turn_costs, recover_map, recover_hmm, recover_hmm_outcomes, recover_hmm_statistics, recover_hmm_post, fusion_alpha, viterbi_path)}
+    last_record_wins, milestone_trend, blend_search, count_control, parameter_sweep, map_sweep, fit_linear, fit_boosted, route_cost, route_turns, route_turn_costs, recover_map, recover_hmm, recover_hmm_outcomes, recover_hmm_statistics, recover_hmm_post, fusion_alpha, viterbi_path)}
 
 # SQL
 
