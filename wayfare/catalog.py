@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import recovery_queries, source_queries, trip_queries
+from .plans import recovery_queries, session_queries, source_queries, trip_queries
 
-_MODULES = (recovery_queries, trip_queries, source_queries)
+_MODULES = (recovery_queries, trip_queries, source_queries, session_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
 

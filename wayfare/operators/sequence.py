@@ -195,11 +195,10 @@ def even_ratios(lines: DataFrame, n: Column | int, by: tuple[str, ...] = ("line_
     return lines.select(*by, n.alias("_n")).select(*by, "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("k")).select(*by, F.col("k").cast("long"), (F.col("k") / F.greatest(F.lit(1), F.col("_n") - 1)).alias("ratio"))
 
 
-def fill_gaps_from_strokes(gaps: DataFrame, strokes: DataFrame) -> DataFrame:
+def fill_gaps_from_strokes(gaps: DataFrame, strokes: DataFrame, by: tuple[str, ...] = ("traj_id", "gap_id")) -> DataFrame:
     """Fill each gap along a drawn line: start anchor, finite stroke points, end anchor, resampled evenly and the
-    ends dropped. gaps(traj_id, gap_id, start_idx, missing_count, lon0, lat0, lon1, lat1); strokes(traj_id, gap_id,
-    idx, lon, lat). No stroke gives the straight line."""
-    by = ("traj_id", "gap_id")
+    ends dropped. gaps(by…, start_idx, missing_count, lon0, lat0, lon1, lat1); strokes(by…, idx, lon, lat). No stroke gives
+    the straight line."""
     ends = gaps.select(*by, F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("idx"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat")), F.struct(F.lit(1 << 40).cast("long").alias("idx"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat")))).alias("p")).select(*by, "p.*")
     drawn = strokes.where("lon is not null and lat is not null and not isnan(lon) and not isnan(lat)").select(*by, F.col("idx").cast("long"), "lon", "lat")
     lines = folds.dedupe(ends.unionByName(drawn.join(gaps.select(*by), list(by), "left_semi")), by)
