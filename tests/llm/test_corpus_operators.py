@@ -4,6 +4,7 @@ rows, empty tables and extra columns."""
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -467,10 +468,44 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest) == (len(want), hashlib.sha1(want).hexdigest())
         assert bytes(r.payload) == (b"" if i == 1 else want)
     assert rows["page-id: 1"].response.refers_to == rows["page-id: 2"].response.record_id
+    assert warc.assemble(records).count() == 9  # the repeated row is a capture of its own
     warc.write(df.where("false"), path + "0")
     assert warc.assemble(warc.read(spark, path + "0")).count() == 0
 
 
+def test_warc_gives_a_row_per_page(spark, tmp_path):
+    """Repeated rows, equal ids with other addresses, null ids: the rows of the SQL, one per page."""
+    import duckdb
+
+    long = "x" * 1500
+    pages = [(1, "u", long)] * 3 + [(1, "v", long), (0, "w", long), (None, "n", long), (2, "s", "short"), (2, "s", "short"), (None, None, None), (None, None, None)] + [(9, "q", "y" * 2000)] * 5 + [(None, "z", "z" * 1000)] * 2
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    df = warc.op7_warc(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    cur = con.execute(warc.SQL["op7_warc"])
+    got = df.select(*[d[0] for d in cur.description]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall())) and len(got) == len(pages)
+    kinds = Counter((r.page_id, r.payload_bytes, r.record_type) for r in got)
+    assert kinds[1, 1500, "response"] == 1 and kinds[1, 1500, "revisit"] == 3 and kinds[9, 2000, "revisit"] == 4 and kinds[2, 5, "response"] == 2
+
+
+@pytest.mark.parametrize("name, module", [("op2_secret_scan", secret_scan), ("op7_warc", warc), ("op8_quality_rules", quality_rules)])
+def test_queries_equal_their_sql(spark, name, module):
+    import os
+
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in os.listdir(sf):
+        con.execute(f"create view {t.removesuffix('.parquet')} as select * from '{sf}/{t}'")
+    df = module.QUERIES[name](spark, sf)
+    cur = con.execute(module.SQL[name])
+    got = df.select(*[d[0] for d in cur.description]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))
+
+
 def test_warc_rejects_cut_off_archives():
     with pytest.raises(ValueError):
         list(warc._parse(iter([b"WARC/1.1", b"WARC-Type: response", b"Content-Length: 10", b"", b"abc"])))

@@ -9,7 +9,7 @@ plain one is larger than a file split.
 
 Payloads are text, stored as UTF-8; null counts as empty. Of records with equal payloads of at least
 ``least_revisit`` bytes the one with the largest id is the response, the others are revisits without
-a body. Rows that agree in id, address and payload are one capture. Line ends in an address are
+a body; of several rows with that id one is the response. Every row is a capture of its own, also where rows agree in all. Line ends in an address are
 percent-encoded; a null address has no target header. Extra columns of the input are not read.
 """
 
@@ -46,13 +46,26 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_c
     p = pages.select(F.col(id_col).cast("long").alias("_id"), F.regexp_replace(F.regexp_replace(url_col, "\r", "%0D"), "\n", "%0A").alias("_url"), F.coalesce(F.col(body_col), F.lit("")).alias("_body"))
     p = p.withColumn("digest", F.sha1(F.col("_body").cast("binary"))).withColumn("bytes", F.octet_length("_body").cast("long"))
     p = p.withColumn("rid", _uuid(F.lit("response"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.coalesce("_url", F.lit("null")), F.col("digest")))
+    p = _numbered(p)
     narrow = p.where(F.col("bytes") >= least_revisit).select("_id", "digest", "bytes", "rid")
     # written, so that the join has two plain sides and a very common payload is split by adaptive skew handling
-    winner = cut(narrow.groupBy("digest", "bytes").agg(F.max(F.struct("_id", "rid")).alias("w"), F.min("_id").alias("low")).where("low < w._id"), "winners")
-    revisit = narrow.join(winner, ["digest", "bytes"]).where("_id < w._id").select("rid", F.col("w.rid").alias("refers_id")).distinct()
+    winner = cut(narrow.groupBy("digest", "bytes").agg(F.max(F.struct("_id", "rid")).alias("w"), F.count("*").alias("n")).where("n > 1").drop("n"), "winners")
+    revisit = narrow.join(winner, ["digest", "bytes"]).where("rid <> w.rid").select("rid", F.col("w.rid").alias("refers_id"))
     return p.join(revisit, "rid", "left")
 
 
+def _numbered(p: DataFrame) -> DataFrame:
+    """A record id of its own for every row: of rows that agree in id, address and payload the first keeps the id made from these,
+    the others add their number. Such rows are counted without their bodies; only they are grouped, one body each."""
+    repeats = cut(p.groupBy("rid").agg(F.count("*").alias("_n")).where("_n > 1"), "repeats")
+    if repeats.isEmpty():
+        return p
+    one = p.join(repeats, "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in p.columns if c != "rid"], F.first("_n").alias("_n"))
+    each = one.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    each = each.withColumn("rid", F.when(F.col("_k") == 1, F.col("rid")).otherwise(_uuid(F.lit("response"), F.col("rid"), F.col("_k").cast("string"))))
+    return p.join(repeats.select("rid"), "rid", "left_anti").unionByName(each.select(*p.columns))
+
+
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_revisit: int = 1000) -> None:
     """Write the archives: per page a request, a response or revisit, and a metadata record."""
     p = plan(pages, id_col, url_col, body_col, least_revisit)
@@ -176,12 +189,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "op7_warc": """
-with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d,
-             md5('response|' || coalesce(page_id::varchar, 'null') || '|' || coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'null') || '|' || sha1(coalesce(html, ''))) as h from (select distinct page_id, url, html from pages)),
-w as (select d, max(page_id) as w from p where n >= 1000 group by d)
-select page_id, n::bigint as payload_bytes, d as payload_digest, case when page_id < w then 'revisit' else 'response' end as record_type,
-       case when page_id < w then w end as refers_to,
-       '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' as record_id
+with p0 as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d,
+             md5('response|' || coalesce(page_id::varchar, 'null') || '|' || coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'null') || '|' || sha1(coalesce(html, ''))) as h from pages),
+u as (select page_id, n, d, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' as u, row_number() over (partition by h) as k from p0),
+m as (select *, md5('response|' || u || '|' || k::varchar) as h from u),
+p as (select page_id, n, d, case when k = 1 then u else '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' end as record_id from m),
+w as (select d, arg_max(page_id, row(page_id is not null, page_id, record_id)) as w, arg_max(record_id, row(page_id is not null, page_id, record_id)) as r from p where n >= 1000 group by d)
+select page_id, n::bigint as payload_bytes, d as payload_digest, case when record_id <> r then 'revisit' else 'response' end as record_type,
+       case when record_id <> r then w end as refers_to, record_id
 from p left join w using (d)
 """,
 }
