@@ -17,26 +17,28 @@ TAILS = {"p75": 0.75, "p95": 0.95}
 def quantiles(df: DataFrame, value: str, qs: dict[str, float], *by: str) -> DataFrame:
     """by, and for each name in qs that quantile of value in the group; nulls do not count.
 
-    Rows are dealt by range and ranked within their range; counts per range and group, one small table, give the
-    rest of the rank. Only the two neighbours of each quantile go on."""
+    Equal values of a group are counted first, so a value is one row however often it comes. These are dealt by range; counts
+    per range and group give the rank at which each range begins, running counts the rest. Only values at the two ranks next
+    to a quantile contribute."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").repartitionByRange(parts, *by, "_v").withColumn("_p", F.spark_partition_id())
-    rows = settled(rows, "ranges")  # ranges are drawn from a sample, so they are fixed before they are counted
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    rows = settled(rows.repartitionByRange(parts, *by, "_v").withColumn("_p", F.spark_partition_id()), "ranges")  # ranges are drawn from a sample, so they are fixed before they are counted
     group = [F.col(c) for c in by] or [F.lit(0)]
-    count = rows.groupBy("_p", *by).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    count = count.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], before.alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("_all"))
+    count = rows.groupBy("_p", *by).agg(F.sum("_n").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    count = count.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], before.alias("_before"), F.sum("_m").over(Window.partitionBy(*group)).alias("_all"))
     same = F.col("_p") == F.col("_q")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    inner = F.row_number().over(Window.partitionBy("_p", *by).orderBy("_v")) - 1
-    r = rows.withColumn("_r", inner).join(F.broadcast(count), same).withColumn("_k", F.col("_r") + F.col("_before"))  # one row per range and group
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_p", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = rows.withColumn("_r", inner).join(count, same).withColumn("_k", F.col("_r") + F.col("_before"))
     weights = {}
     for name, q in qs.items():
         at = q * (F.col("_all") - 1)
         low = F.floor(at)
-        weights[name] = F.when(F.col("_k") == low, 1 - (at - low)).when(F.col("_k") == low + 1, at - low).otherwise(0.0)
+        holds = lambda k: (k >= F.col("_k")) & (k < F.col("_k") + F.col("_n"))
+        weights[name] = F.when(holds(low), 1 - (at - low)).otherwise(0.0) + F.when(holds(low + 1), at - low).otherwise(0.0)
     some = r.select(*by, "_v", *[w.alias(n) for n, w in weights.items()]).where(F.greatest(*qs, F.lit(0.0)) > 0)
     return some.groupBy(*by).agg(*[F.sum(F.when(F.col(n) > 0, F.col("_v") * F.col(n))).alias(n) for n in qs])
 

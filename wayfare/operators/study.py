@@ -38,7 +38,7 @@ def representative(traj_mae: DataFrame, k: int = 6) -> DataFrame:
 def ranked(df: DataFrame, by: list[str], slices: int = 64) -> DataFrame:
     """rank0: global rank from 0 without a single-partition window: rows are ranged, counted per range, and
     ranked within their range."""
-    r = df.repartitionByRange(slices, *by).withColumn("_p", F.spark_partition_id())
+    r = settled(df.repartitionByRange(slices, *by).withColumn("_p", F.spark_partition_id()), "ranges")  # fixed before they are counted
     inner = r.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*by)) - 1)
     # one row per range
     before = r.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
