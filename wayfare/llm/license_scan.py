@@ -2,17 +2,21 @@
 
 A paragraph is a run of lines that hold words: line ends and comment marks are no words, so a wrapped or commented
 notice is one piece. A unit is a paragraph, or if it has more than ``LONG`` words a window of that many, half
-overlapping, so every run of LONG / 2 words stands whole in one unit. Units with an anchor word (below) are classified by
+overlapping, so every run of LONG / 2 words stands whole in one unit. Units with an anchor (below) are classified by
 multinomial logistic regression on sparse word uni- and bigrams. The classes are the licence families and
-``unknown``; probabilities are calibrated with a temperature, and the least probability that a family needs is
-set on held-out units: what 99.5 per cent of the unknown ones stay below, unless it would lose more than 2 per cent of
-the notices. Every family that reaches it, so also two in one unit, is confirmed once a template and the unit share
-enough word pairs that stand close together; these words give the span. A family confirmed in a paragraph is also
-sought by its templates in the paragraph's other units, so a long notice is found whole. Of families that claim the same
-words the one with the better template match wins. Everything else with an anchor is ``unknown``.
-
-The classifier is trained here: positives are windows of the templates with words dropped, changed and surrounded;
-negatives are general sentences about licences and lines of the corpus, a sample of about ``sample`` lines
+``unknown``; probabilities are calibrated with a temperature. The classifier decides whether a unit licenses
+something: a family needs the probability that, of held-out units that are not its own, all but one in two hundred stay
+below. Every family that reaches it, so also two in one unit, is confirmed once a template and the unit share enough
+word pairs that stand close together, among them an anchor and a pair that no other family's templates have; these words
+give the span. So a text that only talks about a licence is turned down by the classifier, and one that names
+another licence than the likeliest by the templates. A family confirmed in a paragraph is also sought by its templates in the
+paragraph's other units, so a long notice is found whole. Of families that claim the same words the one with
+the better template match wins. Other units with a licence word are ``unknown``. A unit without an anchor holds nothing that
+could be confirmed, so leaving it out loses nothing.
+
+The classifier is trained here: positives are windows of the templates with words dropped, changed and surrounded, names
+and identifiers of licences in usual phrases, and choices between two; negatives are sentences that talk about licences
+or name one, and lines of the corpus, a sample of about ``sample`` lines
 drawn by hash, of which ``LONG`` words each (a random window) are used. Fitting is one task of bounded size.
 Scanning covers every whole text inside its scan task, without a shuffle.
 
@@ -42,6 +46,8 @@ LONG = 40
 #: Share of a template's word pairs that a unit must hold, or the number of close pairs that is enough of a long one;
 #: and the most words between two of them.
 COVER, PAIRS, GAP = 0.6, 12, 4
+#: Templates of so many words at most, names above all, must be met without a gap.
+SHORT = 8
 UNKNOWN = "unknown"
 
 #: Usual notices of each family, lower case.
@@ -71,6 +77,34 @@ TEXTS = {
     "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit license"),
     "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",),
 }
+#: Names, short names and SPDX identifiers of each family, as words.
+NAMES = {
+    "agpl": ("gnu affero general public license", "gnu affero general public license version 3", "agpl v3", "agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"),
+    "apache": ("apache license version 2 0", "apache license version 2 0 january 2004", "apache license 2 0", "apache 2 0", "apache 2 0 license"),
+    "bsd": ("bsd 3 clause license", "bsd 2 clause license", "bsd 3 clause", "bsd 2 clause", "3 clause bsd license", "2 clause bsd license", "new bsd license", "simplified bsd license", "bsd license"),
+    "cc-by": ("cc by 4 0", "cc by 3 0", "creative commons attribution 4 0", "creative commons attribution 4 0 international"),
+    "cc-by-nc": ("cc by nc 4 0", "cc by nc 3 0", "creative commons attribution noncommercial 4 0", "creative commons attribution noncommercial 4 0 international"),
+    "cc-by-sa": ("cc by sa 4 0", "cc by sa 3 0", "creative commons attribution sharealike 4 0", "creative commons attribution sharealike 4 0 international"),
+    "cc0": ("cc0 1 0", "cc0 1 0 universal", "creative commons zero"),
+    "gpl": ("gnu general public license", "gnu general public license version 2", "gnu general public license version 2 june 1991", "gnu general public license version 3", "gpl v2", "gpl v3", "gpl v2 or later", "gpl v3 or later", "gpl 2 0", "gpl 3 0", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl version 2", "gpl version 3"),
+    "isc": ("isc license",),
+    "lgpl": ("gnu lesser general public license", "gnu lesser general public license version 2 1", "lgpl v2 1", "lgpl v3", "lgpl 2 1", "lgpl 3 0", "lgpl 2 1 or later", "lgpl 3 0 or later"),
+    "mit": ("mit license", "the mit license"),
+    "mpl": ("mozilla public license", "mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"),
+}
+#: SPDX identifiers of families whose name is no identifier of its own.
+BARE = {"isc": ("isc",), "mit": ("mit",)}
+#: Phrases around a name (#) that license something.
+GRANTS = (
+    "#", "#", "license #", "licensed under the #", "released under the #", "distributed under the terms of the #", "under the terms of the #", "available under the #", "you may use this file under the terms of the #",
+    "this project is licensed under the #", "code is under #", "is licensed under # see license for details", "subject to the #", "spdx license identifier #", "copyright 2020 the authors licensed under #", "see the # for more details",
+)
+#: Phrases around one or two names that talk about licences and license nothing.
+TALK = (
+    "which is better the # or the #", "how does the # differ from the #", "the # was written by lawyers", "a history of the # and its authors", "unlike the # our contract forbids copies", "we do not accept code under the #",
+    "this is not licensed under the #", "it is incompatible with the #", "the court read the # aloud", "students discussed the # in class", "an article about the # appeared today", "critics of the # say it is too strict",
+    "he explained the # to the jury", "many people confuse the # with the #", "is the # valid in france", "the popularity of the # has declined", "never released under the #", "questions about the # are answered here",
+)
 #: Sentences about licences that license nothing.
 GENERAL = (
     "the driver lost his license after the second offence", "a fishing license is required in this county", "copyright law has been debated for years",
@@ -79,9 +113,13 @@ GENERAL = (
     "you need permission from your parents to use the car", "the gnu is a large antelope of africa", "the apache people lived in the plains", "students of mit won the general prize",
     "the terms of the public contract were published", "the mozilla foundation hired a new director", "creative writing is a common course", "she asked permission to copy the form",
     "redistribution of wealth is a topic of politics", "proprietary drugs cost more than others", "the confidential file was left on the desk", "the software license fee rose this year",
+    "students of mit or harvard apply early", "she studied at stanford or mit and wrote a book", "an apache 2 0 helicopter flew by",
 )
-#: A unit needs one of these; every template holds one (tests check it).
-ANCHORS = ("licen[cs]e", "copyright", "spdx", "cc0", "public domain", "redistribut", "hereby granted", "permission to use", "proprietary", "rights reserved", "general public")
+#: Words that licences and talk about them hold.
+LICENCE_WORDS = ("licen[cs]e", "copyright", "spdx", "cc0", "public domain", "redistribut", "hereby granted", "permission to use", "proprietary", "rights reserved", "general public")
+LICENCE = re.compile("|".join(LICENCE_WORDS), re.IGNORECASE)
+#: A unit needs one of these, and so does every run of words that confirms a family.
+ANCHORS = (*LICENCE_WORDS, "gpl", r"\bmpl\b", "mozilla", r"\bapache\W", r"\bbsd\b", r"\bisc\b", "creative commons", r"\bcc\W+by\b", r"\bmit\W+(?:or|and)\b", r"\b(?:or|and)\W+mit\b")
 ANCHOR = re.compile("|".join(ANCHORS), re.IGNORECASE)
 
 _WORD = re.compile(r"[^\W_]+")
@@ -90,6 +128,8 @@ _WORD = re.compile(r"[^\W_]+")
 #: A line without a word ends a paragraph.
 _BLANK = re.compile(r"\n[^\w\n]*(?=\n)")
 _NOTICES = {f: [t.split() for t in (*TEMPLATES[f], *TEXTS.get(f, ()))] for f in TEMPLATES}
+#: Names count as templates, bare identifiers where they stand in an expression.
+_SHORT = {f: [*(n.split() for n in NAMES.get(f, ())), *(["spdx", "license", "identifier", *n.split()] for n in (*NAMES.get(f, ()), *BARE.get(f, ()))), *(x for n in BARE.get(f, ()) for x in ([n, "or"], ["or", n], [n, "and"], ["and", n]))] for f in TEMPLATES}
 
 
 def _places(t: list[str]) -> dict[tuple[str, str], list[int]]:
@@ -100,7 +140,9 @@ def _places(t: list[str]) -> dict[tuple[str, str], list[int]]:
     return out
 
 
-_PLACES = {f: [_places(t) for t in ts] for f, ts in _NOTICES.items()}
+_PLACES = {f: [_places(t) for t in (*_NOTICES[f], *_SHORT[f])] for f in TEMPLATES}
+#: Word pairs that only this family's templates have.
+_OWN = {f: set().union(*_PLACES[f]) - set().union(*(p for g in TEMPLATES if g != f for p in _PLACES[g])) for f in TEMPLATES}
 
 
 def words(text: str) -> list[str]:
@@ -125,6 +167,32 @@ def _examples(lines: list[str], rng: np.random.Generator, per_template: int) ->
                 ahead = int(rng.integers(0, more + 1))
                 out.append([*around(ahead), *w, *around(more - ahead)] if rng.random() < 0.6 else w)
                 labels.append(family)
+    names = [(f, n) for f in TEMPLATES for n in (*NAMES.get(f, ()), *BARE.get(f, ()))]
+
+    def placed(w: list[str]) -> list[str]:
+        more = int(rng.integers(0, max(1, LONG - len(w) + 1))) if rng.random() < 0.6 else 0
+        ahead = int(rng.integers(0, more + 1))
+        return [*around(ahead), *w, *around(more - ahead)][:LONG]
+
+    for f, n in names:
+        for phrase in GRANTS:
+            if n not in BARE.get(f, ()) or "identifier" in phrase:
+                for _ in range(2):
+                    out.append(placed(phrase.replace("#", n).split()))
+                    labels.append(f)
+        for _ in range(4):  # a choice is an example of both
+            g, m = names[int(rng.integers(0, len(names)))]
+            if g != f:
+                w = placed([*(["spdx", "license", "identifier"] if rng.random() < 0.5 else []), *n.split(), str(rng.choice(["or", "or", "and"])), *m.split()])
+                out += [w, w]
+                labels += [f, g]
+    for phrase in TALK:
+        for _ in range(per_template):
+            w = phrase
+            while "#" in w:
+                w = w.replace("#", names[int(rng.integers(0, len(names)))][1], 1)
+            out.append(placed(w.split()))
+            labels.append(UNKNOWN)
     for t in GENERAL:
         for _ in range(per_template):
             w = [x if rng.random() > 0.15 else around(1)[0] for x in t.split()]
@@ -140,9 +208,9 @@ def _examples(lines: list[str], rng: np.random.Generator, per_template: int) ->
 
 
 class Model:
-    """Weights over sparse n-grams, a temperature and the probability that a family needs."""
+    """Weights over sparse n-grams, a temperature and the probability that each family needs."""
 
-    def __init__(self, lines: list[str], seed: int = 11, per_template: int = 24, steps: int = 160) -> None:
+    def __init__(self, lines: list[str], seed: int = 11, per_template: int = 24, steps: int = 320) -> None:
         rng = np.random.default_rng(seed)
         texts, labels = _examples(sorted(lines), rng, per_template)
         self.classes = [*TEMPLATES, UNKNOWN]
@@ -170,15 +238,18 @@ class Model:
             moment = 0.9 * moment - 20 * grad
             self.weights += moment
         self.weights[np.abs(self.weights) < 1e-3] = 0
-        self.temperature, self.least = 1.0, 0.5
+        self.temperature, self.least = 1.0, [0.5] * len(TEMPLATES)
         z = np.stack([self._margins(texts[i]) for i in test])
         losses = [(-np.log(self._soft(z / t)[np.arange(len(test)), y[test]] + 1e-12).mean(), t) for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)]
         self.temperature = min(losses)[1]
         p = self._soft(z / self.temperature)
-        self.accuracy = float((p.argmax(axis=1) == y[test]).mean())
-        known = y[test] < len(TEMPLATES)
-        other, own = p[~known, :-1].max(axis=1), p[known, y[test][known]]
-        self.least = float(min(np.quantile(other, 0.995) if len(other) else 0.5, np.quantile(own, 0.02)))
+        # a choice stands twice, with both labels: it is foreign to neither
+        labelled: dict[tuple, set] = {}
+        for t, k in zip(texts, y):
+            labelled.setdefault(tuple(t), set()).add(int(k))
+        self.accuracy = float(np.mean([int(k) in labelled[tuple(texts[i])] for k, i in zip(p.argmax(axis=1), test)]))
+        foreign = np.array([[k not in labelled[tuple(texts[i])] for k in range(len(TEMPLATES))] for i in test])
+        self.least = [float(max(0.15, np.quantile(p[foreign[:, k], k], 0.995))) if foreign[:, k].any() else 0.5 for k in range(len(TEMPLATES))]
 
     def _row(self, w: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = sorted({self.index[g] for g in _grams(w) if g in self.index})
@@ -198,20 +269,21 @@ class Model:
         """Families that are likely enough, likeliest first, and the probability of the unknown class."""
         p = self._soft(self._margins(w) / self.temperature)
         order = np.argsort(-p[:-1], kind="stable")
-        return [(self.classes[k], float(p[k])) for k in order if p[k] >= self.least], float(p[-1])
+        return [(self.classes[k], float(p[k])) for k in order if p[k] >= self.least[k]], float(p[-1])
 
 
-def confirm(w: list[str], family: str) -> list[tuple[int, int]]:
+def confirm(w: list[str], family: str, alone: bool = True) -> list[tuple[int, int]]:
     """First and last word of each run of words that the unit shares with a template of the family, in the template's
-    order, where that is enough."""
+    order, where that is enough. A run that stands alone needs an anchor and a pair of the family's own."""
     pairs, out = list(zip(w, w[1:])), []
     for own in _PLACES.get(family, ()):
         runs: list[list[int]] = []
+        gap = GAP if len(own) >= SHORT else 1
         at = -1  # place in the template, which only grows within a run
         for k, g in enumerate(pairs):
             if g in own:
                 later = next((x for x in own[g] if x > at), None)
-                if not runs or later is None or k - runs[-1][-1] > GAP:
+                if not runs or later is None or k - runs[-1][-1] > gap:
                     runs.append([])
                     later = own[g][0]
                 runs[-1].append(k)
@@ -220,7 +292,8 @@ def confirm(w: list[str], family: str) -> list[tuple[int, int]]:
             share = len({pairs[k] for k in run}) / len(own)
             dense = len(run) / (run[-1] - run[0] + 1)
             if share >= COVER or (len(run) >= PAIRS and dense >= 0.8):
-                out.append((run[0], run[-1] + 1))
+                if not alone or (any(pairs[k] in _OWN[family] for k in run) and ANCHOR.search(" ".join(w[run[0] : run[-1] + 2]))):
+                    out.append((run[0], run[-1] + 1))
     return out
 
 
@@ -252,8 +325,8 @@ def units(spots: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 Finding = tuple[int, int, str, float]
 
 
-def _claims(w: list[str], families: list[tuple[str, float]]) -> list[Finding]:
-    return [(a, b, f, p) for f, p in families for a, b in confirm(w, f)]
+def _claims(w: list[str], families: list[tuple[str, float]], alone: bool = True) -> list[Finding]:
+    return [(a, b, f, p) for f, p in families for a, b in confirm(w, f, alone)]
 
 
 def scan_text(text: str | None, model: Model) -> list[Finding]:
@@ -284,11 +357,11 @@ def _scan_paragraph(text: str, a: int, b: int, judged) -> list[Finding]:
             found = found or bool(got)
             if not got or not ANCHOR.search(" ".join(rest)):
                 break
-        if not found:
+        if not found and LICENCE.search(text, spots[i][0], spots[j - 1][1]):
             unsure.append((i, j, UNKNOWN, none if not families else 1 - families[0][1]))
     if seen:  # the rest of a notice may hold no anchor, or a family too faint beside another
         for i, j in units(spots):
-            claims += [(i + x, i + y, f, p) for x, y, f, p in _claims(w[i:j], list(seen.items()))]
+            claims += [(i + x, i + y, f, p) for x, y, f, p in _claims(w[i:j], list(seen.items()), False)]
     known = [(spots[x][0], spots[y][1], f, p) for x, y, f, p in _joined(claims, w)]
     ends = [x[1] for x in known]  # known findings do not overlap, so both ends ascend
     merged: list[Finding] = []
