@@ -40,8 +40,9 @@ class Shard:
     """Vectors with their projections sorted on every line."""
 
     def __init__(self, base: np.ndarray, ids: np.ndarray, seed: int = 5) -> None:
-        self.base, self.ids = base, ids
-        self.several = len(np.unique(ids)) < len(ids)
+        self.base, self.ids, self.verified = base, ids, 0
+        self.n_ids = len(np.unique(ids))
+        self.several = self.n_ids < len(ids)
         self.lines = np.random.default_rng(seed).standard_normal((base.shape[1], LINES))
         proj = np.ascontiguousarray((base @ self.lines).T)
         self.order = np.argsort(proj, axis=1, kind="stable").astype(np.int32)
@@ -49,8 +50,8 @@ class Shard:
 
 
 def search_shard(shard: Shard, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest found of each query in the shard: query ids, base ids, distances. Where an id names several
-    vectors of the shard, all are verified."""
+    """The k nearest found of each query in the shard: query ids, base ids, distances. ``shard.verified`` counts the vectors
+    whose true distance was taken."""
     base, base_ids, lines, arrays, order = shard.base, shard.ids, shard.lines, shard.arrays, shard.order
     n = len(base)
     need = int(np.ceil(SHARE * LINES))
@@ -61,7 +62,7 @@ def search_shard(shard: Shard, queries: np.ndarray, query_ids: np.ndarray, k: in
         lo = np.stack([a.searchsorted(c) for a, c in zip(arrays, centre.T)], axis=1)
         hi = lo.copy()
         own = base_ids[None, :] == qids[:, None]
-        want = np.minimum(k, n - own.sum(axis=1))
+        want = np.minimum(k, shard.n_ids - own.any(axis=1))
         count = np.zeros(own.shape, np.int16)
         seen = own
         dist = np.full(own.shape, np.inf)
@@ -70,10 +71,6 @@ def search_shard(shard: Shard, queries: np.ndarray, query_ids: np.ndarray, k: in
         edge = [np.minimum(a[np.minimum(i + reach, n - 1)] - c, c - a[np.maximum(i - reach, 0)]) for a, c, i in zip(arrays, centre.T, lo.T)]
         radius = np.maximum(np.median(np.maximum(edge, 0), axis=0), 1e-9)
         active = np.flatnonzero(want > 0)
-        if shard.several:
-            for q in active:
-                dist[q] = np.sqrt(((base - qs[q]) ** 2).sum(axis=1))
-            dist[own], active = np.inf, active[:0]
         while len(active):
             half = WIDTH * radius[active]
             for j in range(LINES):
@@ -89,9 +86,13 @@ def search_shard(shard: Shard, queries: np.ndarray, query_ids: np.ndarray, k: in
                 new = np.flatnonzero((count[q] >= need) & ~seen[q])
                 if len(new):
                     seen[q, new] = True
+                    shard.verified += len(new)
                     d = base[new] - qs[q]
                     dist[q, new] = np.sqrt((d * d).sum(axis=1))
-            open_ = ((dist[active] <= radius[active, None]).sum(axis=1) < want[active]) & ~seen[active].all(axis=1)
+            near = dist[active] <= radius[active, None]
+            # an id of several vectors is one neighbour
+            got = np.array([len(np.unique(base_ids[x])) for x in near]) if shard.several else near.sum(axis=1)
+            open_ = (got < want[active]) & ~seen[active].all(axis=1)
             active = active[open_]
             radius[active] *= GROWTH
         for q in np.flatnonzero(want > 0):
