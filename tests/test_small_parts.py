@@ -62,3 +62,19 @@ def test_sweep_keeps_failed_cases(spark):
     got = {r.case: r for r in travel_time.sweep_cases(df, df.where("traj_id > 90"), ("a",), {"nomap_ref": (), "with_b": ("b",), "broken": ("c",)}, spec=Boosted(0.1, 3, 5, 3)).collect()}
     assert {k: r.status for k, r in got.items()} == {"nomap_ref": "ok", "with_b": "ok", "broken": "failed"}
     assert got["nomap_ref"].d_mae == 0 and got["broken"].mae is None and got["broken"].error and got["with_b"]["count"] == 29
+
+
+def test_submissions_of_every_form(spark, tmp_path):
+    line = lambda i, x: f'{{"traj_id": {i}, "coords": [{{"lon": {x}, "lat": 0.0}}]}}'
+    (tmp_path / "one.json").write_text("\n".join([line(1, 1.0), line(2, 2.0), "{}", "no record"]))
+    for name, text in (("cases/a/player_pred.json", line(1, 3.0)), ("cases/b/player_pred.json", line(1, 4.0)), ("cases/c/player_pred.json", line(5, 5.0))):
+        p = tmp_path / "session" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    read = lambda p: {r.traj_id: r.coords[0].lon for r in schemas.predictions_in(spark, f"file://{p}").collect()}
+    assert read(tmp_path / "one.json") == {1: 1.0, 2: 2.0}
+    assert read(tmp_path / "session") == {1: 4.0, 5: 5.0}
+    (tmp_path / "session" / "player_predictions_saved_cases.json").write_text(line(9, 9.0))
+    assert read(tmp_path / "session") == {9: 9.0}
+    with pytest.raises(Exception, match="nowhere"):
+        schemas.predictions_in(spark, f"file://{tmp_path}/nowhere")

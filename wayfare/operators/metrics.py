@@ -209,6 +209,21 @@ def histogram(values: DataFrame, column: str, width: float, cut_at: float | None
     return v.groupBy((F.floor(F.col(column) / width) * width).alias("bin")).agg(F.count("*").alias("count"))
 
 
+def binned(values: DataFrame, column: str, low: float, high: float, width: float, *by: str) -> DataFrame:
+    """by, bin (its lower edge), count: a histogram with fixed bins from low to high, empty ones included; the last bin holds its
+    upper edge too, and what lies outside is left out. Groups are those of values."""
+    n = max(1, round((high - low) / width))
+    v = F.col(column).cast("double")
+    k = F.least(F.floor((v - low) / width), F.lit(n - 1)).cast("int")
+    found = values.where((v >= low) & (v <= low + n * width)).groupBy(*by, k.alias("_k")).agg(F.count("*").alias("count"))
+    every = values.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"))
+    same = F.col("e._k") == F.col("f._k")
+    for c in by:
+        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}"))
+    j = every.alias("e").join(found.alias("f"), same, "left")
+    return j.select(*[F.col(f"e.{c}").alias(c) for c in by], (low + F.col("e._k") * width).alias("bin"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
 def bounds(points: DataFrame, by: tuple[str, ...] = ("traj_id",), pad: float = 0.08) -> DataFrame:
     """Bounding box of the finite points with padding; the unit box where there are none."""
     ok = F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan("lon") & ~F.isnan("lat")
@@ -216,6 +231,6 @@ def bounds(points: DataFrame, by: tuple[str, ...] = ("traj_id",), pad: float = 0
     out = []
     for c in ("lon", "lat"):
         lo, hi = F.col(f"min_{c}"), F.col(f"max_{c}")
-        m = pad * F.greatest(hi - lo, F.lit(1e-9))
+        m = pad * F.greatest(hi - lo, F.lit(1e-6))
         out += [F.coalesce(lo - m, F.lit(0.0)).alias(f"min_{c}"), F.coalesce(hi + m, F.lit(1.0)).alias(f"max_{c}")]
     return ext.select(*by, *out)

@@ -197,6 +197,19 @@ def topology_rate(spark, sf_dir):
     return spatial.topology_violation(p, fx.lattice(spark)[2]).select("eval_points", "violations", *r6("violation_rate", "road_mean_m", "road_p95_m"))
 
 
+def distributions(spark, sf_dir):
+    """Histograms of trajectory lengths, time steps and gap sizes for both maskings."""
+    out = None
+    for keep in (8, 16):
+        t = fx.truth(spark, sf_dir, keep).withColumn("dataset", F.lit(f"1/{keep}"))
+        step = t.withColumn("step", F.col("ts") - F.lag("ts").over(seq.in_order())).where("step is not null")
+        gap = seq.gap_runs(t).where(~F.col("known"))
+        for kind, values, column, low, high, width in (("length", t.groupBy("dataset", "traj_id").agg(F.count("*").alias("length")), "length", 50, 245, 5), ("interval", step, "step", 0, 60, 1), ("gap", gap, "gap_size", 0.5, 16.5, 1)):
+            h = metrics.binned(values, column, low, high, width, "dataset").select(F.lit(kind).alias("kind"), "dataset", F.col("bin").cast("double").alias("bin"), "count")
+            out = h if out is None else out.unionByName(h)
+    return out
+
+
 def map_case_features(spark, sf_dir):
     """Map features of all cases of the sweep, from one join."""
     used = {k: c for k, c in travel_time.CASES.items() if c is not None}
@@ -210,7 +223,7 @@ def map_features(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     recover_linear_by_gap, haversine_steps, bearings, turn_planar, speed_change, gap_runs, gap_table, recover_linear, recover_pchip, smooth_gauss, anchor_headings, resample_uniform,
     resample_speed_aware, even_sample, limit_turns, max_turns, point_errors, point_facts, global_metrics, trajectory_mae, bucket_report, bucket_report_16, decision_triggers, error_histogram,
-    trajectory_bounds, representative_pick, stratified_pool, gap_metrics, case_metrics, study_summary, completion, polyline_errors, resampled_errors, nearest_road, nearest_node, snap_points, knn_nodes, map_case_features,
+    trajectory_bounds, representative_pick, stratified_pool, gap_metrics, case_metrics, study_summary, completion, polyline_errors, resampled_errors, nearest_road, nearest_node, snap_points, knn_nodes, distributions, map_case_features,
     topology_rate, map_features)}
 
 # SQL
@@ -358,6 +371,18 @@ def _map_cases_sql() -> str:
     return f"with {fx.sql_points()}, {_steps_sql()}, {fx.sql_roads()}, {parts} " + " union all ".join(f"select '{name}' as \"case\", * from f_{i}" for i, name in enumerate(used))
 
 
+def _distributions_sql() -> str:
+    def one(keep: int) -> str:
+        src = {"length": "select count(*)::double as v from {p} group by traj_id", "interval": "select v::double as v from (select ts - lag(ts) over (partition by traj_id order by idx) as v from {p}) where v is not null",
+               "gap": "select (count(*) over (partition by traj_id, k))::double as v from (select *, count(*) filter (known) over (partition by traj_id order by idx) as k from {p}) where not known"}
+        bins = {"length": (50, 39, 5), "interval": (0, 60, 1), "gap": (0.5, 16, 1)}
+        return " union all ".join(
+            f"select '{kind}' as kind, '1/{keep}' as dataset, ({lo} + r.range * {w})::double as bin, (select count(*) from ({q.format(p=f'pts{keep}')}) where v >= {lo} + r.range * {w} and (v < {lo} + (r.range + 1) * {w} or (r.range = {n - 1} and v = {lo} + {n} * {w}))) as count from range({n}) r"
+            for kind, q in src.items() for lo, n, w in (bins[kind],))
+
+    return f"with {fx.sql_points(8, 'pts8')}, {fx.sql_points(16, 'pts16')} {one(8)} union all {one(16)}"
+
+
 SQL = {
     "recover_linear_by_gap": f"with {_facts_sql()} select {_ladder('gap_size', *buckets.GAPS_8)} as bucket, {_AGG} from facts group by 1",
     "haversine_steps": f"with {fx.sql_points()}, {_steps_sql()} select traj_id, idx, {sql_r6(sql_hav('plon', 'plat', 'lon', 'lat'), 'step_m')} from st",
@@ -399,6 +424,7 @@ SQL = {
       select x.traj_id, x.idx, {sql_r6(sql_hav('x.x', 'x.y', 'l.tlon', 'l.tlat'), 'error_m')} from x join lin l on l.traj_id = x.traj_id and l.idx = x.idx""",
     "map_features": f"with {fx.sql_points()}, {_steps_sql()}, {fx.sql_lattice()}, {_map_features_sql('', 300, 14, 20, 50)} select * from f",
     "map_case_features": _map_cases_sql(),
+    "distributions": _distributions_sql(),
     "gap_metrics": f"with {fx.sql_points()}, {fx.sql_linear()}, {_GAPS}, {_METHODS} select g.traj_id, gap_id, missing_count, {_CASE_SQL} from gt g join mt on mt.traj_id = g.traj_id and mt.idx > start_idx and mt.idx < end_idx group by 1, 2, 3",
     "case_metrics": f"with {fx.sql_points()}, {fx.sql_linear()}, {_METHODS} select traj_id, count(*) as missing_count, {_CASE_SQL} from mt group by 1",
     "study_summary": f"with {fx.sql_points()}, {fx.sql_linear()}, {_METHODS}, c as (select traj_id, count(*) as w, " + ", ".join(f"avg(e_{m}) as mae_{m}, sqrt(avg(e_{m} * e_{m})) as rmse_{m}" for m in ("shift", "linear")) + " from mt group by 1) select count(*) as cases, sum(w)::bigint as missing, " + ", ".join(f"{sql_r6(f'avg(mae_{m})', f'mean_mae_{m}')}, {sql_r6(f'sum(w * mae_{m}) / sum(w) filter (mae_{m} is not null)', f'weighted_mae_{m}')}, {sql_r6(f'sqrt(sum(w * rmse_{m} * rmse_{m}) / sum(w) filter (rmse_{m} is not null))', f'weighted_rmse_{m}')}" for m in ("shift", "linear")) + f", {sql_r6('avg(case when mae_shift is not null and mae_linear is not null then (mae_shift < mae_linear)::int end)', 'win_rate_linear')} from c",

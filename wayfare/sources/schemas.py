@@ -97,7 +97,12 @@ def reference_metrics(df: DataFrame) -> DataFrame:
     return df.select(pick("mae"), pick("rmse"), pick("mape"))
 
 
-def predictions_in(spark: SparkSession, path: str) -> DataFrame:
-    """All prediction records below a folder; only well-formed ones; the last file by name wins per id."""
-    df = spark.read.schema(TRUTH).option("recursiveFileLookup", "true").json(path).withColumn("ord", F.input_file_name())
+def predictions_in(spark: SparkSession, path: str, combined: str = "player_predictions_saved_cases.json") -> DataFrame:
+    """Prediction records of a submission: a file of records; a folder with a combined file, which then counts alone; or a
+    folder of files, of which per id the last by name counts. Only well-formed records. A path that is not there is an error."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, combined)
+    source = whole.toString() if fs.getFileStatus(folder).isDirectory() and fs.exists(whole) else path
+    df = spark.read.schema(TRUTH).option("recursiveFileLookup", "true").json(source).withColumn("ord", F.input_file_name())
     return last_wins(df.where("traj_id is not null and coords is not null")).drop("ord")
