@@ -4,11 +4,11 @@ A step's emission and transition costs are a matrix from the states before to it
 product of theirs. Sequences are cut into chunks of CHUNK steps, which are dealt over tasks by themselves: first each
 chunk's product, then along each sequence the costs with which each chunk is entered, then each chunk's best way back
 from every exit, then backwards the exit taken from each chunk, and last the states inside. So one sequence is spread over
-many tasks, time is linear in its length, and what goes from chunk to chunk is a vector of states. Back pointers stay
+many tasks, time is linear in its length, and what goes from chunk to chunk is a vector of states. Ways are traced
 inside a chunk. If no sequence is longer than a chunk, the last pass alone does it all.
 
-Tasks read their steps as sorted streams and advance all chunks of a batch together, step by step. Ties take the lowest state
-before. Missing costs count as infinite; a sequence without any finite way has infinite cost.
+Tasks read their steps as sorted streams and advance all chunks of a batch together, step by step. Ties take the lowest
+last state, then the lowest one before it, and so on; inside a chunk they are judged by the costs of whole ways as they add up. Missing costs count as infinite; a sequence without any finite way has infinite cost.
 """
 
 from __future__ import annotations
@@ -52,22 +52,54 @@ class _Steps:
             self.trans = np.concatenate([self.trans, np.full((n, self.width - width, self.width), np.inf)], axis=1)
 
 
-def _forward(s: _Steps, first: np.ndarray, size: np.ndarray, entry: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Advance all chunks: (cost[chunk, state] after the last step, back[row, state]). entry[chunk, state before] is what a
-    chunk begins with; rows of NaN, and None, begin a sequence, which pays the first step's emission alone."""
-    back = np.zeros(s.emit.shape, np.int32)
-    cost = s.emit[first].copy()
+def _forward(s: _Steps, first: np.ndarray, size: np.ndarray, entry: np.ndarray | None) -> np.ndarray:
+    """Advance all chunks: cost[row, state]. entry[chunk, state before] is what a chunk begins with; rows of NaN, and None,
+    begin a sequence, which pays the first step's emission alone."""
+    cost = s.emit.copy()
     if entry is not None:
         go = ~np.isnan(entry[:, 0])
         r = first[go]
-        each = entry[go][:, None, :] + s.emit[r][:, :, None] + s.trans[r]
-        back[r], cost[go] = each.argmin(axis=2), each.min(axis=2)
+        cost[r] = (entry[go][:, None, :] + s.emit[r][:, :, None] + s.trans[r]).min(axis=2)
     for t in range(1, int(size.max(initial=0))):
+        r = first[size > t] + t
+        cost[r] = (cost[r - 1][:, None, :] + s.emit[r][:, :, None] + s.trans[r]).min(axis=2)
+    return cost
+
+
+def _most(least: np.ndarray, emit: np.ndarray, trans: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The greatest x with x + emit + trans <= limit as doubles add up; least is such a one."""
+    scale = np.maximum.reduce([np.abs(least), np.abs(emit), np.abs(trans), np.abs(limit)])
+    wide = ~np.isfinite(scale)
+    with np.errstate(invalid="ignore"):
+        lo, hi = np.where(wide, 0.0, least), np.where(wide, 0.0, np.maximum(least, limit - trans - emit) + 16 * np.spacing(np.where(wide, 0.0, scale)))
+        while True:
+            mid = lo + (hi - lo) / 2
+            open_ = (mid > lo) & (mid < hi)
+            if not open_.any():
+                return np.where(wide, np.inf, lo)
+            ok = mid + emit + trans <= limit
+            lo, hi = np.where(open_ & ok, mid, lo), np.where(open_ & ~ok, mid, hi)
+
+
+def _trace(s: _Steps, first: np.ndarray, size: np.ndarray, cost: np.ndarray, entry: np.ndarray | None, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state[row], state before the chunk) of each chunk's cheapest way into its state last. Of ways whose costs, added up in
+    order, are the same double, the one with the lowest state before the last counts, then with the lowest one before that."""
+    state, now = np.zeros(len(cost), np.int32), last.astype(np.int64)
+    limit = cost[first + size - 1, now]
+    for t in range(int(size.max(initial=0)) - 1, -1, -1):
         live = np.flatnonzero(size > t)
+        state[first[live] + t] = now[live]
+        if t == 0:
+            live = live[~np.isnan(entry[live, 0])] if entry is not None else live[:0]
         r = first[live] + t
-        each = cost[live][:, None, :] + s.emit[r][:, :, None] + s.trans[r]
-        back[r], cost[live] = each.argmin(axis=2), each.min(axis=2)
-    return cost, back
+        before = cost[r - 1] if t else entry[live] if entry is not None else cost[r]
+        emit, trans = s.emit[r, now[live]], s.trans[r, now[live]]
+        p = (before + emit[:, None] + trans <= limit[live][:, None]).argmax(axis=1)
+        if t:
+            at = np.arange(len(live))
+            limit[live] = _most(before[at, p], emit, trans[at, p], limit[live])
+        now[live] = p
+    return state, now
 
 
 def _product(s: _Steps, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -140,17 +172,14 @@ def states(steps: DataFrame, key: str = "traj_id", chunk: int = CHUNK) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, first, size in _chunks(batches):
             st = _Steps(rows.column(3), rows.column(4))
-            cost, back = _forward(st, first, size, _entry(rows, first, st.width) if cut else None)
+            entry = _entry(rows, first, st.width) if cut else None
+            cost = _forward(st, first, size, entry)
+            end = cost[first + size - 1]
             given = rows.column(6)
             now = np.array([given[r].as_py() if given[r].is_valid else -1 for r in first.tolist()]) if cut else np.full(len(first), -1)
-            now = np.where(now < 0, cost.argmin(axis=1), now)
-            state, best = np.zeros(rows.num_rows, np.int32), np.full(rows.num_rows, np.nan)
-            best[first + size - 1] = cost.min(axis=1)
-            for t in range(int(size.max()) - 1, -1, -1):
-                live = np.flatnonzero(size > t)
-                r = first[live] + t
-                state[r] = now[live]
-                now[live] = back[r, now[live]]
+            state, _ = _trace(st, first, size, cost, entry, np.where(now < 0, end.argmin(axis=1), now))
+            best = np.full(rows.num_rows, np.nan)
+            best[first + size - 1] = end.min(axis=1)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(state), pa.array(best, mask=np.isnan(best))], names=[key, "o", "state", "cost"])
 
     out = settled(dealt(s).select(key, "c", "o", "emit", "trans", "entry", "exit").mapInArrow(run, f"`{key}` {kind}, o long, state int, cost double"), "states")
@@ -168,7 +197,7 @@ def _between(s: DataFrame, key: str, kind: str, dealt) -> tuple[DataFrame, DataF
             p = _product(st, first, size)
             if begins.any():  # the cost vector itself, as the only column
                 p[begins] = np.inf
-                p[begins, :, 0] = _forward(st, first[begins], size[begins], None)[0]
+                p[begins, :, 0] = _forward(st, first[begins], size[begins], None)[first[begins] + size[begins] - 1]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(first)), rows.column(1).take(pa.array(first)), _lists(p.reshape(len(p), -1))], names=[key, "c", "p"])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +225,10 @@ def _between(s: DataFrame, key: str, kind: str, dealt) -> tuple[DataFrame, DataF
     def ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, first, size in _chunks(batches):
             st = _Steps(rows.column(3), rows.column(4))
-            cost, back = _forward(st, first, size, _entry(rows, first, st.width))
-            at = np.tile(np.arange(st.width), (len(first), 1))
-            for t in range(int(size.max()) - 1, -1, -1):
-                live = np.flatnonzero(size > t)
-                r = first[live] + t
-                at[live] = back[r[:, None], at[live]]
+            entry = _entry(rows, first, st.width)
+            cost = _forward(st, first, size, entry)
+            at = np.column_stack([_trace(st, first, size, cost, entry, np.full(len(first), k))[1] for k in range(st.width)])
+            cost = cost[first + size - 1]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(first)), rows.column(1).take(pa.array(first)), _lists(at.astype(np.float64)), pa.array(cost.argmin(axis=1).astype(np.int32))], names=[key, "c", "way", "best"])
 
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
