@@ -188,3 +188,40 @@ def test_fusion_rules(spark):
     assert got == [pytest.approx(0.45 + 0.2 * 0.9), 1.0, 1.0, 0.3]
     c = recovery.fusion(g, recovery.HmmOptions(fusion="continuous")).collect()
     assert c[0].snap_radius == 0 and c[3].snap_radius == pytest.approx(45 * (0.6 / 0.7)) and math.isclose(c[3].alpha, 0.45 + 0.45 * 0.1)
+
+
+def test_small_maps_are_sent_and_large_ones_shuffled(spark, lattice, monkeypatch):
+    """Points spread over cells are never sent through the driver, whatever sizes the planner guesses."""
+    nodes, _, segs = fx.lattice(spark)
+    p = spark.range(50).select(F.col("id").alias("traj_id"), F.lit(0).cast("long").alias("idx"), (108.8 + F.col("id") / 1000).alias("lon"), F.lit(34.11).alias("lat"), F.lit(20.0).alias("heading"))
+    joins = {"nodes": lambda: spatial.candidates(p, nodes, 500.0, 4, 55.0, 0.7, 800.0), "roads": lambda: spatial.near_segments(p, segs, 300.0)}
+    rows = {}
+    for name, join in joins.items():
+        plan = join()._jdf.queryExecution().sparkPlan().toString()
+        last = next(line for line in plan.splitlines() if "Join" in line and "_g" in line)
+        assert "BroadcastHashJoin" in last and "BuildRight" in last, last
+        rows[name] = sorted(map(tuple, join().collect()))
+    monkeypatch.setattr(spatial, "SMALL", 10)
+    for name, join in joins.items():
+        plan = join()._jdf.queryExecution().sparkPlan().toString()
+        last = next(line for line in plan.splitlines() if "Join" in line and "_g" in line)
+        assert "SortMergeJoin" in last, last
+        assert sorted(map(tuple, join().collect())) == rows[name] and rows[name]
+
+
+def test_nodes_just_within_the_radius_are_found(spark):
+    """The cells that a radius touches are measured as the distance is: nodes between 219.76 and 220 m away, next to a cell's edge."""
+    y = 0.0015 * 22800 + 1e-7
+    near = [(k, 0, 108.9, y - m / 111194.926) for k, m in enumerate((219.8, 219.9, 219.99))] + [(9, 0, 108.9, y - 220.01 / 111194.926)]
+    p = spark.createDataFrame(near, "traj_id long, idx long, lon double, lat double")
+    nodes = spark.createDataFrame([(7, 108.9, y)], "node_id long, lon double, lat double")
+    assert sorted(r.traj_id for r in spatial.nearest_node(p, nodes, 220.0).collect()) == [0, 1, 2]
+
+
+def test_viterbi_ties_of_whole_ways(spark):
+    """Two ways whose sums are the same double in the end: the one with the lower states counts, although its cost half-way is greater by a bit."""
+    a = 0.1 + 0.2  # 0.30000000000000004
+    steps = [(1, 0, [a, 0.3], None), (1, 1, [1000.0, 2000.0], [[5.0, 5.0], [5.0, 5.0]]), (1, 2, [7.0, 7.0], [[1.0, 1.0], [1.0, 1.0]])]
+    df = spark.createDataFrame(steps, "traj_id long, o int, emit array<double>, trans array<array<double>>")
+    assert a > 0.3 and a + 1000.0 + 5.0 == 0.3 + 1000.0 + 5.0
+    assert recovery.viterbi(df).first().states == [0, 0, 0]

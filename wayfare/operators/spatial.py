@@ -1,37 +1,52 @@
 """Grid joins: nearest nodes, nearest roads, snapping, proximity features.
 
 A radius join is an equi-join on grid cells with an exact test afterwards. The cell size changes speed only.
-Dense cells are left to adaptive skew handling (both sides of the join are plain shuffles).
+Small maps are sent to the tasks. For larger ones dense cells are left to adaptive skew handling (both sides of the join are
+plain shuffles).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_M, angle_diff_deg, bearing_deg, haversine_m, metres_to_degrees, point_segment_m
+from ..functions.geo import DEGREE_M, EARTH_M, angle_diff_deg, bearing_deg, haversine_m, metres_to_degrees, point_segment_m
 from ..sources.work import settled
 from . import sequence as seq
 from .metrics import quantiles
 
 CELL = 0.0015
+#: A map of so many nodes or segments is sent to the tasks, a larger one is shuffled.
+SMALL = 20_000
 
 
 def _cell(c, cell: float):
     return F.floor(c / cell).cast("long")
 
 
+def _meet(many: DataFrame, few: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """many ⋈ few on cells. A small table is sent to the tasks. Otherwise both sides are shuffled: left alone, the planner would
+    judge by the size before rows are spread over cells, and might send the spread points through the driver."""
+    return many.join(F.broadcast(few), on) if small else many.hint("merge").join(few, on)
+
+
 def near_nodes(points: DataFrame, nodes: DataFrame, radius: float, cell: float = CELL, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """points ⋈ nodes within a radius: all columns of points, node_id, node_lon, node_lat, snap_m (and out_bearings
-    if nodes has them). Points are spread over the cells that their radius touches; nodes lie in one cell."""
+    if nodes has them). Cells are no smaller than the radius. Points lie in one cell; nodes are spread over the cells that
+    their radius touches, measured as the distance is."""
     has = "out_bearings" in nodes.columns
-    dx, dy = metres_to_degrees(radius, F.col(lat)), metres_to_degrees(radius)
-    span = lambda c, d: F.sequence(_cell(F.col(c) - d, cell), _cell(F.col(c) + d, cell))
-    q = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_gx", F.explode(span(lon, dx))).withColumn("_gy", F.explode(span(lat, dy)))
-    n = nodes.select("node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"), *(["out_bearings"] if has else []), _cell(F.col("lon"), cell).alias("_gx"), _cell(F.col("lat"), cell).alias("_gy"))
-    j = q.join(n, ["_gx", "_gy"]).drop("_gx", "_gy").withColumn("snap_m", haversine_m(F.col(lon), F.col(lat), F.col("node_lon"), F.col("node_lat")))
+    reach = min(math.pi / 2, radius / EARTH_M) * (1 + 1e-9)
+    cell = max(cell, math.degrees(reach))
+    dx = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / F.greatest(F.lit(1e-12), F.cos(F.radians("node_lat")))))) * (1 + 1e-9)
+    span = lambda c, d: F.explode(F.sequence(_cell(F.col(c) - d, cell), _cell(F.col(c) + d, cell)))
+    small = nodes.limit(SMALL + 1).count() <= SMALL
+    n = nodes.where("lon is not null and lat is not null").select("node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"), *(["out_bearings"] if has else []))
+    n = n.withColumn("_gx", span("node_lon", dx)).withColumn("_gy", span("node_lat", F.lit(math.degrees(reach))))
+    q = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_gx", _cell(F.col(lon), cell)).withColumn("_gy", _cell(F.col(lat), cell))
+    j = _meet(q, n, ["_gx", "_gy"], small).drop("_gx", "_gy").withColumn("snap_m", haversine_m(F.col(lon), F.col(lat), F.col("node_lon"), F.col("node_lat")))
     return j.where(F.col("snap_m") <= radius)
 
 
@@ -44,20 +59,17 @@ def nearest_node(points: DataFrame, nodes: DataFrame, radius: float, key: tuple[
 def candidates(anchors: DataFrame, nodes: DataFrame, radius: float = 140.0, k: int = 4, sigma: float = 55.0, heading_weight: float = 0.7, fallback: float | None = 260.0, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = CELL) -> DataFrame:
     """The k cheapest nodes per anchor: cost = distance / sigma + weight * heading gap / 180. The heading gap is the
     least over the bearings that leave the node, 180 if none does, 0 if the anchor has no heading. Anchors without
-    any node get a second try with the fallback radius."""
-    def ranked(a: DataFrame, r: float) -> DataFrame:
-        j = near_nodes(a.select(*key, "lon", "lat", "heading"), nodes, r, cell)
-        gap = F.array_min(F.transform("out_bearings", lambda b: angle_diff_deg(F.col("heading"), b)))
-        j = j.withColumn("heading_diff", F.when(F.col("heading").isNull(), 0.0).otherwise(F.coalesce(gap, F.lit(180.0))))
-        j = j.withColumn("emit", F.col("snap_m") / max(sigma, 1e-6) + heading_weight * F.col("heading_diff") / 180.0)
-        w = Window.partitionBy(*key).orderBy("emit", "node_id")
-        return j.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k).select(*key, "rank", "node_id", "node_lon", "node_lat", "snap_m", "heading_diff", "emit")
-
-    first = ranked(anchors, radius)
-    if fallback is None or fallback <= radius:
-        return first
-    rest = anchors.join(first.select(*key).distinct(), list(key), "left_anti")
-    return first.unionByName(ranked(rest, fallback))
+    any node take those within the fallback radius, from the same join."""
+    wide = fallback is not None and fallback > radius
+    j = near_nodes(anchors.select(*key, "lon", "lat", "heading"), nodes, fallback if wide else radius, cell)
+    gap = F.array_min(F.transform("out_bearings", lambda b: angle_diff_deg(F.col("heading"), b)))
+    j = j.withColumn("heading_diff", F.when(F.col("heading").isNull(), 0.0).otherwise(F.coalesce(gap, F.lit(180.0))))
+    j = j.withColumn("emit", F.col("snap_m") / max(sigma, 1e-6) + heading_weight * F.col("heading_diff") / 180.0)
+    j = j.select(*key, "node_id", "node_lon", "node_lat", "snap_m", "heading_diff", "emit")
+    if wide:
+        j = j.withColumn("_least", F.min("snap_m").over(Window.partitionBy(*key))).where((F.col("snap_m") <= radius) | (F.col("_least") > radius)).drop("_least")
+    w = Window.partitionBy(*key).orderBy("emit", "node_id")
+    return j.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k).select(*key, "rank", "node_id", "node_lon", "node_lat", "snap_m", "heading_diff", "emit")
 
 
 def snap(points: DataFrame, nodes: DataFrame, radius, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = CELL) -> DataFrame:
@@ -72,12 +84,13 @@ def snap(points: DataFrame, nodes: DataFrame, radius, key: tuple[str, ...] = ("t
     return j.withColumn("lon", F.when(inside, F.col("node_lon")).otherwise(F.col("lon"))).withColumn("lat", F.when(inside, F.col("node_lat")).otherwise(F.col("lat"))).select(*points.columns)
 
 
-def _levels(segments: DataFrame, cell: float) -> tuple[DataFrame, list[int]]:
-    """segments with _level, the first level of doubled cells as long as the segment's box, and the levels in use (a few)."""
+def _levels(segments: DataFrame, cell: float) -> tuple[DataFrame, dict[int, int]]:
+    """segments with _level, the first level of doubled cells as long as the segment's box, and the levels in use (a few) with
+    their numbers of segments."""
     long = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(long, F.lit(1e-12)) / cell))).cast("int")
     s = segments.where(long.isNotNull()).withColumn("_level", level)
-    return s, sorted(r[0] for r in s.select("_level").distinct().collect())
+    return s, dict(sorted(map(tuple, s.groupBy("_level").agg(F.count("*")).collect())))
 
 
 def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003, by: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
@@ -95,7 +108,7 @@ def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tu
     span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
     q = q.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("_gx", span("_x0", "_x1")).withColumn("_gy", span("_y0", "_y1"))
     s = s.withColumn("_gx", span("min_lon", "max_lon")).withColumn("_gy", span("min_lat", "max_lat"))
-    j = q.join(s, ["_level", "_gx", "_gy", *by])
+    j = _meet(q, s, ["_level", "_gx", "_gy", *by], sum(levels.values()) <= SMALL)
     first = (F.col("_gx") == F.greatest(at("_x0"), at("min_lon"))) & (F.col("_gy") == F.greatest(at("_y0"), at("min_lat")))
     touch = (F.col("max_lon") >= F.col("_x0")) & (F.col("min_lon") <= F.col("_x1")) & (F.col("max_lat") >= F.col("_y0")) & (F.col("min_lat") <= F.col("_y1"))
     return j.where(first & touch).select(*key, *more, "seg_id", "lon1", "lat1", "lon2", "lat2", point_segment_m("lon", "lat", "lon1", "lat1", "lon2", "lat2").alias("dist_m"))
