@@ -112,7 +112,7 @@ def polyline_errors(truth_missing: DataFrame, line: DataFrame, radius: float = 2
     null if the trajectory has no leg or the point no place.
 
     Points meet legs in cells of the map, so a long trajectory is spread over tasks. The radius grows by four until
-    each point has found a leg inside it, which then is the nearest one."""
+    each point has found a leg inside it, which then is the nearest one. Cells are as wide as a point's box."""
     legs = line.withColumn("lon2", F.lead("lon").over(seq.in_order())).withColumn("lat2", F.lead("lat").over(seq.in_order())).where("lon is not null and lat is not null and lon2 is not null and lat2 is not null")
     legs = settled(with_bbox(legs.select("traj_id", F.lit("").alias("seg_id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2")), "legs")
     key = ["traj_id", "idx"]
@@ -121,7 +121,7 @@ def polyline_errors(truth_missing: DataFrame, line: DataFrame, radius: float = 2
     out = points.where(~can).select(*key, F.lit(None).cast("double").alias("error_m"))
     todo = points.where(can).drop("_has")
     while not todo.isEmpty():
-        near = spatial.near_segments(todo, legs, radius, cell=radius / DEGREE_M, by=("traj_id",)).groupBy(*key).agg(F.min("dist_m").alias("error_m"))
+        near = spatial.near_segments(todo, legs, radius, cell=2 * radius / DEGREE_M, by=("traj_id",)).groupBy(*key).agg(F.min("dist_m").alias("error_m"))
         got = settled(todo.join(near, key, "left"), "nearest")
         out = out.unionByName(got.where(F.col("error_m") <= radius).select(*key, "error_m"))
         todo = got.where(F.col("error_m").isNull() | (F.col("error_m") > radius)).drop("error_m")
