@@ -225,3 +225,23 @@ def test_viterbi_ties_of_whole_ways(spark):
     df = spark.createDataFrame(steps, "traj_id long, o int, emit array<double>, trans array<array<double>>")
     assert a > 0.3 and a + 1000.0 + 5.0 == 0.3 + 1000.0 + 5.0
     assert recovery.viterbi(df).first().states == [0, 0, 0]
+
+
+def test_tiles_give_the_routes_of_the_whole_graph(spark, lattice):
+    """Small tiles: searches that leave them go on in wider ones or are left over, never to a dearer route; a dead end and a cut pair too."""
+    nodes, edges, _ = lattice
+    small = nodes.where("node_id % 41 < 12 and node_id < 492").cache()
+    inner = edges.join(small.select(F.col("node_id").alias("src")), "src", "left_semi").join(small.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    inner = inner.where("not (src = 86 and dst = 87)").where("dst <> 300").cache()  # a detour, and a node that nothing leads to
+    pairs = spark.createDataFrame([(85, 88), (86, 87), (0, 421), (5, 205), (128, 45), (128, 130), (84, 300), (0, 100000)], "u long, v long")
+    for most in (None, 40):
+        want = {(r.u, r.v): (r.cost, r.dist_m, r.path) for r in routing.routes(pairs, inner, small, most=most).collect()}
+        for widen, tile_edges in ((0, 10**6), (2, 10**6), (0, 60)):
+            found, rest = routing.by_tiles(pairs, inner, small, 1.0, 55.0, 55.0, most, 0.006, tile_edges, widen)
+            got = {(r.u, r.v): (r.cost, r.dist_m, r.path) for r in found.collect()}
+            left = {(r.u, r.v) for r in rest.collect()}
+            assert all(got[k] == want[k] for k in got) and set(want) <= set(got) | left and not set(got) & left
+            assert (tile_edges > 60 and widen == 2) <= (len(left) < 3)
+        assert want
+    whole = {(r.u, r.v): r.cost for r in routing.routes(pairs, inner, small, most=None).collect()}
+    assert {(r.u, r.v): r.cost for r in routing.routes(pairs, inner, small, most=None, broadcast_edges=0).collect()} == whole

@@ -1,8 +1,10 @@
 """Shortest routes between node pairs, with road-class preference and turn cost.
 
 The state of a search is (node, node before it), so turn costs are exact. Distinct pairs are routed once and joined
-back by the caller. A road graph of up to BROADCAST_EDGES edges is sent to the tasks, which search with a heap; a larger
-one is never sent anywhere: routes are then relaxed by joins, one edge per round. Both ways give the same routes, also
+back by the caller. A road graph of up to BROADCAST_EDGES edges is sent to the tasks, which search with a heap. A larger
+one is never sent anywhere: pairs meet the edges of the nine map tiles around their start, and a search that would go on from
+a node outside of these is left to wider tiles; what is left in the end, or lies in tiles of too many edges, is relaxed by
+joins, one edge per round. All ways give the same routes, also
 where ``most`` ends a search: a pair has no route if at least that many states have a lower bound (cost so far and
 straight line to the target) below the cost of its cheapest route.
 """
@@ -25,6 +27,12 @@ BROADCAST_EDGES = 2_000_000
 #: Costs in metres that differ by less count as equal where states are counted.
 SAME_COST = 1e-6
 ROUTE = "u long, v long, dist_m double, cost double, path array<long>"
+#: Width in degrees of the smallest tiles, most edges of nine tiles that a task holds, pairs of a tile that a task searches.
+TILE, TILE_EDGES, TILE_PAIRS = 0.02, 200_000, 256
+
+
+class _Left(Exception):
+    """A search has come to a node outside of the edges at hand."""
 
 
 def edge_cost(dist, penalty, class_weight: float):
@@ -39,9 +47,10 @@ def turn_cost(before, after, penalty_m: float, threshold_deg: float):
 
 
 class _Graph:
-    """Adjacency for the search in tasks."""
+    """Adjacency for the search in tasks. Edges that begin at nodes of ``outside`` are not at hand."""
 
-    def __init__(self, edges: pd.DataFrame, nodes: pd.DataFrame) -> None:
+    def __init__(self, edges: pd.DataFrame, nodes: pd.DataFrame, outside: set[int] = frozenset()) -> None:
+        self.outside = outside
         self.at = {n: (x, y) for n, x, y in zip(nodes["node_id"].tolist(), nodes["lon"].tolist(), nodes["lat"].tolist())}
         self.out: dict[int, list[tuple]] = {}
         for s, d, m, b, c in zip(*(edges[k].tolist() for k in ("src", "dst", "dist_m", "bearing", "class_penalty"))):
@@ -53,8 +62,49 @@ class _Graph:
         h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(x2 - x1) / 2) ** 2
         return 2 * EARTH_M * math.asin(min(1.0, math.sqrt(h)))
 
+    def reach(self, u: int, targets: set[int], class_weight: float, penalty_m: float, threshold: float) -> tuple[dict[int, tuple[float, float, list[int]]], bool]:
+        """({target: (metres, cost, nodes)}, whether the search came to a node outside): routes from one node to many."""
+        limit = max(0.0, min(179.0, threshold))
+        todo, found = set(targets), {}
+        best = {(u, -1): 0.0}
+        came: dict[tuple[int, int], tuple[int, int]] = {}
+        heap = [(0.0, 0.0, u, -1, None)]
+        done: set[tuple[int, int]] = set()
+        while heap and todo:
+            cost, metres, node, before, bearing = heapq.heappop(heap)
+            state = (node, before)
+            if state in done:
+                continue
+            done.add(state)
+            if node in todo:
+                todo.discard(node)
+                at, path = state, [node]
+                while at in came:
+                    at = came[at]
+                    path.append(at[0])
+                found[node] = metres, cost, path[::-1]
+            if node in self.outside:
+                return found, bool(todo)
+            for nxt, m, b, c in self.out.get(node, ()):
+                new, total = (nxt, node), cost + self.step(m, b, c, bearing, class_weight, penalty_m, limit)
+                if new not in done and total < best.get(new, math.inf):
+                    best[new] = total
+                    came[new] = state
+                    heapq.heappush(heap, (total, metres + m, nxt, node, b))
+        return found, False
+
+    @staticmethod
+    def step(m: float, b: float | None, c: float, bearing: float | None, class_weight: float, penalty_m: float, limit: float) -> float:
+        step = m * (1.0 + max(class_weight, 0.0) * (max(c, 1.0) - 1.0))
+        if penalty_m > 0 and bearing is not None and b is not None:
+            turn = abs((b - bearing + 180.0) % 360.0 - 180.0)
+            if turn > limit:
+                step += penalty_m * (turn - limit) / max(1e-6, 180.0 - limit)
+        return step
+
     def route(self, u: int, v: int, class_weight: float, penalty_m: float, threshold: float, most: int | None) -> tuple[float, float, list[int]] | None:
-        """(metres, cost, nodes): least cost first, the straight line to the target as lower bound."""
+        """(metres, cost, nodes): least cost first, the straight line to the target as lower bound. Raises _Left at a node
+        outside: until then, all states of a lower bound were at hand."""
         if u not in self.at or v not in self.at:
             return None
         if u == v:
@@ -81,13 +131,10 @@ class _Graph:
                     state = came[state]
                     path.append(state[0])
                 return metres, cost, path[::-1]
+            if node in self.outside:
+                raise _Left
             for nxt, m, b, c in self.out.get(node, ()):
-                step = m * (1.0 + max(class_weight, 0.0) * (max(c, 1.0) - 1.0))
-                if penalty_m > 0 and bearing is not None and b is not None:
-                    turn = abs((b - bearing + 180.0) % 360.0 - 180.0)
-                    if turn > limit:
-                        step += penalty_m * (turn - limit) / max(1e-6, 180.0 - limit)
-                new, total = (nxt, node), cost + step
+                new, total = (nxt, node), cost + self.step(m, b, c, bearing, class_weight, penalty_m, limit)
                 if new not in done and total < best.get(new, math.inf):
                     best[new] = total
                     came[new] = state
@@ -116,7 +163,10 @@ def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: f
     want = want.where("u <> v")
     n = edges.count()
     if n > broadcast_edges:
-        return settled(relax(want, edges, nodes, class_weight, turn_penalty_m, turn_threshold_deg, most).unionByName(same), "routes")
+        found, rest = by_tiles(want, edges, nodes, class_weight, turn_penalty_m, turn_threshold_deg, most)
+        if not rest.isEmpty():
+            found = found.unionByName(relax(rest, edges, nodes, class_weight, turn_penalty_m, turn_threshold_deg, most))
+        return settled(found.unionByName(same), "routes")
     spark = pairs.sparkSession
     used = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
     held = spark.sparkContext.broadcast((edges.select("src", "dst", "dist_m", "bearing", "class_penalty").toPandas(), nodes.select("node_id", "lon", "lat").join(used, "node_id", "left_semi").toPandas()))  # bounded above
@@ -138,6 +188,63 @@ def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: f
     return settled(want.repartition(parts, "u", "v").mapInPandas(run, ROUTE).unionByName(same), "routes")
 
 
+def by_tiles(want: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, most: int | None = None, tile: float = TILE, tile_edges: int = TILE_EDGES, widen: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(routes, pairs that are not settled) between different nodes, on graphs that no task can hold.
+
+    A pair goes to the tile of its first node, of doubled widths the first that is twice as wide as the pair is long, and meets
+    there the edges that begin in this tile and the eight around it. A search takes states in order of their bound (of their
+    cost, without ``most``, when all targets of a node are searched at once), so its result is the one of the whole graph as long
+    as it has not come to a node outside. Pairs whose search has are tried in tiles of twice the width, ``widen`` times."""
+    at = lambda c, n: nodes.select(F.col("node_id").alias(c), F.col("lon").alias(f"x{n}"), F.col("lat").alias(f"y{n}"))
+    e = settled(edges.select("src", "dst", "dist_m", "bearing", "class_penalty").join(at("src", 0), "src").join(at("dst", 1), "dst"), "placed")
+    long = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")), F.lit(1e-12))
+    todo = settled(want.join(at("u", 0), "u").join(at("v", 1), "v").withColumn("k", F.greatest(F.lit(0), F.ceil(F.log2(2 * long / tile))).cast("int")), "goals")
+    size = tile * F.pow(F.lit(2.0), F.col("k"))
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    key, task = ["k", "gx", "gy"], ["k", "gx", "gy", "part"]
+    found = rest = None
+
+    def run(pairs: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        places = [near[["src", "x0", "y0"]], near[["dst", "x1", "y1"]], pairs[["u", "x0", "y0"]], pairs[["v", "x1", "y1"]]]
+        graph = _Graph(near, pd.concat([p.set_axis(["node_id", "lon", "lat"], axis=1) for p in places]).drop_duplicates("node_id"), set(near.loc[near["out"], "dst"].tolist()))
+        rows = []
+        for u, same in pairs.groupby("u"):
+            targets = same["v"].tolist()
+            if most is None:
+                got, left = graph.reach(u, set(targets), class_weight, turn_penalty_m, turn_threshold_deg)
+                rows += [(u, v, *got.get(v, (None, None, None)), left and v not in got) for v in targets]
+                continue
+            for v in targets:
+                try:
+                    rows.append((u, v, *(graph.route(u, v, class_weight, turn_penalty_m, turn_threshold_deg, most) or (None, None, None)), False))
+                except _Left:
+                    rows.append((u, v, None, None, None, True))
+        return pd.DataFrame(rows, columns=["u", "v", "dist_m", "cost", "path", "open"])
+
+    for _ in range(widen + 1):
+        goals = todo.withColumn("gx", cell("x0")).withColumn("gy", cell("y0"))
+        tiles = settled(goals.groupBy(*key).agg(F.ceil(F.count("*") / TILE_PAIRS).cast("int").alias("parts")), "tiles")
+        levels = [r.k for r in tiles.select("k").distinct().collect()]
+        if not levels:
+            break
+        around = tiles.withColumn("cx", F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)))
+        near = e.withColumn("k", F.explode(F.array(*map(F.lit, levels)))).withColumn("cx", cell("x0")).withColumn("cy", cell("y0")).join(around, ["k", "cx", "cy"])
+        near = settled(near.withColumn("out", (F.abs(cell("x1") - F.col("gx")) > 1) | (F.abs(cell("y1") - F.col("gy")) > 1)).drop("cx", "cy"), "tile-edges")
+        full = near.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > tile_edges).select(*key)
+        dealt = goals.join(tiles, key).join(full, key, "left_anti").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+        held = near.join(full, key, "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        got = settled(dealt.groupBy(*task).cogroup(held.groupBy(*task)).applyInPandas(run, f"{ROUTE}, open boolean"), "tile-routes")
+        done = got.where("path is not null").drop("open")
+        found = done if found is None else found.unionByName(done)
+        over = goals.join(full, key, "left_semi").select("u", "v")
+        rest = over if rest is None else rest.unionByName(over)
+        todo = settled(todo.join(got.where("open").select("u", "v"), ["u", "v"], "left_semi").withColumn("k", F.col("k") + 1), "goals")
+    left = todo.select("u", "v")
+    if found is None:
+        return left.limit(0).select("u", "v", *[F.lit(None).cast(t).alias(c) for c, t in (("dist_m", "double"), ("cost", "double"), ("path", "array<long>"))]), left
+    return found, settled(left.unionByName(rest), "rest")
+
+
 def landmarks(edges: DataFrame, nodes: DataFrame, count: int = 8, class_weight: float = 1.0, rounds: int = 10_000) -> DataFrame:
     """(node_id, away array, back array): least costs, without turn cost, from each landmark to the node and from the node to
     each landmark; infinite where there is no way. Landmarks are the outermost nodes of ``count`` directions.
@@ -179,7 +286,7 @@ def _lower(away, back, away_v, back_v):
 
 
 def relax(want: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: float = 1.0, turn_penalty_m: float = 55.0, turn_threshold_deg: float = 55.0, most: int | None = None, marks: DataFrame | None = None, window_m: float = 2000.0, rounds: int = 10_000) -> DataFrame:
-    """Routes between different nodes by rounds of joins, for graphs that no task can hold.
+    """Routes between different nodes by rounds of joins, for graphs of which no task can hold a pair's tiles.
 
     All pairs advance together, each from its own cheapest states: a round grows the open states whose lower bound (cost so
     far plus a bound of the rest) lies within ``window_m`` of the pair's least one. So a pair never visits a state whose
