@@ -183,3 +183,24 @@ def test_blend_is_accepted_only_if_it_dominates(spark):
     accepted = lambda r: travel_time.best_blend(found, r).select("w", "accepted").first()
     assert tuple(accepted(None)) == (0.5, True) and tuple(accepted(ref(4.0, 6.0, 2.0))) == (0.5, False)
     assert tuple(accepted(ref(4.0, 6.5, 2.0))) == (0.5, True) and tuple(accepted(ref(3.9, 9.0, 9.0))) == (0.5, False) and tuple(accepted(ref(9.0, None, 9.0))) == (0.5, True)
+
+
+def test_boosting_sends_only_cuts_to_the_driver(spark, monkeypatch):
+    """A level sends a cut per node and feature, whatever the bins and the number of blocks."""
+    import pickle
+
+    from pyspark import RDD
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, float(a), float(b), float(a * b)) for k, (a, b) in enumerate(rng.random((600, 2)))], "traj_id long, a double, b double, y double")
+    sizes, collect = [], RDD.collect
+
+    def spy(self):
+        got = collect(self)
+        sizes.append(len(pickle.dumps(got)))
+        return got
+
+    monkeypatch.setattr(RDD, "collect", spy)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    model = boosting.boost(df, [Target(("a", "b"), "y", None, Boosted(rounds=2, leaf=5))], "traj_id")[0]
+    assert len(model.trees) == 2 and len(sizes) > 4 and max(sizes) < 10_000

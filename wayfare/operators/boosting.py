@@ -2,12 +2,13 @@
 
 Features are binned once, at quantiles of a bounded sample. The binned rows lie in blocks of one byte per value. A level
 of a tree is one aggregation: each block sums gradients, weights and counts by (node, feature, bin), the sums
-are added up in a tree of tasks, and the driver picks the splits from tables whose size depends on leaves, features
-and bins only. Of two siblings only the smaller is summed, the other is its parent less that one. A tree grows
+are dealt by feature and added up, the task that holds a feature finds its best cuts, and the driver gets one cut per node and
+feature, whatever the rows. Of two siblings only the smaller is summed, the other is its parent less that one. A tree grows
 best-first to ``leaves`` leaves: a node is split if it is among the ``leaves - 1`` greatest by the least gain on its way
 from the root, so a whole level of candidates can be summed at once and nothing is lost.
 
-Several models (other labels, weights, columns or settings over the same rows) grow side by side in the same jobs.
+Several models (other labels, weights, columns or settings over the same rows) grow side by side in the same jobs; they begin
+their trees together.
 
 Gradients, weights and losses are rounded to a grid so fine that sums of all rows stay whole numbers below 2^53. Sums are
 therefore exact in any order: the model is the same for every partitioning and after any lost executor. What rows
@@ -149,28 +150,30 @@ class _Fit:
 
 @dataclass
 class _Request:
-    """Sums wanted: nodes of the growing tree by slot, and whether the loss of the rows kept back is."""
+    """Sums wanted: nodes of the growing tree by slot, per slot the node's parent and sibling (-1: the root), and whether the loss of
+    the rows kept back is."""
 
     tree: Tree
     nodes: list[int]
+    kin: list[tuple[int, int]]
     loss: bool
 
 
 class _Node:
-    def __init__(self, depth: int, hist: np.ndarray | None, totals: np.ndarray) -> None:
-        self.depth, self.hist, self.totals = depth, hist, totals
-        self.gain, self.rank = -np.inf, -np.inf
+    def __init__(self, depth: int, totals: np.ndarray) -> None:
+        self.depth, self.totals = depth, totals
+        self.gain, self.rank, self.below = -np.inf, -np.inf, None
         self.feature, self.cut, self.left, self.right = -1, -1, -1, -1
 
 
-def _best_split(node: _Node, fit: _Fit, spec: Boosted) -> None:
-    """hist[sum, feature, bin] with sums of gradients, weights and counts; the first of equal gains wins."""
-    if node.hist is None or node.depth >= spec.depth or node.totals[2] < 2 * spec.leaf:
-        return
-    below = node.hist.cumsum(axis=2)[:, :, :-1]
-    if not below.shape[2]:
-        return
-    total = node.totals[:, None, None]
+#: Best cut of a node on one feature: (gain, bin, sums below it).
+Cut = tuple[float, int, np.ndarray]
+
+
+def _best_cut(hist: np.ndarray, fit: _Fit, spec: Boosted) -> Cut | None:
+    """hist[sum, bin] with sums of gradients, weights and counts; the first of equal gains wins."""
+    below = hist.cumsum(axis=1)
+    total, below = below[:, -1:], below[:, :-1]
     above = total - below
     gain = lambda s: np.square(s[0] / fit.grid) / (s[1] / fit.weight_grid + spec.l2)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -178,47 +181,55 @@ def _best_split(node: _Node, fit: _Fit, spec: Boosted) -> None:
     ok = (below[2] >= spec.leaf) & (above[2] >= spec.leaf) & (below[1] > 1e-3 * fit.weight_grid) & (above[1] > 1e-3 * fit.weight_grid)
     g = np.where(ok, g, -np.inf)
     k = int(np.argmax(g))
-    if g.flat[k] > 0:
-        node.gain = float(g.flat[k])
-        node.feature, node.cut = divmod(k, g.shape[1])
+    return (float(g[k]), k, below[:, k].copy()) if g[k] > 0 else None
+
 
+def _choose(node: _Node, cuts: dict[int, Cut], spec: Boosted) -> None:
+    """The best of the features' cuts; the first of equal gains wins."""
+    if node.depth >= spec.depth or node.totals[2] < 2 * spec.leaf:
+        return
+    for j in sorted(cuts):
+        if cuts[j][0] > node.gain:
+            node.gain, node.cut, node.below = cuts[j]
+            node.feature = j
+
+
+#: What comes back of a request: cuts[node][feature], sums of the root, mean loss.
+Answer = tuple[dict[int, dict[int, Cut]], np.ndarray | None, float]
 
-def _grow(fit: _Fit, spec: Boosted, model: Trees) -> Generator[_Request, tuple[np.ndarray, float | None], None]:
-    """Rounds of one model. Yields requests and gets (hist[slot, sum, feature, bin], mean loss)."""
+
+def _grow(fit: _Fit, spec: Boosted, model: Trees) -> Generator[_Request, Answer, None]:
+    """Rounds of one model. Yields requests and gets answers."""
     columns = fit.columns
     for _ in range(spec.rounds):
-        nodes = [_Node(0, None, np.zeros(3))]
-        hist, loss = yield _Request(_tree(nodes, columns), [0], fit.held_weight is not None)
+        nodes = [_Node(0, np.zeros(3))]
+        cuts, nodes[0].totals, loss = yield _Request(_tree(nodes, columns), [0], [(-1, -1)], fit.held_weight is not None)
         if fit.held_weight is not None:
             model.losses.append(loss)
             last = model.losses[-spec.patience - 1 :]
             if len(last) > spec.patience and all(x >= last[0] - spec.tolerance for x in last[1:]):
                 return
-        nodes[0].hist, nodes[0].totals = hist[0], hist[0][:, 0, :].sum(axis=1)
-        _best_split(nodes[0], fit, spec)
+        _choose(nodes[0], cuts.get(0, {}), spec)
         nodes[0].rank = nodes[0].gain
         while True:
             known = sorted((n for n in nodes if n.feature >= 0), key=lambda n: -n.rank)[: spec.leaves - 1]
             ready = [n for n in known if n.left < 0]
             if not ready:
                 break
-            wanted = []
+            small, kin = [], []
             for n in ready:
-                left = n.hist[:, n.feature, : n.cut + 1].sum(axis=1)
+                left = n.below
                 n.left, n.right = len(nodes), len(nodes) + 1
-                nodes += [_Node(n.depth + 1, None, left), _Node(n.depth + 1, None, n.totals - left)]
-                small = n.left if left[2] <= n.totals[2] - left[2] else n.right
+                nodes += [_Node(n.depth + 1, left), _Node(n.depth + 1, n.totals - left)]
                 if n.depth + 1 < spec.depth and max(left[2], n.totals[2] - left[2]) >= 2 * spec.leaf:
-                    wanted.append((n, small))
-            if wanted:
-                hist, _ = yield _Request(_tree(nodes, columns), [s for _, s in wanted], False)
-                for (n, s), h in zip(wanted, hist):
-                    nodes[s].hist, nodes[n.left + n.right - s].hist = h, n.hist - h
+                    pair = (n.left, n.right) if left[2] <= n.totals[2] - left[2] else (n.right, n.left)
+                    small.append(pair[0])
+                    kin.append((nodes.index(n), pair[1]))
+            cuts = (yield _Request(_tree(nodes, columns), small, kin, False))[0] if small else {}
             for n in ready:
-                n.hist = None
-                for c in (nodes[n.left], nodes[n.right]):
-                    _best_split(c, fit, spec)
-                    c.rank = min(n.rank, c.gain)
+                for c in (n.left, n.right):
+                    _choose(nodes[c], cuts.get(c, {}), spec)
+                    nodes[c].rank = min(n.rank, nodes[c].gain)
         kept = {id(n) for n in sorted((n for n in nodes if n.feature >= 0), key=lambda n: -n.rank)[: spec.leaves - 1]}
         model.trees.append(_pruned(nodes, kept, fit, spec))
 
@@ -293,8 +304,15 @@ def _sums(block: Block, fits: list[_Fit], asked: dict[int, _Request]) -> dict[in
     return out
 
 
-def _add(a: dict, b: dict) -> dict:
-    return {k: (h + b[k][0], loss + b[k][1]) for k, (h, loss) in a.items()}
+def _split(held: dict[int, np.ndarray], sums: np.ndarray, r: _Request, fit: _Fit, spec: Boosted) -> tuple[dict[int, np.ndarray], dict[int, Cut], np.ndarray]:
+    """(hist per node, best cut per node, sums of the first node) of one feature; held has the parents' hist[sum, bin]."""
+    new = {}
+    for node, (parent, sibling), h in zip(r.nodes, r.kin, sums):
+        new[node] = h
+        if parent >= 0:
+            new[sibling] = held[parent] - h
+    cuts = {n: c for n, h in new.items() if (c := _best_cut(h, fit, spec))}
+    return new, cuts, sums[0].sum(axis=1)
 
 
 def boost(rows: DataFrame, targets: list[Target], key: str, seed: int = 42) -> list[Trees]:
@@ -350,7 +368,8 @@ def boost(rows: DataFrame, targets: list[Target], key: str, seed: int = 42) -> l
         return np.frombuffer(r.bins, np.uint8).reshape(-1, width), np.frombuffer(r.numbers).reshape(kinds, -1), held, np.repeat(bases, len(held), axis=1)
 
     state: RDD = stored.rdd.map(load).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = state.getNumPartitions()
+    tasks = max(1, min(state.getNumPartitions(), sum(len(f.columns) for f in fits), spark.sparkContext.defaultParallelism))
+    specs, held_sums = [t.spec for t in targets], None
     growing = {k: _grow(f, t.spec, m) for k, (f, t, m) in enumerate(zip(fits, targets, models))}
     asked, done = {}, [0] * len(models)
     for k, g in list(growing.items()):
@@ -363,24 +382,47 @@ def boost(rows: DataFrame, targets: list[Target], key: str, seed: int = 42) -> l
             state.count()
             before.unpersist()
             done, fresh = [len(m.trees) for m in models], [[] for _ in models]
-        job = (fits, fresh, asked)
-
-        def one(it: Iterator[Block], job=job) -> Iterator[dict]:
-            fits, fresh, asked = job
-            total = None
+        now = {k: r for k, r in asked.items() if r.kin[0][0] >= 0}  # models that have ended their tree wait for the others
+        begins = not now
+        now = now or dict(asked)
+        job = (fits, fresh, now, specs)
+
+        def one(it: Iterator[Block], job=job) -> Iterator[tuple]:
+            fits, fresh, now, _ = job
+            total: dict = {}
             for b in it:
-                s = _sums(_moved(b, fits, fresh), fits, asked)
-                total = s if total is None else _add(total, s)
-            if total is not None:
-                yield total
-
-        got = state.mapPartitions(one).treeReduce(_add, 1 if parts <= 16 else 2 if parts <= 1000 else 3)
-        for k in list(asked):
-            hist, loss = got[k]
+                for k, (hist, loss) in _sums(_moved(b, fits, fresh), fits, now).items():
+                    for key, v in [((k, j), hist[:, :, j]) for j in range(hist.shape[2])] + [((k, -1), loss)]:
+                        total[key] = total[key] + v if key in total else v
+            yield from total.items()
+
+        def cut(x, job=job) -> tuple:
+            (k, j), (sums, held) = x
+            fits, _, now, specs = job
+            return (k, j), (sums if j < 0 else _split(held or {}, sums, now[k], fits[k], specs[k]))
+
+        sums = state.mapPartitions(one).reduceByKey(lambda a, b: a + b, tasks)
+        both = sums.mapValues(lambda v: (v, None)) if begins else sums.leftOuterJoin(held_sums.flatMap(lambda x: [(x[0], x[1][0])] if x[0][1] >= 0 else [], True), tasks)
+        level = both.map(cut, True).persist(StorageLevel.MEMORY_AND_DISK)
+        got: dict[int, list] = {k: [{}, None, 0.0] for k in now}
+        for (k, j), v in level.mapValues(lambda v: v[1:] if isinstance(v, tuple) else v).collect():  # a cut per node and feature
+            if j < 0:
+                got[k][2] = v / fits[k].loss_grid / 2 / (fits[k].held_weight or 1.0)
+                continue
+            for node, c in v[0].items():
+                got[k][0].setdefault(node, {})[j] = c
+            if j == 0:
+                got[k][1] = v[1]
+        if held_sums is not None:
+            held_sums.unpersist()
+        held_sums = level
+        for k in now:
             try:
-                asked[k] = growing[k].send((hist, loss / fits[k].loss_grid / 2 / (fits[k].held_weight or 1.0)))
+                asked[k] = growing[k].send(tuple(got[k]))
             except StopIteration:
                 del asked[k]
+    if held_sums is not None:
+        held_sums.unpersist()
     state.unpersist()
     return models
 
