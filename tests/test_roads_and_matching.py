@@ -218,6 +218,25 @@ def test_nodes_just_within_the_radius_are_found(spark):
     assert sorted(r.traj_id for r in spatial.nearest_node(p, nodes, 220.0).collect()) == [0, 1, 2]
 
 
+def test_nodes_towards_a_pole_lie_in_few_cells(spark):
+    """However near a node is to a pole, or beyond it by mistake, it is spread over a few cells, and joins find what all pairs give."""
+    rng = np.random.default_rng(5)
+    lat = np.concatenate([90 - 10.0 ** rng.uniform(-4, 1.5, 150), [90.0, 89.9999, 60.0, 120.0, 179.9]])
+    nodes = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(rng.uniform(-90, 90, len(lat)), lat))]
+    points = [(k, 0, x + float(rng.uniform(-1, 1)) * min(180.0, 0.003 / max(1e-9, abs(math.cos(math.radians(y))))), min(y + float(rng.uniform(-1, 1)) * 0.002, 90.0 if y <= 90 else 180.0)) for k, x, y in nodes]
+    n, p = spark.createDataFrame(nodes, "node_id long, lon double, lat double"), spark.createDataFrame(points, "traj_id long, idx long, lon double, lat double")
+    reach = 300.0 / 6371000.0
+    cells = spatial._spread(n.withColumnsRenamed({"lon": "node_lon", "lat": "node_lat"}), reach, math.degrees(reach)).groupBy("node_id").count()
+    assert cells.agg(F.max("count")).first()[0] <= 60 and cells.where("count > 12").count() < 60
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(d - b) / 2) ** 2 + math.cos(math.radians(b)) * math.cos(math.radians(d)) * math.sin(math.radians(c - a) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(math.sqrt(min(1.0, max(0.0, h))))
+
+    want = sorted((t, k) for t, _, x, y in points for k, u, v in nodes if metres(x, y, u, v) <= 300.0)
+    assert sorted((r.traj_id, r.node_id) for r in spatial.near_nodes(p, n, 300.0).collect()) == want and len(want) > 150
+
+
 def test_viterbi_ties_of_whole_ways(spark):
     """Two ways whose sums are the same double in the end: the one with the lower states counts, although its cost half-way is greater by a bit."""
     a = 0.1 + 0.2  # 0.30000000000000004

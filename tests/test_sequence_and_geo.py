@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import buckets, geo
 from wayfare.operators import features, folds, metrics, sequence as seq, study
 from wayfare.sources import schemas
+from wayfare.sources.work import settled
 
 P = "traj_id long, idx long, ts long, lon double, lat double, known boolean"
 
@@ -142,6 +143,27 @@ def test_dedupe_compares_with_last_kept(spark):
     assert [x.lon for x in folds.dedupe(p).orderBy("idx").collect()] == [0.0, 1.2e-12]
 
 
+def test_resample_beside_joins_of_its_line(spark):
+    """Lines and samples that are already dealt by line, and a join by line behind: as large tables are, none is sent to the tasks."""
+    keep = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for c in keep:
+            spark.conf.set(c, "-1")
+        v = settled(spark.range(900).select((F.col("id") % 90).alias("line_id"), F.floor(F.col("id") / 90).alias("idx"), (F.col("id") * 37 % 101 / 1000).alias("lon"), (F.col("id") * 53 % 97 / 1000).alias("lat")), "v")
+        lines = settled(v.select("line_id").distinct(), "lines")
+        got = seq.resample(v, seq.even_ratios(lines, 7), ("line_id",))
+        j = got.join(lines.withColumn("w", F.col("line_id") * 2), ["line_id"]).join(lines.withColumn("z", F.lit(1)), ["line_id"], "left")
+        assert j.count() == 90 * 7 and settled(j, "j").where("w = 2 * line_id and z = 1").count() == 90 * 7
+        ends = v.where("idx = 9").join(got.where("k = 6").select("line_id", F.col("lon").alias("x"), F.col("lat").alias("y")), "line_id")
+        assert ends.where("abs(lon - x) < 1e-9 and abs(lat - y) < 1e-9").count() == 90
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan  # vertices and samples meet in one deal
+        assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, x in keep.items():
+            spark.conf.unset(c) if x is None else spark.conf.set(c, x)
+
+
 def test_resample_degenerate_lines(spark):
     v = spark.createDataFrame([(0, 0, 1.0, 1.0), (1, 0, 2.0, 2.0), (1, 1, 2.0, 2.0), (2, 0, 0.0, 0.0), (2, 1, 0.0, 1.0), (2, 2, 0.0, 1.0), (2, 3, 0.0, 2.0)], "line_id long, idx long, lon double, lat double")
     s = spark.createDataFrame([(i, k, r) for i in range(3) for k, r in enumerate((-1.0, 0.25, 0.5, 2.0))], "line_id long, k long, ratio double")

@@ -150,12 +150,17 @@ def points_from_lines(lines: DataFrame, by: tuple[str, ...] = ("traj_id",)) -> D
     return lines.select(*by, F.posexplode("line").alias("idx", "p")).select(*by, F.col("idx").cast("long"), "p.lon", "p.lat")
 
 
+def _along(by: tuple[str, ...]):
+    """Per line in order of idx; rows without idx, which are no vertices, come last."""
+    return Window.partitionBy(*by).orderBy(F.col("idx").asc_nulls_last())
+
+
 def with_lengths(vertices: DataFrame, by: tuple[str, ...] = ("line_id",), slow_turn: float | None = None, least_factor: float = 0.6) -> DataFrame:
     """Vertices with the running abscissa ``s`` and the next vertex (lon2, lat2, s2).
 
     The abscissa is metres; with slow_turn it is pseudo-time: a leg is slowed by the larger turn at its two ends,
     from full speed at slow_turn degrees down to least_factor at 180."""
-    w = Window.partitionBy(*by).orderBy("idx")
+    w = _along(by)
     v = vertices.withColumn("lon2", F.lead("lon").over(w)).withColumn("lat2", F.lead("lat").over(w))
     v = v.withColumn("_d", haversine_m("lon", "lat", "lon2", "lat2"))
     if slow_turn is not None:
@@ -173,16 +178,19 @@ def resample(vertices: DataFrame, samples: DataFrame, by: tuple[str, ...] = ("li
     """Points at given shares of each line's length.
 
     samples(by…, k, ratio): the ratio is cut to [0, 1]. A line with one vertex, or shorter than 1e-6, repeats its
-    first vertex. Samples meet vertices by line, and each takes the last vertex at or before it: one as-of step
-    done by a running fill over the union of both, so no pair of sample and vertex is ever built."""
-    v = with_lengths(vertices, by, slow_turn, least_factor)
-    total = v.groupBy(*by).agg(F.max("s").alias("_total"), F.min_by(F.struct("lon", "lat"), "idx").alias("_first"))
-    q = samples.join(total, list(by)).select(*by, "k", (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("ratio"))) * F.col("_total")).alias("s"), "_total", "_first")
-    knot = F.struct("lon", "lat", "lon2", "lat2", "s", "s2")
-    both = v.select(*by, "s", F.lit(0).alias("_o"), F.col("idx").alias("_i"), F.when(F.col("s2").isNotNull(), knot).alias("_v"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("_total"), F.lit(None).cast("struct<lon:double,lat:double>").alias("_first"))
-    both = both.unionByName(q.select(*by, "s", F.lit(1).alias("_o"), F.lit(None).cast("long").alias("_i"), F.lit(None).cast(both.schema["_v"].dataType).alias("_v"), F.col("k").cast("long"), "_total", "_first"))
-    w = Window.partitionBy(*by).orderBy("s", "_o", "_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = both.withColumn("_v", F.last("_v", True).over(w)).where("_o = 1")
+    first vertex. Vertices and samples are dealt by line once, all together: samples come after the vertices, so the running
+    abscissa at a sample is the line's length, and each takes the last vertex at or before its share of it by a running
+    fill. No pair of sample and vertex is ever built. The deal is written out, as a union's own partitioning may change while it runs."""
+    v = vertices.select(*by, F.lit(0).alias("_o"), F.col("idx").cast("long").alias("idx"), "lon", "lat", F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("ratio"))
+    q = samples.select(*by, F.lit(1).alias("_o"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.col("k").cast("long").alias("k"), F.col("ratio").cast("double").alias("ratio"))
+    both = v.unionByName(q).repartition(*by)
+    first = F.first(F.when(F.col("_o") == 0, F.struct("lon", "lat"))).over(_along(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = with_lengths(both.withColumn("_first", first), by, slow_turn, least_factor).where("_first is not null")
+    knot = F.when(F.col("s2").isNotNull(), F.struct("lon", "lat", "lon2", "lat2", "s", "s2"))
+    at = F.when(F.col("_o") == 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("ratio"))) * F.col("s")).otherwise(F.col("s"))
+    both = both.select(*by, "k", "_o", "idx", "_first", knot.alias("_knot"), F.col("s").alias("_total"), at.alias("s"))
+    w = Window.partitionBy(*by).orderBy("s", "_o", "idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = both.withColumn("_v", F.last("_knot", True).over(w)).where("_o = 1")
     share = F.coalesce(F.least(F.lit(1.0), (F.col("s") - F.col("_v.s")) / F.nullif(F.col("_v.s2") - F.col("_v.s"), F.lit(0.0))), F.lit(0.0))
     short = F.coalesce(F.col("_total") < 1e-6, F.lit(True)) | F.col("_v").isNull()
     pick = lambda c: F.when(short, F.col(f"_first.{c}")).otherwise(F.col(f"_v.{c}") + (F.col(f"_v.{c}2") - F.col(f"_v.{c}")) * share)

@@ -33,6 +33,22 @@ def _meet(many: DataFrame, few: DataFrame, on: list[str], small: bool) -> DataFr
     return many.join(F.broadcast(few), on) if small else many.hint("merge").join(few, on)
 
 
+def _row_x(lon, row, cell: float):
+    """Longitude in cells of a row of cells: their width is measured on the row's middle parallel, so it is about the same in
+    metres on every row and a node near a pole does not lie in very many of them."""
+    return lon * F.abs(F.cos(F.radians((row + 0.5) * cell))) / cell
+
+
+def _spread(nodes: DataFrame, reach: float, cell: float) -> DataFrame:
+    """nodes(node_lon, node_lat, …) once for each cell (_gx, _gy) that an arc of so many radians around them touches: up to three rows
+    of about three cells. Next to a pole the arc holds every longitude. Beyond one, which no real node is, parallels shrink as before it."""
+    high, narrow = math.degrees(reach), F.abs(F.cos(F.radians("node_lat")))
+    wide = F.when(narrow > math.sin(reach), F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / narrow))) * (1 + 1e-9)).otherwise(360.0)
+    rows = nodes.withColumn("_gy", F.explode(F.sequence(_cell(F.col("node_lat") - high, cell), _cell(F.col("node_lat") + high, cell))))
+    x = lambda d: _row_x(F.col("node_lon") + d, F.col("_gy"), cell)
+    return rows.withColumn("_gx", F.explode(F.sequence(F.floor(x(-wide) - 1e-6).cast("long"), F.floor(x(wide) + 1e-6).cast("long"))))
+
+
 def near_nodes(points: DataFrame, nodes: DataFrame, radius: float, cell: float = CELL, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """points ⋈ nodes within a radius: all columns of points, node_id, node_lon, node_lat, snap_m (and out_bearings
     if nodes has them). Cells are no smaller than the radius. Points lie in one cell; nodes are spread over the cells that
@@ -40,13 +56,10 @@ def near_nodes(points: DataFrame, nodes: DataFrame, radius: float, cell: float =
     has = "out_bearings" in nodes.columns
     reach = min(math.pi / 2, radius / EARTH_M) * (1 + 1e-9)
     cell = max(cell, math.degrees(reach))
-    dx = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / F.greatest(F.lit(1e-12), F.cos(F.radians("node_lat")))))) * (1 + 1e-9)
-    span = lambda c, d: F.explode(F.sequence(_cell(F.col(c) - d, cell), _cell(F.col(c) + d, cell)))
     small = nodes.limit(SMALL + 1).count() <= SMALL
     n = nodes.where("lon is not null and lat is not null").select("node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"), *(["out_bearings"] if has else []))
-    n = n.withColumn("_gx", span("node_lon", dx)).withColumn("_gy", span("node_lat", F.lit(math.degrees(reach))))
-    q = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_gx", _cell(F.col(lon), cell)).withColumn("_gy", _cell(F.col(lat), cell))
-    j = _meet(q, n, ["_gx", "_gy"], small).drop("_gx", "_gy").withColumn("snap_m", haversine_m(F.col(lon), F.col(lat), F.col("node_lon"), F.col("node_lat")))
+    q = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_gy", _cell(F.col(lat), cell)).withColumn("_gx", F.floor(_row_x(F.col(lon), F.col("_gy"), cell)).cast("long"))
+    j = _meet(q, _spread(n, reach, cell), ["_gx", "_gy"], small).drop("_gx", "_gy").withColumn("snap_m", haversine_m(F.col(lon), F.col(lat), F.col("node_lon"), F.col("node_lat")))
     return j.where(F.col("snap_m") <= radius)
 
 
