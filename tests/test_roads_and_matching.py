@@ -40,6 +40,16 @@ def test_osm_graph_and_segments(spark, tmp_path):
         assert (n.count(), ed.count(), s.count()) == (3, 6, 5)
 
 
+def test_map_file_is_read_once(spark, tmp_path, monkeypatch):
+    """The kept tables are built from tables that were read before, none of them from the file itself."""
+    (tmp_path / "m.osm").write_text(MAP)
+    built = {}
+    monkeypatch.setattr(osm.versions, "kept", lambda spark, base, layout, build, force=False: built.update(build()) or built)
+    n, e, s = osm.load_or_build(spark, f"file://{tmp_path}/m.osm", f"file://{tmp_path}/cache")
+    assert (n.count(), e.count(), s.count()) == (3, 6, 5)
+    assert not any("xml" in t._jdf.queryExecution().sparkPlan().toString().lower() for t in built.values())
+
+
 def test_grid_joins_do_not_depend_on_the_cell(spark, lattice):
     nodes, _, segs = lattice
     rng = np.random.default_rng(0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import bearing_deg, haversine_m
 from . import versions
+from .work import settled
 
 # Road classes that vehicles may use, and the cost factor of each.
 CLASS_PENALTY = {
@@ -91,10 +92,11 @@ def graph_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def load_or_build(spark: SparkSession, path: str, cache: str, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, segments), kept in committed versions of a layout; a new version is built by force or for another layout."""
+    """(nodes, edges, segments), kept in committed versions of a layout; a new version is built by force or for another layout.
+    The file is read once for nodes and once for ways, as reading elements costs more than all that follows."""
     def build() -> dict[str, DataFrame]:
-        raw, ways = read_osm(spark, path)
-        edges = road_edges(raw, ways)
+        raw, ways = (settled(t, name) for t, name in zip(read_osm(spark, path), ("raw-nodes", "raw-ways")))
+        edges = settled(road_edges(raw, ways), "raw-edges")
         return {"nodes": graph_nodes(raw, edges), "edges": edges, "segments": road_segments(raw, ways)}
 
     got = versions.kept(spark, cache, "3", build, force)
