@@ -11,6 +11,7 @@ from wayfare.functions.geo import metres_to_degrees
 from wayfare.operators import decode, recovery, routing, spatial
 from wayfare.plans import fixtures as fx
 from wayfare.sources import osm
+from wayfare.sources.work import settled
 
 MAP = """<osm><bounds minlat="0" minlon="0" maxlat="1" maxlon="1"/>
 <node id="1" lat="0" lon="0"/><node id="2" lat="0" lon="0.001"/><node id="3" lat="0.001" lon="0.001"/><node id="4" lat="0.001" lon="0.001"/><node id="9" lat="5" lon="5"/>
@@ -274,3 +275,54 @@ def test_tiles_give_the_routes_of_the_whole_graph(spark, lattice):
         assert want
     whole = {(r.u, r.v): r.cost for r in routing.routes(pairs, inner, small, most=None).collect()}
     assert {(r.u, r.v): r.cost for r in routing.routes(pairs, inner, small, most=None, broadcast_edges=0).collect()} == whole
+
+
+def test_of_a_large_map_only_what_lies_about_the_points_counts(spark, lattice, monkeypatch):
+    """Nodes that no point can reach are left out before they are spread over cells, and edges that no search can reach before they are placed."""
+    nodes, edges, _ = fx.lattice(spark)
+    p = spark.range(40).select(F.col("id").alias("traj_id"), F.lit(0).cast("long").alias("idx"), (108.801 + F.col("id") * 37 % 40 / 8000).alias("lon"), (34.101 + F.col("id") / 8000).alias("lat"), F.lit(20.0).alias("heading"))
+    p = p.unionByName(spark.createDataFrame([(99, 0, None, 34.1, None)], "traj_id long, idx long, lon double, lat double, heading double"))
+    ask = lambda: (spatial.candidates(p, nodes, 500.0, 4, 55.0, 0.7, 800.0), spatial.with_nearest(p, nodes, 300.0))
+    want = [sorted(map(str, df.collect())) for df in ask()]
+    assert len(want[1]) == 41 and "traj_id=99, idx=0, lon=None, lat=34.1, heading=None, node_id=None" in "".join(want[1])
+    monkeypatch.setattr(spatial, "SMALL", 50)  # of 1681 nodes
+    for df, rows in zip(ask(), want):
+        assert "BroadcastHashJoin" in df._jdf.queryExecution().sparkPlan().toString() and sorted(map(str, df.collect())) == rows
+    monkeypatch.setattr(spatial, "SMALL", 2)
+    for df, rows in zip(ask(), want):
+        assert "SortMergeJoin" in df._jdf.queryExecution().sparkPlan().toString() and sorted(map(str, df.collect())) == rows
+    placed = {}
+    monkeypatch.setattr(routing, "settled", lambda df, name: placed.setdefault(name, settled(df, name)))
+    routing.by_tiles(spark.createDataFrame([(0, 42), (2, 1)], "u long, v long"), edges, nodes, tile=0.006, widen=0)
+    assert 0 < placed["placed"].count() < edges.count() / 3
+
+
+def test_recoveries_join_no_points(spark, lattice, monkeypatch):
+    """Points get their gap, ratio and filling from windows; only nodes near them come from a join. What nobody reads is not written."""
+    nodes, edges = (settled(t, "map") for t in lattice[:2])
+    line = [(108.80 + 0.0005 * k, 34.105) for k in range(41)]
+    rows = [(t, i, 10 * i, *((x, y) if i % 8 == 0 else (None, None)), i % 8 == 0) for t in (1, 2) for i, (x, y) in enumerate(line)]
+    p = settled(spark.createDataFrame(rows, "traj_id long, idx long, ts long, lon double, lat double, known boolean"), "p")
+    names = []
+    monkeypatch.setattr(recovery, "settled", lambda df, name: names.append(name) or settled(df, name))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    m, _ = recovery.recover_map(p, nodes, edges, recovery.MapOptions(match_radius=400.0, max_snap=400.0, max_detour=9.0))
+    assert "Join" not in plan(m) and m.count() == len(rows) and m.where("lon is null").isEmpty() and m.columns == ["traj_id", "idx", "ts", "known", "lon", "lat"]
+    r = recovery.run_hmm(p, nodes, edges, recovery.HmmOptions(radius=400.0, max_snap=400.0, max_detour=9.0))
+    assert plan(r.points).count("Join") == 1 and r.points.count() == len(rows) and r.points.columns == m.columns
+    assert sum(x["count"] for x in recovery.counters(r.gaps).collect()) == recovery.statistics(r).first().segments_try_map == 10
+    assert not {"filled", "vertices", "transitions", "matched"} & set(names)
+
+
+def test_statistics_of_short_and_lost_gaps(spark, lattice):
+    """A gap below min_gap counts as short although it has a route, and one of a trajectory without candidates as neither."""
+    nodes, edges, _ = lattice
+    known = {1: (0, 8, 11, 16), 2: (0, 8, 16)}
+    rows = [(t, i, 10 * i, 108.80 + 0.0005 * i + (40 if t == 2 else 0) if i in k else None, 34.105 if i in k else None, i in k) for t, k in known.items() for i in range(18)]
+    p = spark.createDataFrame(rows, "traj_id long, idx long, ts long, lon double, lat double, known boolean")
+    r = recovery.run_hmm(p, nodes, edges, recovery.HmmOptions(radius=400.0, max_snap=400.0, max_detour=9.0))
+    why = {(x.traj_id, x.start_idx): (x.reason, x.conf is None, x.alpha is None) for x in r.gaps.collect()}
+    assert why[1, 8] == ("short_gap", True, True) and why[1, 0] == (None, False, False) and why[2, 0][0] == why[2, 8][0] == "no_candidates"
+    s = recovery.statistics(r).first()
+    assert (s.segments_total, s.segments_try_map, s.segments_map_success, s.fallback_no_path, s.fallback_no_candidates) == (3, 2, 1, 1, 2)
+    assert r.points.where("known or idx = 17").count() == 9 and r.points.count() == len(rows)

@@ -244,3 +244,13 @@ def test_log_and_json(spark, tmp_path):
     assert [r.run_order for r in schemas.append_log(spark, path, row, "2024-01-02").collect()] == [1, 2]
     schemas.write_json(spark.createDataFrame([(float("nan"),)], "x double"), f"file://{tmp_path}/j")
     assert "NaN" not in "".join(r.value for r in spark.read.text(f"file://{tmp_path}/j").collect())
+
+
+def test_fills_are_running_both_ways(spark):
+    """No frame reaches from a row to the end of its trajectory, which would cost the square of its length."""
+    p = spark.createDataFrame([(0, 0, 5, None, None, False), (0, 1, 10, 1.0, 2.0, True), (0, 2, 15, None, None, False), (0, 3, 30, 3.0, None, True), (0, 4, 50, 9.0, 6.0, True), (0, 5, 60, None, None, False)], P)
+    got = seq.interpolate_linear(p)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "unboundedfollowing" not in plan.lower()
+    assert [r.lon for r in got.orderBy("idx").collect()] == [1.0, 1.0, 1.0 + 2.0 * 0.25, 3.0, 9.0, 9.0]
+    assert [r.lat for r in got.orderBy("idx").collect()] == [2.0, 2.0, 2.0 + 4.0 * 0.25, None, 6.0, 6.0]

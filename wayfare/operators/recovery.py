@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import angle_diff_deg, bearing_deg, haversine_m
@@ -93,28 +93,40 @@ def recover_linear(points: DataFrame) -> DataFrame:
     return seq.interpolate_linear(points)
 
 
-def _share(points: DataFrame, gaps: DataFrame) -> DataFrame:
-    """samples(KEY, k = idx, ratio): the time share of each missing point of each gap; the index share without time."""
-    miss = gaps.select(*KEY, "ts0", "ts1", "end_idx", F.explode(F.sequence(F.col("start_idx") + 1, F.col("end_idx") - 1)).alias("idx"))
-    j = miss.join(points.select("traj_id", "idx", "ts"), ["traj_id", "idx"])
-    dt = F.col("ts1") - F.col("ts0")
-    ratio = F.when(dt <= 0, (F.col("idx") - F.col("start_idx")) / (F.col("end_idx") - F.col("start_idx"))).otherwise((F.col("ts") - F.col("ts0")) / dt)
-    return j.select(*KEY, F.col("idx").alias("k"), ratio.alias("ratio"))
+def _in_gaps(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples(KEY, k = idx, ratio, the columns of base, its lon and lat as _bx, _by), rows of base outside of gaps). A sample is a missing
+    point between known ones; its ratio is the time share of its gap, the index share without time. Both come from running fills."""
+    end = F.struct("idx", "ts")
+    b = base.withColumn("_a", seq.knot(end, True)).withColumn("_z", seq.knot(end, False))
+    inside = F.coalesce(~F.col("known") & F.col("_a").isNotNull() & F.col("_z").isNotNull() & F.col("traj_id").isNotNull(), F.lit(False))
+    dt, start = F.col("_z.ts") - F.col("_a.ts"), F.col("_a.idx")
+    ratio = F.when(dt <= 0, (F.col("idx") - start) / (F.col("_z.idx") - start)).otherwise((F.col("ts") - F.col("_a.ts")) / dt)
+    rest = [c for c in base.columns if c not in ("traj_id", "idx", "lon", "lat")]
+    return b.where(inside).select("traj_id", start.alias("start_idx"), F.col("idx").alias("k"), ratio.alias("ratio"), *rest, F.col("lon").alias("_bx"), F.col("lat").alias("_by")), b.where(~inside).select("traj_id", "idx", *rest, "lon", "lat")
 
 
-def _vertices(routed: DataFrame, nodes: DataFrame, first: tuple[str, str], last: tuple[str, str]) -> DataFrame:
-    """Vertices (KEY, idx, lon, lat) of anchor, route nodes, anchor."""
-    inner = routed.select(*KEY, F.posexplode("path").alias("i", "node_id")).join(nodes.select("node_id", "lon", "lat"), "node_id").select(*KEY, (F.col("i") + 1).cast("long").alias("idx"), "lon", "lat")
-    end = lambda i, c: routed.select(*KEY, i.cast("long").alias("idx"), F.col(c[0]).alias("lon"), F.col(c[1]).alias("lat"))
-    return inner.unionByName(end(F.lit(0), first)).unionByName(end(F.size("path") + 1, last))
+def _vertices(routed: DataFrame, first: tuple[str, str], last: tuple[str, str], *more: str) -> DataFrame:
+    """Vertices (KEY, idx, lon, lat) of anchor, route nodes, anchor; the first one also has the gap's columns ``more``."""
+    end = lambda c: F.array(F.struct(F.col(c[0]).alias("lon"), F.col(c[1]).alias("lat")))
+    v = routed.select(*KEY, *more, F.posexplode(F.concat(end(first), "path", end(last))).alias("i", "p"))
+    return v.select(*KEY, F.col("i").cast("long").alias("idx"), "p.lon", "p.lat", *[F.when(F.col("i") == 0, F.col(c)).alias(c) for c in more])
 
 
-def _anchor_gaps(points: DataFrame, min_gap: int) -> DataFrame:
-    """Gaps with the coordinates and times of both anchors."""
-    a = points.where("known").select("traj_id", "idx", "ts", "lon", "lat")
-    end = lambda i, n: a.select("traj_id", F.col("idx").alias(f"{n}_idx"), F.col("ts").alias(f"ts{i}"), F.col("lon").alias(f"lon{i}"), F.col("lat").alias(f"lat{i}"))
-    g = seq.gap_table(points).where(F.col("missing_count") >= min_gap)
-    return g.join(end(0, "start"), ["traj_id", "start_idx"]).join(end(1, "end"), ["traj_id", "end_idx"])
+def _gap_ends(anchors: DataFrame, *more: str) -> DataFrame:
+    """Gaps between neighbouring known points, with both ends' coordinates, times and columns ``more``, from one window."""
+    cols = {"ts": "ts", "lon": "lon", "lat": "lat"} | {c: c for c in more}
+    ends = [x for c in cols for x in (F.col(c).alias(f"{c}0"), F.lead(c).over(seq.in_order()).alias(f"{c}1"))]
+    g = anchors.select("traj_id", F.col("idx").alias("start_idx"), F.lead("idx").over(seq.in_order()).alias("end_idx"), *ends).where("traj_id is not null and end_idx - start_idx > 1")
+    return g.withColumn("missing_count", F.col("end_idx") - F.col("start_idx") - 1)
+
+
+def _routed(g: DataFrame, r: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Gaps with dist_m and path, the places of the route between their nodes n0 and n1. Places are looked up once per route in use."""
+    used = r.join(g.select(F.col("n0").alias("u"), F.col("n1").alias("v")).distinct(), ["u", "v"], "left_semi")
+    node = used.select("u", "v", "dist_m", F.posexplode("path").alias("i", "node_id")).join(nodes.select("node_id", "lon", "lat"), "node_id")
+    line = F.transform(F.sort_array(F.collect_list(F.struct("i", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
+    lines = settled(node.groupBy(F.col("u").alias("n0"), F.col("v").alias("n1")).agg(F.first("dist_m").alias("dist_m"), line.alias("path")), "lines")
+    return g.join(lines, ["n0", "n1"], "left")
 
 
 def _gates(g: DataFrame, o) -> DataFrame:
@@ -129,30 +141,20 @@ def _gates(g: DataFrame, o) -> DataFrame:
     return g.withColumn("reason", why)
 
 
-def _merge(points: DataFrame, base: DataFrame, filled: DataFrame) -> DataFrame:
-    f = filled.select("traj_id", "idx", F.col("lon").alias("_x"), F.col("lat").alias("_y"))
-    j = base.join(f, ["traj_id", "idx"], "left")
-    pick = lambda c, n: F.when(F.col("known"), F.col(c)).otherwise(F.coalesce(n, c)).alias(c)
-    return j.select("traj_id", "idx", *[c for c in base.columns if c not in ("traj_id", "idx", "lon", "lat")], pick("lon", "_x"), pick("lat", "_y"))
-
-
 def recover_map(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: MapOptions = MapOptions()) -> tuple[DataFrame, DataFrame]:
     """(points filled, gaps with their reason). Every gap of at least min_gap points is routed between the nodes nearest
     to its anchors; an accepted route is sampled at the time shares and blended with the linear filling."""
-    base = seq.interpolate_linear(points)
-    g = _anchor_gaps(points, o.min_gap)
-    anchors = g.select("traj_id", F.col("start_idx").alias("idx"), F.col("lon0").alias("lon"), F.col("lat0").alias("lat")).unionByName(g.select("traj_id", F.col("end_idx").alias("idx"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))).distinct()
-    near = spatial.nearest_node(anchors, nodes, o.match_radius)
-    end = lambda i, n: near.select("traj_id", F.col("idx").alias(f"{n}_idx"), F.col("node_id").alias(f"n{i}"), F.col("snap_m").alias(f"snap{i}"))
-    g = g.join(end(0, "start"), ["traj_id", "start_idx"], "left").join(end(1, "end"), ["traj_id", "end_idx"], "left")
+    a = spatial.with_nearest(points.where("known").select("traj_id", "idx", "ts", "lon", "lat"), nodes, o.match_radius)
+    a = a.select("traj_id", "idx", "ts", "lon", "lat", F.col("node_id").alias("n"), F.col("snap_m").alias("snap"))
+    g = settled(_gap_ends(a, "n", "snap").where(F.col("missing_count") >= o.min_gap), "ends")
     r = routing.routes(g.where("n0 is not null and n1 is not null").select(F.col("n0").alias("u"), F.col("n1").alias("v")), edges, nodes, 0.0, 0.0, 55.0, o.max_settled)
-    g = settled(_gates(g.join(r.select(F.col("u").alias("n0"), F.col("v").alias("n1"), "dist_m", "path"), ["n0", "n1"], "left"), o), "gaps")
-    ok = g.where("reason is null")
-    got = seq.resample(_vertices(ok, nodes, ("lon0", "lat0"), ("lon1", "lat1")), _share(points, ok), KEY)
-    b = base.select("traj_id", "idx", F.col("lon").alias("_bx"), F.col("lat").alias("_by"))
-    f = got.select("traj_id", F.col("k").alias("idx"), F.col("lon").alias("_mx"), F.col("lat").alias("_my")).join(b, ["traj_id", "idx"])
-    filled = f.select("traj_id", "idx", (o.blend * F.col("_mx") + (1 - o.blend) * F.col("_bx")).alias("lon"), (o.blend * F.col("_my") + (1 - o.blend) * F.col("_by")).alias("lat"))
-    return _merge(points, base, filled), g.select(*KEY, "end_idx", "missing_count", "reason")
+    g = settled(_gates(_routed(g, r, nodes), o), "gaps")
+    base = seq.interpolate_linear(points)
+    samples, rest = _in_gaps(base)
+    keep = (*[c for c in rest.columns if c not in ("traj_id", "idx", "lon", "lat")], "_bx", "_by")
+    f = seq.resample(_vertices(g.where("reason is null"), ("lon0", "lat0"), ("lon1", "lat1")), samples, KEY, keep=keep, every=True).withColumnRenamed("k", "idx")
+    blend = lambda c, b: F.coalesce(o.blend * F.col(c) + (1 - o.blend) * F.col(b), F.col(b)).alias(c)
+    return rest.unionByName(f.select("traj_id", "idx", *keep[:-2], blend("lon", "_bx"), blend("lat", "_by"))), g.select(*KEY, "end_idx", "missing_count", "reason")
 
 
 def transition_cost(o: HmmOptions) -> Column:
@@ -179,24 +181,28 @@ def match(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOptions =
     """(chosen candidate per anchor, routes, trajectories that failed). A trajectory needs two anchors and a candidate for
     each. Routes are found once per distinct node pair."""
     a = seq.anchor_headings(points).withColumn("o", (F.row_number().over(seq.in_order()) - 1).cast("int"))
-    a = settled(a, "anchors")
-    c = settled(spatial.candidates(a.select("traj_id", "idx", "o", "lon", "lat", "heading"), nodes, o.radius, o.k, o.sigma, o.heading_weight, o.fallback), "candidates")
-    per = a.groupBy("traj_id").agg(F.count("*").alias("n")).join(c.groupBy("traj_id").agg(F.count_distinct("idx").alias("m")), "traj_id", "left")
-    good = per.where("n >= 2 and m = n").select("traj_id")
+    a = settled(a.select("traj_id", "idx", "ts", "o", "lon", "lat", "heading"), "anchors")
+    c = settled(spatial.candidates(a, nodes, o.radius, o.k, o.sigma, o.heading_weight, o.fallback, more=("o", "ts", "lon", "lat")), "candidates")
+    per = a.groupBy("traj_id").agg(F.count("*").alias("n")).join(c.groupBy("traj_id").agg(F.count_if(F.col("rank") == 0).alias("m")), "traj_id", "left")
     failed = per.where("n >= 2 and (m is null or m < n)").select("traj_id", "n")
-    c = c.join(a.select("traj_id", "idx", "o", "ts", F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat")), ["traj_id", "idx"]).join(good, "traj_id", "left_semi")
-    c = settled(c, "matched")
-    prev = c.select("traj_id", (F.col("o") + 1).alias("o"), F.col("rank").alias("p"), F.col("node_id").alias("u"), F.col("node_lon").alias("p_lon"), F.col("node_lat").alias("p_lat"), F.col("a_lon").alias("lon0"), F.col("a_lat").alias("lat0"), F.col("ts").alias("ts0"))
-    pairs = c.select("traj_id", "o", "rank", "emit", F.col("node_id").alias("v"), F.col("node_lon").alias("c_lon"), F.col("node_lat").alias("c_lat"), F.col("a_lon").alias("lon1"), F.col("a_lat").alias("lat1"), F.col("ts").alias("ts1")).join(prev, ["traj_id", "o"])
-    r = routing.routes(pairs.select("u", "v"), edges, nodes, o.class_weight, o.turn_penalty_m, o.turn_threshold_deg, o.max_settled)
-    t = settled(pairs.join(r.select("u", "v", "dist_m"), ["u", "v"], "left"), "transitions")
+    c = c.join(settled(per.where("n >= 2 and m = n").select("traj_id"), "good"), "traj_id", "left_semi")
+    # dealt by trajectory once: an anchor's candidates are one row, beside those of the anchor before it, and their pairs stay in their task
+    at = lambda n: F.first(n).alias(n)
+    step = c.repartition("traj_id").groupBy("traj_id", "o").agg(at("ts"), at("lon"), at("lat"), F.collect_list(F.struct("rank", "emit", "node_id", "node_lon", "node_lat")).alias("cs"))
+    step = step.withColumn("_b", F.lag(F.struct("ts", "lon", "lat", "cs")).over(Window.partitionBy("traj_id").orderBy("o")))
+    pairs = step.select("traj_id", "o", "ts", "lon", "lat", "_b", F.explode("cs").alias("c")).select("traj_id", "o", "ts", "lon", "lat", "_b", "c", F.explode_outer("_b.cs").alias("p"))
+    pairs = pairs.select(
+        "traj_id", "o", F.col("c.rank").alias("rank"), F.col("c.emit").alias("emit"), F.col("c.node_id").alias("v"), F.col("c.node_lon").alias("c_lon"), F.col("c.node_lat").alias("c_lat"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"),
+        F.col("ts").alias("ts1"), F.col("p.rank").alias("p"), F.col("p.node_id").alias("u"), F.col("p.node_lon").alias("p_lon"), F.col("p.node_lat").alias("p_lat"), F.col("_b.lon").alias("lon0"), F.col("_b.lat").alias("lat0"), F.col("_b.ts").alias("ts0"))
+    r = routing.routes(pairs.where("u is not null").select("u", "v"), edges, nodes, o.class_weight, o.turn_penalty_m, o.turn_threshold_deg, o.max_settled)
+    t = pairs.join(settled(r.select("u", "v", "dist_m"), "lengths"), ["u", "v"], "left")
     t = t.withColumn("straight", haversine_m("lon0", "lat0", "lon1", "lat1")).withColumn("dt", F.greatest(F.lit(1), F.col("ts1") - F.col("ts0")).cast("double"))
-    row = t.groupBy("traj_id", "o", "rank").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", transition_cost(o).alias("c")))), lambda x: x["c"]).alias("t"))
-    trans = row.groupBy("traj_id", "o").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("trans"))
-    emits = c.groupBy("traj_id", "o").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "emit"))), lambda x: x["emit"]).alias("emit"))
-    way, _ = decode.states(emits.join(trans, ["traj_id", "o"], "left"))
+    before = F.when(F.col("p").isNotNull(), F.struct("p", transition_cost(o).alias("c")))  # the first anchor has none before it
+    row = t.groupBy("traj_id", "o", "rank").agg(at("emit"), F.transform(F.sort_array(F.collect_list(before)), lambda x: x["c"]).alias("t"))
+    line = row.groupBy("traj_id", "o").agg(F.sort_array(F.collect_list(F.struct("rank", "emit", "t"))).alias("s"))
+    way, _ = decode.states(line.select("traj_id", "o", F.transform("s", lambda x: x["emit"]).alias("emit"), F.when(F.col("o") > 0, F.transform("s", lambda x: x["t"])).alias("trans")))
     way = way.select("traj_id", F.col("o").cast("int").alias("o"), F.col("state").alias("rank"))
-    chosen = settled(c.join(way, ["traj_id", "o", "rank"]).select("traj_id", "idx", "node_id", "node_lon", "node_lat", "snap_m"), "chosen")
+    chosen = c.join(way, ["traj_id", "o", "rank"]).select("traj_id", "idx", "node_id", "node_lon", "node_lat", "snap_m")
     return chosen, r, failed
 
 
@@ -261,28 +267,35 @@ def recover_hmm(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOpt
 def run_hmm(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOptions = HmmOptions()) -> Recovered:
     """Map matching of the anchors, then per gap route, gates, sampling, snapping, blend, and the optional smoothing,
     curvature limit and binding, in this order; known points stay."""
-    base = seq.interpolate(points, o.interpolation)
     chosen, r, failed = match(points, nodes, edges, o)
     failed = settled(failed, "failed")
-    every = _anchor_gaps(points, 1)
-    g = every.where(F.col("missing_count") >= o.min_gap)
-    end = lambda i, n: chosen.select("traj_id", F.col("idx").alias(f"{n}_idx"), F.col("node_id").alias(f"n{i}"), F.col("node_lon").alias(f"slon{i}"), F.col("node_lat").alias(f"slat{i}"), F.col("snap_m").alias(f"snap{i}"))
-    g = g.join(end(0, "start"), ["traj_id", "start_idx"], "left").join(end(1, "end"), ["traj_id", "end_idx"], "left")
-    g = _gates(g.join(r.select(F.col("u").alias("n0"), F.col("v").alias("n1"), "dist_m", "path"), ["n0", "n1"], "left"), o)
+    a = points.where("known").select("traj_id", "idx", "ts", "lon", "lat").join(chosen.select("traj_id", "idx", F.col("node_id").alias("n"), F.col("node_lon").alias("slon"), F.col("node_lat").alias("slat"), F.col("snap_m").alias("snap")), ["traj_id", "idx"], "left")
+    g = _gates(_routed(settled(_gap_ends(a, "n", "slon", "slat", "snap"), "ends"), r, nodes), o)
     ref = F.greatest(F.col("straight") / F.col("dt"), F.lit(0.1))
     g = g.withColumn("speed_dev", F.abs(F.col("speed") - ref) / F.greatest(ref, F.lit(0.5)))
     g = fusion(g.withColumn("raw_conf", confidence((F.col("snap0") + F.col("snap1")) / 2, F.col("detour"), F.col("speed_dev"), o)), o)
-    g = settled(g, "gaps")
-    ok = g.where("reason is null")
-    vertices = _vertices(ok, nodes, ("slon0", "slat0"), ("slon1", "slat1"))
+    tried = F.col("missing_count") >= o.min_gap
+    g = settled(g.withColumn("reason", F.when(~tried, "short_gap").otherwise(F.col("reason"))), "gaps")
+    reasons = g.join(failed.select("traj_id", F.lit(True).alias("_f")), "traj_id", "left").select(
+        *KEY, "end_idx", "missing_count", F.when(F.col("_f"), "no_candidates").otherwise(F.col("reason")).alias("reason"), *[F.when(tried, F.col(c)).alias(c) for c in ("conf", "alpha")])
+    ok, ends = g.where("reason is null"), (("slon0", "slat0"), ("slon1", "slat1"))
+    vertices = _vertices(ok, *ends)
     if o.sharp_turn_deg >= 0:
         ok = _sharp_turns(points, ok, vertices, o)
-    got = seq.resample(settled(vertices, "vertices"), _share(points, ok), KEY, o.slow_turn_deg if o.speed_aware else None, o.least_speed_factor)
-    f = got.withColumnRenamed("k", "idx").join(ok.select(*KEY, "missing_count", "alpha", "conf", "speed_dev", "snap_radius"), list(KEY))
-    f = spatial.snap(f, nodes, ("snap_radius", o.snap_radius))
-    b = base.select("traj_id", "idx", F.col("lon").alias("_bx"), F.col("lat").alias("_by"))
-    f = f.join(b, ["traj_id", "idx"]).withColumn("lon", F.col("alpha") * F.col("lon") + (1 - F.col("alpha")) * F.col("_bx")).withColumn("lat", F.col("alpha") * F.col("lat") + (1 - F.col("alpha")) * F.col("_by")).drop("_bx", "_by")
+    post = (o.smooth_below >= 0 and o.smooth_radius > 0) or (o.limit_above_speed_dev >= 0 and o.limit_turn_deg >= 0) or o.bind != "off"
+    more = ("missing_count", "alpha", "conf", "speed_dev", "snap_radius") if post else ("alpha", "snap_radius")
+    base = seq.interpolate(points, o.interpolation)
+    samples, rest = _in_gaps(base.withColumnsRenamed({c: f"_{c}" for c in more if c in base.columns}))
+    keep = (*[c for c in rest.columns if c not in ("traj_id", "idx", "lon", "lat")], "_bx", "_by")
+    f = seq.resample(_vertices(ok, *ends, *more), samples, KEY, o.slow_turn_deg if o.speed_aware else None, o.least_speed_factor, keep, more, True).withColumnRenamed("k", "idx")
+    f = spatial.snap(f, nodes, ("snap_radius", o.snap_radius), within=vertices)  # a place on a leg lies in the box of its ends
+    f = f.withColumn("lon", F.col("alpha") * F.col("lon") + (1 - F.col("alpha")) * F.col("_bx")).withColumn("lat", F.col("alpha") * F.col("lat") + (1 - F.col("alpha")) * F.col("_by"))
+    plain = lambda df: df.select("traj_id", "idx", *keep[:-2], F.coalesce("lon", "_bx").alias("lon"), F.coalesce("lat", "_by").alias("lat"))
+    named = lambda df: df.withColumnsRenamed({f"_{c}": c for c in more if c in base.columns})
+    if not post:
+        return Recovered(named(rest.unionByName(plain(f))), reasons, failed)
     f = settled(f, "filled")
+    rest, f = rest.unionByName(plain(f.where("lon is null or lat is null"))), f.where("lon is not null and lat is not null")
     if o.smooth_below >= 0 and o.smooth_radius > 0:
         s = seq.smooth_gaussian(f, o.smooth_radius, o.smooth_sigma, KEY).select(*KEY, "idx", F.col("lon").alias("_sx"), F.col("lat").alias("_sy"))
         f = _toward(f, s, (F.col("conf") < o.smooth_below) & (F.col("missing_count") >= 3), o.smooth_strength)
@@ -292,11 +305,8 @@ def run_hmm(points: DataFrame, nodes: DataFrame, edges: DataFrame, o: HmmOptions
     if o.bind != "off":
         allowed = {"all": F.lit(True), "high-conf": F.col("conf") >= o.bind_conf, "low-conf": F.col("conf") < o.bind_conf}[o.bind] & (F.col("missing_count") >= max(0, o.bind_min_gap))
         radius = o.bind_radius if o.bind_radius > 0 else o.snap_radius
-        f = spatial.snap(f.withColumn("_r", F.when(allowed, F.lit(float(radius))).otherwise(0.0)), nodes, ("_r", radius)).drop("_r")
-    reasons = every.select(*KEY, "end_idx", "missing_count").join(g.select(*KEY, F.lit(True).alias("tried"), "reason", "conf", "alpha"), list(KEY), "left")
-    none = failed.select("traj_id", F.lit(True).alias("_f"))
-    reasons = reasons.join(none, "traj_id", "left").withColumn("reason", F.when(F.col("_f"), "no_candidates").when(F.col("tried").isNull(), "short_gap").otherwise(F.col("reason"))).drop("_f", "tried")
-    return Recovered(_merge(points, base, f), reasons, failed)
+        f = spatial.snap(settled(f.withColumn("_r", F.when(allowed, F.lit(float(radius))).otherwise(0.0)), "bound"), nodes, ("_r", radius)).drop("_r")
+    return Recovered(named(rest.unionByName(plain(f))), reasons, failed)
 
 
 def _toward(f: DataFrame, s: DataFrame, where: Column, strength: float) -> DataFrame:

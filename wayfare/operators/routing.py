@@ -29,6 +29,8 @@ SAME_COST = 1e-6
 ROUTE = "u long, v long, dist_m double, cost double, path array<long>"
 #: Width in degrees of the smallest tiles, most edges of nine tiles that a task holds, pairs of a tile that a task searches.
 TILE, TILE_EDGES, TILE_PAIRS = 0.02, 200_000, 256
+#: So many nodes around the wanted pairs are sent to the tasks, more are shuffled.
+SENT_NODES = 200_000
 
 
 class _Left(Exception):
@@ -158,7 +160,7 @@ def routes(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight: f
 
     The result is a written table, as recoveries read it more than once. most leaves out pairs whose search is larger (see
     above); None searches on."""
-    want = pairs.select("u", "v").distinct()
+    want = settled(pairs.select("u", "v").distinct(), "wanted")
     same = want.where("u = v").join(nodes.select(F.col("node_id").alias("u")), "u", "left_semi").select("u", "v", F.lit(0.0).alias("dist_m"), F.lit(0.0).alias("cost"), F.array("u").alias("path"))
     want = want.where("u <> v")
     n = edges.count()
@@ -192,13 +194,20 @@ def by_tiles(want: DataFrame, edges: DataFrame, nodes: DataFrame, class_weight:
     """(routes, pairs that are not settled) between different nodes, on graphs that no task can hold.
 
     A pair goes to the tile of its first node, of doubled widths the first that is twice as wide as the pair is long, and meets
-    there the edges that begin in this tile and the eight around it. A search takes states in order of their bound (of their
+    there the edges that begin in this tile and the eight around it; only edges within reach of some pair's tiles are placed. A search takes states in order of their bound (of their
     cost, without ``most``, when all targets of a node are searched at once), so its result is the one of the whole graph as long
     as it has not come to a node outside. Pairs whose search has are tried in tiles of twice the width, ``widen`` times."""
     at = lambda c, n: nodes.select(F.col("node_id").alias(c), F.col("lon").alias(f"x{n}"), F.col("lat").alias(f"y{n}"))
-    e = settled(edges.select("src", "dst", "dist_m", "bearing", "class_penalty").join(at("src", 0), "src").join(at("dst", 1), "dst"), "placed")
     long = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")), F.lit(1e-12))
     todo = settled(want.join(at("u", 0), "u").join(at("v", 1), "v").withColumn("k", F.greatest(F.lit(0), F.ceil(F.log2(2 * long / tile))).cast("int")), "goals")
+    x0, x1, y0, y1, k = todo.agg(F.min("x0"), F.max("x0"), F.min("y0"), F.max("y0"), F.max("k")).first()
+    if k is None:
+        x0 = x1 = y0 = y1 = k = 0
+    reach = 2 * tile * 2.0 ** (k + widen)  # no search at hand begins an edge farther from the first nodes than this
+    begin = at("src", 0).where(F.col("x0").between(x0 - reach, x1 + reach) & F.col("y0").between(y0 - reach, y1 + reach))
+    few = begin.limit(SENT_NODES + 1).count() <= SENT_NODES
+    e = edges.select("src", "dst", "dist_m", "bearing", "class_penalty").join(F.broadcast(begin) if few else begin, "src")
+    e = settled(e.join(at("dst", 1), "dst"), "placed")
     size = tile * F.pow(F.lit(2.0), F.col("k"))
     cell = lambda c: F.floor(F.col(c) / size).cast("long")
     key, task = ["k", "gx", "gy"], ["k", "gx", "gy", "part"]

@@ -27,7 +27,8 @@ def back():
 
 
 def ahead():
-    return in_order().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """Backwards from the end to the current row, as a running frame."""
+    return whole().orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def gap_runs(points: DataFrame) -> DataFrame:
@@ -50,16 +51,17 @@ def gap_table(points: DataFrame) -> DataFrame:
     )
 
 
-def _knot(c: Column, before: bool) -> Column:
-    known = F.when(F.col("known"), c)
-    return F.last(known, True).over(back()) if before else F.first(known, True).over(ahead())
+def knot(c: Column, before: bool) -> Column:
+    """The value at the last known point that has one, up to this one or from this one on: a running fill either way, whose cost
+    does not grow with the length of a trajectory."""
+    return F.last(F.when(F.col("known"), c), True).over(back() if before else ahead())
 
 
 def interpolate_linear(points: DataFrame, out: tuple[str, str] = ("lon", "lat")) -> DataFrame:
     """Linear in time between known neighbours, the nearest known value beyond them; known points stay as they are."""
     p = points
     for c in ("ts", "lon", "lat"):
-        p = p.withColumn(f"_{c}0", _knot(F.col(c), True)).withColumn(f"_{c}1", _knot(F.col(c), False))
+        p = p.withColumn(f"_{c}0", knot(F.col(c), True)).withColumn(f"_{c}1", knot(F.col(c), False))
     share = (F.col("ts") - F.col("_ts0")) / F.nullif(F.col("_ts1") - F.col("_ts0"), F.lit(0))
     for c, name in zip(("lon", "lat"), out):
         a, b = F.col(f"_{c}0"), F.col(f"_{c}1")
@@ -91,7 +93,7 @@ def interpolate_pchip(points: DataFrame, out: tuple[str, str] = ("lon", "lat"))
         slopes = slopes.withColumn(f"m_{c}", F.when(h0.isNull(), first).when(h.isNull(), last).otherwise(inner))
     p = interpolate_linear(points, ("_x", "_y")).join(slopes.select("traj_id", "idx", "m_lon", "m_lat", "ok"), ["traj_id", "idx"], "left")
     for c in ("ts", "lon", "lat", "m_lon", "m_lat"):
-        p = p.withColumn(f"{c}_0", _knot(F.col(c), True)).withColumn(f"{c}_1", _knot(F.col(c), False))
+        p = p.withColumn(f"{c}_0", knot(F.col(c), True)).withColumn(f"{c}_1", knot(F.col(c), False))
     p = p.withColumn("_ok", F.coalesce(F.max("ok").over(whole()), F.lit(False)))
     hi = (F.col("ts_1") - F.col("ts_0")).cast("double")
     t = (F.col("ts") - F.col("ts_0")) / hi
@@ -174,27 +176,32 @@ def with_lengths(vertices: DataFrame, by: tuple[str, ...] = ("line_id",), slow_t
     return v.withColumn("s2", F.col("s") + F.col("_d")).drop("_d")
 
 
-def resample(vertices: DataFrame, samples: DataFrame, by: tuple[str, ...] = ("line_id",), slow_turn: float | None = None, least_factor: float = 0.6) -> DataFrame:
+def resample(vertices: DataFrame, samples: DataFrame, by: tuple[str, ...] = ("line_id",), slow_turn: float | None = None, least_factor: float = 0.6, keep: tuple[str, ...] = (), of_line: tuple[str, ...] = (), every: bool = False) -> DataFrame:
     """Points at given shares of each line's length.
 
     samples(by…, k, ratio): the ratio is cut to [0, 1]. A line with one vertex, or shorter than 1e-6, repeats its
     first vertex. Vertices and samples are dealt by line once, all together: samples come after the vertices, so the running
     abscissa at a sample is the line's length, and each takes the last vertex at or before its share of it by a running
-    fill. No pair of sample and vertex is ever built. The deal is written out, as a union's own partitioning may change while it runs."""
-    v = vertices.select(*by, F.lit(0).alias("_o"), F.col("idx").cast("long").alias("idx"), "lon", "lat", F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("ratio"))
-    q = samples.select(*by, F.lit(1).alias("_o"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.col("k").cast("long").alias("k"), F.col("ratio").cast("double").alias("ratio"))
+    fill. No pair of sample and vertex is ever built. The deal is written out, as a union's own partitioning may change while it runs.
+
+    keep names columns of samples that stay with them, of_line columns of vertices that samples take from their line's first one; with
+    every, samples of a line without vertices stay, without coordinates."""
+    none = lambda df, cs: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cs]
+    v = vertices.select(*by, F.lit(0).alias("_o"), F.col("idx").cast("long").alias("idx"), "lon", "lat", F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("ratio"), *of_line, *none(samples, keep))
+    q = samples.select(*by, F.lit(1).alias("_o"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"), F.col("k").cast("long").alias("k"), F.col("ratio").cast("double").alias("ratio"), *none(vertices, of_line), *keep)
     both = v.unionByName(q).repartition(*by)
-    first = F.first(F.when(F.col("_o") == 0, F.struct("lon", "lat"))).over(_along(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = with_lengths(both.withColumn("_first", first), by, slow_turn, least_factor).where("_first is not null")
-    knot = F.when(F.col("s2").isNotNull(), F.struct("lon", "lat", "lon2", "lat2", "s", "s2"))
+    first = F.first(F.when(F.col("_o") == 0, F.struct("lon", "lat", *of_line))).over(_along(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = with_lengths(both.withColumn("_first", first), by, slow_turn, least_factor)
+    both = both if every else both.where("_first is not null")
+    leg = F.when(F.col("s2").isNotNull(), F.struct("lon", "lat", "lon2", "lat2", "s", "s2"))
     at = F.when(F.col("_o") == 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("ratio"))) * F.col("s")).otherwise(F.col("s"))
-    both = both.select(*by, "k", "_o", "idx", "_first", knot.alias("_knot"), F.col("s").alias("_total"), at.alias("s"))
+    both = both.select(*by, "k", "_o", "idx", "_first", *keep, leg.alias("_knot"), F.col("s").alias("_total"), at.alias("s"))
     w = Window.partitionBy(*by).orderBy("s", "_o", "idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = both.withColumn("_v", F.last("_knot", True).over(w)).where("_o = 1")
     share = F.coalesce(F.least(F.lit(1.0), (F.col("s") - F.col("_v.s")) / F.nullif(F.col("_v.s2") - F.col("_v.s"), F.lit(0.0))), F.lit(0.0))
     short = F.coalesce(F.col("_total") < 1e-6, F.lit(True)) | F.col("_v").isNull()
     pick = lambda c: F.when(short, F.col(f"_first.{c}")).otherwise(F.col(f"_v.{c}") + (F.col(f"_v.{c}2") - F.col(f"_v.{c}")) * share)
-    return at.select(*by, "k", pick("lon").alias("lon"), pick("lat").alias("lat"))
+    return at.select(*by, "k", pick("lon").alias("lon"), pick("lat").alias("lat"), *keep, *[F.col(f"_first.{c}").alias(c) for c in of_line])
 
 
 def even_ratios(lines: DataFrame, n: Column | int, by: tuple[str, ...] = ("line_id",)) -> DataFrame:

@@ -33,6 +33,12 @@ def _meet(many: DataFrame, few: DataFrame, on: list[str], small: bool) -> DataFr
     return many.join(F.broadcast(few), on) if small else many.hint("merge").join(few, on)
 
 
+def _wide(reach: float, lat: str = "node_lat"):
+    """Degrees of longitude that an arc of so many radians around a latitude touches; next to a pole all."""
+    narrow = F.abs(F.cos(F.radians(lat)))
+    return F.when(narrow > math.sin(reach), F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / narrow))) * (1 + 1e-9)).otherwise(360.0)
+
+
 def _row_x(lon, row, cell: float):
     """Longitude in cells of a row of cells: their width is measured on the row's middle parallel, so it is about the same in
     metres on every row and a node near a pole does not lie in very many of them."""
@@ -42,57 +48,85 @@ def _row_x(lon, row, cell: float):
 def _spread(nodes: DataFrame, reach: float, cell: float) -> DataFrame:
     """nodes(node_lon, node_lat, …) once for each cell (_gx, _gy) that an arc of so many radians around them touches: up to three rows
     of about three cells. Next to a pole the arc holds every longitude. Beyond one, which no real node is, parallels shrink as before it."""
-    high, narrow = math.degrees(reach), F.abs(F.cos(F.radians("node_lat")))
-    wide = F.when(narrow > math.sin(reach), F.degrees(F.asin(F.least(F.lit(1.0), math.sin(reach) / narrow))) * (1 + 1e-9)).otherwise(360.0)
+    high, wide = math.degrees(reach), _wide(reach)
     rows = nodes.withColumn("_gy", F.explode(F.sequence(_cell(F.col("node_lat") - high, cell), _cell(F.col("node_lat") + high, cell))))
     x = lambda d: _row_x(F.col("node_lon") + d, F.col("_gy"), cell)
     return rows.withColumn("_gx", F.explode(F.sequence(F.floor(x(-wide) - 1e-6).cast("long"), F.floor(x(wide) + 1e-6).cast("long"))))
 
 
+def _about(nodes: DataFrame, places: DataFrame, reach: float, lon: str, lat: str) -> DataFrame:
+    """Nodes that an arc of so many radians can join to the box of all places: what lies beyond meets none of them."""
+    x0, x1, y0, y1 = places.agg(F.min(lon), F.max(lon), F.min(lat), F.max(lat)).first()
+    if x0 is None or y0 is None:
+        return nodes.limit(0)
+    high, wide = math.degrees(reach) + 1e-6, _wide(reach) + 1e-6
+    return nodes.where((F.col("node_lat") >= y0 - high) & (F.col("node_lat") <= F.lit(y1) + high) & (F.col("node_lon") >= x0 - wide) & (F.col("node_lon") <= F.lit(x1) + wide))
+
+
+def _placed(points: DataFrame, nodes: DataFrame, radius: float, cell: float, lon: str, lat: str, within: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
+    """(points with their cell, nodes once for each cell that their radius touches, whether these are few). Of a large map only
+    nodes about the box of the points count, or of ``within``, a table with lon and lat whose box holds them all."""
+    reach = min(math.pi / 2, radius / EARTH_M) * (1 + 1e-9)
+    cell = max(cell, math.degrees(reach))
+    few = lambda df: df.limit(SMALL + 1).count() <= SMALL
+    small = few(nodes)
+    n = nodes.where("lon is not null and lat is not null").withColumnsRenamed({"lon": "node_lon", "lat": "node_lat"})
+    if not small:
+        n = _about(n, points, reach, lon, lat) if within is None else _about(n, within, reach, "lon", "lat")
+        small = few(n)
+    q = points.withColumn("_gy", _cell(F.col(lat), cell)).withColumn("_gx", F.floor(_row_x(F.col(lon), F.col("_gy"), cell)).cast("long"))
+    return q, _spread(n, reach, cell), small
+
+
 def near_nodes(points: DataFrame, nodes: DataFrame, radius: float, cell: float = CELL, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """points ⋈ nodes within a radius: all columns of points, node_id, node_lon, node_lat, snap_m (and out_bearings
     if nodes has them). Cells are no smaller than the radius. Points lie in one cell; nodes are spread over the cells that
     their radius touches, measured as the distance is."""
-    has = "out_bearings" in nodes.columns
-    reach = min(math.pi / 2, radius / EARTH_M) * (1 + 1e-9)
-    cell = max(cell, math.degrees(reach))
-    small = nodes.limit(SMALL + 1).count() <= SMALL
-    n = nodes.where("lon is not null and lat is not null").select("node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"), *(["out_bearings"] if has else []))
-    q = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumn("_gy", _cell(F.col(lat), cell)).withColumn("_gx", F.floor(_row_x(F.col(lon), F.col("_gy"), cell)).cast("long"))
-    j = _meet(q, _spread(n, reach, cell), ["_gx", "_gy"], small).drop("_gx", "_gy").withColumn("snap_m", haversine_m(F.col(lon), F.col(lat), F.col("node_lon"), F.col("node_lat")))
+    n = nodes.select("node_id", "lon", "lat", *(["out_bearings"] if "out_bearings" in nodes.columns else []))
+    q, n, small = _placed(points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()), n, radius, cell, lon, lat, None)
+    j = _meet(q, n, ["_gx", "_gy"], small).drop("_gx", "_gy").withColumn("snap_m", haversine_m(F.col(lon), F.col(lat), F.col("node_lon"), F.col("node_lat")))
     return j.where(F.col("snap_m") <= radius)
 
 
+def with_nearest(points: DataFrame, nodes: DataFrame, radius: float, cell: float = CELL, within: DataFrame | None = None) -> DataFrame:
+    """points with node_id, node_lon, node_lat, snap_m of the nearest node within the radius (ties to the smaller id), null
+    where there is none. Points meet the list of nodes of their cell, so they stay one row each and are grouped by nothing."""
+    q, n, small = _placed(points, nodes.select("node_id", "lon", "lat"), radius, cell, "lon", "lat", within)
+    lists = n.groupBy("_gx", "_gy").agg(F.collect_list(F.struct("node_id", "node_lon", "node_lat")).alias("_near"))
+    j = q.join(F.broadcast(lists), ["_gx", "_gy"], "left") if small else q.hint("merge").join(settled(lists, "node-cells"), ["_gx", "_gy"], "left")
+    each = F.transform("_near", lambda n: F.struct(haversine_m(F.col("lon"), F.col("lat"), n["node_lon"], n["node_lat"]).alias("snap_m"), n["node_id"].alias("node_id"), n["node_lon"].alias("node_lon"), n["node_lat"].alias("node_lat")))
+    best = F.array_min(F.filter(each, lambda n: n["snap_m"] <= radius))
+    return j.select(*points.columns, best.alias("_b")).select(*points.columns, "_b.node_id", "_b.node_lon", "_b.node_lat", "_b.snap_m")
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = CELL) -> DataFrame:
     """key, node_id, node_lon, node_lat, snap_m of the nearest node within the radius (ties to the smaller id)."""
-    j = near_nodes(points.select(*key, "lon", "lat"), nodes.select("node_id", "lon", "lat"), radius, cell)
-    return j.groupBy(*key).agg(F.min(F.struct("snap_m", "node_id", "node_lon", "node_lat")).alias("b")).select(*key, "b.node_id", "b.node_lon", "b.node_lat", "b.snap_m")
+    return with_nearest(points.select(*key, "lon", "lat"), nodes, radius, cell).where("node_id is not null").select(*key, "node_id", "node_lon", "node_lat", "snap_m")
 
 
-def candidates(anchors: DataFrame, nodes: DataFrame, radius: float = 140.0, k: int = 4, sigma: float = 55.0, heading_weight: float = 0.7, fallback: float | None = 260.0, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = CELL) -> DataFrame:
+def candidates(anchors: DataFrame, nodes: DataFrame, radius: float = 140.0, k: int = 4, sigma: float = 55.0, heading_weight: float = 0.7, fallback: float | None = 260.0, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = CELL, more: tuple[str, ...] = ()) -> DataFrame:
     """The k cheapest nodes per anchor: cost = distance / sigma + weight * heading gap / 180. The heading gap is the
     least over the bearings that leave the node, 180 if none does, 0 if the anchor has no heading. Anchors without
-    any node take those within the fallback radius, from the same join."""
+    any node take those within the fallback radius, from the same join. ``more`` names columns of the anchors to keep."""
     wide = fallback is not None and fallback > radius
-    j = near_nodes(anchors.select(*key, "lon", "lat", "heading"), nodes, fallback if wide else radius, cell)
+    j = near_nodes(anchors.select(*dict.fromkeys([*key, "lon", "lat", "heading", *more])), nodes, fallback if wide else radius, cell)
     gap = F.array_min(F.transform("out_bearings", lambda b: angle_diff_deg(F.col("heading"), b)))
     j = j.withColumn("heading_diff", F.when(F.col("heading").isNull(), 0.0).otherwise(F.coalesce(gap, F.lit(180.0))))
     j = j.withColumn("emit", F.col("snap_m") / max(sigma, 1e-6) + heading_weight * F.col("heading_diff") / 180.0)
-    j = j.select(*key, "node_id", "node_lon", "node_lat", "snap_m", "heading_diff", "emit")
+    j = j.select(*key, "node_id", "node_lon", "node_lat", "snap_m", "heading_diff", "emit", *more)
     if wide:
         j = j.withColumn("_least", F.min("snap_m").over(Window.partitionBy(*key))).where((F.col("snap_m") <= radius) | (F.col("_least") > radius)).drop("_least")
     w = Window.partitionBy(*key).orderBy("emit", "node_id")
-    return j.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k).select(*key, "rank", "node_id", "node_lon", "node_lat", "snap_m", "heading_diff", "emit")
+    return j.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k).select(*key, "rank", "node_id", "node_lon", "node_lat", "snap_m", "heading_diff", "emit", *more)
 
 
-def snap(points: DataFrame, nodes: DataFrame, radius, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = CELL) -> DataFrame:
+def snap(points: DataFrame, nodes: DataFrame, radius, cell: float = CELL, within: DataFrame | None = None) -> DataFrame:
     """points with lon and lat replaced by the nearest node within the radius; a number, or a column name with a
-    radius per point (rows whose radius is not positive stay) whose greatest value is given as (name, most)."""
+    radius per point (rows whose radius is not positive stay) whose greatest value is given as (name, most). ``within``: see ``with_nearest``."""
     name, most = radius if isinstance(radius, tuple) else (None, radius)
     if most <= 0:
         return points
-    near = nearest_node(points, nodes, most, key, cell)
-    j = points.join(near.select(*key, "node_lon", "node_lat", "snap_m"), list(key), "left")
+    j = with_nearest(points, nodes, most, cell, within)
     inside = F.col("snap_m").isNotNull() & ((F.col("snap_m") <= F.col(name)) & (F.col(name) > 0) if name else F.lit(True))
     return j.withColumn("lon", F.when(inside, F.col("node_lon")).otherwise(F.col("lon"))).withColumn("lat", F.when(inside, F.col("node_lat")).otherwise(F.col("lat"))).select(*points.columns)
 
@@ -210,4 +244,4 @@ def in_box(segments: DataFrame, box: tuple[float, float, float, float], most: in
     return s if most is None else s.orderBy(F.xxhash64("seg_id", F.lit(seed)), "seg_id").limit(most)
 
 
-__all__ = ["CELL", "DEGREE_M", "MAP_FEATURES", "MapCase", "candidates", "in_box", "map_feature_cases", "map_features", "near_nodes", "near_segments", "nearest_node", "nearest_road", "snap", "topology_violation"]
+__all__ = ["CELL", "DEGREE_M", "MAP_FEATURES", "MapCase", "candidates", "in_box", "map_feature_cases", "map_features", "near_nodes", "near_segments", "nearest_node", "nearest_road", "snap", "topology_violation", "with_nearest"]

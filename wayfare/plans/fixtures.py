@@ -39,13 +39,13 @@ def masked(t: DataFrame) -> DataFrame:
 
 
 def _road_legs(nodes: DataFrame) -> DataFrame:
-    """Legs (highway, dir, a, b) between neighbours of nodes(node_id): along rows of SIDE nodes and across them."""
+    """Legs (highway, d, dir, a, b and both ends' lon and lat) between neighbours of nodes: along rows of SIDE nodes and across them."""
     i, j = F.floor(F.col("node_id") / SIDE), F.col("node_id") % SIDE
     highway = F.element_at(F.array(*map(F.lit, ("primary", "secondary", "residential"))), (i % 3 + 1).cast("int"))
     leg = lambda d, step, way: F.struct(F.lit(d).alias("d"), (F.col("node_id") + step).alias("b"), way.cast("int").alias("dir"))
     both = F.array(F.when(j < SIDE - 1, leg("h", 1, F.when(i % 5 == 0, 1).otherwise(0))), leg("v", SIDE, F.lit(0)))
-    legs = nodes.select(F.col("node_id").alias("a"), highway.alias("highway"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("e")).select("a", "highway", "e.*")
-    return legs.join(nodes.select(F.col("node_id").alias("b")), "b")
+    legs = nodes.select(F.col("node_id").alias("a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"), highway.alias("highway"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("e")).select("a", "lon_a", "lat_a", "highway", "e.*")
+    return legs.join(nodes.select(F.col("node_id").alias("b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b")), "b")
 
 
 def road_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +59,12 @@ def road_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes (with the bearings that leave them), directed edges, undirected segments of a road map that grows with part."""
     nodes = road_nodes(spark, sf_dir)
-    end = lambda c: nodes.select(F.col("node_id").alias(c), F.col("lon").alias(f"lon_{c}"), F.col("lat").alias(f"lat_{c}"))
-    legs = _road_legs(nodes).join(end("a"), "a").join(end("b"), "b")
+    legs = _road_legs(nodes)
     segments = with_bbox(legs.select(F.concat("d", F.col("a").cast("string")).alias("seg_id"), F.col("lon_a").alias("lon1"), F.col("lat_a").alias("lat1"), F.col("lon_b").alias("lon2"), F.col("lat_b").alias("lat2")))
-    run = lambda a, b: legs.select(F.col(a).alias("src"), F.col(b).alias("dst"), haversine_m("lon_a", "lat_a", "lon_b", "lat_b").alias("dist_m"), bearing_deg(f"lon_{a}", f"lat_{a}", f"lon_{b}", f"lat_{b}").alias("bearing"), class_penalty("highway").alias("class_penalty"), "dir")
-    edges = run("a", "b").unionByName(run("b", "a").where("dir = 0")).drop("dir")
+    run = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), bearing_deg(f"lon_{a}", f"lat_{a}", f"lon_{b}", f"lat_{b}").alias("bearing"))
+    both = F.filter(F.array(run("a", "b"), F.when(F.col("dir") == 0, run("b", "a"))), lambda x: x.isNotNull())
+    length = haversine_m("lon_a", "lat_a", "lon_b", "lat_b").alias("dist_m")
+    edges = legs.select(F.explode(both).alias("e"), length, class_penalty("highway").alias("class_penalty")).select("e.src", "e.dst", "dist_m", "e.bearing", "class_penalty")
     return graph_nodes(nodes, edges), edges, segments
 
 

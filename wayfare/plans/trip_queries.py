@@ -10,6 +10,7 @@ from ..functions import buckets
 from ..functions.geo import haversine_m
 from ..operators import features, metrics, recovery, routing, sequence as seq, travel_time
 from ..sources import schemas
+from ..sources.osm import graph_nodes
 from ..sources.work import settled
 from . import fixtures as fx, recovery_sql
 from .fixtures import r6, sql_angle, sql_bearing, sql_hav, sql_r6
@@ -146,8 +147,8 @@ def map_sweep(spark, sf_dir):
 
 def _graph(spark, sf_dir):
     """Nodes and edges as tables, as a loaded map would be."""
-    n, e, _ = fx.roads(spark, sf_dir)
-    return settled(n, "nodes"), settled(e, "edges")
+    e = settled(fx.roads(spark, sf_dir)[1], "edges")
+    return settled(graph_nodes(fx.road_nodes(spark, sf_dir), e), "nodes"), e
 
 
 def route_cost(spark, sf_dir):
