@@ -258,8 +258,8 @@ def in_even_sample(idx: Column, n: Column, most: int) -> Column:
     """Whether a point is among at most ``most`` of n, evenly spaced by index and truncated; all are if there are no more."""
     if most == 1:
         return idx == 0
-    picked = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (n - 1) / (most - 1)))
-    return (n <= most) | F.array_contains(picked, idx)
+    i = F.ceil(idx * (most - 1) / F.greatest(F.lit(1), n - 1))  # the only one that can fall on idx, as steps are a point at least
+    return (n <= most) | ((i >= 0) & (i <= most - 1) & (F.floor(i * (n - 1) / (most - 1)) == idx))
 
 
 def even_sample(points: DataFrame, most: int) -> DataFrame:

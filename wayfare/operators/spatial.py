@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_M, EARTH_M, angle_diff_deg, bearing_deg, haversine_m, metres_to_degrees, point_segment_m
+from ..functions.geo import DEGREE_M, EARTH_M, angle_diff_deg, bearing_deg, haversine_m, metres_to_degrees
 from ..sources.work import settled
 from . import sequence as seq
 from .metrics import quantiles
@@ -140,25 +140,50 @@ def _levels(segments: DataFrame, cell: float) -> tuple[DataFrame, dict[int, int]
     return s, dict(sorted(map(tuple, s.groupBy("_level").agg(F.count("*")).collect())))
 
 
-def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003, by: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003, by: tuple[str, ...] = (), more: tuple[str, ...] = (), of_segment: tuple[str, ...] = ()) -> DataFrame:
     """points ⋈ segments whose bounding box touches the point's box of the radius, with dist_m. ``by`` names columns of
-    the key that a segment must share; ``more`` names columns of the points to keep.
+    the key that a segment must share; ``more`` names columns of the points to keep, ``of_segment`` columns of the segments.
 
     The grid has levels of doubled cells. A segment lies on the level whose cells are as long as it is, so in four of them at
     most, however long it is; a point probes the cells that its box touches on every level in use. A pair counts only
-    in the lower left cell of its common area, so no distinct is needed."""
+    in the lower left cell of its common area, so no distinct is needed. Of a large map only segments about the points' box count.
+
+    Cells and distance are built column by column: as one expression their common parts are written out again at each use, and the
+    join becomes a method too long for the JVM to compile."""
     s, levels = _levels(segments, cell)
+    if sum(levels.values()) > SMALL:
+        s, levels = _levels(_touching(segments, points, radius), cell)
     dx, dy = metres_to_degrees(radius, F.col("lat")), metres_to_degrees(radius)
     q = points.where("lon is not null and lat is not null").select(*key, *more, "lon", "lat", (F.col("lon") - dx).alias("_x0"), (F.col("lon") + dx).alias("_x1"), (F.col("lat") - dy).alias("_y0"), (F.col("lat") + dy).alias("_y1"))
     size = cell * F.pow(F.lit(2.0), F.col("_level"))
     at = lambda c: F.floor(F.col(c) / size).cast("long")
     span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
-    q = q.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("_gx", span("_x0", "_x1")).withColumn("_gy", span("_y0", "_y1"))
-    s = s.withColumn("_gx", span("min_lon", "max_lon")).withColumn("_gy", span("min_lat", "max_lat"))
+    q = q.withColumn("_kx", DEGREE_M * F.greatest(F.lit(0.2), F.cos(F.radians("lat"))))
+    q = q.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumns({"_px": at("_x0"), "_py": at("_y0")}).withColumn("_gx", span("_x0", "_x1")).withColumn("_gy", span("_y0", "_y1"))
+    s = s.withColumns({"_sx": at("min_lon"), "_sy": at("min_lat")}).withColumn("_gx", span("min_lon", "max_lon")).withColumn("_gy", span("min_lat", "max_lat"))
     j = _meet(q, s, ["_level", "_gx", "_gy", *by], sum(levels.values()) <= SMALL)
-    first = (F.col("_gx") == F.greatest(at("_x0"), at("min_lon"))) & (F.col("_gy") == F.greatest(at("_y0"), at("min_lat")))
+    first = (F.col("_gx") == F.greatest("_px", "_sx")) & (F.col("_gy") == F.greatest("_py", "_sy"))
     touch = (F.col("max_lon") >= F.col("_x0")) & (F.col("min_lon") <= F.col("_x1")) & (F.col("max_lat") >= F.col("_y0")) & (F.col("min_lat") <= F.col("_y1"))
-    return j.where(first & touch).select(*key, *more, "seg_id", "lon1", "lat1", "lon2", "lat2", point_segment_m("lon", "lat", "lon1", "lat1", "lon2", "lat2").alias("dist_m"))
+    j = _with_distance(j.where(first & touch))
+    return j.select(*key, *more, "seg_id", "lon1", "lat1", "lon2", "lat2", *of_segment, "dist_m")
+
+
+def _touching(segments: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Segments whose box comes as near as the radius to the box of all points: the rest meets no point."""
+    x0, x1, y0, y1 = points.where("lon is not null and lat is not null").agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    if x0 is None:
+        return segments.limit(0)
+    dx, dy = radius / (DEGREE_M * 0.2) + 1e-6, radius / DEGREE_M + 1e-6  # a degree of longitude counts as a fifth of one of latitude at least
+    return in_box(segments, (x0 - dx, y0 - dy, x1 + dx, y1 + dy))
+
+
+def _with_distance(pairs: DataFrame) -> DataFrame:
+    """pairs(lon, lat, lon1, lat1, lon2, lat2, and _kx, the metres in a degree of longitude at the point) with dist_m as by ``point_segment_m``."""
+    d = pairs.withColumns({"_ax": (F.col("lon1") - F.col("lon")) * F.col("_kx"), "_ay": (F.col("lat1") - F.col("lat")) * DEGREE_M, "_dx": (F.col("lon2") - F.col("lon1")) * F.col("_kx"), "_dy": (F.col("lat2") - F.col("lat1")) * DEGREE_M})
+    d = d.withColumn("_nn", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    d = d.withColumn("_t", F.when(F.col("_nn") > 1e-12, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(F.col("_ax") * F.col("_dx") + F.col("_ay") * F.col("_dy")) / F.col("_nn")))).otherwise(0.0))
+    d = d.withColumns({"_ex": F.col("_ax") + F.col("_t") * F.col("_dx"), "_ey": F.col("_ay") + F.col("_t") * F.col("_dy")})
+    return d.withColumn("dist_m", F.sqrt(F.col("_ex") * F.col("_ex") + F.col("_ey") * F.col("_ey")))
 
 
 def nearest_road(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003) -> DataFrame:
@@ -210,16 +235,19 @@ def map_feature_cases(points: DataFrame, segments: DataFrame, cases: dict[str, M
     n = F.count("*").over(seq.whole())
     p = points.withColumn("travel", bearing_deg(F.lag("lon").over(seq.in_order()), F.lag("lat").over(seq.in_order()), F.lead("lon").over(seq.in_order()), F.lead("lat").over(seq.in_order()))).withColumn("_n", n)
     sampled = F.array(*[F.when(seq.in_even_sample(F.col("idx"), F.col("_n"), c.points), F.lit(k)) for k, c in enumerate(cases.values())])
-    s = settled(p.select("traj_id", "idx", "lon", "lat", "travel", F.filter(sampled, lambda x: x.isNotNull()).alias("_cases")).where(F.size("_cases") > 0), "sampled")
-    pairs = near_segments(s, segments, radii[-1], cell=cell, more=("lon", "lat"))
+    s = settled(p.select("traj_id", "idx", "lon", "lat", "travel", (DEGREE_M * F.greatest(F.lit(0.2), F.cos(F.radians("lat")))).alias("_east"), F.filter(sampled, lambda x: x.isNotNull()).alias("_cases")).where(F.size("_cases") > 0), "sampled")
+    bearings = segments.withColumn("_b", bearing_deg("lon1", "lat1", "lon2", "lat2"))
+    pairs = near_segments(s, bearings, radii[-1], cell=cell, more=("lon", "lat", "_east"), of_segment=("_b",))
+    pairs = pairs.withColumns({f"_{n}_{c}": f(f"{c}1", f"{c}2") for c in ("lon", "lat") for n, f in (("lo", F.least), ("hi", F.greatest))})
 
     def touches(radius: float):
-        dx, dy = metres_to_degrees(radius, F.col("lat")), metres_to_degrees(radius)
-        lo, hi = lambda c: F.least(f"{c}1", f"{c}2"), lambda c: F.greatest(f"{c}1", f"{c}2")
-        return (hi("lon") >= F.col("lon") - dx) & (lo("lon") <= F.col("lon") + dx) & (hi("lat") >= F.col("lat") - dy) & (lo("lat") <= F.col("lat") + dy)
+        dx, dy = radius / F.col("_east"), metres_to_degrees(radius)
+        return (F.col("_hi_lon") >= F.col("lon") - dx) & (F.col("_lo_lon") <= F.col("lon") + dx) & (F.col("_hi_lat") >= F.col("lat") - dy) & (F.col("_lo_lat") <= F.col("lat") + dy)
 
-    road = F.struct("dist_m", "seg_id", bearing_deg("lon1", "lat1", "lon2", "lat2").alias("b"))
-    aggs = [a for k, r in enumerate(radii) for a in (F.min(F.when(touches(r), road)).alias(f"_m{k}"), F.count_if(touches(r) & (F.col("dist_m") <= r)).alias(f"_d{k}"))]
+    # the first radius whose box touches the road's, as all larger ones do
+    reach = F.coalesce(*[F.when(touches(r), F.lit(k)) for k, r in enumerate(radii[:-1])], F.lit(len(radii) - 1))
+    pairs = pairs.select("traj_id", "idx", F.struct("dist_m", "seg_id", F.col("_b").alias("b")).alias("_road"), "dist_m", reach.alias("_k"))
+    aggs = [a for k, r in enumerate(radii) for a in (F.min(F.when(F.col("_k") <= k, F.col("_road"))).alias(f"_m{k}"), F.count(F.when((F.col("_k") <= k) & (F.col("dist_m") <= r), 1)).alias(f"_d{k}"))]
     j = s.select("traj_id", "idx", "travel", "_cases").join(pairs.groupBy("traj_id", "idx").agg(*aggs), ["traj_id", "idx"], "left")
     at = {r: k for k, r in enumerate(radii)}
     row = lambda c: F.struct(F.col(f"_m{at[c.radius]}").alias("m"), F.col(f"_d{at[c.radius]}").alias("density"), F.lit(float(c.radius)).alias("radius"), F.lit(float(min(c.near))).alias("a"), F.lit(float(max(c.near))).alias("b"))
