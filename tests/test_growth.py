@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions.geo import point_segment_m
 from wayfare.operators import sequence as seq, spatial
-from wayfare.plans import recovery_queries
+from wayfare.plans import recovery_queries, trip_queries
 
 SF = "/root/testdata/sf0.001"
 #: HotSpot does not compile a longer method, it interprets it.
@@ -35,6 +35,12 @@ def _longest_method(df):
     return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text)))
 
 
+def test_trip_features_compile_and_lines_are_dealt_once(fixed_plans):
+    df = trip_queries.trip_features(fixed_plans, SF)
+    assert _longest_method(df) < LONGEST
+    assert len(re.findall("Exchange hashpartitioning", _plan(trip_queries.features.seq.steps(trip_queries.fx.trips(fixed_plans, SF)[0])).toString())) == 1
+
+
 def test_map_features_compile(fixed_plans):
     assert _longest_method(recovery_queries.map_case_features(fixed_plans, SF)) < LONGEST
 

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_M, haversine_m
+from ..functions.geo import DEGREE_M, finite, haversine_m
+from ..functions.quantile import quantile_of, sorted_values
 from . import sequence as seq
 
 # The cleaning limits.
@@ -49,31 +50,31 @@ def trip_features(points: DataFrame, trips: DataFrame, tz_offset_s: int = 0, wee
     without points, and any undefined value, gives zeros (heading: 0, 1)."""
     s = seq.steps(points)
     turn, step = F.col("turn_deg"), F.col("step_m")
-    share = lambda deg: (F.count_if(turn > deg) / F.nullif(F.count(turn), F.lit(0)))
-    a = s.groupBy("traj_id").agg(
-        F.count("*").cast("double").alias("n_points"), F.sum(step).alias("path_m"),
-        F.avg(step).alias("step_mean"), F.stddev_pop(step).alias("step_std"), F.percentile(step, F.lit(0.5)).alias("step_p50"), F.percentile(step, F.lit(0.9)).alias("step_p90"), F.max(step).alias("step_max"),
-        F.avg(turn).alias("turn_mean"), F.percentile(turn, F.lit(0.9)).alias("turn_p90"), F.max(turn).alias("turn_max"),
-        *[share(d).alias(f"turn_share_{d}") for d in (30, 60, 90)],
-        F.min_by("lon", "idx").alias("start_lon"), F.min_by("lat", "idx").alias("start_lat"), F.max_by("lon", "idx").alias("end_lon"), F.max_by("lat", "idx").alias("end_lat"),
-        F.min("lon").alias("_x0"), F.max("lon").alias("_x1"), F.min("lat").alias("_y0"), F.max("lat").alias("_y1"),
-    )
-    mid = (F.col("_y0") + F.col("_y1")) / 2
-    a = a.withColumn("direct_m", haversine_m("start_lon", "start_lat", "end_lon", "end_lat"))
-    wide = DEGREE_M * F.greatest(F.lit(0.2), F.cos(F.radians(mid)))
-    a = a.withColumn("bbox_w", (F.col("_x1") - F.col("_x0")) * wide).withColumn("bbox_h", (F.col("_y1") - F.col("_y0")) * DEGREE_M)
-    a = a.withColumn("bbox_diag", F.hypot("bbox_w", "bbox_h")).withColumn("bbox_area", F.col("bbox_w") * F.col("bbox_h") / 1_000_000)
-    p = F.coalesce("path_m", F.lit(0.0))
-    a = a.withColumn("detour_ratio", p / F.greatest(F.col("direct_m"), F.lit(1e-6))).withColumn("log_path", F.log1p(p))
+    share = lambda deg: F.when(F.count(turn) > 0, F.count(F.when(turn > deg, 1)) / F.count(turn))
+    start_lon, start_lat, end_lon, end_lat = F.min_by("lon", "idx"), F.min_by("lat", "idx"), F.max_by("lon", "idx"), F.max_by("lat", "idx")
+    path, direct = F.coalesce(F.sum(step), F.lit(0.0)), haversine_m(start_lon, start_lat, end_lon, end_lat)
+    wide = DEGREE_M * F.greatest(F.lit(0.2), F.cos(F.radians((F.min("lat") + F.max("lat")) / 2)))
+    w, h = (F.max("lon") - F.min("lon")) * wide, (F.max("lat") - F.min("lat")) * DEGREE_M
     # net heading: a unit vector; north where the ends coincide
-    p1, p2, dl = F.radians("start_lat"), F.radians("end_lat"), F.radians(F.col("end_lon") - F.col("start_lon"))
+    p1, p2, dl = F.radians(start_lat), F.radians(end_lat), F.radians(end_lon - start_lon)
     y, x = F.sin(dl) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(dl)
     r = F.hypot(x, y)
     moved = ~((F.abs(x) < 1e-12) & (F.abs(y) < 1e-12))
-    a = a.withColumn("heading_sin", F.when(moved, y / r).otherwise(0.0)).withColumn("heading_cos", F.when(moved, x / r).otherwise(1.0))
-    t = trips.select("traj_id", *[c.alias(n) for n, c in clock(F.col("departure_ts"), tz_offset_s, weekend).items() if n in TRIP_FEATURES]).join(a, "traj_id", "left")
-    clean = lambda n: F.coalesce(F.when(~F.isnan(F.col(n)) & (F.abs(F.col(n)) != float("inf")), F.col(n)), F.lit(1.0 if n == "heading_cos" else 0.0)).cast("double").alias(n)
-    return t.select("traj_id", *[clean(n) for n in TRIP_FEATURES])
+    steps, turns = sorted_values(step), sorted_values(turn)
+    of_points = {
+        "n_points": F.count("*").cast("double"), "path_m": F.sum(step), "direct_m": direct, "detour_ratio": path / F.greatest(direct, F.lit(1e-6)),
+        "step_mean": F.avg(step), "step_std": F.stddev_pop(step), "step_p50": quantile_of(steps, 0.5), "step_p90": quantile_of(steps, 0.9), "step_max": F.max(step),
+        "turn_mean": F.avg(turn), "turn_p90": quantile_of(turns, 0.9), "turn_max": F.max(turn), **{f"turn_share_{d}": share(d) for d in (30, 60, 90)},
+        "bbox_w": w, "bbox_h": h, "bbox_diag": F.hypot(w, h), "bbox_area": w * h / 1_000_000,
+        "heading_sin": F.when(moved, y / r).otherwise(0.0), "heading_cos": F.when(moved, x / r).otherwise(1.0),
+        "start_lon": start_lon, "start_lat": start_lat, "end_lon": end_lon, "end_lat": end_lat, "log_path": F.log1p(path),
+    }
+    # All of it inside the aggregate, whose results are computed in many small methods: as a projection after the join it was one method
+    # too long for the compiler of the JVM, which then interprets it. (count_if and nullif would be pulled out into such a projection.)
+    a = s.groupBy("traj_id").agg(*[finite(c).alias(n) for n, c in of_points.items()])
+    of_trip = {n: c for n, c in clock(F.col("departure_ts"), tz_offset_s, weekend).items() if n in TRIP_FEATURES}
+    t = trips.select("traj_id", *[finite(c).alias(n) for n, c in of_trip.items()]).join(a, "traj_id", "left")
+    return t.select("traj_id", *[F.coalesce(F.col(n), F.lit(1.0 if n == "heading_cos" else 0.0)).cast("double").alias(n) for n in TRIP_FEATURES])
 
 
 def drop_reason(n_points: Column, time_s: Column, path_m: Column) -> Column:

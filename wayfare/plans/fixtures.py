@@ -96,9 +96,9 @@ def lattice(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def trips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(points, trips(traj_id, departure_ts, travel_time)) from orders and their lines."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("traj_id"), (F.row_number().over(w) - 1).cast("long").alias("idx"),
+    w = Window.partitionBy("traj_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "traj_id").select(  # first, so that it is seen to be dealt by traj_id
+        "traj_id", (F.row_number().over(w) - 1).cast("long").alias("idx"),
         (F.lit(108.8) + F.lit(0.0001) * (F.col("l_partkey") % 2000)).alias("lon"), (F.lit(34.1) + F.lit(0.001) * (F.col("l_suppkey") % 300)).alias("lat"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("traj_id"), epoch("o_orderdate").alias("departure_ts"), (F.col("o_totalprice").cast("double") / 100).alias("travel_time"))
     return li, o.join(li.select("traj_id").distinct(), "traj_id", "left_semi")
