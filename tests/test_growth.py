@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.functions.geo import point_segment_m
-from wayfare.operators import sequence as seq, spatial
-from wayfare.plans import recovery_queries, trip_queries
+from wayfare.operators import metrics, sequence as seq, spatial
+from wayfare.plans import fixtures as fx, recovery_queries, trip_queries
 
 SF = "/root/testdata/sf0.001"
 #: HotSpot does not compile a longer method, it interprets it.
@@ -65,3 +65,12 @@ def test_distances_column_by_column(spark, monkeypatch, small):
     plain = points.crossJoin(segments).select("idx", "seg_id", point_segment_m("lon", "lat", "lon1", "lat1", "lon2", "lat2").alias("d")).where("d <= 300").collect()
     got = spatial.near_segments(points, segments, 300.0).where("dist_m <= 300").select("idx", "seg_id", F.col("dist_m").alias("d")).collect()
     assert plain and sorted(map(tuple, got)) == sorted(map(tuple, plain))
+
+
+def test_facts_are_dealt_once(fixed_plans):
+    t = fx.truth(fixed_plans, SF, 16)
+    got = metrics.facts_in_place(t)
+    assert _plan(got).toString().count("Exchange hashpartitioning") == 1
+    m = fx.masked(t)
+    want = metrics.point_facts(m, seq.interpolate_linear(m), t)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))

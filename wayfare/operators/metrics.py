@@ -3,6 +3,8 @@ groups are read from rows sorted over all tasks (``quantiles``), so no task has
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def quantiles(df: DataFrame, value: str, qs: dict[str, float], *by: str) -> Data
     """by, and for each name in qs that quantile of value in the group; nulls do not count.
 
     Equal values of a group are counted first, so a value is one row however often it comes. These are dealt by range; counts
-    per range and group give the rank at which each range begins, running counts the rest. Only values at the two ranks next
-    to a quantile contribute."""
+    per range and group give the rank at which each range begins. Only values at the two ranks next to a quantile contribute, so only
+    ranges that hold such a rank are counted through."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
@@ -27,15 +29,17 @@ def quantiles(df: DataFrame, value: str, qs: dict[str, float], *by: str) -> Data
     group = [F.col(c) for c in by] or [F.lit(0)]
     count = rows.groupBy("_p", *by).agg(F.sum("_n").alias("_m"))
     before = F.coalesce(F.sum("_m").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    count = count.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], before.alias("_before"), F.sum("_m").over(Window.partitionBy(*group)).alias("_all"))
+    count = count.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], before.alias("_before"), F.sum("_m").over(Window.partitionBy(*group)).alias("_all"), "_m")
+    ranks = {name: q * (F.col("_all") - 1) for name, q in qs.items()}
+    inside = lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_m"))
+    count = count.where(reduce(lambda a, b: a | b, [inside(F.floor(at)) | inside(F.floor(at) + 1) for at in ranks.values()])).drop("_m")
     same = F.col("_p") == F.col("_q")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_p", *by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = rows.withColumn("_r", inner).join(count, same).withColumn("_k", F.col("_r") + F.col("_before"))
+    r = rows.join(count, same).withColumn("_r", inner).withColumn("_k", F.col("_r") + F.col("_before"))
     weights = {}
-    for name, q in qs.items():
-        at = q * (F.col("_all") - 1)
+    for name, at in ranks.items():
         low = F.floor(at)
         holds = lambda k: (k >= F.col("_k")) & (k < F.col("_k") + F.col("_n"))
         weights[name] = F.when(holds(low), 1 - (at - low)).otherwise(0.0) + F.when(holds(low + 1), at - low).otherwise(0.0)
@@ -78,6 +82,14 @@ def point_facts(inputs: DataFrame, predicted: DataFrame, truth: DataFrame) -> Da
     return j.select("traj_id", "idx", haversine_m("_plon", "_plat", "_tlon", "_tlat").alias("error_m"), "gap_size", "turn_angle", "position_ratio", "traj_length", "speed_var")
 
 
+def facts_in_place(points: DataFrame) -> DataFrame:
+    """``point_facts`` of the linear recovery where truth and known flag lie in one table: points(traj_id, idx, ts, lon, lat, known). Dealt
+    by trajectory once, without joins."""
+    p = seq.interpolate_linear(seq.gap_runs(points), ("_plon", "_plat"))
+    p = seq.position_ratio(seq.planar_turns(seq.speed_change(p))).withColumn("traj_length", F.count("*").over(seq.whole())).where(~F.col("known"))
+    return p.select("traj_id", "idx", haversine_m("_plon", "_plat", "lon", "lat").alias("error_m"), "gap_size", "turn_angle", "position_ratio", "traj_length", "speed_var")
+
+
 def trajectory_mae(inputs: DataFrame, facts: DataFrame) -> DataFrame:
     """MAE per trajectory; one without unknown points has MAE 0."""
     ids = inputs.select("traj_id").distinct()

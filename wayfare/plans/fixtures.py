@@ -24,8 +24,8 @@ def epoch(c: str) -> Column:
 
 def truth(spark: SparkSession, sf_dir: str, keep: int = 8) -> DataFrame:
     """points with true coordinates everywhere and the known flag of 1-of-keep masking."""
-    w = Window.partitionBy("user_id")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("traj_id"), "event_id", "value", "ts", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("idx"), F.count("*").over(w).alias("n"))
+    w = Window.partitionBy("traj_id")
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "traj_id").select("traj_id", "event_id", "value", "ts", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("idx"), F.count("*").over(w).alias("n"))
     return e.select(
         "traj_id", "idx", "n", epoch("ts").alias("ts"),
         (F.lit(108.9) + F.lit(0.0005) * F.col("idx") + F.lit(0.00002) * F.col("value")).alias("lon"),

@@ -13,9 +13,7 @@ from .fixtures import r6, sql_angle, sql_bearing, sql_hav, sql_r6
 
 
 def _facts(spark: SparkSession, sf_dir: str, keep: int = 8) -> DataFrame:
-    t = fx.truth(spark, sf_dir, keep)
-    m = fx.masked(t)
-    return metrics.point_facts(m, seq.interpolate_linear(m), t)
+    return metrics.facts_in_place(fx.truth(spark, sf_dir, keep))
 
 
 def recover_linear_by_gap(spark, sf_dir):
