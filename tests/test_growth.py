@@ -1,5 +1,6 @@
 """Steps that decide how queries over events and lineitem grow: sizes of generated methods, shuffles."""
 
+import math
 import re
 
 import pytest
@@ -74,3 +75,37 @@ def test_facts_are_dealt_once(fixed_plans):
     m = fx.masked(t)
     want = metrics.point_facts(m, seq.interpolate_linear(m), t)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+
+
+@pytest.mark.parametrize("small", [20_000, 3])
+def test_map_features_of_whole_trajectories(fixed_plans, monkeypatch, small):
+    """Features equal a plain count over all pairs, for trajectories that lie in several Arrow batches, points without place and points
+    far from any road; a map that is sent to the tasks leaves the points where they are."""
+    spark = fixed_plans
+    monkeypatch.setattr(spatial, "SMALL", small)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sizes = {1: 1, 2: 2, 3: 9, 4: 30, 5: 3}
+        points = [(t, i, *((None, None) if (t, i) == (3, 4) else (100.0, 10.0) if t == 5 else (108.9 + 0.0007 * i + 0.001 * t, 34.2 + 0.0004 * i * (t % 3)))) for t, n in sizes.items() for i in range(n)]
+        p = spark.createDataFrame(points, "traj_id long, idx long, lon double, lat double").repartition(3)
+        legs = [(f"s{i}", 108.9 + 0.001 * (i % 7), 34.2 + 0.0013 * (i % 5), 108.9 + 0.001 * (i % 7) + 0.002 * (i % 3), 34.2 + 0.0013 * (i % 5) + 0.0011) for i in range(40)]
+        segments = spark.createDataFrame([(*x, min(x[1], x[3]), min(x[2], x[4]), max(x[1], x[3]), max(x[2], x[4])) for x in legs], "seg_id string, lon1 double, lat1 double, lon2 double, lat2 double, min_lon double, min_lat double, max_lon double, max_lat double")
+        cases = [spatial.MapCase(80.0, 5, (15.0, 35.0)), spatial.MapCase(160.0, 40, (50.0, 20.0))]
+        df = spatial.map_feature_table(p, segments, cases)
+        if small > 3:
+            assert _plan(df).toString().count("Exchange hashpartitioning") == 1
+        got = {r.traj_id: r.asDict() for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    both = p.where("lon is not null").crossJoin(segments).select("traj_id", "idx", "lon", "lat", "min_lon", "max_lon", "min_lat", "max_lat", point_segment_m("lon", "lat", "lon1", "lat1", "lon2", "lat2").alias("d")).collect()
+    assert set(got) == set(sizes)
+    for t, n in sizes.items():
+        for k, c in enumerate(cases):
+            near = []
+            for i in range(n) if n <= c.points else sorted({j * (n - 1) // (c.points - 1) for j in range(c.points)}):
+                dx, dy = (lambda lat: c.radius / (111_320.0 * max(0.2, math.cos(math.radians(lat)))))(next((x[3] for x in points if x[:2] == (t, i) and x[3] is not None), 0.0)), c.radius / 111_320.0
+                d = [r.d for r in both if (r.traj_id, r.idx) == (t, i) and r.max_lon >= r.lon - dx and r.min_lon <= r.lon + dx and r.max_lat >= r.lat - dy and r.min_lat <= r.lat + dy]
+                near.append((min(d, default=None), sum(x <= c.radius for x in d)))
+            far = [2 * c.radius if d is None else d for d, _ in near]
+            want = {"road_mean": sum(far) / len(far), "road_max": max(far), "near_1": sum(x <= min(c.near) for x in far) / len(far), "density_mean": sum(m for _, m in near) / len(near), "no_road": sum(d is None for d, _ in near) / len(near)}
+            assert {f: got[t][f"case{k}_{f}"] for f in want} == pytest.approx(want)

@@ -204,3 +204,36 @@ def test_boosting_sends_only_cuts_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
     model = boosting.boost(df, [Target(("a", "b"), "y", None, Boosted(rounds=2, leaf=5))], "traj_id")[0]
     assert len(model.trees) == 2 and len(sizes) > 4 and max(sizes) < 10_000
+
+
+def test_boosting_deals_blocks_evenly_and_grows_equal_models_once(spark, monkeypatch):
+    """Every partition sends its sums once per level, so there are no more of them than cores, however many the blocks; a state that was
+    written in between changes nothing."""
+    from pyspark import RDD
+
+    x, y, w, df = table(spark, 600, parts=7)
+    targets = [Target(COLUMNS, "y", None, Boosted(0.1, 3, 7, 8)), Target(("a", "b"), "y", "w", Boosted(0.2, 4, 5, 8)), Target(COLUMNS, "y", None, Boosted(0.1, 3, 7, 8))]
+    plain = boosting.boost(df, targets, "traj_id")
+    assert plain[0] is plain[2]
+    parts, persist = [], RDD.persist
+
+    def spy(self, *a):
+        parts.append(self.getNumPartitions())
+        return persist(self, *a)
+
+    monkeypatch.setattr(RDD, "persist", spy)
+    for name, v in (("BLOCK_ROWS", 50), ("DEALT_ROWS", 16), ("WRITE", 2)):
+        monkeypatch.setattr(boosting, name, v)
+    again = boosting.boost(df, targets, "traj_id")
+    assert parts and max(parts) <= spark.sparkContext.defaultParallelism
+    for a, b, cols in zip(plain, again, ((0, 1, 2, 3), (0, 1), (0, 1, 2, 3))):
+        assert len(a.trees) == len(b.trees) > 4 and (a.raw(x[:, cols]) == b.raw(x[:, cols])).all()
+
+
+def test_equal_cases_share_their_columns(spark):
+    points = spark.createDataFrame([(1, 0, 108.9, 34.2)], "traj_id long, idx long, lon double, lat double")
+    segments = spark.createDataFrame([("s", 108.9, 34.1, 108.9, 34.3, 108.9, 34.1, 108.9, 34.3)], "seg_id string, lon1 double, lat1 double, lon2 double, lat2 double, min_lon double, min_lat double, max_lon double, max_lat double")
+    wide, columns = travel_time.case_table(spark.createDataFrame([(1,), (2,)], "traj_id long"), points, segments)
+    assert columns["map_r120_p14_t2050"] == columns["map_r120_p14_t2050_c08"] and columns["nomap_ref"] == () and len(wide.columns) == 1 + 6 * 10
+    got = {r.traj_id: r.asDict() for r in wide.collect()}
+    assert got[1]["case0_heading_mean"] == 90.0 and got[1]["case0_density_mean"] == 1.0 and set(got[2].values()) == {2, 0.0}

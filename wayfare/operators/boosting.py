@@ -1,25 +1,27 @@
 """Histogram gradient boosting for least squares, grown on Spark one level at a time.
 
-Features are binned once, at quantiles of a bounded sample. The binned rows lie in blocks of one byte per value. A level
-of a tree is one aggregation: each block sums gradients, weights and counts by (node, feature, bin), the sums
-are dealt by feature and added up, the task that holds a feature finds its best cuts, and the driver gets one cut per node and
-feature, whatever the rows. Of two siblings only the smaller is summed, the other is its parent less that one. A tree grows
+Features are binned once, at quantiles of a bounded sample. The binned rows lie in blocks of one byte per value, column by
+column, in about as many partitions as there are cores, as each sends its sums once per level. A level
+of a tree is one aggregation: each partition sums gradients, weights and counts by (node, feature, bin), the sums
+are dealt by feature and added up, the task that holds features finds their best cuts, and the driver gets one cut per node and
+task, whatever the rows. Of two siblings only the smaller is summed, the other is its parent less that one. A tree grows
 best-first to ``leaves`` leaves: a node is split if it is among the ``leaves - 1`` greatest by the least gain on its way
 from the root, so a whole level of candidates can be summed at once and nothing is lost.
 
 Several models (other labels, weights, columns or settings over the same rows) grow side by side in the same jobs; they begin
-their trees together.
+their trees together. Equal ones are grown once.
 
 Gradients, weights and losses are rounded to a grid so fine that sums of all rows stay whole numbers below 2^53. Sums are
 therefore exact in any order: the model is the same for every partitioning and after any lost executor. What rows
 have got from the trees so far is kept with the blocks and moved on every few rounds from the previous state, so a lost
-block is computed again from the written ones and the trees.
+block is computed again from the written ones and the trees. After many moves the state is written, so that its line of
+descent stays short.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Generator, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -30,9 +32,11 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.work import settled
+from ..sources.work import Rounds, settled
 
-SAMPLE, BLOCK_ROWS, STRIDE = 200_000, 16_384, 5
+#: Rows that the bins are drawn from, rows of a block at most, and of one as it is dealt, trees after which the state is moved, moves
+#: after which it is written, and rows of a partition at most.
+SAMPLE, BLOCK_ROWS, DEALT_ROWS, STRIDE, WRITE, MOST_ROWS = 200_000, 65_536, 8_192, 1, 40, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -73,16 +77,31 @@ class Tree:
     right: np.ndarray
     value: np.ndarray
 
-    def route(self, bins: np.ndarray) -> np.ndarray:
-        """The node each row of bins[row, feature] ends in."""
-        at = np.zeros(len(bins), np.int32)
-        live = np.arange(len(bins)) if self.feature[0] >= 0 else np.zeros(0, np.int64)
-        while len(live):
-            node = at[live]
-            node = np.where(bins[live, self.feature[node]] <= self.cut[node], self.left[node], self.right[node])
-            at[live] = node
-            live = live[self.feature[node] >= 0]
-        return at
+    def rows(self, bins: np.ndarray, rows: np.ndarray, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(node, those of the rows of bins[feature, row] that come to it) of all leaves, or of the wanted nodes."""
+        way = None
+        if wanted is not None:
+            above = {int(c): n for n in np.flatnonzero(self.feature >= 0) for c in (self.left[n], self.right[n])}
+            way = set()
+            for n in wanted:
+                while n in above and above[n] not in way:
+                    n = above[n]
+                    way.add(n)
+        todo = [(0, rows)]
+        while todo:
+            node, at = todo.pop()
+            if wanted is not None and node in wanted:
+                yield node, at
+            if self.feature[node] >= 0 and (way is None or node in way):
+                below = bins[self.feature[node]].take(at) <= self.cut[node]
+                todo += [(int(self.left[node]), at[below]), (int(self.right[node]), at[~below])]
+            elif wanted is None:
+                yield node, at
+
+    def add(self, bins: np.ndarray, score: np.ndarray) -> None:
+        """Add each row's leaf to its score."""
+        for node, at in self.rows(bins, np.arange(bins.shape[1])):
+            score[at] += self.value[node]
 
 
 @dataclass
@@ -101,7 +120,7 @@ class Trees:
     def raw(self, x: np.ndarray) -> np.ndarray:
         bins, out = self.bin(x), np.full(len(x), self.base)
         for t in self.trees:
-            out += t.value[t.route(bins)]
+            t.add(bins, out)
         return out
 
     def score(self) -> Column:
@@ -124,9 +143,13 @@ def find_edges(x: np.ndarray, bins: int) -> np.ndarray:
 
 
 def bin_columns(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """bins[column, row] of x[row, column]."""
     if np.isnan(x).any():
         raise ValueError("a feature is null or not a number")
-    return np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
+    out = np.empty((len(edges), len(x)), np.uint8)
+    for j, e in enumerate(edges):
+        out[j] = np.searchsorted(e, x[:, j], side="left")
+    return out
 
 
 def _grid(most: float, rows: int) -> float:
@@ -139,6 +162,7 @@ class _Fit:
     """What tasks need to know of one model besides its trees."""
 
     columns: np.ndarray
+    widths: list[int]
     label: int
     weight: int | None
     grid: float
@@ -166,36 +190,34 @@ class _Node:
         self.feature, self.cut, self.left, self.right = -1, -1, -1, -1
 
 
-#: Best cut of a node on one feature: (gain, bin, sums below it).
-Cut = tuple[float, int, np.ndarray]
+#: Best cut of a node: (gain, feature, bin, sums below it).
+Cut = tuple[float, int, int, np.ndarray]
 
 
-def _best_cut(hist: np.ndarray, fit: _Fit, spec: Boosted) -> Cut | None:
-    """hist[sum, bin] with sums of gradients, weights and counts; the first of equal gains wins."""
-    below = hist.cumsum(axis=1)
-    total, below = below[:, -1:], below[:, :-1]
+def _best_cuts(hist: np.ndarray, fit: _Fit, spec: Boosted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, bin, sums below it) per node on one feature from hist[node, sum, bin] with sums of gradients, weights and counts; the
+    first of equal gains wins, and a gain that is not positive is no cut."""
+    below = hist.cumsum(axis=2)
+    total, below = below[:, :, -1:], below[:, :, :-1]
+    if not below.shape[2]:
+        return np.full(len(hist), -np.inf), np.zeros(len(hist), np.int64), np.zeros((len(hist), 3))
     above = total - below
-    gain = lambda s: np.square(s[0] / fit.grid) / (s[1] / fit.weight_grid + spec.l2)
+    gain = lambda s: np.square(s[:, 0] / fit.grid) / (s[:, 1] / fit.weight_grid + spec.l2)
     with np.errstate(invalid="ignore", divide="ignore"):
         g = gain(below) + gain(above) - gain(total)
-    ok = (below[2] >= spec.leaf) & (above[2] >= spec.leaf) & (below[1] > 1e-3 * fit.weight_grid) & (above[1] > 1e-3 * fit.weight_grid)
+    ok = (below[:, 2] >= spec.leaf) & (above[:, 2] >= spec.leaf) & (below[:, 1] > 1e-3 * fit.weight_grid) & (above[:, 1] > 1e-3 * fit.weight_grid)
     g = np.where(ok, g, -np.inf)
-    k = int(np.argmax(g))
-    return (float(g[k]), k, below[:, k].copy()) if g[k] > 0 else None
+    k, each = g.argmax(axis=1), np.arange(len(hist))
+    return g[each, k], k, below[each, :, k]
 
 
-def _choose(node: _Node, cuts: dict[int, Cut], spec: Boosted) -> None:
-    """The best of the features' cuts; the first of equal gains wins."""
-    if node.depth >= spec.depth or node.totals[2] < 2 * spec.leaf:
-        return
-    for j in sorted(cuts):
-        if cuts[j][0] > node.gain:
-            node.gain, node.cut, node.below = cuts[j]
-            node.feature = j
+def _choose(node: _Node, cut: Cut | None, spec: Boosted) -> None:
+    if cut is not None and node.depth < spec.depth and node.totals[2] >= 2 * spec.leaf:
+        node.gain, node.feature, node.cut, node.below = cut
 
 
-#: What comes back of a request: cuts[node][feature], sums of the root, mean loss.
-Answer = tuple[dict[int, dict[int, Cut]], np.ndarray | None, float]
+#: What comes back of a request: the best cut of each node that has one, sums of the root, mean loss.
+Answer = tuple[dict[int, Cut], np.ndarray | None, float]
 
 
 def _grow(fit: _Fit, spec: Boosted, model: Trees) -> Generator[_Request, Answer, None]:
@@ -209,7 +231,7 @@ def _grow(fit: _Fit, spec: Boosted, model: Trees) -> Generator[_Request, Answer,
             last = model.losses[-spec.patience - 1 :]
             if len(last) > spec.patience and all(x >= last[0] - spec.tolerance for x in last[1:]):
                 return
-        _choose(nodes[0], cuts.get(0, {}), spec)
+        _choose(nodes[0], cuts.get(0), spec)
         nodes[0].rank = nodes[0].gain
         while True:
             known = sorted((n for n in nodes if n.feature >= 0), key=lambda n: -n.rank)[: spec.leaves - 1]
@@ -228,7 +250,7 @@ def _grow(fit: _Fit, spec: Boosted, model: Trees) -> Generator[_Request, Answer,
             cuts = (yield _Request(_tree(nodes, columns), small, kin, False))[0] if small else {}
             for n in ready:
                 for c in (n.left, n.right):
-                    _choose(nodes[c], cuts.get(c, {}), spec)
+                    _choose(nodes[c], cuts.get(c), spec)
                     nodes[c].rank = min(n.rank, nodes[c].gain)
         kept = {id(n) for n in sorted((n for n in nodes if n.feature >= 0), key=lambda n: -n.rank)[: spec.leaves - 1]}
         model.trees.append(_pruned(nodes, kept, fit, spec))
@@ -260,65 +282,96 @@ def _pruned(nodes: list[_Node], kept: set[int], fit: _Fit, spec: Boosted) -> Tre
     return Tree(np.array(f, np.int32), np.array(c, np.int32), np.array(a, np.int32), np.array(b, np.int32), np.array(v))
 
 
-Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # bins[row, column], numbers[kind, row], kept back, score[model, row]
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # bins[column, row], numbers[kind, row], kept back, score[model, row]
 
 
 def _moved(block: Block, fits: list[_Fit], new: list[list[Tree]]) -> Block:
     bins, numbers, held, score = block
-    score = score.copy()
-    for k, trees in enumerate(new):
-        mine = bins[:, fits[k].columns] if trees else bins
-        for t in trees:
-            score[k] += t.value[t.route(mine)]
+    if any(new):
+        score = score.copy()
+        for k, trees in enumerate(new):
+            mine = bins[fits[k].columns] if trees else bins
+            for t in trees:
+                t.add(mine, score[k])
     return bins, numbers, held, score
 
 
+def _pack(g: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """Whole numbers that hold g above and a one below, and how many bits are below: one sum gives both. None if sums could
+    overflow."""
+    bits = len(g).bit_length()
+    return ((g.astype(np.int64) << bits) + 1, bits) if (float(np.abs(g).sum()) + 1) * 2.0**bits < 2.0**62 else None
+
+
+def _hist(bins: np.ndarray, fit: _Fit, slots: np.ndarray | int, size: int, rows: np.ndarray | None, use: np.ndarray, g: np.ndarray, w: np.ndarray | None) -> np.ndarray:
+    """hist[sum, feature, slot, bin] of gradients and counts, and of weights if there are any. rows: which ones, None for all of ``use``."""
+    out = np.zeros((2 if w is None else 3, len(fit.columns), size, 256))
+    key = np.empty(len(g), np.intp)
+    packed = _pack(g)
+    one = None if packed is None else np.where(use, packed[0], 0) if rows is None else packed[0]
+    for j, c in enumerate(fit.columns):
+        np.add(bins[c] if rows is None else bins[c].take(rows), slots, out=key)
+        if one is None:
+            out[0, j] = np.bincount(key, g, size * 256).reshape(size, 256)
+            out[1, j] = np.bincount(key, use if rows is None else None, size * 256).reshape(size, 256)
+        else:
+            both = np.zeros(size * 256, np.int64)
+            np.add.at(both, key, one)
+            out[0, j], out[1, j] = (both >> packed[1]).reshape(size, 256), (both & ((1 << packed[1]) - 1)).reshape(size, 256)
+        if w is not None:
+            out[2, j] = np.bincount(key, w, size * 256).reshape(size, 256)
+    return out
+
+
 def _sums(block: Block, fits: list[_Fit], asked: dict[int, _Request]) -> dict[int, tuple[np.ndarray, float]]:
-    """Sums of one block: per model hist[slot, sum, feature, bin] and the loss of rows kept back."""
+    """Sums of one block: per model its ``_hist`` and the loss of rows kept back."""
     bins, numbers, held, score = block
-    width = int(bins.max(initial=0)) + 1
-    out = {}
+    every, out = np.zeros(len(held), bool), {}
     for k, r in asked.items():
         f = fits[k]
         off = score[k] - numbers[f.label]
-        weight = numbers[f.weight] if f.weight is not None else np.ones(len(off))
-        loss = 0.0
-        use = np.ones(len(off), bool)
+        weight = numbers[f.weight] if f.weight is not None else None
+        loss, use, rows = 0.0, ~every, None
         if f.held_weight is not None:
             use = ~held
             if r.loss:
-                loss = float(np.rint(np.square(off[held]) * weight[held] * f.loss_grid).sum())
-        slot = np.full(len(r.tree.feature), -1)
-        slot[r.nodes] = np.arange(len(r.nodes))
-        at = slot[r.tree.route(bins)]
-        rows = np.flatnonzero(use & (at >= 0))
-        at, g, w = at[rows], np.rint(off[rows] * weight[rows] * f.grid), np.rint(weight[rows] * f.weight_grid)
-        hist = np.zeros((len(r.nodes), 3, len(f.columns), 256))
-        for j, c in enumerate(f.columns):
-            key, size = at * width + bins[rows, c], len(r.nodes) * width
-            n = np.bincount(key, minlength=size)
-            hist[:, 0, j, :width] = np.bincount(key, g, size).reshape(-1, width)
-            hist[:, 1, j, :width] = (np.bincount(key, w, size) if f.weight is not None else n * f.weight_grid).reshape(-1, width)
-            hist[:, 2, j, :width] = n.reshape(-1, width)
-        out[k] = (hist, loss)
+                loss = float(np.rint(np.square(off[held]) * (1.0 if weight is None else weight[held]) * f.loss_grid).sum())
+        slots: np.ndarray | int = 0
+        if r.kin[0][0] >= 0:
+            place = {n: i for i, n in enumerate(r.nodes)}
+            parts = list(r.tree.rows(bins, np.flatnonzero(use), set(place)))
+            rows = np.concatenate([at for _, at in parts])
+            slots = np.repeat(np.array([place[n] * 256 for n, _ in parts]), [len(at) for _, at in parts])
+            off, weight = off[rows], weight if weight is None else weight[rows]
+        g, w = np.rint((off if weight is None else off * weight) * f.grid), weight if weight is None else np.rint(weight * f.weight_grid)
+        if rows is None and f.held_weight is not None:
+            g, w = np.where(use, g, 0.0), w if w is None else np.where(use, w, 0.0)
+        out[k] = (_hist(bins, f, slots, len(r.nodes), rows, use, g, w), loss)
     return out
 
 
-def _split(held: dict[int, np.ndarray], sums: np.ndarray, r: _Request, fit: _Fit, spec: Boosted) -> tuple[dict[int, np.ndarray], dict[int, Cut], np.ndarray]:
-    """(hist per node, best cut per node, sums of the first node) of one feature; held has the parents' hist[sum, bin]."""
+def _split(held: dict[int, np.ndarray], sums: list[np.ndarray], r: _Request, fit: _Fit, spec: Boosted) -> tuple[dict[int, np.ndarray], list[tuple[int, float, int, np.ndarray]], np.ndarray]:
+    """(hist per node, best cut per node that has one, sums of the first node) of one feature; held has the parents' hist[sum, bin], sums
+    has gradients, counts and, if rows have any, weights by [slot, bin]."""
     new = {}
-    for node, (parent, sibling), h in zip(r.nodes, r.kin, sums):
+    whole = np.stack([sums[0], sums[2] if len(sums) > 2 else sums[1] * fit.weight_grid, sums[1]], axis=1)
+    for node, (parent, sibling), h in zip(r.nodes, r.kin, whole):
         new[node] = h
         if parent >= 0:
             new[sibling] = held[parent] - h
-    cuts = {n: c for n, h in new.items() if (c := _best_cut(h, fit, spec))}
-    return new, cuts, sums[0].sum(axis=1)
+    gains, at, below = _best_cuts(np.stack(list(new.values())), fit, spec)
+    return new, [(n, float(gains[i]), int(at[i]), below[i]) for i, n in enumerate(new) if gains[i] > 0], whole[0].sum(axis=1)
+
+
+def _better(a: Cut | None, b: Cut) -> Cut:
+    """The greater gain, of equal ones the first feature."""
+    return b if a is None or (-b[0], b[1]) < (-a[0], a[1]) else a
 
 
 def boost(rows: DataFrame, targets: list[Target], key: str, seed: int = 42) -> list[Trees]:
     """Fit all targets side by side. ``key`` tells rows apart for the sample and for the rows kept back. Null or NaN features
     and an empty table are errors; further columns are not read."""
-    spark = rows.sparkSession
+    spark, wanted, targets = rows.sparkSession, targets, list(dict.fromkeys(targets))
     columns = list(dict.fromkeys(c for t in targets for c in t.columns))
     numbers = list(dict.fromkeys(c for t in targets for c in (t.label, t.weight) if c))
     spec_hold = max(t.spec.holdout for t in targets)
@@ -336,40 +389,51 @@ def boost(rows: DataFrame, targets: list[Target], key: str, seed: int = 42) -> l
     del sample
 
     fits, models = [], []
-    for t in targets:
+    moments = _moments(data, targets, n_cols, numbers, n)
+    for t, whole in zip(targets, moments):
         held = n > t.spec.hold_above and t.spec.holdout > 0
-        y, w = F.col(n_cols[numbers.index(t.label)]), F.col(n_cols[numbers.index(t.weight)]) if t.weight else F.lit(1.0)
-        used = data.where(~F.col("held")) if held else data
-        # decimals add up exactly, in any order
-        exact = lambda c: F.sum(c.cast("decimal(28,9)"))
-        whole = data.agg(F.min(y).alias("lo"), F.max(y).alias("hi"), F.max(w).alias("w"), F.sum(F.when(F.col("held"), w)).alias("held")).first()
-        sums = used.agg(exact(y * w).alias("yw"), exact(w).alias("w")).first()
-        if whole["lo"] is None or sums["w"] is None or not sums["w"]:
+        if whole["lo"] is None or whole["sum_w"] is None or not whole["sum_w"]:
             raise ValueError("no labels to fit")
         spread = max(2 * (whole["hi"] - whole["lo"]), 1e-9)
-        base = float(Decimal(sums["yw"]) / Decimal(sums["w"]))
+        base = float(Decimal(whole["sum_yw"]) / Decimal(whole["sum_w"]))
         index = np.array([columns.index(c) for c in t.columns])
-        fits.append(_Fit(index, numbers.index(t.label), numbers.index(t.weight) if t.weight else None, _grid(spread * whole["w"], n), _grid(spread * spread * whole["w"], n), _grid(whole["w"], n), base, whole["held"] if held and whole["held"] else None))
+        fits.append(_Fit(index, [len(edges[j]) + 1 for j in index], numbers.index(t.label), numbers.index(t.weight) if t.weight else None, _grid(spread * whole["w"], n), _grid(spread * spread * whole["w"], n), _grid(whole["w"], n), base, whole["held"] if held and whole["held"] else None))
         models.append(Trees(t.columns, [edges[j] for j in index], base))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            get = lambda cols: np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.float64) for c in cols])
-            held = b.column(b.schema.get_field_index("held")).to_numpy(zero_copy_only=False).astype(bool)
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bin_columns(get(x_cols), edges), get(n_cols).T.copy(), held)], names=["bins", "numbers", "held"])
-
-    spread_out = data.drop("drawn").repartition(max(1, -(-n // BLOCK_ROWS)))
-    stored = settled(spread_out.mapInArrow(blocks, "bins binary, numbers binary, held binary"), "boost-blocks")
-    width, kinds, bases = len(columns), len(numbers), np.array([[f.base] for f in fits])
+    most = BLOCK_ROWS
 
-    def load(r) -> Block:
-        held = np.frombuffer(r.held, bool)
-        return np.frombuffer(r.bins, np.uint8).reshape(-1, width), np.frombuffer(r.numbers).reshape(kinds, -1), held, np.repeat(bases, len(held), axis=1)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _joined(batches, min(most, DEALT_ROWS)):
+            get = lambda cols: np.column_stack([b.column(c).to_numpy().astype(np.float64) for c in cols])
+            held = b.column("held").to_numpy().astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (bin_columns(get(x_cols), edges), get(n_cols).T.copy(), held)], names=["bins", "numbers", "held"])
 
-    state: RDD = stored.rdd.map(load).persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = max(1, min(state.getNumPartitions(), sum(len(f.columns) for f in fits), spark.sparkContext.defaultParallelism))
-    specs, held_sums = [t.spec for t in targets], None
+    width, kinds, bases = len(columns), len(numbers), np.array([[f.base] for f in fits])
+    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n // DEALT_ROWS)), -(-n // MOST_ROWS))
+    stored = settled(data.drop("drawn").mapInArrow(blocks, "bins binary, numbers binary, held binary"), "boost-blocks")
+    wrote = Rounds(spark, "boost-state")
+
+    def load(it: Iterator) -> Iterator[Block]:
+        """The blocks of a partition, small ones joined."""
+        kept: list[Block] = []
+        for r in it:
+            held = np.frombuffer(r.held, bool)
+            score = np.frombuffer(r.score).reshape(len(bases), -1) if "score" in r else np.repeat(bases, len(held), axis=1)
+            b = np.frombuffer(r.bins, np.uint8).reshape(width, -1), np.frombuffer(r.numbers).reshape(kinds, -1), held, score
+            if kept and sum(len(x[2]) for x in kept) + len(held) > most:
+                yield tuple(np.concatenate(x, axis=-1) for x in zip(*kept))
+                kept = []
+            kept.append(b)
+        if kept:
+            yield tuple(np.concatenate(x, axis=-1) for x in zip(*kept))
+
+    def dealt(blocks: DataFrame) -> RDD:
+        """Blocks in turn, so that all partitions have about as many rows."""
+        return blocks.rdd.zipWithIndex().map(lambda x: (x[1], x[0])).partitionBy(parts, lambda i: i).values().mapPartitions(load).persist(StorageLevel.MEMORY_AND_DISK)
+
+    state = dealt(stored)
+    tasks = max(1, min(parts, sum(len(f.columns) for f in fits), spark.sparkContext.defaultParallelism))
+    specs, held_sums, old, moves = [t.spec for t in targets], None, None, 0
     growing = {k: _grow(f, t.spec, m) for k, (f, t, m) in enumerate(zip(fits, targets, models))}
     asked, done = {}, [0] * len(models)
     for k, g in list(growing.items()):
@@ -377,10 +441,12 @@ def boost(rows: DataFrame, targets: list[Target], key: str, seed: int = 42) -> l
     while asked:
         fresh = [m.trees[d:] for m, d in zip(models, done)]
         if max(map(len, fresh)) >= STRIDE:
-            before, new = state, spark.sparkContext.broadcast((fits, fresh))
-            state = before.map(lambda b, new=new: _moved(b, *new.value)).persist(StorageLevel.MEMORY_AND_DISK)
-            state.count()
-            before.unpersist()
+            old, moves, new = state, moves + 1, spark.sparkContext.broadcast((fits, fresh))
+            state = old.map(lambda b, new=new: _moved(b, *new.value))
+            if moves % WRITE == 0:
+                rows_of = state.map(lambda b: (b[0].tobytes(), b[1].tobytes(), b[2].tobytes(), b[3].tobytes()))
+                state = dealt(wrote.put(spark.createDataFrame(rows_of, "bins binary, numbers binary, held binary, score binary")))
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
             done, fresh = [len(m.trees) for m in models], [[] for _ in models]
         now = {k: r for k, r in asked.items() if r.kin[0][0] >= 0}  # models that have ended their tree wait for the others
         begins = not now
@@ -392,27 +458,56 @@ def boost(rows: DataFrame, targets: list[Target], key: str, seed: int = 42) -> l
             total: dict = {}
             for b in it:
                 for k, (hist, loss) in _sums(_moved(b, fits, fresh), fits, now).items():
-                    for key, v in [((k, j), hist[:, :, j]) for j in range(hist.shape[2])] + [((k, -1), loss)]:
-                        total[key] = total[key] + v if key in total else v
-            yield from total.items()
-
-        def cut(x, job=job) -> tuple:
-            (k, j), (sums, held) = x
+                    if k in total:
+                        total[k][0].__iadd__(hist)
+                        total[k][1] += loss
+                    else:
+                        total[k] = [hist, loss]
+            for k, (hist, loss) in total.items():
+                yield (k, -1), loss
+                for j, size in enumerate(fits[k].widths):
+                    part = hist[:, j, :, :size]
+                    yield (k, j), (part[0].copy(), part[1].astype(np.int32), *part[2:].copy())
+
+        def cut(it: Iterator[tuple], job=job) -> Iterator[tuple]:
+            """Sums of the nodes of each feature, and at last per model: the best cut of each node among the task's features, sums of the
+            first node, loss."""
             fits, _, now, specs = job
-            return (k, j), (sums if j < 0 else _split(held or {}, sums, now[k], fits[k], specs[k]))
-
-        sums = state.mapPartitions(one).reduceByKey(lambda a, b: a + b, tasks)
-        both = sums.mapValues(lambda v: (v, None)) if begins else sums.leftOuterJoin(held_sums.flatMap(lambda x: [(x[0], x[1][0])] if x[0][1] >= 0 else [], True), tasks)
-        level = both.map(cut, True).persist(StorageLevel.MEMORY_AND_DISK)
+            total: dict = {}
+            held: dict = {}
+            found: dict[int, list] = {}
+            for key, v in it:
+                if key[1] < 0:
+                    found.setdefault(key[0], [{}, None, 0.0])[2] += v
+                elif isinstance(v, dict):
+                    held[key] = v
+                else:
+                    total[key] = [a + b for a, b in zip(total[key], v)] if key in total else [x.astype(float) for x in v]
+            for key, sums in total.items():
+                k, j = key
+                got = found.setdefault(k, [{}, None, 0.0])
+                new, cuts, first = _split(held.pop(key, {}), sums, now[k], fits[k], specs[k])
+                for node, gain, at, below in cuts:
+                    got[0][node] = _better(got[0].get(node), (gain, j, at, below))
+                if j == 0:
+                    got[1] = first
+                yield key, new
+            yield None, found
+
+        sums = state.mapPartitions(one)
+        if not begins:  # the parents' sums are dealt along with the new ones
+            parents = {k: {parent for parent, _ in r.kin} for k, r in now.items()}
+            sums = sums.union(held_sums.flatMap(lambda x, parents=parents: [(x[0], {n: x[1][n] for n in parents[x[0][0]]})] if x[0] is not None and x[0][0] in parents else []))
+        level = sums.partitionBy(tasks).mapPartitions(cut, True).persist(StorageLevel.MEMORY_AND_DISK)
         got: dict[int, list] = {k: [{}, None, 0.0] for k in now}
-        for (k, j), v in level.mapValues(lambda v: v[1:] if isinstance(v, tuple) else v).collect():  # a cut per node and feature
-            if j < 0:
-                got[k][2] = v / fits[k].loss_grid / 2 / (fits[k].held_weight or 1.0)
-                continue
-            for node, c in v[0].items():
-                got[k][0].setdefault(node, {})[j] = c
-            if j == 0:
-                got[k][1] = v[1]
+        for k, (cuts, first_sums, loss) in level.filter(lambda x: x[0] is None).flatMap(lambda x: x[1].items()).collect():  # a cut per node and task
+            for node, c in cuts.items():
+                got[k][0][node] = _better(got[k][0].get(node), c)
+            got[k][1] = got[k][1] if first_sums is None else first_sums
+            got[k][2] += loss / fits[k].loss_grid / 2 / (fits[k].held_weight or 1.0)
+        if old is not None:  # the new state was made by this job
+            old.unpersist()
+            old = None
         if held_sums is not None:
             held_sums.unpersist()
         held_sums = level
@@ -424,7 +519,36 @@ def boost(rows: DataFrame, targets: list[Target], key: str, seed: int = 42) -> l
     if held_sums is not None:
         held_sums.unpersist()
     state.unpersist()
-    return models
+    fitted = dict(zip(targets, models))
+    return [fitted[t] for t in wanted]
+
+
+def _moments(data: DataFrame, targets: list[Target], n_cols: list[str], numbers: list[str], n: int) -> list[dict]:
+    """Per target lo, hi of the label, w, the greatest weight, held, the weight kept back, and sums of weights and weighted labels over the
+    rows that are fitted, all from one reading. Decimals add up exactly, in any order."""
+    aggs = []
+    for i, t in enumerate(targets):
+        y, w = F.col(n_cols[numbers.index(t.label)]), F.col(n_cols[numbers.index(t.weight)]) if t.weight else F.lit(1.0)
+        used = ~F.col("held") if n > t.spec.hold_above and t.spec.holdout > 0 else F.lit(True)
+        exact = lambda c, used=used: F.sum(F.when(used, c.cast("decimal(28,9)")))
+        of = {"lo": F.min(y), "hi": F.max(y), "w": F.max(w), "held": F.sum(F.when(F.col("held"), w)), "sum_yw": exact(y * w), "sum_w": exact(w)}
+        aggs.append({name: c.alias(f"{name}_{i}") for name, c in of.items()})
+    r = data.agg(*[c for a in aggs for c in a.values()]).first()
+    return [{name: r[f"{name}_{i}"] for name in a} for i, a in enumerate(aggs)]
+
+
+def _joined(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows of the batches in tables of ``most`` rows; the last holds what is left."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        while kept and sum(x.num_rows for x in kept) + b.num_rows > most or b.num_rows > most:
+            room = most - sum(x.num_rows for x in kept)
+            yield pa.Table.from_batches([*kept, b.slice(0, room)])
+            kept, b = [], b.slice(room)
+        if b.num_rows:
+            kept.append(b)
+    if kept:
+        yield pa.Table.from_batches(kept)
 
 
 def save(model: Trees, spark: SparkSession, path: str) -> None:

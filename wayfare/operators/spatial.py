@@ -8,8 +8,12 @@ plain shuffles).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,9 +144,11 @@ def _levels(segments: DataFrame, cell: float) -> tuple[DataFrame, dict[int, int]
     return s, dict(sorted(map(tuple, s.groupBy("_level").agg(F.count("*")).collect())))
 
 
-def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003, by: tuple[str, ...] = (), more: tuple[str, ...] = (), of_segment: tuple[str, ...] = ()) -> DataFrame:
+def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tuple[str, ...] = ("traj_id", "idx"), cell: float = 0.003, by: tuple[str, ...] = (), more: tuple[str, ...] = (), of_segment: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
     """points ⋈ segments whose bounding box touches the point's box of the radius, with dist_m. ``by`` names columns of
     the key that a segment must share; ``more`` names columns of the points to keep, ``of_segment`` columns of the segments.
+    ``outer``: a point also has a row without segment (seg_id and dist_m null, coordinates zero) where none lies in the first cell it
+    probes, so each has a row at least.
 
     The grid has levels of doubled cells. A segment lies on the level whose cells are as long as it is, so in four of them at
     most, however long it is; a point probes the cells that its box touches on every level in use. A pair counts only
@@ -153,18 +159,31 @@ def near_segments(points: DataFrame, segments: DataFrame, radius: float, key: tu
     s, levels = _levels(segments, cell)
     if sum(levels.values()) > SMALL:
         s, levels = _levels(_touching(segments, points, radius), cell)
+    small, explode = sum(levels.values()) <= SMALL, F.explode_outer if outer else F.explode
+    levels = levels or {0: 0}
     dx, dy = metres_to_degrees(radius, F.col("lat")), metres_to_degrees(radius)
-    q = points.where("lon is not null and lat is not null").select(*key, *more, "lon", "lat", (F.col("lon") - dx).alias("_x0"), (F.col("lon") + dx).alias("_x1"), (F.col("lat") - dy).alias("_y0"), (F.col("lat") + dy).alias("_y1"))
+    q = (points if outer else points.where("lon is not null and lat is not null")).select(*dict.fromkeys([*key, *more, "lon", "lat"]), (F.col("lon") - dx).alias("_x0"), (F.col("lon") + dx).alias("_x1"), (F.col("lat") - dy).alias("_y0"), (F.col("lat") + dy).alias("_y1"))
     size = cell * F.pow(F.lit(2.0), F.col("_level"))
     at = lambda c: F.floor(F.col(c) / size).cast("long")
-    span = lambda lo, hi: F.explode(F.sequence(at(lo), at(hi)))
+    span = lambda lo, hi, explode=F.explode: explode(F.sequence(at(lo), at(hi)))
     q = q.withColumn("_kx", DEGREE_M * F.greatest(F.lit(0.2), F.cos(F.radians("lat"))))
-    q = q.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumns({"_px": at("_x0"), "_py": at("_y0")}).withColumn("_gx", span("_x0", "_x1")).withColumn("_gy", span("_y0", "_y1"))
+    q = q.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumns({"_px": at("_x0"), "_py": at("_y0")}).withColumn("_gx", span("_x0", "_x1", explode)).withColumn("_gy", span("_y0", "_y1", explode))
     s = s.withColumns({"_sx": at("min_lon"), "_sy": at("min_lat")}).withColumn("_gx", span("min_lon", "max_lon")).withColumn("_gy", span("min_lat", "max_lat"))
-    j = _meet(q, s, ["_level", "_gx", "_gy", *by], sum(levels.values()) <= SMALL)
     first = (F.col("_gx") == F.greatest("_px", "_sx")) & (F.col("_gy") == F.greatest("_py", "_sy"))
     touch = (F.col("max_lon") >= F.col("_x0")) & (F.col("min_lon") <= F.col("_x1")) & (F.col("max_lat") >= F.col("_y0")) & (F.col("min_lat") <= F.col("_y1"))
-    j = _with_distance(j.where(first & touch))
+    on = ["_level", "_gx", "_gy", *by]
+    if outer:
+        s = s.withColumnsRenamed({c: f"{c}_s" for c in on})
+        same = [F.col(c) == F.col(f"{c}_s") for c in on]
+        j = (q if small else q.hint("merge")).join(F.broadcast(s) if small else s, [*same, first & touch], "left")
+        j = j.where(F.col("seg_id").isNotNull() | F.coalesce((F.col("_level") == min(levels)) & (F.col("_gx") == F.col("_px")) & (F.col("_gy") == F.col("_py")), F.lit(True)))
+    else:
+        j = _meet(q, s, on, small).where(first & touch)
+    if outer:  # nulls would put branches into each step of the distance
+        j = j.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("lon", "lat", "_kx", "lon1", "lat1", "lon2", "lat2")})
+    j = _with_distance(j)
+    if outer:
+        j = j.withColumn("dist_m", F.when(F.col("seg_id").isNotNull(), F.col("dist_m")))
     return j.select(*key, *more, "seg_id", "lon1", "lat1", "lon2", "lat2", *of_segment, "dist_m")
 
 
@@ -229,40 +248,120 @@ def map_features(points: DataFrame, segments: DataFrame, radius: float = 120.0,
 
 
 def map_feature_cases(points: DataFrame, segments: DataFrame, cases: dict[str, MapCase], cell: float = 0.003) -> DataFrame:
-    """(case, traj_id, features…) of many cases from one join at the greatest radius: each pair of a point and a road counts in
-    the cases that sample the point and whose radius it lies in. Nearest roads are kept per radius, as cases share them."""
-    names, radii = list(cases), sorted({c.radius for c in cases.values()})
+    """(case, traj_id, features…) of many cases from one join; equal cases are worked out once."""
+    used = list(dict.fromkeys(cases.values()))
+    wide = map_feature_table(points, segments, used, cell)
+    each = [F.struct(F.lit(name).alias("case"), *[F.col(f"case{used.index(c)}_{f}").alias(f) for f in MAP_FEATURES]) for name, c in cases.items()]
+    return wide.select("traj_id", F.explode(F.array(*each)).alias("e")).where("e.no_road is not null").select("e.case", "traj_id", *[f"e.{f}" for f in MAP_FEATURES])
+
+
+def map_feature_table(points: DataFrame, segments: DataFrame, cases: list[MapCase], cell: float = 0.003) -> DataFrame:
+    """(traj_id, case0_road_mean, …): a row per trajectory with the features of all cases, from one join at the greatest radius: each
+    pair of a point and a road counts in the cases that sample the point and whose radius it lies in.
+
+    Points are dealt by trajectory once. With a map that is sent to the tasks they stay where they are: their pairs are put in order
+    there, and the features of whole trajectories are worked out in Arrow batches."""
+    radii = sorted({c.radius for c in cases})
     n = F.count("*").over(seq.whole())
     p = points.withColumn("travel", bearing_deg(F.lag("lon").over(seq.in_order()), F.lag("lat").over(seq.in_order()), F.lead("lon").over(seq.in_order()), F.lead("lat").over(seq.in_order()))).withColumn("_n", n)
-    sampled = F.array(*[F.when(seq.in_even_sample(F.col("idx"), F.col("_n"), c.points), F.lit(k)) for k, c in enumerate(cases.values())])
-    s = settled(p.select("traj_id", "idx", "lon", "lat", "travel", (DEGREE_M * F.greatest(F.lit(0.2), F.cos(F.radians("lat")))).alias("_east"), F.filter(sampled, lambda x: x.isNotNull()).alias("_cases")).where(F.size("_cases") > 0), "sampled")
-    bearings = segments.withColumn("_b", bearing_deg("lon1", "lat1", "lon2", "lat2"))
-    pairs = near_segments(s, bearings, radii[-1], cell=cell, more=("lon", "lat", "_east"), of_segment=("_b",))
-    pairs = pairs.withColumns({f"_{n}_{c}": f(f"{c}1", f"{c}2") for c in ("lon", "lat") for n, f in (("lo", F.least), ("hi", F.greatest))})
-
-    def touches(radius: float):
-        dx, dy = radius / F.col("_east"), metres_to_degrees(radius)
+    bits = {most: sum(1 << k for k, c in enumerate(cases) if c.points == most) for most in dict.fromkeys(c.points for c in cases)}
+    sampled = reduce(lambda a, b: a + b, [F.when(seq.in_even_sample(F.col("idx"), F.col("_n"), most), F.lit(v).cast("long")).otherwise(F.lit(0).cast("long")) for most, v in bits.items()])
+    s = p.select("traj_id", "idx", "lon", "lat", "travel", (DEGREE_M * F.greatest(F.lit(0.2), F.cos(F.radians("lat")))).alias("_east"), sampled.alias("_cases")).where("_cases > 0")
+    if segments.limit(SMALL + 1).count() > SMALL:
+        s = settled(s, "sampled")  # read for its box and for the join
+    box = {f"_{n}_{c}": f(f"{c}1", f"{c}2") for c in ("lon", "lat") for n, f in (("lo", F.least), ("hi", F.greatest))}
+    bearings = segments.withColumns({"_b": bearing_deg("lon1", "lat1", "lon2", "lat2"), **box})
+    pairs = near_segments(s, bearings, radii[-1], cell=cell, more=("lon", "lat", "_east", "travel", "_cases"), of_segment=("_b", *box), outer=True)
+
+    # without nulls, for which each comparison would have a branch, the step stays short enough for the JVM to compile
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    pairs = pairs.withColumns({c: zero(F.col(c)) for c in box}).withColumns({f"_dx{k}": zero(r / F.col("_east")) for k, r in enumerate(radii[:-1])})
+
+    def touches(k: int):
+        dx, dy = F.col(f"_dx{k}"), metres_to_degrees(radii[k])
         return (F.col("_hi_lon") >= F.col("lon") - dx) & (F.col("_lo_lon") <= F.col("lon") + dx) & (F.col("_hi_lat") >= F.col("lat") - dy) & (F.col("_lo_lat") <= F.col("lat") + dy)
 
-    # the first radius whose box touches the road's, as all larger ones do
-    reach = F.coalesce(*[F.when(touches(r), F.lit(k)) for k, r in enumerate(radii[:-1])], F.lit(len(radii) - 1))
-    pairs = pairs.select("traj_id", "idx", F.struct("dist_m", "seg_id", F.col("_b").alias("b")).alias("_road"), "dist_m", reach.alias("_k"))
-    aggs = [a for k, r in enumerate(radii) for a in (F.min(F.when(F.col("_k") <= k, F.col("_road"))).alias(f"_m{k}"), F.count(F.when((F.col("_k") <= k) & (F.col("dist_m") <= r), 1)).alias(f"_d{k}"))]
-    j = s.select("traj_id", "idx", "travel", "_cases").join(pairs.groupBy("traj_id", "idx").agg(*aggs), ["traj_id", "idx"], "left")
-    at = {r: k for k, r in enumerate(radii)}
-    row = lambda c: F.struct(F.col(f"_m{at[c.radius]}").alias("m"), F.col(f"_d{at[c.radius]}").alias("density"), F.lit(float(c.radius)).alias("radius"), F.lit(float(min(c.near))).alias("a"), F.lit(float(max(c.near))).alias("b"))
-    every = F.array(*[row(c) for c in cases.values()])
-    j = j.select("traj_id", "idx", "travel", F.explode("_cases").alias("_case"), every.alias("_every")).select("traj_id", "idx", "travel", "_case", F.get("_every", F.col("_case")).alias("_e")).select("traj_id", "travel", "_case", "_e.*")
-    d = F.coalesce("m.dist_m", 2.0 * F.col("radius"))
-    den = F.coalesce("density", F.lit(0)).cast("double")
-    gap = angle_diff_deg(F.col("travel"), F.col("m.b"))
-    share = lambda c: F.avg(c.cast("double"))
-    out = j.groupBy("_case", "traj_id").agg(
-        F.avg(d).alias("road_mean"), F.percentile(d, F.lit(0.9)).alias("road_p90"), F.max(d).alias("road_max"), share(d <= F.col("a")).alias("near_1"), share(d <= F.col("b")).alias("near_2"),
-        F.avg(den).alias("density_mean"), F.percentile(den, F.lit(0.9)).alias("density_p90"),
-        F.coalesce(F.avg(gap), F.lit(90.0)).alias("heading_mean"), F.coalesce(F.percentile(gap, F.lit(0.9)), F.lit(90.0)).alias("heading_p90"), share(F.col("m").isNull()).alias("no_road"),
-    )
-    return out.select(F.get(F.array(*[F.lit(x) for x in names]), F.col("_case")).alias("case"), "traj_id", *MAP_FEATURES)
+    # the first radius whose box touches the road's, as all larger ones do: so many do not
+    reach = F.when(F.col("seg_id").isNull(), -1).otherwise(reduce(lambda a, b: a + b, [F.when(touches(k), 0).otherwise(1) for k in range(len(radii) - 1)], F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("traj_id").orderBy("idx", "dist_m", "seg_id"))
+    rows = pairs.select("traj_id", "idx", "travel", "_cases", "dist_m", "seg_id", F.col("_b").alias("b"), reach.alias("reach")).withColumn("place", place).drop("seg_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_trajectories(batches):
+            ids, features = _case_features(t, cases, radii)
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(f, from_pandas=True) for f in features]], names=out)
+
+    out = ["traj_id", *[f"case{k}_{f}" for k in range(len(cases)) for f in MAP_FEATURES]]
+    return rows.mapInArrow(run, f"traj_id {rows.schema['traj_id'].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in out[1:]))
+
+
+def _whole_trajectories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows (place: from 1 in each trajectory) in tables that end where a trajectory does. What is carried on is the pairs of one
+    trajectory's sampled points."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        starts = np.flatnonzero(b.column("place").to_numpy() == 1)
+        if len(starts):
+            if (kept or starts[-1]) and (done := [*kept, b.slice(0, starts[-1])]):
+                yield pa.Table.from_batches(done)
+            kept = []
+            b = b.slice(starts[-1])
+        if b.num_rows:
+            kept.append(b)
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _quantile(values: np.ndarray, group: np.ndarray, starts: np.ndarray, count: np.ndarray, q: float) -> np.ndarray:
+    """Interpolated quantile of each group; groups lie one after the other."""
+    v, at = values[np.lexsort((values, group))], q * (count - 1)
+    low, high = np.floor(at), np.ceil(at)
+    a, b = v[starts + low.astype(np.int64)], v[starts + high.astype(np.int64)]
+    return np.where(a == b, a, (high - at) * a + (at - low) * b)
+
+
+def _case_features(t: pa.Table, cases: list[MapCase], radii: list[float]) -> tuple[pa.Array, list[np.ndarray]]:
+    """Trajectory ids and, case by case, their map features from ordered pairs (traj_id, place, idx, travel, _cases, dist_m, b, reach), a
+    point's nearest road first. reach: place of the first radius that the road counts for, -1 where there is none."""
+    idx, reach, dist, b = (t.column(c).to_numpy() for c in ("idx", "reach", "dist_m", "b"))
+    head = t.column("place").to_numpy() == 1
+    begins = head.copy()
+    begins[1:] |= idx[1:] != idx[:-1]
+    point, first = np.cumsum(begins) - 1, np.flatnonzero(begins)
+    of, travel, taken = (np.cumsum(head) - 1)[first], t.column("travel").to_numpy()[first], t.column("_cases").to_numpy()[first]
+    nearest, density = {}, {}
+    for k, r in enumerate(radii):
+        at = np.flatnonzero((reach >= 0) & (reach <= k))
+        who = point[at]
+        new = np.ones(len(at), bool)
+        new[1:] = who[1:] != who[:-1]
+        nearest[r] = np.full(len(first), -1)
+        nearest[r][who[new]] = at[new]
+        density[r] = np.bincount(who[dist[at] <= r], minlength=len(first)).astype(float)
+    out, many = [], int(head.sum())
+    for k, c in enumerate(cases):
+        mine = np.flatnonzero(taken >> k & 1)
+        group, near, den = of[mine], nearest[c.radius][mine], density[c.radius][mine]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        count = np.diff(np.r_[starts, len(group)])
+        mean = lambda v, group=group, starts=starts, count=count: np.bincount(group, v, many)[group[starts]] / count
+        d = np.where(near >= 0, dist[near], 2.0 * c.radius)
+        gap = np.where(near >= 0, np.abs(np.mod(travel[mine] - b[near] + 180.0, 360.0) - 180.0), np.nan)
+        some = ~np.isnan(gap)
+        turned, gap = group[some], gap[some]
+        heading = np.full((2, many), 90.0)
+        if len(gap):
+            s = np.flatnonzero(np.r_[True, turned[1:] != turned[:-1]])
+            m = np.diff(np.r_[s, len(turned)])
+            heading[:, turned[s]] = np.bincount(turned, gap, many)[turned[s]] / m, _quantile(gap, turned, s, m, 0.9)
+        has = group[starts]  # trajectories with a sampled point
+        for f in (
+            mean(d), _quantile(d, group, starts, count, 0.9), np.maximum.reduceat(d, starts), mean((d <= min(c.near)).astype(float)), mean((d <= max(c.near)).astype(float)),
+            mean(den), _quantile(den, group, starts, count, 0.9), heading[0, has], heading[1, has], mean((near < 0).astype(float)),
+        ):
+            out.append(np.full(many, np.nan))
+            out[-1][has] = f
+    return t.column("traj_id").combine_chunks().take(pa.array(np.flatnonzero(head))), out
 
 
 def in_box(segments: DataFrame, box: tuple[float, float, float, float], most: int | None = None, seed: int = 0) -> DataFrame:
@@ -272,4 +371,4 @@ def in_box(segments: DataFrame, box: tuple[float, float, float, float], most: in
     return s if most is None else s.orderBy(F.xxhash64("seg_id", F.lit(seed)), "seg_id").limit(most)
 
 
-__all__ = ["CELL", "DEGREE_M", "MAP_FEATURES", "MapCase", "candidates", "in_box", "map_feature_cases", "map_features", "near_nodes", "near_segments", "nearest_node", "nearest_road", "snap", "topology_violation", "with_nearest"]
+__all__ = ["CELL", "DEGREE_M", "MAP_FEATURES", "MapCase", "candidates", "in_box", "map_feature_cases", "map_feature_table", "map_features", "near_nodes", "near_segments", "nearest_node", "nearest_road", "snap", "topology_violation", "with_nearest"]

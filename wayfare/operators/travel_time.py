@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import boosting, features, metrics
 from .boosting import Boosted, Target, Trees
-from .spatial import MAP_FEATURES, MapCase, map_feature_cases
+from .spatial import MAP_FEATURES, MapCase, map_feature_table
 
 # The settings of the models.
 BASE, SECOND, RESIDUAL = Boosted(0.05, 8, 450, 40, 0.05), Boosted(0.035, 10, 620, 30, 0.02), Boosted(0.05, 6, 260, 55, 0.08)
@@ -239,16 +239,14 @@ def sweep(cases: dict[str, DataFrame], control: str) -> DataFrame:
 
 
 def case_table(trips: DataFrame, points: DataFrame, segments: DataFrame, cases: dict[str, MapCase | None] = CASES) -> tuple[DataFrame, dict[str, tuple[str, ...]]]:
-    """(trips with the map features of all cases side by side, the map columns of each case), from one join. A trip without points
-    has zeros."""
-    used = {k: c for k, c in cases.items() if c is not None}
-    columns = {name: tuple(f"case{k}_{f}" for f in MAP_FEATURES) for k, name in enumerate(used)}
-    if not used:
-        return trips, {name: () for name in cases}
-    long = map_feature_cases(points, segments, used)
-    aggs = [F.max(F.when(F.col("case") == name, F.col(f))).alias(c) for name, cs in columns.items() for f, c in zip(MAP_FEATURES, cs)]
-    wide = trips.join(long.groupBy("traj_id").agg(*aggs), "traj_id", "left").fillna(0.0, [c for cs in columns.values() for c in cs])
-    return wide, {name: columns.get(name, ()) for name in cases}
+    """(trips with the map features of all cases side by side, the map columns of each case), from one join; equal cases share theirs.
+    A trip without points has zeros."""
+    used = list(dict.fromkeys(c for c in cases.values() if c is not None))
+    columns = {c: tuple(f"case{k}_{f}" for f in MAP_FEATURES) for k, c in enumerate(used)}
+    if used:
+        of_map = map_feature_table(points, segments, used)
+        trips = trips.join(of_map, "traj_id", "left").fillna(0.0, [c for cs in columns.values() for c in cs])
+    return trips, {name: () if c is None else columns[c] for name, c in cases.items()}
 
 
 def sweep_cases(train: DataFrame, validation: DataFrame, columns: tuple[str, ...], case_columns: dict[str, tuple[str, ...]], control: str = "nomap_ref", spec: Boosted = SWEEP) -> DataFrame:
